@@ -1,14 +1,14 @@
-"""Shared plumbing: reading tables, Arrow batches in and out, checkpoints in the shared folder."""
+"""Shared plumbing: reading tables, Arrow batches in and out, tables written to the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows that a Python worker handles at a time: bounds its memory whatever Spark's batch size is.
@@ -44,16 +44,23 @@ def map_columns(df: DataFrame, columns: list[str], ddl: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, ddl)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and read it back, so a lost executor costs no history.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "zetasky-shared")
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests) a local one is used.
+
+def stash(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet to the shared folder and read back, with its path for ``unstash``.
+
+    Cuts the lineage so that a lost executor costs no history.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "zetasky-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/zetasky-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def unstash(spark: SparkSession, *paths: str) -> None:
+    """Delete stashes that nothing reads any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
