@@ -142,7 +142,10 @@ def train(docs: DataFrame, max_docs: int = 3000, sample_chars: int = 768, epochs
     """
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int")
     labelled = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = labelled.select("lang", F.substring("text", start, F.lit(sample_chars)).alias("part"), F.xxhash64("doc_id", F.lit(11)).alias("lot")).orderBy("lot", "lang", "part").limit(max_docs).collect()
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**31))
+    below = int(min(1.0, 4 * max_docs / max(1, labelled.count())) * 2**31)  # so tasks send few rows, however many there are
+    drawn = labelled.select("lang", F.substring("text", start, F.lit(sample_chars)).alias("part"), lot.alias("lot")).filter(F.col("lot") < below)
+    sample = drawn.orderBy("lot", "lang", "part").limit(max_docs).collect()
     rows = [(r.lang, w) for r in sample if r.part and LETTER.search(r.part) for w in to_windows(r.part)]
     if not rows:
         return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, pii, secrets, sharding, tokens, topk
+from . import bpe, decontam, jaccard, langid, pii, secrets, sharding, suffixes, tokens, topk
 from .util import read
 
 
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"), length=50)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents")).drop("span_list")
 
@@ -46,5 +50,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), start, sharding.grow(start))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding)}
 ORACLES: dict[str, str] = {"op6_exact_top_k": topk.ORACLE}
