@@ -1,4 +1,371 @@
-"""Registry of the sky-statistics queries and their SQL twins."""
+"""The sky-statistics queries and their SQL twins.
 
-QUERIES = {}
-ORACLES = {}
+Results are scaled and rounded, so that the last digits of floating-point sums do not matter to a comparison.
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zetasky.functions import geometry, healpix
+from zetasky.operators import aperture, density, discs, pairs, xi
+from zetasky.plans.engine import Correlation
+from zetasky.plans.oracle import e, pixel_at, sql
+from zetasky.sources import fixture, tables
+from zetasky.sources.fixture import PARAMS
+
+QUERIES, ORACLES = {}, {}
+NSIDE = PARAMS.nside
+ANGLE, MASS, XI, ZETA = (1.0, 9), (1e6, 3), (1e8, 3), (1e10, 3)
+
+
+def query(oracle: str):
+    def register(fn):
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = fn, oracle
+        return fn
+
+    return register
+
+
+def r(column, scale: tuple[float, int], name: str) -> Column:
+    return (F.round((F.col(column) if isinstance(column, str) else column) * scale[0], scale[1]) + 0.0).alias(name)
+
+
+def rs(expression: str, scale: tuple[float, int], name: str) -> str:
+    return f"round(({expression})*{e(scale[0])},{scale[1]})+0e0 as {name}"
+
+
+def engine(spark: SparkSession) -> Correlation:
+    return Correlation(spark, PARAMS, fixture.patches(spark))
+
+
+def one_map(spark: SparkSession, sf_dir: str, *zbins: int) -> DataFrame:
+    return fixture.shear(spark, sf_dir).filter((F.col("map_id") == 0) & F.col("zbin").isin(*zbins))
+
+
+def numbers(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), (F.col("id") * 0.37).alias("ra1"), (F.col("id") % 17 * 0.15 - 1.2).alias("dec1"), (F.col("id") * 0.73 + 0.1).alias("ra2"), (F.col("id") % 13 * 0.17 - 1.0).alias("dec2"))
+
+
+NUMBERS = "(select range as i, range*37e-2 as ra1, range%17*15e-2-12e-1 as dec1, range*73e-2+1e-1 as ra2, range%13*17e-2-1e0 as dec2 from range(500))"
+
+# --- sources
+
+
+@query(sql(f"select pix, {rs('ra', ANGLE, 'ra')}, {rs('dec', ANGLE, 'dec')} from pixels where pix in (select pix from mask where m<>0)", "pixels", "mask"))
+def scan_pixels(spark, sf_dir):
+    return tables.footprint(spark, PARAMS, fixture.mask(spark)).select("pix", r("ra", ANGLE, "ra"), r("dec", ANGLE, "dec"))
+
+
+@query(sql(f"select patch_id, {rs('phi_center', ANGLE, 'phi_center')}, {rs('theta_center', ANGLE, 'theta_center')} from patches", "patches"))
+def scan_patches(spark, sf_dir):
+    return fixture.patches(spark).select("patch_id", r("phi_center", ANGLE, "phi_center"), r("theta_center", ANGLE, "theta_center"))
+
+
+@query(sql(f"select map_id, zbin, pix, {rs('-g1', ANGLE, 'g1')}, {rs('g2', ANGLE, 'g2')}, {rs('w', ANGLE, 'w')} from shear", "shear"))
+def load_maps(spark, sf_dir):
+    return tables.load_maps(fixture.shear(spark, sf_dir)).select("map_id", "zbin", "pix", *(r(c, ANGLE, c) for c in ("g1", "g2", "w")))
+
+
+def _store(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = os.path.join(shared, f"zetasky-pairs-{uuid.uuid4().hex}")
+    engine(spark).save_pairs(path)
+    return path
+
+
+@query(sql("select patch_id, bin, count(*) as npairs, sum(pix1) as pix1, sum(pix2) as pix2, " + rs("sum(e1_re+e2_im)", ANGLE, "phase") + " from pairs group by 1,2", "pairs"))
+def pairs_roundtrip(spark, sf_dir):
+    stored = Correlation.load_pairs(spark, _store(spark)).pairs
+    return stored.groupBy("patch_id", "bin").agg(F.count("*").alias("npairs"), F.sum("pix1").alias("pix1"), F.sum("pix2").alias("pix2"), r(F.sum(F.col("e1_re") + F.col("e2_im")), ANGLE, "phase"))
+
+
+@query(sql("select cast(patch_id-5 as int) as patch_id, bin, count(*) as npairs from pairs where patch_id>=5 and patch_id<12 group by 1,2", "pairs"))
+def load_pairs_range(spark, sf_dir):
+    return Correlation.load_pairs(spark, _store(spark), 5, 12).pairs.groupBy("patch_id", "bin").agg(F.count("*").alias("npairs"))
+
+
+@query(sql(f"select {pixel_at('ra', 'pi()/2-dec', 8)} as pix, {rs('avg(g1)', ANGLE, 'g1')} from shear join pixels using (pix) where map_id=0 and zbin=0 group by 1", "shear", "pixels"))
+def degrade_map(spark, sf_dir):
+    return healpix.degrade(one_map(spark, sf_dir, 0), NSIDE, 8, "g1").select("pix", r("g1", ANGLE, "g1"))
+
+
+# --- scalar functions
+
+
+@query(sql(f"select pix, {rs('ra', ANGLE, 'ra')}, {rs('dec', ANGLE, 'dec')} from pixels", "pixels"))
+def pixel_to_radec(spark, sf_dir):
+    return healpix.pixels(spark, NSIDE).select("pix", r("ra", ANGLE, "ra"), r("dec", ANGLE, "dec"))
+
+
+@query(sql(f"select patch_id, {rs('sin(theta_center)*cos(phi_center)', ANGLE, 'x')}, {rs('sin(theta_center)*sin(phi_center)', ANGLE, 'y')}, {rs('cos(theta_center)', ANGLE, 'z')} from patches", "patches"))
+def ang_to_vec(spark, sf_dir):
+    at = fixture.patches(spark).select("patch_id", F.col("phi_center").alias("ra"), (math.pi / 2 - F.col("theta_center")).alias("dec"))
+    return healpix.with_vector(at).select("patch_id", *(r(c, ANGLE, c) for c in "xyz"))
+
+
+@query(sql("select patch_id, center_pix as pix from snapped", "snapped"))
+def ang_to_pix(spark, sf_dir):
+    return discs.snapped(fixture.patches(spark), PARAMS).select("patch_id", F.col("center_pix").alias("pix"))
+
+
+@query(f"select i, {rs('cos(dec1)*cos(ra1)', ANGLE, 'x')}, {rs('cos(dec1)*sin(ra1)', ANGLE, 'y')}, {rs('sin(dec1)', ANGLE, 'z')} from {NUMBERS}")
+def radec_to_xyz(spark, sf_dir):
+    x, y, z = geometry.radec_to_xyz(F.col("ra1"), F.col("dec1"))
+    return numbers(spark, 500).select("i", r(x, ANGLE, "x"), r(y, ANGLE, "y"), r(z, ANGLE, "z"))
+
+
+@query(f"select i, {rs('atan2(cos(dec1)*cos(dec2)*sin(ra2-ra1), sin(dec2)-sin(dec1)*(cos(ra1-ra2)*cos(dec1)*cos(dec2)+sin(dec1)*sin(dec2)))', ANGLE, 'angle')} from {NUMBERS}")
+def spherical_angle(spark, sf_dir):
+    return numbers(spark, 500).select("i", r(geometry.angle_at(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2"))), ANGLE, "angle"))
+
+
+@query(f"select i, {rs('acos(greatest(-1e0,least(1e0,cos(ra1-ra2)*cos(dec1)*cos(dec2)+sin(dec1)*sin(dec2))))', ANGLE, 'd')} from {NUMBERS}")
+def angular_separation(spark, sf_dir):
+    return numbers(spark, 500).select("i", r(geometry.separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2"))), ANGLE, "d"))
+
+
+PHASES = ("e1_re", "e1_im", "e2_re", "e2_im")
+
+
+@query(sql("select patch_id, bin, pix1, pix2, " + ", ".join(rs(c, (1.0, 7), c) for c in PHASES) + " from pairs where patch_id<4", "pairs"))
+def pair_phase(spark, sf_dir):
+    return engine(spark).pairs.filter("patch_id < 4").select("patch_id", "bin", "pix1", "pix2", *(r(c, (1.0, 7), c) for c in PHASES))
+
+
+@query(sql(f"select patch_id, pix, {rs('q_cos', (1.0, 7), 'q_cos')}, {rs('q_sin', (1.0, 7), 'q_sin')}, {rs('q_val', (1.0, 7), 'q_val')} from filters", "filters"))
+def filter_geometry(spark, sf_dir):
+    return engine(spark).filters.select("patch_id", "pix", *(r(c, (1.0, 7), c) for c in ("q_cos", "q_sin", "q_val")))
+
+
+@query(f"select cast(range as int) as i, {rs('pow(radians(range*5e0/60),2)/(4*pi()*pow(radians(15e-1),4))*exp(-pow(radians(range*5e0/60),2)/(2*pow(radians(15e-1),2)))', (1.0, 8), 'q')} from range(200)")
+def compensated_filter(spark, sf_dir):
+    return spark.range(200).select(F.col("id").cast("int").alias("i"), r(geometry.compensated_filter(F.radians(F.col("id") * 5.0 / 60), 90.0), (1.0, 8), "q"))
+
+
+_E = PARAMS.edges()
+
+
+@query("select * from (values " + ", ".join(f"(cast({i} as int), round({e(a)},9), round({e(b)},9), round(sqrt({e(a)}*{e(b)})*180/pi()*60,6))" for i, (a, b) in enumerate(zip(_E, _E[1:], strict=False))) + ") t(bin, lo, hi, center_arcmin)")
+def theta_bins(spark, sf_dir):
+    return PARAMS.bins(spark).select("bin", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), F.round("center_arcmin", 6).alias("center_arcmin"))
+
+
+@query(sql(f"select patch_id, pix, {rs('-g1*q_cos-g2*q_sin', ANGLE, 'gt')} from filters join shear using (pix) where map_id=0 and zbin=0", "filters", "shear"))
+def tangential_shear(spark, sf_dir):
+    gt = geometry.tangential(*(F.col(c) for c in ("g1", "g2", "q_cos", "q_sin")))
+    return engine(spark).filters.join(one_map(spark, sf_dir, 0), "pix").select("patch_id", "pix", r(gt, ANGLE, "gt"))
+
+
+@query(sql(f"select map_id, zbin, pix, {rs('g1', ANGLE, 'g1')}, {rs('-g2', ANGLE, 'g2')} from shear", "shear"))
+def flip_shear(spark, sf_dir):
+    return tables.load_maps(fixture.shear(spark, sf_dir), False, True).select("map_id", "zbin", "pix", r("g1", ANGLE, "g1"), r("g2", ANGLE, "g2"))
+
+
+ENDS = ("r1", "i1", "r2", "i2")
+
+
+@query(sql("select patch_id, bin, pix1, pix2, za, zb, " + ", ".join(rs(c, ANGLE, c) for c in ENDS) + " from ends where map_id=0 and za=0 and zb=0 and patch_id<6", "ends"))
+def rotate_shear(spark, sf_dir):
+    ends = xi.pair_shear(engine(spark).pairs.filter("patch_id < 6"), one_map(spark, sf_dir, 0))
+    return ends.select("patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
+
+
+# --- filters, joins and set operations
+
+
+@query(sql("select pix from mask where m<>0", "mask"))
+def mask_filter(spark, sf_dir):
+    return tables.kept(fixture.mask(spark))
+
+
+@query(sql("select pix from members where patch_id=0", "members"))
+def query_disc(spark, sf_dir):
+    return discs.in_discs(healpix.pixels(spark, NSIDE), fixture.patches(spark).filter("patch_id = 0"), PARAMS.patch_size, NSIDE).select("pix")
+
+
+@query(sql("select patch_id, pix from members where pix in (select pix from mask where m<>0)", "members", "mask"))
+def disc_semi_mask(spark, sf_dir):
+    return discs.patch_pixels(tables.footprint(spark, PARAMS, fixture.mask(spark)), fixture.patches(spark), PARAMS).select("patch_id", "pix")
+
+
+@query(sql("select patch_id, pix from filters", "filters"))
+def disc_anti_center(spark, sf_dir):
+    return engine(spark).filters.select("patch_id", "pix")
+
+
+def _near(spark):
+    return pairs.candidate_pairs(discs.patch_pixels(healpix.pixels(spark, NSIDE), fixture.patches(spark), PARAMS))
+
+
+@query(sql("select patch_id, pix1, pix2, bin from binned where patch_id<4", "binned"))
+def assign_bin(spark, sf_dir):
+    d = geometry.separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")))
+    return _near(spark).filter("patch_id < 4").select("patch_id", "pix1", "pix2", PARAMS.bin_of(d).alias("bin"))
+
+
+@query(sql("select patch_id, pix from members", "members"))
+def patch_pixels(spark, sf_dir):
+    return discs.patch_pixels(healpix.pixels(spark, NSIDE), fixture.patches(spark), PARAMS).select("patch_id", "pix")
+
+
+@query(sql("select patch_id, count(*) as n, sum(pix1) as pix1, sum(pix2) as pix2 from candidates group by 1", "candidates"))
+def pair_join(spark, sf_dir):
+    return _near(spark).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum("pix1").alias("pix1"), F.sum("pix2").alias("pix2"))
+
+
+@query(sql("select patch_id, bin, pix1, pix2 from pairs", "pairs"))
+def pair_bins(spark, sf_dir):
+    return engine(spark).pairs.select("patch_id", "bin", "pix1", "pix2")
+
+
+@query(sql(f"select patch_id, bin, za, zb, count(*) as n, {rs('sum(ww)', (1.0, 3), 'ww')} from ends where map_id=0 group by 1,2,3,4", "ends"))
+def pair_shear(spark, sf_dir):
+    ends = xi.pair_shear(engine(spark).pairs, one_map(spark, sf_dir, *range(fixture.N_ZBINS)))
+    return ends.groupBy("patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), r(F.sum("ww"), (1.0, 3), "ww"))
+
+
+def _zbins(spark):
+    return spark.range(fixture.N_ZBINS).select(F.col("id").cast("int").alias("zbin"))
+
+
+@query(sql("select z1, z2 from zpairs", "zpairs"))
+def zbin_pairs(spark, sf_dir):
+    return xi.zbin_pairs(_zbins(spark))
+
+
+@query(sql("select a.z1, a.z2, b.z2 as z3 from zpairs a join zpairs b on a.z2=b.z1", "zpairs"))
+def zbin_triples(spark, sf_dir):
+    return xi.zbin_triples(_zbins(spark))
+
+
+@query(sql("select pix from members where patch_id=3 intersect select pix from mask where m<>0", "members", "mask"))
+def pix_intersect(spark, sf_dir):
+    return patch_pixels(spark, sf_dir).filter("patch_id = 3").select("pix").intersect(tables.kept(fixture.mask(spark)))
+
+
+@query(sql("select pix from members where patch_id=3 except select pix from mask where m<>0", "members", "mask"))
+def pix_except(spark, sf_dir):
+    return patch_pixels(spark, sf_dir).filter("patch_id = 3").select("pix").exceptAll(tables.kept(fixture.mask(spark)))
+
+
+# --- aggregations
+
+
+@query(sql("select patch_id, bin, npairs from counts", "counts"))
+def pair_counts(spark, sf_dir):
+    return engine(spark).counts()
+
+
+@query(sql("select patch_id, bin, npairs, cast(sum(npairs) over (partition by patch_id order by bin rows unbounded preceding)-npairs as bigint) as first from counts", "counts"))
+def bin_offsets(spark, sf_dir):
+    return pairs.bin_offsets(engine(spark).counts())
+
+
+@query(sql(f"select patch_id, n_pix, {rs('area', ANGLE, 'area')} from areas", "areas"))
+def filter_area(spark, sf_dir):
+    return discs.filter_area(engine(spark).filters, PARAMS).select("patch_id", "n_pix", r("area", ANGLE, "area"))
+
+
+@query(sql(f"select patch_id, {rs('m_ap', MASS, 'm_ap')} from masses where map_id=0 and zbin=0", "masses"))
+def aperture_mass(spark, sf_dir):
+    return engine(spark).aperture_mass(one_map(spark, sf_dir, 0)).select("patch_id", r("m_ap", MASS, "m_ap"))
+
+
+def _xi_sql(plus: str, minus: str, where: str) -> str:
+    return sql(f"select z1, z2, patch_id, bin, npairs, {rs(plus, XI, 'xip')}, {rs(minus, XI, 'xim')} from xi where map_id=0 and {where}", "xi")
+
+
+def _xi(spark, sf_dir, zbins, where, **options):
+    out = engine(spark).xi(one_map(spark, sf_dir, *zbins), **options).filter(where)
+    return out.select("z1", "z2", "patch_id", "bin", "npairs", r("xip", XI, "xip"), r("xim", XI, "xim"))
+
+
+@query(_xi_sql("up", "um", "z1=0 and z2=0"))
+def xi_unweighted(spark, sf_dir):
+    return _xi(spark, sf_dir, (0,), "z1 = 0", weighted=False)
+
+
+@query(_xi_sql("fp", "fm", "z1=z2"))
+def xi_auto(spark, sf_dir):
+    return _xi(spark, sf_dir, range(fixture.N_ZBINS), "z1 = z2", zpairs=_zbins(spark).selectExpr("zbin as z1", "zbin as z2"))
+
+
+@query(_xi_sql("xip", "xim", "z1=0 and z2=1"))
+def xi_cross(spark, sf_dir):
+    return _xi(spark, sf_dir, (0, 1), "z1 = 0 and z2 = 1")
+
+
+@query(_xi_sql("fp", "fm", "z1=0 and z2=0"))
+def xi_weighted(spark, sf_dir):
+    return _xi(spark, sf_dir, (0,), "z1 = 0")
+
+
+@query(_xi_sql("fp", "fm", "z1=0 and z2=1"))
+def xi_forward(spark, sf_dir):
+    return _xi(spark, sf_dir, (0, 1), "z1 = 0 and z2 = 1", mode="forward")
+
+
+@query(sql(f"select z1, z2, patch_id, bin, {rs('fw', (1.0, 3), 'sumw')} from xi where map_id=0 and z1=0 and z2=1", "xi"))
+def sum_of_weights(spark, sf_dir):
+    out = engine(spark).xi(one_map(spark, sf_dir, 0, 1), mode="forward").filter("z1 = 0 and z2 = 1")
+    return out.select("z1", "z2", "patch_id", "bin", r("sumw", (1.0, 3), "sumw"))
+
+
+@query(sql(f"select map_id, zbin, patch_id, {rs('m_ap', MASS, 'm_ap')} from masses", "masses"))
+def full_tomo_map(spark, sf_dir):
+    return engine(spark).aperture_mass(fixture.shear(spark, sf_dir)).select("map_id", "zbin", "patch_id", r("m_ap", MASS, "m_ap"))
+
+
+@query(sql(f"select map_id, z1, z2, patch_id, bin, npairs, {rs('sumw', (1.0, 3), 'sumw')}, {rs('xip', XI, 'xip')}, {rs('xim', XI, 'xim')} from xi", "xi"))
+def full_tomo_xi(spark, sf_dir):
+    out = engine(spark).xi(fixture.shear(spark, sf_dir))
+    return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("sumw", (1.0, 3), "sumw"), r("xip", XI, "xip"), r("xim", XI, "xim"))
+
+
+@query(sql(f"select map_id, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas where map_id=0 and z1=0 and z3=0", "zetas"))
+def zeta(spark, sf_dir):
+    return engine(spark).zeta(one_map(spark, sf_dir, 0)).select("map_id", "bin", r("zetap", ZETA, "zetap"), r("zetam", ZETA, "zetam"))
+
+
+@query(sql(f"select map_id, z1, z2, z3, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas", "zetas"))
+def zeta_tomo(spark, sf_dir):
+    return engine(spark).zeta(fixture.shear(spark, sf_dir)).select("map_id", "z1", "z2", "z3", "bin", r("zetap", ZETA, "zetap"), r("zetam", ZETA, "zetam"))
+
+
+# --- density summaries
+
+
+def _samples(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+
+
+@query(sql("select ix, iy, n as count from cells", "cells"))
+def hist2d(spark, sf_dir):
+    return density.hist2d(_samples(spark, sf_dir), "x", "y", 20)
+
+
+@query(sql(f"select ix, iy, {rs('density', (1.0, 6), 'density')} from smooth", "smooth"))
+def smooth_grid(spark, sf_dir):
+    return density.smooth_grid(hist2d(spark, sf_dir), 20).select("ix", "iy", r("density", (1.0, 6), "density"))
+
+
+@query(sql(f"select share, {rs('max(density)', (1.0, 6), 'level')} from (select density, sum(density) over (order by density desc, ix, iy rows unbounded preceding) as mass, sum(density) over () as total from smooth) join (values (99e-2),(95e-2),(68e-2)) s(share) on mass>share*total group by 1", "smooth"))
+def hpd_levels(spark, sf_dir):
+    return density.hpd_levels(density.smooth_grid(hist2d(spark, sf_dir), 20)).select("share", r("level", (1.0, 6), "level"))
+
+
+@query(sql(f"select bin, {rs('center', (1.0, 6), 'center')}, count, {rs('density', (1e6, 6), 'density')} from hist1d", "hist1d"))
+def hist1d_density(spark, sf_dir):
+    return density.hist1d_density(_samples(spark, sf_dir), "y").select("bin", r("center", (1.0, 6), "center"), "count", r("density", (1e6, 6), "density"))
+
+
+@query(sql(f"select {rs('(select center from hist1d order by count desc, bin limit 1)', (1.0, 6), 'mode')}, {rs('(select stddev_pop(y) from samples)', (1.0, 4), 'std')}", "hist1d"))
+def marginal_summary(spark, sf_dir):
+    return density.marginal_summary(_samples(spark, sf_dir), "y").select(r("mode", (1.0, 6), "mode"), r("std", (1.0, 4), "std"))

@@ -1,0 +1 @@
+"""Empty on purpose: every measurement here is a batch query, and none of them has a streaming form."""
