@@ -69,6 +69,7 @@ def test_classes_equal_brute_force(spark, width, percent):
 def test_small_blocks_and_common_keys(spark, monkeypatch):
     for name, value in {"BLOCK_NODES": 12, "COMMON_KEY": 5, "COUNTED": 500, "COMMON": 2}.items():
         monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "LARGE", 40)
     rows = corpus(8, 200)
     assert classes(jaccard.similar_classes(frame(spark, rows))) == brute(rows)
 
@@ -111,3 +112,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_large_sets_share_a_range():
+    rng = np.random.default_rng(2)
+    for percent in (85, 80):
+        for _ in range(300):
+            n = int(rng.integers(20, 3000))
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            changes = int(rng.integers(0, 2 * n * (100 - percent) // (100 + percent) + 1))
+            drop = int(rng.integers(0, changes + 1))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**64, changes - drop, dtype=np.uint64)]))
+            if len(b) and (100 + percent) * len(np.intersect1d(a, b)) >= percent * (len(a) + len(b)):
+                assert np.intersect1d(jaccard.range_keys(a, percent), jaccard.range_keys(b, percent)).size

@@ -8,7 +8,9 @@ Stages, each exact and none quadratic in a group of copies:
 
 1. Equal sets become one node.
 2. Nodes are dealt by the keys that two similar sets must share: in any fixed order of shingles, sets above the
-   threshold have one in common among their first few. The order puts shingles last that many documents hold.
+   threshold have one in common among their first few. The order puts shingles last that many documents hold. A
+   large set, whose shingles may be common by chance, is cut into more hash ranges than similar sets can differ in;
+   one range must then agree as a whole.
 3. Nodes that meet under a key and survive the R-tree's bound are tied together; components of ties hold all links.
 4. A component's sets are verified in blocks of bounded size. Nodes already linked need no look at each other.
    Components of several blocks are shuffled into new blocks once, then what is still apart meets everything else.
@@ -25,12 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import arrow_schema, map_columns, stash
+from .util import arrow_schema, map_columns, pack48, runs, sorted_groups, stash, unpack48, unstash
 
 #: Groups that shingles are hashed into: the dimensions of a point.
 GROUPS = 64
 #: Points in a leaf, children of a box.
 LEAF, FAN_OUT = 32, 8
+#: Sets of this size and more get keys of whole hash ranges.
+LARGE = 1000
+#: Dimensions of a point at most, where sets are verified and may be large.
+MOST_GROUPS = 4096
+#: Keys in a bucket on average, and buckets at least. Nodes of a slice and, among them, nodes of one key from which
+#: on they are tied together at once.
+BUCKET_KEYS, LEAST_BUCKETS, SLICE_NODES, SLICE_COMMON = 500_000, 96, 4096, 16
 #: Nodes under a key up to which the R-tree compares them; nodes under a more common key are tied together.
 COMMON_KEY = 1024
 #: A block of a component: nodes and shingles at most on average.
@@ -70,8 +79,32 @@ def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def range_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the hash ranges of a large set: similar sets share one at least.
+
+    Sizes fall into classes by powers of the threshold, so similar sets are in one class or in neighbours; a set
+    has keys for its class and the next. Two similar sets of a class differ in at most ``most`` shingles, so of more
+    ranges one at least holds the same shingles in both. Empty ranges get no key where enough others are left.
+    """
+    size_class, keys = int(np.floor(np.log(len(shingles)) / np.log(100 / percent) + 1e-9)), []
+    for c in (size_class, size_class + 1):
+        largest = int((100 / percent) ** (c + 1)) + 1
+        most = (100 - percent) * 2 * largest // (100 + percent)
+        ranges = most + most // 8 + 2
+        at = ((shingles >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        content = np.add.reduceat((shingles ^ shingles >> np.uint64(27)) * MIX[2], first)
+        held = at[first]
+        if len(held) <= most:
+            empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), held)
+            held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
+        key = (content ^ content >> np.uint64(31)) * MIX[3] + held * MIX[4] + np.uint64(c) * MIX[5]
+        keys.append((key ^ key >> np.uint64(30)) * MIX[6])
+    return np.concatenate(keys)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -141,7 +174,61 @@ def pairs_within(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterato
         yield i, np.sort(near[near < i])
 
 
-def tie(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[bytes, bytes]]:
+def shared_keys(nodes: DataFrame, total: int) -> DataFrame:
+    """Nodes that meet under a key: (key, a, null), or (null, a, b) where so many meet that they are tied at once.
+
+    Keys travel in packed slices of many nodes by hash bucket: six bytes and a place in the slice each.
+    """
+    buckets = max(LEAST_BUCKETS, int(total / BUCKET_KEYS))
+    schema, out_schema = arrow_schema("bucket int, base long, keys binary, owners binary, ties binary"), arrow_schema("key long, a long, b long")
+
+    def pack(batches):
+        for batch in batches:
+            nid = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(nid) != 1) + 1).tolist(), len(nid)]
+            for begin, stop in zip(cuts, cuts[1:], strict=False):
+                for at in range(begin, stop, SLICE_NODES):
+                    part = batch.slice(at, min(SLICE_NODES, stop - at))
+                    blobs = part.column(1).to_pylist()
+                    key = unpack48(blobs)
+                    owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
+                    order = np.lexsort((owner, key))
+                    key, owner = key[order], owner[order]
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    common = np.repeat(n > SLICE_COMMON, n)
+                    head = np.repeat(first, n)
+                    extra = common & (np.arange(len(key)) != head)
+                    ties = np.stack([owner[extra], owner[head[extra]]], axis=1).astype("<i8") + nid[at]
+                    key, owner = key[~extra], owner[~extra]
+                    bucket = (key % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    key, owner, bucket = key[order], owner[order], bucket[order]
+                    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                    rows = [(b, int(nid[at]), pack48(key[i:j]), owner[i:j].astype("<u2").tobytes(), b"") for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+                    if len(ties):
+                        rows.append((int(nid[at] % buckets), int(nid[at]), b"", b"", ties.tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], type=f.type) for f in schema], schema=schema)
+
+    def meet(batches):
+        for _, rows in runs(batches, ["bucket"]):
+            key = unpack48(rows.column("keys").to_pylist())
+            owners = rows.column("owners").to_pylist()
+            nid = np.frombuffer(b"".join(owners), dtype="<u2").astype(np.int64) + np.repeat(rows.column("base").to_numpy(), [len(o) // 2 for o in owners])
+            ties = np.frombuffer(b"".join(rows.column("ties").to_pylist()), dtype="<i8").reshape(-1, 2)
+            order = np.lexsort((nid, key))
+            key, nid = key[order], nid[order]
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            size, hub = np.repeat(n, n), nid[np.repeat(first, n)]
+            few, many = (size > 1) & (size <= COMMON_KEY), (size > COMMON_KEY) & (nid != hub)
+            ties = np.concatenate([ties, np.stack([nid[many], hub[many]], axis=1)])
+            yield pa.RecordBatch.from_arrays([pa.array(key[few].astype(np.int64)), pa.array(nid[few]), pa.nulls(int(few.sum()), pa.int64())], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ties), pa.int64()), pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], schema=out_schema)
+
+    packed = nodes.select("node", "keys").mapInArrow(pack, "bucket int, base long, keys binary, owners binary, ties binary")
+    return sorted_groups(packed, ["bucket"], meet, "key long, a long, b long")
+
+
+def tie(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
     """Ties among the nodes of each key: rows (key, node, n, point) come sorted by key; yields (node, tied node)."""
     for _, rows in runs(batches, ["key"]):
         if rows.num_rows < 2:
@@ -162,34 +249,12 @@ def tie(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[bytes
                 yield nodes[i], nodes[r]
 
 
-def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of equal values of ``columns`` in sorted batches, also across batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        change = np.zeros(batch.num_rows - 1, dtype=bool)
-        for k in keys:
-            change |= k[1:] != k[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(k[a] for k in keys)
-            if held and key != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
-def verify(sets: list[np.ndarray], labels: list, mine: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def verify(sets: list[np.ndarray], labels: np.ndarray, mine: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join different labels: (row, row). Only rows with ``mine`` look for partners, among all rows."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([point(s) for s in sets])
-    _, root = np.unique(np.array(labels, dtype=object).astype("S32"), return_inverse=True)
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << (int(sizes.max()) // 8).bit_length()))
+    points = np.stack([point(s, groups) for s in sets])
+    _, root = np.unique(labels, return_inverse=True)
     links = []
     tree = RTree(points, sizes) if len(sets) > 2 * LEAF else None
     for i in np.flatnonzero(mine):
@@ -208,38 +273,42 @@ def verify(sets: list[np.ndarray], labels: list, mine: np.ndarray, percent: int)
 
 
 def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """doc_id, n, node (128-bit fingerprint of the set), point and keys of every document; node is null without a shingle."""
+    """doc_id, n, print (128-bit fingerprint of the set), point and packed keys of every document; no print without a
+    shingle."""
 
     def make():
         words = WordHashes()
         last = common.value
 
         def run(doc_id, text):
-            out = {"doc_id": doc_id, "n": [], "node": [], "point": [], "keys": []}
+            out = {"doc_id": doc_id, "n": [], "print": [], "point": [], "keys": []}
             for t in text:
                 s = shingle_set(t, width, words)
                 out["n"].append(len(s))
                 if len(s) == 0:
-                    for k in ("node", "point", "keys"):
+                    for k in ("print", "point", "keys"):
                         out[k].append(None)
                     continue
                 counts = point(s)
-                out["node"].append(xxhash.xxh3_128_digest(s.tobytes()))
+                out["print"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 out["point"].append(counts.astype("<u2").tobytes() if counts.max() < 2**16 else b"")
                 want = prefix_size(len(s), percent)
-                if len(last):
+                ranges = range_keys(s, percent) if len(s) >= LARGE else s[:0]
+                if len(s) * percent > LARGE * 100:  # no similar set is small
+                    keys = s[:0]
+                elif len(last):
                     at = np.searchsorted(last, s)
                     is_common = last[np.minimum(at, len(last) - 1)] == s
                     keys = s[~is_common][:want]
                     keys = np.concatenate([keys, s[is_common][: want - len(keys)]])
                 else:
                     keys = s[:want]
-                out["keys"].append(keys.view(np.int64).tolist())
+                out["keys"].append(pack48(np.concatenate([keys, ranges]) >> np.uint64(16)))
             return out
 
         return run
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, n long, node binary, point binary, keys array<long>", make)
+    return map_columns(docs, ["doc_id", "text"], "doc_id long, n long, print binary, point binary, keys binary", make)
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -267,27 +336,22 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
-def sorted_groups(df: DataFrame, columns: list[str], fn, ddl: str) -> DataFrame:
-    """``fn`` over batches sorted by ``columns``, all rows of a group in one task; groups are of bounded size."""
-    return df.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(fn, ddl)
-
-
 def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes of different labels in blocks (comp, block, part, node, label, mine, text)."""
 
     def run(batches):
-        words, schema = WordHashes(), arrow_schema_of
+        words = WordHashes()
         for _, rows in runs(batches, ["comp", "block", "part"]):
             if rows.num_rows < 2:
                 continue
             nodes = rows.column("node").to_pylist()
             sets = [shingle_set(t.as_py(), width, words) for t in rows.column("text")]
-            links = verify(sets, [x.hex() for x in rows.column("label").to_pylist()], rows.column("mine").to_numpy(zero_copy_only=False), percent)
+            links = verify(sets, rows.column("label").to_numpy(), rows.column("mine").to_numpy(zero_copy_only=False), percent)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.binary()), pa.array([nodes[j] for _, j in links], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], schema=schema)
 
-    arrow_schema_of = arrow_schema("a binary, b binary")
-    return sorted_groups(blocks, ["comp", "block", "part"], run, "a binary, b binary")
+    schema = arrow_schema("a long, b long")
+    return sorted_groups(blocks, ["comp", "block", "part"], run, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -300,36 +364,38 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    base, _ = stash(shingled(docs, width, percent, common))
-    every = base.filter("node is not null")
-    nodes, _ = stash(every.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys")))
+    whole, whole_path = stash(shingled(docs, width, percent, common))
+    base, _ = stash(whole.select("doc_id", "n", "print"))
+    one_each = whole.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    keyed, keyed_path = stash(one_each.withColumn("node", F.monotonically_increasing_id()))
+    nodes, _ = stash(keyed.drop("keys"))
+    unstash(spark, whole_path)
 
     # Ties: nodes that share a key and survive the bound.
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared, _ = stash(keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("hub")).filter("held > 1"))
-    hot = keyed.join(shared.filter(F.col("held") > COMMON_KEY), "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    few = keyed.join(shared.filter(F.col("held") <= COMMON_KEY).select("key"), "key").join(nodes.select("node", "n", "point"), "node").select("key", "node", "n", "point")
-    schema = arrow_schema("a binary, b binary")
+    total = keyed.agg(F.coalesce(F.sum(F.octet_length("keys") / 6), F.lit(0))).first()[0]
+    shared, _ = stash(shared_keys(keyed, total))
+    unstash(spark, keyed_path)
+    few = shared.filter("key is not null").select("key", F.col("a").alias("node")).join(nodes.select("node", "n", "point"), "node").select("key", "node", "n", "point")
+    schema = arrow_schema("a long, b long")
 
     def tied(batches):
         seen = set()
         for pair in tie(batches, percent):
             seen.add(pair)
             if len(seen) >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.binary()) for i in (0, 1)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], schema=schema)
                 seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.binary()) for i in (0, 1)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], schema=schema)
 
-    ties = hot.union(sorted_groups(few, ["key"], tied, "a binary, b binary"))
+    ties = shared.filter("key is null").select("a", "b").union(sorted_groups(few, ["key"], tied, "a long, b long"))
     tied_nodes = connected_components(ties).select("node", F.col("label").alias("comp"))
 
     # Blocks: one text for each node of a component of several.
-    members = nodes.select("node", "least", "n").join(tied_nodes, "node")
+    members = nodes.select("node", "print", "least", "n").join(tied_nodes, "node")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
-    rows = base.select("doc_id", "node").join(placed, "node").filter(F.col("doc_id") == F.col("least"))
-    texts = docs.select("doc_id", "text").join(rows.select("doc_id", "node", "comp", "blocks").distinct(), "doc_id")
+    texts = docs.select("doc_id", "text").join(placed.select(F.col("least").alias("doc_id"), "node", "print", "comp", "blocks"), "doc_id")
     texts, _ = stash(one_text_each(texts, width))
 
     def deal(df: DataFrame, salt: int) -> DataFrame:
@@ -345,23 +411,37 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         links = links.union(verified_links(apart(labelled(several, links)).select(*columns), width, percent))
     labels = connected_components(links)
 
-    named = nodes.select("node", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("node", "print", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.join(heads, "label").select("node", "component_id", "copies")
-    return base.select("doc_id", "n", "node").join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    classes = named.join(heads, "label").select("print", "component_id", "copies")
+    return base.join(classes, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less those that links tie to a row with a smaller id.
+
+    Repeated rows stay once; rows with one id and different texts stay or go together. Rows without a shingle or an
+    id stay.
+    """
+    texts = docs.withColumn("__tid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    classes = similar_classes(docs, width, percent)
+    heads = classes.filter("component_id = doc_id").select("doc_id").distinct()
+    kept = texts.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "__tid"])
+    return kept.unionByName(texts.filter("doc_id is null")).drop("__tid").select(*docs.columns)
 
 
 def one_text_each(texts: DataFrame, width: int) -> DataFrame:
     """One row for each node, with a text that really has its set: ids may repeat with different texts."""
-    schema = arrow_schema("node binary, comp binary, blocks int, text string")
+    schema = arrow_schema("node long, comp long, blocks int, text string")
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            keep = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), width, words).tobytes()) == n.as_py() for t, n in zip(batch.column(3), batch.column(0), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, schema=schema)
+            keep = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), width, words).tobytes()) == p.as_py() for t, p in zip(batch.column(4), batch.column(3), strict=True)]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 2, 4)], schema=schema)
 
-    return texts.select("node", "comp", "blocks", "text").mapInArrow(run, "node binary, comp binary, blocks int, text string").dropDuplicates(["node"])
+    return texts.select("node", "comp", "blocks", "print", "text").mapInArrow(run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
 
 
 def labelled(several: DataFrame, links: DataFrame) -> DataFrame:

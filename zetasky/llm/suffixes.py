@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import runs, sorted_groups
-from .util import arrow_schema, stash
+from .util import arrow_schema, pack48, runs, sorted_groups, stash, unpack48
 
 #: Bytes of a gram. Shorter grams are common by chance, longer ones leave fewer to choose an anchor from.
 GRAM = 18
@@ -131,18 +130,13 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     name, n, bucket = name[order], n[order], bucket[order]
                     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                     rows = [(b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                    six = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([six(name[s][n[s] == 1]) for _, s in rows], pa.binary()), pa.array([six(name[s][n[s] > 1]) for _, s in rows], pa.binary()), pa.array([n[s][n[s] > 1].astype("<u4").tobytes() for _, s in rows], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([pack48(name[s][n[s] == 1]) for _, s in rows], pa.binary()), pa.array([pack48(name[s][n[s] > 1]) for _, s in rows], pa.binary()), pa.array([n[s][n[s] > 1].astype("<u4").tobytes() for _, s in rows], pa.binary())], schema=schema)
 
     out_schema = arrow_schema("name long, n long")
 
-    def unpack(blobs: list[bytes]) -> np.ndarray:
-        six = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
-        return np.concatenate([six, np.zeros((len(six), 2), dtype=np.uint8)], axis=1).reshape(-1).view("<u8")
-
     def meet(batches):
         for _, rows in runs(batches, ["bucket"]):
-            once, often = (unpack(rows.column(c).to_pylist()) for c in ("once", "often"))
+            once, often = (unpack48(rows.column(c).to_pylist()) for c in ("once", "often"))
             n = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(rows.column("n").to_pylist()), dtype="<u4").astype(np.int64)])
             name, inverse = np.unique(np.concatenate([once, often]), return_inverse=True)
             total = np.bincount(inverse, weights=n, minlength=len(name)).astype(np.int64)

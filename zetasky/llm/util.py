@@ -5,17 +5,35 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+PACKAGE = Path(__file__).resolve().parents[1]
+
 #: Rows that a Python worker handles at a time: bounds its memory whatever Spark's batch size is.
 SLICE_ROWS = 512
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once: executors need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_zetasky_shipped", False):
+        context._zetasky_shipped = True
+        path = os.path.join(tempfile.mkdtemp(), "zetasky_package.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                out.write(file, file.relative_to(PACKAGE.parent))
+        context.addPyFile(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -31,6 +49,7 @@ def map_columns(df: DataFrame, columns: list[str], ddl: str, make: Callable[[],
     Only the named columns are read, so other columns of any name never clash with the result.
     """
 
+    ship(df.sparkSession)
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,11 +63,68 @@ def map_columns(df: DataFrame, columns: list[str], ddl: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+def annotate(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
+    """``df`` with further columns that ``make()(list, ...)`` gives for slices of the named ones; the rest pass through."""
+    ship(df.sparkSession)
+    extra = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = fn(*(part.column(places[c]).to_pylist() for c in columns))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[f.name], type=f.type) for f in extra)], names=[*part.schema.names, *extra.names])
+
+    places = {c: df.columns.index(c) for c in columns}
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+    return df.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "zetasky-shared")
 
 
+def pack48(numbers: np.ndarray) -> bytes:
+    """Six low bytes of each 64-bit number."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack48(blobs: list[bytes]) -> np.ndarray:
+    six = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+    return np.concatenate([six, np.zeros((len(six), 2), dtype=np.uint8)], axis=1).reshape(-1).view("<u8")
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal values of ``columns`` in sorted batches, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(k[a] for k in keys)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def sorted_groups(df: DataFrame, columns: list[str], fn, ddl: str) -> DataFrame:
+    """``fn`` over batches sorted by ``columns``, all rows of a group in one task; groups are of bounded size."""
+    ship(df.sparkSession)
+    return df.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(fn, ddl)
+
+
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written once as Parquet to the shared folder and read back, with its path for ``unstash``.
 
