@@ -94,7 +94,9 @@ def test_rtree_loses_no_pair():
     assert pruned > 30_000
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5100)] + [(9, 9), (7000, 7000), (None, 3)]
     root = {}

@@ -1,16 +1,46 @@
-"""Connected components by alternating stars, all in DataFrame joins and map-side combined minima."""
+"""Connected components: by alternating stars in DataFrame joins, or in one task where the edges are few."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import stash, unstash
+from .util import arrow_schema, ship, stash, unstash
 
 #: Far beyond what doubling distances need; a bound against an endless loop, not a limit on results.
 MOST_ROUNDS = 64
 
 
+#: Distinct edges between numbered nodes up to which one task does the work in memory, some 100 MB at most.
+LOCAL_EDGES = 1_000_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """node and label of few edges (a, b), without a shuffle."""
+    ship(edges.sparkSession)
+    schema = arrow_schema("node long, label long")
+
+    def run(batches):
+        ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if not ends:
+            return
+        nodes, places = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        root = list(range(len(nodes)))  # a root is the least of its class, so its place is too
+        for a, b in places.reshape(2, -1).T.tolist():
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            root[max(a, b)] = min(a, b)
+        for i, r in enumerate(root):
+            root[i] = root[r]  # smaller places are settled first
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[np.array(root)])], schema=schema)
+
+    return edges.coalesce(1).mapInArrow(run, "node long, label long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """The least node that each node reaches, for the nodes of ``edges`` (a, b of one orderable type).
 
@@ -23,6 +53,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     proper = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     (now, path), (nodes, _) = stash(proper), stash(nodes)
+    if now.schema["a"].dataType.typeName() == "long" and now.count() <= LOCAL_EDGES:
+        found = _in_one_task(now)
+        return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     before = None
     for _ in range(MOST_ROUNDS):
         # Large star: every larger neighbour of a node points to the least of the node and its neighbours.

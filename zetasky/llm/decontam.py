@@ -14,7 +14,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_columns
+from .util import annotate
 
 NOT_WORD = re.compile(r"[\W_]+")
 #: Characters of normalised items that one pass over the documents takes; more items mean more passes.
@@ -102,35 +102,42 @@ class ItemMatcher:
         return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
-    """Which documents hold which benchmark items, each within ``error_rate`` edits a character.
-
-    ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Texts are compared
-    as lower-case words. Returns doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and
-    least_distance (null without a match), a row for each row of ``docs``. Null or wordless texts match nothing, as
-    do null or wordless items; repeated items count by id; an empty benchmark leaves every document clean. Items go
-    to the tasks in passes of at most PASS_CHARS characters, so what is broadcast is bounded; documents never move.
-    """
+def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float) -> DataFrame:
+    """``docs`` with a column __hits: the items that each text holds, as id:distance, comma-joined."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     passes = max(1, math.ceil(total / PASS_CHARS))
-    result = docs.select("doc_id", "text", F.lit("").alias("hits"))
+    result = docs.withColumn("__hits", F.lit(""))
     for k in range(passes):
         part = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
         shared = spark.sparkContext.broadcast(part)
 
         def make(shared=shared):
             matcher = ItemMatcher(shared.value, error_rate)
+            return lambda text: {"__more": [",".join(f"{i}:{d}" for i, d in matcher.find(t).items()) for t in text]}
+
+        more = annotate(result, ["text"], "__more string", make)
+        joined = F.concat_ws(",", F.nullif("__hits", F.lit("")), F.nullif("__more", F.lit("")))
+        result = more.withColumn("__hits", joined).drop("__more")
+    return result
 
-            def run(doc_id, text, hits):
-                found = [matcher.find(t) for t in text]
-                return {"doc_id": doc_id, "text": text, "hits": [",".join(filter(None, [h, *(f"{i}:{d}" for i, d in f.items())])) for h, f in zip(hits, found, strict=True)]}
 
-            return run
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
+    """Which documents hold which benchmark items, each within ``error_rate`` edits a character.
 
-        last = k == passes - 1
-        result = map_columns(result, ["doc_id", "text", "hits"], "doc_id long, " + "text string, " * (not last) + "hits string", make)
-    pairs = F.expr("transform(filter(split(hits, ','), h -> h <> ''), h -> struct(cast(split(h, ':')[0] as long) as id, cast(split(h, ':')[1] as int) as distance))")
+    ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Texts are compared
+    as lower-case words. Returns doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and
+    least_distance (null without a match), a row for each row of ``docs``. Null or wordless texts match nothing, as
+    do null or wordless items; repeated items count by id; an empty benchmark leaves every document clean. Items go
+    to the tasks in passes of at most PASS_CHARS characters, so what is broadcast is bounded; documents never move.
+    """
+    pairs = F.expr("transform(filter(split(__hits, ','), h -> h <> ''), h -> struct(cast(split(h, ':')[0] as long) as id, cast(split(h, ':')[1] as int) as distance))")
     ids = F.array_sort(F.array_distinct(F.col("p.id")))
-    return result.select("doc_id", pairs.alias("p")).select("doc_id", (F.size("p") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.array_min("p.distance").alias("least_distance"))
+    found = with_hits(docs.select("doc_id", "text"), benchmark, error_rate).select("doc_id", pairs.alias("p"))
+    return found.select("doc_id", (F.size("p") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.array_min("p.distance").alias("least_distance"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
+    return with_hits(docs, benchmark, error_rate).filter(F.col("__hits") == "").drop("__hits")

@@ -405,9 +405,8 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     first, _ = stash(verified_links(deal(texts.withColumn("label", F.col("node")), 1).select(*columns), width, percent))
     links, several = first, texts.filter("blocks > 1")
     if several.limit(1).count():
-        for salt in (2, 3):
-            again, _ = stash(verified_links(deal(labelled(several, links), salt).select(*columns), width, percent))
-            links = links.union(again)
+        again, _ = stash(verified_links(deal(several.withColumn("label", F.col("node")), 2).select(*columns), width, percent))
+        links = links.union(again)
         links = links.union(verified_links(apart(labelled(several, links)).select(*columns), width, percent))
     labels = connected_components(links)
 

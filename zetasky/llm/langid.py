@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_columns
+from .util import annotate, map_columns
 
 #: Bytes of a window; windows that the network takes at a time.
 WINDOW, BATCH = 256, 16
@@ -163,15 +163,37 @@ def identify(docs: DataFrame, model: ByteCNN | None = None) -> DataFrame:
     is everything if nothing could be learned; rows with equal or null ids are kept each; an empty table gives no
     rows. The model is some 30 kB whatever the input; prediction is one narrow map over the scan.
     """
-    model = model or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    found = map_columns(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", lambda: predictor(shared))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def predictor(shared):
+    def run(doc_id, text):
+        found = shared.value.predict(text) if shared.value else [(UNKNOWN, 0.0)] * len(text)
+        return {"doc_id": doc_id, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+
+    return run
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text gets a language with ``least_score`` at least.
+
+    Texts without a letter, null or empty ones go, and those that the network can place nowhere. Without a labelled
+    text to learn from, every text with a letter stays.
+    """
+    model = train(docs)
+    if model is None:
+        return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        def run(doc_id, text):
-            found = shared.value.predict(text) if shared.value else [(UNKNOWN, 0.0)] * len(text)
-            return {"doc_id": doc_id, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        predict = predictor(shared)
+
+        def run(text):
+            found = predict(None, text)
+            return {"__fit": [lang != UNKNOWN and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]}
 
         return run
 
-    found = map_columns(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", make)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return annotate(docs, ["text"], "__fit boolean", make).filter("__fit").drop("__fit")
