@@ -193,6 +193,23 @@ def test_top_k_equals_brute_force(spark, dims):
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top_k(rows)
 
 
+def test_blocks_stop_early_and_lose_nothing():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 32))
+    x = np.floor(1024 * (centres[rng.integers(0, 6, 3000)] + rng.normal(size=(3000, 32)) * 0.1))
+    x[10:40] = x[7]
+    block, read = topk.Block(np.arange(3000), x), 0
+    for q in range(0, 300, 10):
+        left = block.survivors(x[q], np.flatnonzero(block.ids != q), 10)
+        read += len(left)
+        scores = x @ x[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        assert block.top(x[q], q, 10) == [(-s, i) for s, i in want] and {i for _, i in want} <= set(left.tolist())
+    assert read < 30 * 1500
+    huge = topk.Block(np.arange(3), np.array([[2.0**60, 1.0], [2.0**60, 3.0], [1.0, 1.0]]))
+    assert huge.top(np.array([1.0, 2.0]), 2, 2) == [(2**60 + 6, 1), (2**60 + 2, 0)]
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 1024 * 2048)]

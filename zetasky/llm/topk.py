@@ -1,9 +1,11 @@
 """Exact top-k inner-product search without random access.
 
-Candidates are dealt into blocks; in a block each component's values form a sorted list. For a query the lists are
-read from their best end in equal steps; what has been read gives every candidate a lower and an upper bound of its
-score. Reading stops when no candidate outside the k best lower bounds can still reach them, and only the
-candidates left get a final score. The blocks' winners meet in one small ranking for each query.
+Candidates are dealt into blocks. A block's vectors are turned into their principal axes, which leaves inner products
+as they are but puts most of every score into few components, and each component's values form a sorted list. For a
+query the lists that matter most are read first, each from its best end; what has been read gives every candidate a
+lower and an upper bound of its score, unread values lying between the list's frontier and its far end. Reading stops
+when few candidates are left outside which none can qualify, and those get their final scores from the integers. The
+blocks' winners meet in one small ranking for each query.
 """
 
 from __future__ import annotations
@@ -17,43 +19,71 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of queries at most on average, and blocks of candidates at least.
 CANDIDATE_ROWS, QUERY_ROWS, LEAST_BLOCKS = 8192, 4096, 24
-#: Shares of the sorted lists that are read before the bounds are looked at again.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
-
-
-def nra_top_k(query: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """(score, id) of the k best rows of ``x`` for ``query``, ties to smaller ids; ``order`` sorts each column of ``x``."""
-    n, dims = x.shape
-    take = np.where(ids != own)[0]
-    if len(take) <= k or dims == 0 or not query.any():
-        left = take
-    else:
-        use = np.flatnonzero(query)
-        lists = np.where(query[use][None, :] > 0, order[::-1, use], order[:, use])  # best end first
-        gains = x[lists, use] * query[use]
-        floor = gains[-1]
-        read_sum, seen = np.zeros(n), np.zeros((n, len(use)))
-        at, column = 0, np.arange(len(use))
-        for depth in DEPTHS:
-            to = max(at + 1, math.ceil(depth * n))
-            rows = lists[at:to]
-            read_sum += np.bincount(rows.ravel(), weights=gains[at:to].ravel(), minlength=n)
-            seen[rows, column] = 1.0
-            at, frontier = to, gains[to - 1]
-            lower = read_sum + floor.sum() - seen @ floor
-            upper = read_sum + frontier.sum() - seen @ frontier
-            bar = np.partition(lower[take], len(take) - k)[len(take) - k]
-            left = take[upper[take] >= bar]
-            if len(left) <= 4 * k or to >= n:
-                break
-    scores = x[left].astype(object) @ query.astype(object) if _large(x, query) else (x[left] @ query)
-    best = sorted(zip((int(-s) for s in scores), ids[left].tolist(), strict=True))[:k]
-    return [(-s, i) for s, i in best]
-
-
-def _large(x: np.ndarray, query: np.ndarray) -> bool:
-    """Whether sums could leave the range in which doubles are exact."""
-    return bool(x.size) and float(np.abs(x).max()) * float(np.abs(query).max(initial=0)) * x.shape[1] >= 2**52
+#: Lists that are read together, shares of them that are read before the bounds are looked at again, and the share
+#: of a block's candidates below which their final scores are cheaper than more reading.
+LISTS, DEPTHS, FEW = 12, (0.6, 1.0), 0.2
+
+
+class Block:
+    """Candidates of one length with the sorted lists of their principal components."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.largest = float(np.abs(x).max(initial=0.0))
+        self.plain = x.size == 0 or self.largest > 2**40
+        if not self.plain:
+            _, self.axes = np.linalg.eigh(x.T @ x)
+            self.turned = x @ self.axes
+            columns = np.ascontiguousarray(self.turned.T)
+            self.order = np.argsort(columns, axis=1, kind="stable")  # a row for each list
+            self.sorted = np.take_along_axis(columns, self.order, axis=1)
+            self.slack = 1e-10 * float(np.sqrt((x * x).sum(axis=1).max()))
+
+    def survivors(self, query: np.ndarray, take: np.ndarray, k: int) -> np.ndarray:
+        """Rows of ``take`` that can be among the k best."""
+        if self.plain or len(take) <= k:
+            return take
+        n, weight = len(self.x), query @ self.axes
+        ends = np.sort(np.stack([self.sorted[:, 0] * weight, self.sorted[:, -1] * weight]), axis=0)  # worst, best
+        slack = self.slack * float(np.sqrt(query @ query)) + 1e-300
+        by_spread = np.argsort(ends[0] - ends[1])
+        done, left = np.zeros(n), take
+        for g in range(0, len(by_spread), LISTS):
+            lists, rest = by_spread[g : g + LISTS], by_spread[g + LISTS :]
+            low, high = ends[0][rest].sum(), ends[1][rest].sum()
+            part, unread_low, unread_high, at = np.zeros(n), np.full(n, ends[0][lists].sum()), np.zeros(n), 0
+            seen = [np.zeros(0, dtype=np.int64)] * len(lists)
+            for depth in DEPTHS:
+                to = max(at + 1, int(depth * n))
+                chunk = [slice(n - to, n - at) if weight[d] > 0 else slice(at, to) for d in lists]
+                rows = [self.order[d, c] for d, c in zip(lists, chunk, strict=True)]
+                gains = [self.sorted[d, c] * weight[d] for d, c in zip(lists, chunk, strict=True)]
+                part += np.bincount(np.concatenate(rows), weights=np.concatenate(gains), minlength=n)
+                at = to
+                if to < n:
+                    frontier = np.array([g.min() for g in gains])
+                    seen = rows if not len(seen[0]) else [np.concatenate([a, b]) for a, b in zip(seen, rows, strict=True)]
+                    flat, sizes = np.concatenate(seen), [len(a) for a in seen]
+                    unread_low = ends[0][lists].sum() - np.bincount(flat, weights=np.repeat(ends[0][lists], sizes), minlength=n)
+                    unread_high = frontier.sum() - np.bincount(flat, weights=np.repeat(frontier, sizes), minlength=n)
+                else:
+                    unread_low = unread_high = np.zeros(n)
+                lower, upper = done + part + unread_low + low, done + part + unread_high + high
+                bar = np.partition(lower[take], len(take) - k)[len(take) - k]
+                left = take[upper[take] >= bar - slack]
+                if len(left) <= max(4 * k, FEW * n):
+                    return left
+            done = done + part
+        return left
+
+    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best candidates but the query's own row, ties to smaller ids."""
+        left = self.survivors(query, np.flatnonzero(self.ids != own), k)
+        exact = self.largest * float(np.abs(query).max(initial=0.0)) * self.x.shape[1] < 2**52
+        whole = [[int(v) for v in row] for row in self.x[left]] if not exact else None
+        scores = (self.x[left] @ query).astype(np.int64) if exact else np.array([sum(a * int(b) for a, b in zip(row, query, strict=True)) for row in whole], dtype=object)
+        best = sorted(zip((-s for s in scores.tolist()), self.ids[left].tolist(), strict=True))[:k]
+        return [(-s, i) for s, i in best]
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
@@ -80,10 +110,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
         for dims in set(lengths):
             part = block[lengths == dims]
             ids, x = part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy()).astype(np.float64).reshape(len(part), dims)
-            order = np.argsort(x, axis=0, kind="stable")
+            found = Block(ids, x)
             for own, vector in zip(asked["vec_id"], asked["x"], strict=True):
                 if len(vector) == dims:
-                    out += [(own, i, s) for s, i in nra_top_k(np.asarray(vector, dtype=np.float64), ids, x, order, own, k)]
+                    out += [(own, i, s) for s, i in found.top(np.asarray(vector, dtype=np.float64), own, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
