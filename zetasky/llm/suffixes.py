@@ -9,8 +9,8 @@ one sampled suffix, its anchor, at one distance.
 1. Anchors' names are dealt in packed buckets; a name that one document alone holds is dropped there.
 2. The remaining anchors meet by name with the bytes around them. The strings they own are sorted, and adjacent
    ones compared: a string is repeated if an equal one stands in a document with a smaller id.
-3. Very common anchors do not meet in one task: equal surroundings are first collapsed by map-side minima, and the
-   strings of those left are matched by a join that can be split.
+3. Very common anchors do not meet in one task as they are: equal surroundings are first collapsed by map-side
+   minima. If many different ones are left, their strings are matched by a join that can be split.
 4. A document's repeated strings are united and cut out.
 """
 
@@ -36,7 +36,7 @@ SHARED_BROADCAST = 4_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
 COPIES_BROADCAST = 2_000_000
 #: Anchors of one name that meet in a task.
-COMMON_NAME = 400
+COMMON_NAME = 1000
 #: Rows that the comparison handles at once.
 COMPARED = 30_000
 
@@ -146,6 +146,7 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return sorted_groups(packed, ["bucket"], meet, "name long, n long")
 
 
+ANCHOR_COLUMNS = ("name", "doc_id", "tid", "first", "context")
 ANCHOR_ROW = "name long, doc_id long, tid long, first int, context binary, common boolean"
 
 
@@ -235,14 +236,17 @@ def compare_directly(rows: DataFrame, length: int) -> DataFrame:
 def compare_common(rows: DataFrame, length: int) -> DataFrame:
     """Repeated ranges among anchors of very common names, without gathering a name's rows anywhere."""
     least = rows.groupBy("name", "context").agg(F.min("doc_id").alias("least"))
-    placed = rows.join(least, ["name", "context"])
-    whole = placed.filter("doc_id > least").select("doc_id", "tid", "first", (F.col("first") + F.octet_length("context")).alias("end"))
+    kinds = least.groupBy("name").agg(F.count("*").alias("kinds"))
+    placed, _ = stash(rows.join(least, ["name", "context"]).withColumn("own", F.col("doc_id") == F.col("least")))
+    whole = placed.filter("not own").select("doc_id", "tid", "first", (F.col("first") + F.octet_length("context")).alias("end"))
+    own = placed.filter("own").join(kinds.filter("kinds > 1"), "name").select(*ANCHOR_COLUMNS, "kinds")
+    met = compare_directly(own.filter(F.col("kinds") <= COMMON_NAME).drop("kinds"), length)
     start = F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("start")
-    kinds = least.select("context", "least", start).select(F.expr(f"substring(context, start + 1, {length})").alias("string"), "least")
-    earliest = kinds.groupBy("string").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).filter("earliest < latest").select("string", "earliest")
-    own = placed.filter("doc_id = least").select("doc_id", "tid", "first", "context", start).select("doc_id", "tid", (F.col("first") + F.col("start")).alias("first"), F.expr(f"substring(context, start + 1, {length})").alias("string"))
-    part = own.join(earliest, "string").filter("doc_id > earliest").select("doc_id", "tid", "first", (F.col("first") + length).cast("int").alias("end"))
-    return whole.unionByName(part)
+    strings = own.filter(F.col("kinds") > COMMON_NAME).select("doc_id", "tid", "first", "context", start).select("doc_id", "tid", (F.col("first") + F.col("start")).alias("first"), F.expr(f"substring(context, start + 1, {length})").alias("string"))
+    strings, _ = stash(strings)
+    earliest = strings.groupBy("string").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").select("string", "earliest")
+    part = strings.join(earliest, "string").filter("doc_id > earliest").select("doc_id", "tid", "first", (F.col("first") + length).cast("int").alias("end"))
+    return whole.unionByName(met).unionByName(part)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
