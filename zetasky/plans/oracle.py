@@ -75,7 +75,8 @@ CTES = {
     "filters": f"select patch_id, pix, cp*cp-sp*sp as q_cos, 2*sp*cp as q_sin, t*t/(4*pi()*pow({TQ},4))*exp(-t*t/(2*{TQ}*{TQ})) as q_val from angles",
     "areas": f"select patch_id, count(*) as n_pix, count(*)*4*pi()/{NPIX} as area from filters group by 1",
     "masses": "select map_id, zbin, f.patch_id, any_value(area)*sum(w*(-g1*q_cos-g2*q_sin)*q_val)/sum(w) as m_ap from filters f join shear using (pix) join areas a on a.patch_id=f.patch_id group by 1,2,3",
-    "ends": "select x.patch_id, x.bin, pix1, pix2, a.map_id, a.zbin as za, b.zbin as zb, a.w*b.w as ww, a.g1*e1_re-a.g2*e1_im as r1, a.g1*e1_im+a.g2*e1_re as i1, b.g1*e2_re-b.g2*e2_im as r2, b.g1*e2_im+b.g2*e2_re as i2 from pairs x join shear a on a.pix=pix1 join shear b on b.pix=pix2 and b.map_id=a.map_id",
+    "half": "select x.patch_id, x.bin, pix1, pix2, e2_re, e2_im, a.map_id, a.zbin as za, a.w as wa, a.g1*e1_re-a.g2*e1_im as r1, a.g1*e1_im+a.g2*e1_re as i1 from pairs x join shear a on a.pix=pix1",
+    "ends": "select h.patch_id, h.bin, pix1, pix2, h.map_id, za, b.zbin as zb, wa*b.w as ww, r1, i1, b.g1*e2_re-b.g2*e2_im as r2, b.g1*e2_im+b.g2*e2_re as i2 from half h join shear b on b.pix=pix2 and b.map_id=h.map_id",
     "zpairs": f"select cast(a.range as int) as z1, cast(b.range as int) as z2 from range({N_ZBINS}) a join range({N_ZBINS}) b on a.range<=b.range",
     "forward": "select map_id, za as z1, zb as z2, patch_id, bin, sum(ww) as w, sum(ww*(r1*r2+i1*i2)) as p, sum(ww*(r1*r2-i1*i2)) as m, sum(r1*r2+i1*i2) as up, sum(r1*r2-i1*i2) as um from ends where za<=zb group by all",
     "swapped": "select map_id, zb as z1, za as z2, patch_id, bin, sum(ww) as w, sum(ww*(r1*r2+i1*i2)) as p, sum(ww*(r1*r2-i1*i2)) as m from ends where za>zb group by all",
@@ -96,11 +97,15 @@ CTES = {
 #: What each expression reads; "" marks the ones over base tables or ranges alone.
 NEEDS = {
     "members": "pixels patches", "candidates": "members", "binned": "candidates", "pairs": "binned", "counts": "patches bins pairs", "snapped": "patches", "disc": "pixels snapped",
-    "angles": "disc", "filters": "angles", "areas": "filters", "masses": "filters shear areas", "ends": "pairs shear", "forward": "ends", "swapped": "ends", "grid": "zpairs counts",
+    "angles": "disc", "filters": "angles", "areas": "filters", "masses": "filters shear areas", "half": "pairs shear", "ends": "half shear", "forward": "ends", "swapped": "ends", "grid": "zpairs counts",
     "xi": "grid forward swapped", "zetas": "xi masses", "cells": "samples", "axis": "taps", "smooth": "axis cells", "stats": "samples", "ready": "stats", "hist": "samples ready", "hist1d": "ready hist",
 }
 
 
+#: Computed once, in this order: a planner might else join the fields of two pixels by map before it looks at pairs.
+ONCE = {"shear", "pairs", "half"}
+
+
 def sql(query: str, *needs: str) -> str:
     """``query`` with all the expressions that it needs, directly or not."""
     wanted: list[str] = []
@@ -113,4 +118,4 @@ def sql(query: str, *needs: str) -> str:
 
     for name in needs:
         add(name)
-    return ("with " + ", ".join(f"{n} as ({CTES[n]})" for n in wanted) + " " if wanted else "") + query
+    return ("with " + ", ".join(f"{n} as {'materialized ' * (n in ONCE)}({CTES[n]})" for n in wanted) + " " if wanted else "") + query
