@@ -139,6 +139,11 @@ def pair_phase(spark, sf_dir):
     return engine(spark).pairs.filter("patch_id < 4").select("patch_id", "bin", "pix1", "pix2", *(r(c, (1.0, 7), c) for c in PHASES))
 
 
+@query(sql("select patch_id, bin, pix1, pix2, " + ", ".join(rs(c, (1.0, 7), c) for c in PHASES) + " from pairs", "pairs"))
+def full_pair_phase(spark, sf_dir):
+    return engine(spark).pairs.select("patch_id", "bin", "pix1", "pix2", *(r(c, (1.0, 7), c) for c in PHASES))
+
+
 @query(sql(f"select patch_id, pix, {rs('q_cos', (1.0, 7), 'q_cos')}, {rs('q_sin', (1.0, 7), 'q_sin')}, {rs('q_val', (1.0, 7), 'q_val')} from filters", "filters"))
 def filter_geometry(spark, sf_dir):
     return engine(spark).filters.select("patch_id", "pix", *(r(c, (1.0, 7), c) for c in ("q_cos", "q_sin", "q_val")))
@@ -177,6 +182,12 @@ def rotate_shear(spark, sf_dir):
     return ends.select("patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
 
 
+@query(sql("select map_id, patch_id, bin, pix1, pix2, za, zb, " + ", ".join(rs(c, ANGLE, c) for c in ENDS) + " from ends", "ends"))
+def full_rotate_shear(spark, sf_dir):
+    ends = xi.pair_shear(engine(spark).pairs, fixture.shear(spark, sf_dir))
+    return ends.select("map_id", "patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
+
+
 # --- filters, joins and set operations
 
 
@@ -210,6 +221,12 @@ def assign_bin(spark, sf_dir):
     return _near(spark).filter("patch_id < 4").select("patch_id", "pix1", "pix2", PARAMS.bin_of(d).alias("bin"))
 
 
+@query(sql("select patch_id, pix1, pix2, bin from binned", "binned"))
+def full_assign_bin(spark, sf_dir):
+    d = geometry.separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")))
+    return _near(spark).select("patch_id", "pix1", "pix2", PARAMS.bin_of(d).alias("bin"))
+
+
 @query(sql("select patch_id, pix from members", "members"))
 def patch_pixels(spark, sf_dir):
     return discs.patch_pixels(healpix.pixels(spark, NSIDE), fixture.patches(spark), PARAMS).select("patch_id", "pix")
@@ -255,6 +272,20 @@ def pix_except(spark, sf_dir):
     return patch_pixels(spark, sf_dir).filter("patch_id = 3").select("pix").exceptAll(tables.kept(fixture.mask(spark)))
 
 
+def _kept_everywhere(spark):
+    return fixture.patches(spark).select("patch_id").join(tables.kept(fixture.mask(spark)))
+
+
+@query(sql("select patch_id, pix from members intersect select patch_id, pix from patches cross join mask where m<>0", "members", "mask"))
+def full_pix_intersect(spark, sf_dir):
+    return patch_pixels(spark, sf_dir).intersect(_kept_everywhere(spark))
+
+
+@query(sql("select patch_id, pix from members except select patch_id, pix from patches cross join mask where m<>0", "members", "mask"))
+def full_pix_except(spark, sf_dir):
+    return patch_pixels(spark, sf_dir).exceptAll(_kept_everywhere(spark))
+
+
 # --- aggregations
 
 
