@@ -40,6 +40,17 @@ def test_every_patch_passes(spark, name):
     assert set(check_twin(spark, name).patch_id) == set(range(fixture.N_PATCHES))
 
 
+@pytest.mark.parametrize("name", ["full_degrade_map", "full_tangential_shear", "full_rotate_shear", "full_pair_shear", "full_xi_unweighted", "full_xi_forward"])
+def test_every_map_and_redshift_passes(spark, name):
+    got = check_twin(spark, name)
+    z = next(c for c in ("zbin", "z1", "za") if c in got)
+    other = {"z1": "z2", "za": "zb"}.get(z, z)
+    n, every = fixture.N_ZBINS, range(fixture.N_ZBINS)
+    pairs = {"zbin": n, "z1": n * (n + 1) // 2, "za": n * n}[z]
+    assert set(got.map_id) == set(range(fixture.N_MAPS)) and set(got[z]) == set(got[other]) == set(every)
+    assert len(got[["map_id", z, other] if z != other else ["map_id", z]].drop_duplicates()) == fixture.N_MAPS * pairs
+
+
 def test_discs_and_sets_by_brute_force(spark):
     v, p = healpix.pixels(spark, queries.NSIDE).toPandas().sort_values("pix"), fixture.patches(spark).toPandas()
     points = np.stack([np.sin(p.theta_center) * np.cos(p.phi_center), np.sin(p.theta_center) * np.sin(p.phi_center), np.cos(p.theta_center)])

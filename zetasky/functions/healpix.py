@@ -82,7 +82,7 @@ def with_vector(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": F.cos("dec") * F.cos("ra"), "y": F.cos("dec") * F.sin("ra"), "z": F.sin("dec")})
 
 
-def degrade(values: DataFrame, nside: int, coarse: int, column: str) -> DataFrame:
-    """Mean of a map (pix, ``column``) over the coarse pixel that holds each fine pixel's centre."""
+def degrade(values: DataFrame, nside: int, coarse: int, column: str, *keys: str) -> DataFrame:
+    """Mean of a map (pix, ``column``) over the coarse pixel that holds each fine pixel's centre, for each of ``keys``."""
     phi, theta = pixel_to_sky(F.col("pix"), nside)
-    return values.select(sky_to_pixel(phi, theta, coarse).alias("pix"), column).groupBy("pix").agg(F.avg(column).alias(column))
+    return values.select(*keys, sky_to_pixel(phi, theta, coarse).alias("pix"), column).groupBy(*keys, "pix").agg(F.avg(column).alias(column))

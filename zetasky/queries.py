@@ -96,6 +96,11 @@ def degrade_map(spark, sf_dir):
     return healpix.degrade(one_map(spark, sf_dir, 0), NSIDE, 8, "g1").select("pix", r("g1", ANGLE, "g1"))
 
 
+@query(sql(f"select map_id, zbin, {pixel_at('ra', 'pi()/2-dec', 8)} as pix, {rs('avg(g1)', ANGLE, 'g1')} from shear join pixels using (pix) group by 1,2,3", "shear", "pixels"))
+def full_degrade_map(spark, sf_dir):
+    return healpix.degrade(fixture.shear(spark, sf_dir), NSIDE, 8, "g1", "map_id", "zbin").select("map_id", "zbin", "pix", r("g1", ANGLE, "g1"))
+
+
 # --- scalar functions
 
 
@@ -168,6 +173,12 @@ def tangential_shear(spark, sf_dir):
     return engine(spark).filters.join(one_map(spark, sf_dir, 0), "pix").select("patch_id", "pix", r(gt, ANGLE, "gt"))
 
 
+@query(sql(f"select map_id, zbin, patch_id, pix, {rs('-g1*q_cos-g2*q_sin', ANGLE, 'gt')} from filters join shear using (pix)", "filters", "shear"))
+def full_tangential_shear(spark, sf_dir):
+    gt = geometry.tangential(*(F.col(c) for c in ("g1", "g2", "q_cos", "q_sin")))
+    return engine(spark).filters.join(fixture.shear(spark, sf_dir), "pix").select("map_id", "zbin", "patch_id", "pix", r(gt, ANGLE, "gt"))
+
+
 @query(sql(f"select map_id, zbin, pix, {rs('g1', ANGLE, 'g1')}, {rs('-g2', ANGLE, 'g2')} from shear", "shear"))
 def flip_shear(spark, sf_dir):
     return tables.load_maps(fixture.shear(spark, sf_dir), False, True).select("map_id", "zbin", "pix", r("g1", ANGLE, "g1"), r("g2", ANGLE, "g2"))
@@ -248,6 +259,12 @@ def pair_shear(spark, sf_dir):
     return ends.groupBy("patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), r(F.sum("ww"), (1.0, 3), "ww"))
 
 
+@query(sql(f"select map_id, patch_id, bin, za, zb, count(*) as n, {rs('sum(ww)', (1.0, 3), 'ww')} from ends group by 1,2,3,4,5", "ends"))
+def full_pair_shear(spark, sf_dir):
+    ends = xi.pair_shear(engine(spark).pairs, fixture.shear(spark, sf_dir))
+    return ends.groupBy("map_id", "patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), r(F.sum("ww"), (1.0, 3), "ww"))
+
+
 def _zbins(spark):
     return spark.range(fixture.N_ZBINS).select(F.col("id").cast("int").alias("zbin"))
 
@@ -360,6 +377,21 @@ def full_tomo_xi(spark, sf_dir):
     return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("sumw", (1.0, 3), "sumw"), r("xip", XI, "xip"), r("xim", XI, "xim"))
 
 
+@query(sql(f"select map_id, z1, z2, patch_id, bin, npairs, {rs('fw', (1.0, 3), 'sumw')}, {rs('fp', XI, 'xip')}, {rs('fm', XI, 'xim')} from xi", "xi"))
+def full_xi_forward(spark, sf_dir):
+    out = engine(spark).xi(fixture.shear(spark, sf_dir), mode="forward")
+    return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("sumw", (1.0, 3), "sumw"), r("xip", XI, "xip"), r("xim", XI, "xim"))
+
+
+_PLAIN = "(select map_id, least(za,zb) as z1, greatest(za,zb) as z2, patch_id, bin, sum(r1*r2+i1*i2) as p, sum(r1*r2-i1*i2) as m from ends group by all)"
+
+
+@query(sql(f"select map_id, z1, z2, patch_id, bin, npairs, {', '.join(rs(f'coalesce({c},0)/nullif(npairs,0)/case when z1=z2 then 1 else 2 end', XI, name) for c, name in (('p', 'xip'), ('m', 'xim')))} from grid left join {_PLAIN} using (map_id,z1,z2,patch_id,bin)", "grid", "ends"))
+def full_xi_unweighted(spark, sf_dir):
+    out = engine(spark).xi(fixture.shear(spark, sf_dir), weighted=False)
+    return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("xip", XI, "xip"), r("xim", XI, "xim"))
+
+
 @query(sql(f"select map_id, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas where map_id=0 and z1=0 and z3=0", "zetas"))
 def zeta(spark, sf_dir):
     return engine(spark).zeta(one_map(spark, sf_dir, 0)).select("map_id", "bin", r("zetap", ZETA, "zetap"), r("zetam", ZETA, "zetam"))
