@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 
@@ -27,7 +28,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 OPERATOR = re.compile(r":=|=>|[=:]")
 NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]?[ \t]*\Z""")
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'`,;(){}\[\]<>+]+))""")
-PLUS = re.compile(r"[ \t]*\+")
+PLUS = re.compile(r"\s*\+(?:\s|\\\r?\n)*")
+#: What may follow a plus sign at the start of a line without going on the chain: the next assignment, in a patch.
+ASSIGNED = re.compile(r"""(?:[\w.\-]+|"[^"\n]*"|'[^'\n]*')[ \t]*(?::=|=>|[=:])""")
 SUBWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: A name may be this long at most; what stands further left of an operator is not part of it.
 NAME_CHARS = 96
@@ -46,20 +49,81 @@ def name_score(name: str) -> float:
     return min(1.5, sum(SENSITIVE.get(p.lower(), 0.0) for p in SUBWORD.findall(name.replace("apikey", "api_key"))))
 
 
-def literal_score(value: str) -> float:
+class Chain:
+    """Literals in the order of their concatenation; parts are (literal, start, end) or chains that others hold too."""
+
+    __slots__ = ("parts", "known")
+
+    def __init__(self, parts: list):
+        self.parts, self.known = parts, None
+
+    def summary(self):
+        """What a score needs of the whole value, however often it repeats: see ``summary_of``."""
+        waiting = [self]
+        while waiting:
+            chain = waiting[-1]
+            inner = [p for p in chain.parts if isinstance(p, Chain) and p.known is None] if chain.known is None else []
+            if inner:
+                waiting += inner
+                continue
+            waiting.pop()
+            if chain.known is None:
+                chain.known = joined(p.known if isinstance(p, Chain) else summary_of(p[0]) for p in chain.parts)
+        return self.known
+
+    def spans(self, seen: set[int]):
+        """(start, end) of the literals, each chain that is not in ``seen`` once."""
+        waiting = [self]
+        while waiting:
+            chain = waiting.pop()
+            if id(chain) not in seen:
+                seen.add(id(chain))
+                waiting += (p for p in chain.parts if isinstance(p, Chain))
+                yield from (p[1:] for p in chain.parts if not isinstance(p, Chain))
+
+
+#: Characters at a value's ends that can belong to a placeholder across a joint, and lengths that are counted exactly.
+REACH, EXACT = max(map(len, PLACEHOLDERS)) - 1, 10**15
+
+
+def summary_of(value: str):
+    """Length, counts of characters, lower-case start and end, and whether a placeholder is inside."""
+    low = value.lower()
+    return len(value), Counter(value), low[:REACH], low[-REACH:], any(p in low for p in PLACEHOLDERS)
+
+
+def joined(summaries):
+    """The summary of concatenated values; past ``EXACT`` counts keep 28 digits."""
+    length, counts, head, tail, found = 0, {}, "", "", False
+    for n, more, start, end, inside in summaries:
+        length += n
+        for c, k in more.items():
+            counts[c] = counts.get(c, 0) + k
+        found = found or inside or any(p in tail + start for p in PLACEHOLDERS)
+        head, tail = (head + start)[:REACH], (tail + end)[-REACH:]
+    if length > EXACT:
+        length, counts = +Decimal(length), {c: +Decimal(k) for c, k in counts.items()}
+    return length, counts, head, tail, found
+
+
+def literal_score(length, counts, head, tail, found) -> float:
     """0 for placeholders, short or wordlike literals; else rises with entropy and length up to 1."""
-    if len(value) < 8 or any(p in value.lower() for p in PLACEHOLDERS):
+    if length < 8 or found:
         return 0.0
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-    if kinds < 2 or " " in value:
+    kinds = sum(any(map(k, counts)) for k in (re.compile(c).match for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+    if kinds < 2 or " " in counts:
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return max(0.0, min(1.0, (entropy - 1.5) / 2)) * min(1.0, len(value) / 16)
+    entropy = -sum(p * math.log2(p) for n in counts.values() if (p := float(n / length)))
+    return max(0.0, min(1.0, (entropy - 1.5) / 2)) * min(1.0, float(length / 16) if length < 16 else 1.0)
 
 
 def lex(text: str):
-    """Yield (name, [(literal, start, end), ...]) for each assignment, with constants followed to their literals."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    """Yield (name, chain of literals) for each assignment, with constants followed to their literals.
+
+    A ``+`` chain goes on to its end. It crosses a line end after a plus sign, and before one where a quoted literal
+    or a known name follows that is not assigned to itself, since lists and patches begin lines with a plus as well.
+    """
+    known: dict[str, Chain] = {}
     for op in OPERATOR.finditer(text):
         at = op.start()
         if op[0] == "=" and (text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[at + 1 : at + 2] in ("=", ">")):
@@ -69,18 +133,22 @@ def lex(text: str):
         name = NAME_BEFORE.search(text, max(0, at - NAME_CHARS), at)
         if not name:
             continue
-        parts, end = [], op.end()
+        parts, end, leading = [], op.end(), False
         while term := TERM.match(text, end):
             group = next(g for g in (1, 2, 3) if term[g] is not None)
             value = (term[group], term.start(group), term.end(group))
-            parts += known.get(value[0], [value]) if group == 3 else [value]
+            constant = known.get(value[0]) if group == 3 else None
+            if leading and (group == 3 and not constant or ASSIGNED.match(text, end)):
+                break
+            parts.append(constant or value)
             end = term.end()
-            if not (plus := PLUS.match(text, end)) or len(parts) > 16:
+            if not (plus := PLUS.match(text, end)):
                 break
+            leading = "\n" in text[end : text.index("+", end)]
             end = plus.end()
         if parts:
-            known[name[1]] = parts
-            yield name[1], parts
+            known[name[1]] = parts[0] if len(parts) == 1 and isinstance(parts[0], Chain) else Chain(parts)
+            yield name[1], known[name[1]]
 
 
 def find_secrets(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -88,11 +156,12 @@ def find_secrets(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
     base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
-    added = set()
-    for name, parts in lex(text):
+    added, seen, kept = set(), set(), []
+    for name, chain in lex(text):
         weight = name_score(name)
-        if weight and weight * literal_score("".join(p[0] for p in parts)) >= threshold:
-            added.update(("literal", start, end) for _, start, end in parts if end > start)
+        if weight and weight * literal_score(*chain.summary()) >= threshold:
+            kept.append(chain)  # an id in ``seen`` must not be given again
+            added.update(("literal", start, end) for start, end in chain.spans(seen) if end > start)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted([*base, *added], key=order)
 
