@@ -30,7 +30,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(read(spark, sf_dir, "embeddings"), one_row=False)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,43 +77,53 @@ class Block:
         return left
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best candidates but the query's own row, ties to smaller ids."""
+        """(score, id) of the k best candidates but those with the query's own id, ties to smaller ids."""
+        return [(s, int(self.ids[row])) for s, row in self.best(query, own, k)]
+
+    def best(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(score, row) of the same."""
         left = self.survivors(query, np.flatnonzero(self.ids != own), k)
         exact = self.largest * float(np.abs(query).max(initial=0.0)) * self.x.shape[1] < 2**52
         whole = [[int(v) for v in row] for row in self.x[left]] if not exact else None
         scores = (self.x[left] @ query).astype(np.int64) if exact else np.array([sum(a * int(b) for a, b in zip(row, query, strict=True)) for row in whole], dtype=object)
-        best = sorted(zip((-s for s in scores.tolist()), self.ids[left].tolist(), strict=True))[:k]
-        return [(-s, i) for s, i in best]
+        best = sorted(zip((-s for s in scores.tolist()), self.ids[left].tolist(), left.tolist(), strict=True))[:k]
+        return [(-s, row) for s, _, row in best]
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, one_row: bool = True) -> DataFrame:
     """The k rows with the highest integer inner product for every row whose vec_id is divisible by ``every``.
 
     ``vectors`` needs vec_id and embedding; other columns are ignored. A component x counts as floor(scale * x).
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Vectors that are null or hold
     null or non-finite components, and rows without an id, take no part; of rows with one id the least vector
-    counts; vectors are compared with vectors of their own length only; an empty table gives no rows. Queries and
+    counts, or without ``one_row`` every row does, as a candidate for other ids and as a query whose results share the
+    ranking of its id: equal rows travel as one with their number. Vectors are compared with vectors of their own length only; an empty table gives no rows. Queries and
     candidates meet in a grid of blocks of bounded size; nothing is broadcast.
     """
     whole = F.expr(f"transform(embedding, x -> floor({scale}D * cast(x as double)))")
     fit = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    usable = vectors.select("vec_id", "embedding").filter(fit).groupBy("vec_id").agg(F.min(whole).alias("x"))
+    usable = vectors.select("vec_id", "embedding").filter(fit)
+    if one_row:
+        usable = usable.groupBy("vec_id").agg(F.min(whole).alias("x"), F.lit(1).cast("long").alias("times"))
+    else:
+        usable = usable.groupBy("vec_id", whole.alias("x")).agg(F.count("*").alias("times"))
     n = vectors.count()
     blocks, query_blocks = max(LEAST_BLOCKS, math.ceil(n / CANDIDATE_ROWS)), math.ceil(n / every / QUERY_ROWS) or 1
     spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    queries = usable.filter(F.col("vec_id") % every == 0).select("vec_id", "x", F.pmod(F.hash("vec_id"), F.lit(query_blocks)).alias("qb"), spread("cb", blocks))
-    candidates = usable.select("vec_id", "x", spread("qb", query_blocks), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("cb"))
+    queries = usable.filter(F.col("vec_id") % every == 0).select("vec_id", "x", "times", F.pmod(F.hash("vec_id", "x"), F.lit(query_blocks)).alias("qb"), spread("cb", blocks))
+    candidates = usable.select("vec_id", "x", "times", spread("qb", query_blocks), F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("cb"))
 
     def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         lengths = block["x"].map(len) if len(block) else []
         for dims in set(lengths):
             part = block[lengths == dims]
-            ids, x = part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy()).astype(np.float64).reshape(len(part), dims)
+            ids, times, x = part["vec_id"].to_numpy(), part["times"].tolist(), np.stack(part["x"].to_numpy()).astype(np.float64).reshape(len(part), dims)
             found = Block(ids, x)
-            for own, vector in zip(asked["vec_id"], asked["x"], strict=True):
+            for own, vector, again in zip(asked["vec_id"], asked["x"], asked["times"].tolist(), strict=True):
                 if len(vector) == dims:
-                    out += [(own, i, s) for s, i in found.top(np.asarray(vector, dtype=np.float64), own, k)]
+                    best = found.best(np.asarray(vector, dtype=np.float64), own, k)
+                    out += [(own, ids[row], s) for s, row in best for _ in range(min(k, again * times[row]))][:k]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
