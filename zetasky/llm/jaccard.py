@@ -359,8 +359,8 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns a row for each row of ``docs``: doc_id,
     n_shingles, component_id (the least doc_id that links reach) and n_copies (rows with the very same set).
-    Null, empty or wordless texts have no shingles and stand alone, as do rows with a null id for others to see:
-    they get a null component unless a linked row has an id. Repeated rows are copies. An empty table gives no rows.
+    Null, empty or wordless texts have no shingles and stand alone. Rows with a null id link like others, and get a
+    null component unless links reach a row with an id. Repeated rows are copies. An empty table gives no rows.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
@@ -396,7 +396,8 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
     texts = docs.select("doc_id", "text").join(placed.select(F.col("least").alias("doc_id"), "node", "print", "comp", "blocks"), "doc_id")
-    texts, _ = stash(one_text_each(texts, width))
+    nameless = placed.filter("least is null").select("node", "print", "comp", "blocks").join(texts_of_nameless(docs, width), "print")
+    texts, _ = stash(one_text_each(texts.select(*SOUGHT).union(nameless.select(*SOUGHT)), width))
 
     def deal(df: DataFrame, salt: int) -> DataFrame:
         return df.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")).withColumn("part", F.lit(0)).withColumn("mine", F.lit(True))
@@ -429,6 +430,24 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     return kept.unionByName(texts.filter("doc_id is null")).drop("__tid").select(*docs.columns)
 
 
+#: What ``one_text_each`` reads.
+SOUGHT = ("node", "comp", "blocks", "print", "text")
+
+
+def texts_of_nameless(docs: DataFrame, width: int) -> DataFrame:
+    """print and text of each set that rows with a null id hold, which no id leads to."""
+    schema = arrow_schema("print binary, text string")
+
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width, words) for t in batch.column(0)]
+            kept = [i for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in kept], pa.binary()), pa.array([batch.column(0)[i].as_py() for i in kept], pa.string())], schema=schema)
+
+    return docs.filter("doc_id is null").select("text").mapInArrow(run, "print binary, text string").dropDuplicates(["print"])
+
+
 def one_text_each(texts: DataFrame, width: int) -> DataFrame:
     """One row for each node, with a text that really has its set: ids may repeat with different texts."""
     schema = arrow_schema("node long, comp long, blocks int, text string")
@@ -440,7 +459,7 @@ def one_text_each(texts: DataFrame, width: int) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 2, 4)], schema=schema)
 
-    return texts.select("node", "comp", "blocks", "print", "text").mapInArrow(run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
+    return texts.select(*SOUGHT).mapInArrow(run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
 
 
 def labelled(several: DataFrame, links: DataFrame) -> DataFrame:
