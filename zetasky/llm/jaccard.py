@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -48,6 +48,8 @@ BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 #: many common ones are broadcast. They decide the order of shingles, so speed and never results.
 COUNTED, COMMON, COMMON_KEPT = 2_000_000, 4, 500_000
 WORD_CACHE = 200_000
+#: A character of a word.
+WORDLIKE = r"[^\t-\r ]"
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -272,16 +274,21 @@ def verify(sets: list[np.ndarray], labels: np.ndarray, mine: np.ndarray, percent
     return links
 
 
+def text_id() -> Column:
+    """With doc_id, names a row, or equal ones."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """doc_id, n, print (128-bit fingerprint of the set), point and packed keys of every document; no print without a
-    shingle."""
+    """doc_id, tid (hash of the text), n, print (128-bit fingerprint of the set), point and packed keys of every
+    document; no print without a shingle."""
 
     def make():
         words = WordHashes()
         last = common.value
 
-        def run(doc_id, text):
-            out = {"doc_id": doc_id, "n": [], "print": [], "point": [], "keys": []}
+        def run(doc_id, tid, text):
+            out = {"doc_id": doc_id, "tid": tid, "n": [], "print": [], "point": [], "keys": []}
             for t in text:
                 s = shingle_set(t, width, words)
                 out["n"].append(len(s))
@@ -308,7 +315,8 @@ def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
 
         return run
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, n long, print binary, point binary, keys binary", make)
+    rows = docs.select("doc_id", text_id().alias("tid"), "text")
+    return map_columns(rows, ["doc_id", "tid", "text"], "doc_id long, tid long, n long, print binary, point binary, keys binary", make)
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -362,11 +370,22 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     Null, empty or wordless texts have no shingles and stand alone. Rows with a null id link like others, and get a
     null component unless links reach a row with an id. Repeated rows are copies. An empty table gives no rows.
     """
+    base, named = _classes(docs, width, percent)
+    heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = named.join(heads, "label").select("print", "component_id", "copies")
+    return base.join(classes, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, print), and the sets: print, least (doc_id), head, copies and label, the same for linked sets.
+
+    ``head`` is the set's first row as (nameless, doc_id, tid), rows without an id last.
+    """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     whole, whole_path = stash(shingled(docs, width, percent, common))
-    base, _ = stash(whole.select("doc_id", "n", "print"))
-    one_each = whole.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    base, _ = stash(whole.select("doc_id", "tid", "n", "print"))
+    one_each = whole.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
     keyed, keyed_path = stash(one_each.withColumn("node", F.monotonically_increasing_id()))
     nodes, _ = stash(keyed.drop("keys"))
     unstash(spark, whole_path)
@@ -411,23 +430,23 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         links = links.union(verified_links(apart(labelled(several, links)).select(*columns), width, percent))
     labels = connected_components(links)
 
-    named = nodes.select("node", "print", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.join(heads, "label").select("print", "component_id", "copies")
-    return base.join(classes, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    named = nodes.select("node", "print", "least", "head", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return base, named
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, less those that links tie to a row with a smaller id.
+    """The first row of each class of ``docs``, with all its columns: that with the smallest id, then the smallest text hash.
 
-    Repeated rows stay once; rows with one id and different texts stay or go together. Rows without a shingle or an
-    id stay.
+    Rows decide, not ids: of one id's texts each stays or goes with its own class. A row without an id stays where no
+    row of its class has one. Repeated rows stay once. Rows without a shingle stay, repeated ones with an id once.
     """
-    texts = docs.withColumn("__tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    classes = similar_classes(docs, width, percent)
-    heads = classes.filter("component_id = doc_id").select("doc_id").distinct()
-    kept = texts.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "__tid"])
-    return kept.unionByName(texts.filter("doc_id is null")).drop("__tid").select(*docs.columns)
+    base, named = _classes(docs, width, percent)
+    first = named.groupBy("label").agg(F.min("head").alias("head")).select("head.doc_id", F.col("head.tid").alias("tid"))
+    bare = base.filter("print is null").select("doc_id", "tid")
+    keep = first.union(bare).distinct().select(F.col("doc_id").alias("__id"), F.col("tid").alias("__kept"))
+    kept = docs.withColumn("__tid", text_id()).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__kept")), "left_semi")
+    apart = F.when(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORDLIKE), F.monotonically_increasing_id()).otherwise(-1)
+    return kept.withColumn("__row", apart).dropDuplicates(["doc_id", "__tid", "__row"]).select(*docs.columns)
 
 
 #: What ``one_text_each`` reads.
