@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, jaccard, langid, pii, secrets, sharding, suffixes, tokens, topk
-from .util import read
+from .util import read, shared_folder
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/zetasky-map-{uuid.uuid4().hex}"
     start = sharding.initial_map(16)
-    return sharding.assign_shards(read(spark, sf_dir, "documents"), start, sharding.grow(start))
+    sharding.write_map(spark, start, path, 1)
+    sharding.write_map(spark, sharding.grow(sharding.read_map(spark, path, 1)), path, 2)
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), sharding.read_map(spark, path, 1), sharding.read_map(spark, path, 2), version=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding)}
