@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .util import arrow_schema, ship, stash, unstash
 
-#: Far beyond what doubling distances need; a bound against an endless loop, not a limit on results.
+#: Far beyond what doubling distances need; a bound against an endless loop. Reaching it is an error.
 MOST_ROUNDS = 64
 
 
@@ -73,4 +73,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
