@@ -127,3 +127,29 @@ def test_similar_large_sets_share_a_range():
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**64, changes - drop, dtype=np.uint64)]))
             if len(b) and (100 + percent) * len(np.intersect1d(a, b)) >= percent * (len(a) + len(b)):
                 assert np.intersect1d(jaccard.range_keys(a, percent), jaccard.range_keys(b, percent)).size
+
+
+def test_clashing_columns_pass_through(spark):
+    rows = [(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "q r s t u v w", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_id string, row_number int").withColumnRenamed("text_id", "Text_ID")
+    got = jaccard.keep_one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def test_slice_of_a_common_key_loses_no_link(spark, monkeypatch):
+    """Nodes that a slice ties to their first node stay candidates of other slices' nodes."""
+    for name, value in {"SLICE_NODES": 8, "SLICE_COMMON": 1, "LEAST_BUCKETS": 2, "BLOCK_NODES": 2, "CELL_NODES": 3, "COMMON": 1, "COUNTED": 200}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    line = " ".join(f"common{i}" for i in range(30))
+    texts = [line + " " + " ".join(f"tail{i // 2}_{j}" for j in range(4 + i % 9)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert classes(jaccard.similar_classes(docs, 4, 80)) == brute(list(enumerate(texts)), 4, 80)
+
+
+def test_packed_points_bound_every_overlap():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    for _ in range(40):
+        a, b = (np.unique(base[rng.random(9000) < rng.random()]) for _ in range(2))
+        p, q = jaccard.unpacked_points([jaccard.packed_point(a), jaccard.packed_point(b)])
+        assert len(np.intersect1d(a, b)) <= np.minimum(p, q).sum() and p.sum() == len(a)

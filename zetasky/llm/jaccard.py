@@ -8,12 +8,16 @@ Stages, each exact and none quadratic in a group of copies:
 
 1. Equal sets become one node.
 2. Nodes are dealt by the keys that two similar sets must share: in any fixed order of shingles, sets above the
-   threshold have one in common among their first few. The order puts shingles last that many documents hold. A
-   large set, whose shingles may be common by chance, is cut into more hash ranges than similar sets can differ in;
-   one range must then agree as a whole.
-3. Nodes that meet under a key and survive the R-tree's bound are tied together; components of ties hold all links.
+   threshold have one in common among their first few. The order goes from rare shingles to frequent ones. A large
+   set, whose shingles may be common by chance, is cut into more hash ranges than similar sets can differ in; one
+   range must then agree as a whole.
+3. Nodes that meet under a key, have sizes that can be similar and survive the R-tree's bound are tied together;
+   components of ties hold all links.
 4. A component's sets are verified in blocks of bounded size. Nodes already linked need no look at each other.
-   Components of several blocks are shuffled into new blocks once, then what is still apart meets everything else.
+   Components of several blocks are shuffled into new blocks once. Nodes that are still apart meet by key again, as
+   points, and only those that survive the bound get their texts sent to each other, once for each pair of blocks.
+
+Shingles are 64-bit hashes throughout: a wrong link would take colliding hashes of different shingles.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import arrow_schema, map_columns, pack48, runs, sorted_groups, stash, unpack48, unstash
+from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sorted_groups, stash, unpack48, unstash
 
-#: Groups that shingles are hashed into: the dimensions of a point.
-GROUPS = 64
-#: Points in a leaf, children of a box.
-LEAF, FAN_OUT = 32, 8
+#: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT.
+GROUPS, MOST_COUNT = 256, 15
+#: Points in a leaf, children of a box; rows of small groups that are compared at once, and nodes in a small group.
+LEAF, FAN_OUT, COMPARED, SMALL = 32, 8, 20_000, 8
 #: Sets of this size and more get keys of whole hash ranges.
 LARGE = 1000
 #: Dimensions of a point at most, where sets are verified and may be large.
@@ -42,8 +46,10 @@ MOST_GROUPS = 4096
 BUCKET_KEYS, LEAST_BUCKETS, SLICE_NODES, SLICE_COMMON = 500_000, 96, 4096, 16
 #: Nodes under a key up to which the R-tree compares them; nodes under a more common key are tied together.
 COMMON_KEY = 1024
-#: A block of a component: nodes and shingles at most on average.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
+#: Sizes are sent with keys as classes: powers of this ratio, and the mark of a node that stands for a tied slice.
+SIZE_STEP, TIED = 1.07, 255
+#: A block of a component: nodes and shingles at most on average. Nodes of a cell in which nodes still apart meet.
+BLOCK_NODES, BLOCK_SHINGLES, CELL_NODES = 256, 500_000, 1024
 #: Shingles that a task counts together to find common ones, how often a common one occurs among them, and how
 #: many common ones are broadcast. They decide the order of shingles, so speed and never results.
 COUNTED, COMMON, COMMON_KEPT = 2_000_000, 4, 500_000
@@ -85,6 +91,34 @@ def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def packed_point(shingles: np.ndarray) -> bytes:
+    """The point in half a byte a group; what exceeds MOST_COUNT is summed in four bytes at the end.
+
+    The minima of capped counts plus the smaller excess are never less than the minima of the counts.
+    """
+    counts = point(shingles)
+    low = np.minimum(counts, MOST_COUNT).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes() + int((counts - low).sum()).to_bytes(4, "little")
+
+
+def unpacked_points(blobs: pa.ChunkedArray | list[bytes]) -> np.ndarray:
+    """(n, GROUPS + 1) counts, the excess last."""
+    raw = np.frombuffer(b"".join(blobs if isinstance(blobs, list) else blobs.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS // 2 + 4)
+    out = np.empty((len(raw), GROUPS + 1), dtype=np.int32)
+    out[:, 0:GROUPS:2], out[:, 1:GROUPS:2] = raw[:, :-4] & 15, raw[:, :-4] >> 4
+    out[:, GROUPS] = np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0]
+    return out
+
+
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log(np.maximum(sizes, 1)) / np.log(SIZE_STEP), TIED - 1).astype(np.uint8)
+
+
+def class_reach(percent: int) -> int:
+    """Classes by which similar sets' sizes can differ, rounding included."""
+    return int(np.log(100 / percent) / np.log(SIZE_STEP) + 1e-6) + 1
+
+
 def range_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the hash ranges of a large set: similar sets share one at least.
 
@@ -92,8 +126,8 @@ def range_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     has keys for its class and the next. Two similar sets of a class differ in at most ``most`` shingles, so of more
     ranges one at least holds the same shingles in both. Empty ranges get no key where enough others are left.
     """
-    size_class, keys = int(np.floor(np.log(len(shingles)) / np.log(100 / percent) + 1e-9)), []
-    for c in (size_class, size_class + 1):
+    lowest, keys = int(np.floor(np.log(len(shingles)) / np.log(100 / percent) + 1e-9)), []
+    for c in (lowest, lowest + 1):
         largest = int((100 / percent) ** (c + 1)) + 1
         most = (100 - percent) * 2 * largest // (100 + percent)
         ranges = most + most // 8 + 2
@@ -104,7 +138,7 @@ def range_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         if len(held) <= most:
             empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), held)
             held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
-        key = (content ^ content >> np.uint64(31)) * MIX[3] + held * MIX[4] + np.uint64(c) * MIX[5]
+        key = (content ^ content >> np.uint64(31)) * MIX[3] + held * MIX[4] + np.full(1, c, dtype=np.uint64) * MIX[5]
         keys.append((key ^ key >> np.uint64(30)) * MIX[6])
     return np.concatenate(keys)
 
@@ -176,13 +210,14 @@ def pairs_within(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterato
         yield i, np.sort(near[near < i])
 
 
-def shared_keys(nodes: DataFrame, total: int) -> DataFrame:
+def shared_keys(nodes: DataFrame, total: int, percent: int) -> DataFrame:
     """Nodes that meet under a key: (key, a, null), or (null, a, b) where so many meet that they are tied at once.
 
-    Keys travel in packed slices of many nodes by hash bucket: six bytes and a place in the slice each.
+    Keys travel in packed slices of many nodes by hash bucket: six bytes, a size class and a place in the slice each.
     """
-    buckets = max(LEAST_BUCKETS, int(total / BUCKET_KEYS))
-    schema, out_schema = arrow_schema("bucket int, base long, keys binary, owners binary, ties binary"), arrow_schema("key long, a long, b long")
+    buckets, reach = max(LEAST_BUCKETS, int(total / BUCKET_KEYS)), class_reach(percent)
+    ddl = "bucket int, base long, keys binary, sizes binary, owners binary, ties binary"
+    schema, out_schema = arrow_schema(ddl), arrow_schema("key long, a long, b long")
 
     def pack(batches):
         for batch in batches:
@@ -191,75 +226,93 @@ def shared_keys(nodes: DataFrame, total: int) -> DataFrame:
             for begin, stop in zip(cuts, cuts[1:], strict=False):
                 for at in range(begin, stop, SLICE_NODES):
                     part = batch.slice(at, min(SLICE_NODES, stop - at))
-                    blobs = part.column(1).to_pylist()
+                    blobs = part.column(2).to_pylist()
                     key = unpack48(blobs)
                     owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
                     order = np.lexsort((owner, key))
                     key, owner = key[order], owner[order]
+                    size = size_class(part.column(1).to_numpy())[owner]
                     _, first, n = np.unique(key, return_index=True, return_counts=True)
                     common = np.repeat(n > SLICE_COMMON, n)
                     head = np.repeat(first, n)
+                    size[common] = TIED
                     extra = common & (np.arange(len(key)) != head)
                     ties = np.stack([owner[extra], owner[head[extra]]], axis=1).astype("<i8") + nid[at]
-                    key, owner = key[~extra], owner[~extra]
+                    key, owner, size = key[~extra], owner[~extra], size[~extra]
                     bucket = (key % np.uint64(buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
-                    key, owner, bucket = key[order], owner[order], bucket[order]
+                    key, owner, size, bucket = key[order], owner[order], size[order], bucket[order]
                     ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                    rows = [(b, int(nid[at]), pack48(key[i:j]), owner[i:j].astype("<u2").tobytes(), b"") for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+                    rows = [(b, int(nid[at]), pack48(key[i:j]), size[i:j].tobytes(), owner[i:j].astype("<u2").tobytes(), b"") for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
                     if len(ties):
-                        rows.append((int(nid[at] % buckets), int(nid[at]), b"", b"", ties.tobytes()))
+                        rows.append((int(nid[at] % buckets), int(nid[at]), b"", b"", b"", ties.tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], type=f.type) for f in schema], schema=schema)
 
     def meet(batches):
         for _, rows in runs(batches, ["bucket"]):
             key = unpack48(rows.column("keys").to_pylist())
+            size = np.frombuffer(b"".join(rows.column("sizes").to_pylist()), dtype=np.uint8)
             owners = rows.column("owners").to_pylist()
             nid = np.frombuffer(b"".join(owners), dtype="<u2").astype(np.int64) + np.repeat(rows.column("base").to_numpy(), [len(o) // 2 for o in owners])
             ties = np.frombuffer(b"".join(rows.column("ties").to_pylist()), dtype="<i8").reshape(-1, 2)
-            order = np.lexsort((nid, key))
-            key, nid = key[order], nid[order]
+            order = np.lexsort((nid, size, key))
+            key, size, nid = key[order], size[order].astype(np.int16), nid[order]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            size, hub = np.repeat(n, n), nid[np.repeat(first, n)]
-            few, many = (size > 1) & (size <= COMMON_KEY), (size > COMMON_KEY) & (nid != hub)
-            ties = np.concatenate([ties, np.stack([nid[many], hub[many]], axis=1)])
+            many = np.repeat((n > COMMON_KEY) | (size[first + n - 1] == TIED), n)
+            head = np.repeat(first, n)
+            near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= reach)
+            few = (np.concatenate([[False], near]) | np.concatenate([near, [False]])) & ~many
+            many &= np.arange(len(key)) != head
+            ties = np.concatenate([ties, np.stack([nid[many], nid[head[many]]], axis=1)])
             yield pa.RecordBatch.from_arrays([pa.array(key[few].astype(np.int64)), pa.array(nid[few]), pa.nulls(int(few.sum()), pa.int64())], schema=out_schema)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ties), pa.int64()), pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], schema=out_schema)
 
-    packed = nodes.select("node", "keys").mapInArrow(pack, "bucket int, base long, keys binary, owners binary, ties binary")
+    packed = nodes.select("node", "n", "keys").mapInArrow(pack, ddl)
     return sorted_groups(packed, ["bucket"], meet, "key long, a long, b long")
 
 
-def tie(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
-    """Ties among the nodes of each key: rows (key, node, n, point) come sorted by key; yields (node, tied node)."""
+def ties_under_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[np.ndarray]:
+    """Arrays of ties (node, node) that join all nodes of a key which survive the bound; rows come sorted by key.
+
+    Groups of a few nodes are compared many groups at once, larger ones through the R-tree.
+    """
+    held, size = [], 0
+
+    def small(tables):
+        rows = pa.concat_tables(tables)
+        key, nodes, sizes = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
+        points = unpacked_points(rows.column("point"))
+        for step in range(1, SMALL):
+            i = np.flatnonzero(key[step:] == key[:-step])
+            i = i[enough(np.minimum(points[i], points[i + step]).sum(axis=1), sizes[i] + sizes[i + step], percent)]
+            yield np.stack([nodes[i + step], nodes[i]], axis=1)
+
     for _, rows in runs(batches, ["key"]):
-        if rows.num_rows < 2:
-            continue
-        nodes = rows.column("node").to_pylist()
-        sizes = rows.column("n").to_numpy().astype(np.int64)
-        points = np.stack([np.frombuffer(p, dtype="<u2") if p else np.full(GROUPS, 2**40) for p in rows.column("point").to_pylist()]).astype(np.int64)
-        if len(nodes) == 2:
-            if enough(np.minimum(points[0], points[1]).sum(), sizes.sum(), percent):
-                yield nodes[1], nodes[0]
-            continue
-        root = np.arange(len(nodes))
-        for i, near in pairs_within(points, sizes, percent):
-            for r in np.unique(root[near]):
-                root[root == r] = root[i]
-        for i, r in enumerate(root.tolist()):
-            if i != r:
-                yield nodes[i], nodes[r]
-
-
-def verify(sets: list[np.ndarray], labels: np.ndarray, mine: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join different labels: (row, row). Only rows with ``mine`` look for partners, among all rows."""
+        if 1 < rows.num_rows <= SMALL:
+            held.append(rows)
+            size += rows.num_rows
+            if size >= COMPARED:
+                yield from small(held)
+                held, size = [], 0
+        elif rows.num_rows > SMALL:
+            nodes, root = rows.column("node").to_numpy(), np.arange(rows.num_rows)
+            for i, near in pairs_within(unpacked_points(rows.column("point")), rows.column("n").to_numpy(), percent):
+                for r in np.unique(root[near]):
+                    root[root == r] = root[i]
+            yield np.stack([nodes, nodes[root]], axis=1)[root != np.arange(len(root))]
+    if held:
+        yield from small(held)
+
+
+def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels: (row, row)."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     groups = min(MOST_GROUPS, max(GROUPS, 1 << (int(sizes.max()) // 8).bit_length()))
     points = np.stack([point(s, groups) for s in sets])
     _, root = np.unique(labels, return_inverse=True)
     links = []
     tree = RTree(points, sizes) if len(sets) > 2 * LEAF else None
-    for i in np.flatnonzero(mine):
+    for i in range(len(sets)):
         near = tree.search(points[i], sizes[i], percent) if tree else np.flatnonzero(enough(np.minimum(points, points[i]).sum(axis=1), sizes[i] + sizes, percent))
         near = near[root[near] != root[i]]
         while len(near):
@@ -285,7 +338,7 @@ def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
 
     def make():
         words = WordHashes()
-        last = common.value
+        last, frequency = common.value
 
         def run(doc_id, tid, text):
             out = {"doc_id": doc_id, "tid": tid, "n": [], "print": [], "point": [], "keys": []}
@@ -296,18 +349,19 @@ def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
                     for k in ("print", "point", "keys"):
                         out[k].append(None)
                     continue
-                counts = point(s)
                 out["print"].append(xxhash.xxh3_128_digest(s.tobytes()))
-                out["point"].append(counts.astype("<u2").tobytes() if counts.max() < 2**16 else b"")
+                out["point"].append(packed_point(s))
                 want = prefix_size(len(s), percent)
                 ranges = range_keys(s, percent) if len(s) >= LARGE else s[:0]
                 if len(s) * percent > LARGE * 100:  # no similar set is small
                     keys = s[:0]
                 elif len(last):
                     at = np.searchsorted(last, s)
-                    is_common = last[np.minimum(at, len(last) - 1)] == s
+                    at[at == len(last)] = 0
+                    is_common = last[at] == s
                     keys = s[~is_common][:want]
-                    keys = np.concatenate([keys, s[is_common][: want - len(keys)]])
+                    by_frequency = np.argsort(frequency[at[is_common]], kind="stable")
+                    keys = np.concatenate([keys, s[is_common][by_frequency][: want - len(keys)]])
                 else:
                     keys = s[:want]
                 out["keys"].append(pack48(np.concatenate([keys, ranges]) >> np.uint64(16)))
@@ -319,8 +373,9 @@ def shingled(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
     return map_columns(rows, ["doc_id", "tid", "text"], "doc_id long, tid long, n long, print binary, point binary, keys binary", make)
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that many documents hold, sorted: those met again and again by a task, with the largest sums."""
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and their places by frequency, the least frequent first: those met
+    again and again by a task, with the largest sums."""
 
     def count(batches):
         words, held, size = WordHashes(), [], 0
@@ -341,11 +396,13 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
     counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").toArrow().column(0).to_numpy()
-    return np.sort(rows.astype(np.int64).view(np.uint64))
+    found = rows.astype(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - 1 - order).astype(np.int32)
 
 
 def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of different labels in blocks (comp, block, part, node, label, mine, text)."""
+    """Links (a, b) between nodes of different labels in blocks (comp, block, part, node, label, text)."""
 
     def run(batches):
         words = WordHashes()
@@ -354,7 +411,7 @@ def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 continue
             nodes = rows.column("node").to_pylist()
             sets = [shingle_set(t.as_py(), width, words) for t in rows.column("text")]
-            links = verify(sets, rows.column("label").to_numpy(), rows.column("mine").to_numpy(zero_copy_only=False), percent)
+            links = verify(sets, rows.column("label").to_numpy(), percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], schema=schema)
 
@@ -382,32 +439,39 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     ``head`` is the set's first row as (nameless, doc_id, tid), rows without an id last.
     """
     spark = docs.sparkSession
+    ship(spark)
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     whole, whole_path = stash(shingled(docs, width, percent, common))
     base, _ = stash(whole.select("doc_id", "tid", "n", "print"))
     one_each = whole.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
     keyed, keyed_path = stash(one_each.withColumn("node", F.monotonically_increasing_id()))
-    nodes, _ = stash(keyed.drop("keys"))
+    nodes, _ = stash(keyed.select("node", "print", "least", "head", "copies", "n"))
     unstash(spark, whole_path)
 
     # Ties: nodes that share a key and survive the bound.
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("keys") / 6), F.lit(0))).first()[0]
-    shared, _ = stash(shared_keys(keyed, total))
-    unstash(spark, keyed_path)
-    few = shared.filter("key is not null").select("key", F.col("a").alias("node")).join(nodes.select("node", "n", "point"), "node").select("key", "node", "n", "point")
+    shared, shared_path = stash(shared_keys(keyed, total, percent))
+    few = shared.filter("key is not null").select("key", F.col("a").alias("node")).join(keyed.select("node", "n", "point"), "node").select("key", "node", "n", "point")
     schema = arrow_schema("a long, b long")
 
     def tied(batches):
-        seen = set()
-        for pair in tie(batches, percent):
-            seen.add(pair)
-            if len(seen) >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], schema=schema)
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], schema=schema)
+        held, size = [], 0
+        for found in ties_under_keys(batches, percent):
+            held.append(found)
+            size += len(found)
+            if size >= 100_000:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                size = len(held[0])
+                if size >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, i].copy()) for i in (0, 1)], schema=schema)
+                    held, size = [], 0
+        if size:
+            found = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], schema=schema)
 
     ties = shared.filter("key is null").select("a", "b").union(sorted_groups(few, ["key"], tied, "a long, b long"))
-    tied_nodes = connected_components(ties).select("node", F.col("label").alias("comp"))
+    tied_nodes, _ = stash(connected_components(ties).select("node", F.col("label").alias("comp")))
+    unstash(spark, shared_path)
 
     # Blocks: one text for each node of a component of several.
     members = nodes.select("node", "print", "least", "n").join(tied_nodes, "node")
@@ -416,24 +480,29 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     placed = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
     texts = docs.select("doc_id", "text").join(placed.select(F.col("least").alias("doc_id"), "node", "print", "comp", "blocks"), "doc_id")
     nameless = placed.filter("least is null").select("node", "print", "comp", "blocks").join(texts_of_nameless(docs, width), "print")
-    texts, _ = stash(one_text_each(texts.select(*SOUGHT).union(nameless.select(*SOUGHT)), width))
+    texts, texts_path = stash(one_text_each(texts.select(*SOUGHT).union(nameless.select(*SOUGHT)), width))
 
     def deal(df: DataFrame, salt: int) -> DataFrame:
-        return df.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")).withColumn("part", F.lit(0)).withColumn("mine", F.lit(True))
+        return df.select("comp", block_of(salt).alias("block"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), "text")
 
-    columns = ["comp", "block", "part", "node", "label", "mine", "text"]
-    first, _ = stash(verified_links(deal(texts.withColumn("label", F.col("node")), 1).select(*columns), width, percent))
+    first, _ = stash(verified_links(deal(texts, 1), width, percent))
     links, several = first, texts.filter("blocks > 1")
     if several.limit(1).count():
-        again, _ = stash(verified_links(deal(several.withColumn("label", F.col("node")), 2).select(*columns), width, percent))
+        again, _ = stash(verified_links(deal(several, 2), width, percent))
         links = links.union(again)
-        links = links.union(verified_links(apart(labelled(several, links)).select(*columns), width, percent))
-    labels = connected_components(links)
+        more, _ = stash(verified_links(still_apart(spark, keyed, several, links, percent), width, percent))
+        links = links.union(more)
+    labels, _ = stash(connected_components(links))
+    unstash(spark, keyed_path, texts_path)
 
     named = nodes.select("node", "print", "least", "head", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return base, named
 
 
+def block_of(salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The first row of each class of ``docs``, with all its columns: that with the smallest id, then the smallest text hash.
 
@@ -443,10 +512,11 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     base, named = _classes(docs, width, percent)
     first = named.groupBy("label").agg(F.min("head").alias("head")).select("head.doc_id", F.col("head.tid").alias("tid"))
     bare = base.filter("print is null").select("doc_id", "tid")
-    keep = first.union(bare).distinct().select(F.col("doc_id").alias("__id"), F.col("tid").alias("__kept"))
-    kept = docs.withColumn("__tid", text_id()).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__kept")), "left_semi")
-    apart = F.when(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORDLIKE), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.withColumn("__row", apart).dropDuplicates(["doc_id", "__tid", "__row"]).select(*docs.columns)
+    own_id, own_tid, tid, row = (free_name(docs, stem) for stem in ("kept_id", "kept_tid", "text_id", "row_number"))
+    keep = first.union(bare).distinct().select(F.col("doc_id").alias(own_id), F.col("tid").alias(own_tid))
+    kept = docs.withColumn(tid, text_id()).join(keep, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(tid) == F.col(own_tid)), "left_semi")
+    alone = F.when(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORDLIKE), F.monotonically_increasing_id()).otherwise(-1)
+    return kept.withColumn(row, alone).dropDuplicates(["doc_id", tid, row]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: What ``one_text_each`` reads.
@@ -481,19 +551,55 @@ def one_text_each(texts: DataFrame, width: int) -> DataFrame:
     return texts.select(*SOUGHT).mapInArrow(run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
 
 
-def labelled(several: DataFrame, links: DataFrame) -> DataFrame:
-    return several.join(connected_components(links).select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def still_apart(spark, keyed: DataFrame, several: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Blocks (comp, block, part, node, label, text) in which nodes that ``links`` leaves apart meet, by pairs of blocks.
 
+    Two nodes with different labels meet if they share a key and survive the bound. Under a key that many nodes hold,
+    those outside its largest label are dealt into parts and all its nodes into blocks, which meet as points.
+    """
+    labels = connected_components(links).select("node", "label")
+    places = several.select("node", "comp", "blocks").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    places, _ = stash(places)
+    unsettled = places.groupBy("comp").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("comp")
+    open_nodes, _ = stash(keyed.select("node", "n", "point", "keys").join(places.join(unsettled, "comp").withColumn("home", block_of(1)).select("node", "label", "home"), "node"))
 
-def apart(several: DataFrame) -> DataFrame:
-    """Blocks in which every node outside its component's largest label meets every other node.
+    schema = arrow_schema("key long, node long, label long")
 
-    Those nodes are dealt into parts of block size; part and block by turns hold each such pair once at least.
-    """
-    count = several.groupBy("comp", "label").agg(F.count("*").alias("n"))
-    largest = count.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
-    split = largest.select("comp", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_NODES).cast("int").alias("parts"))
-    open_nodes = several.join(split, "comp").withColumn("part_of", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("block_of", F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")).cast("int"))
-    every = open_nodes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.col("block_of")).withColumn("mine", F.lit(False))
-    minor = open_nodes.filter("label <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.col("part_of")).withColumn("mine", F.lit(True))
-    return every.unionByName(minor)
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_NODES):
+                part = batch.slice(at, SLICE_NODES)
+                blobs = part.column(2).to_pylist()
+                owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
+                yield pa.RecordBatch.from_arrays([pa.array(unpack48(blobs).astype(np.int64)), pa.array(part.column(0).to_numpy()[owner]), pa.array(part.column(1).to_numpy()[owner])], schema=schema)
+
+    keys, _ = stash(open_nodes.select("node", "label", "keys").mapInArrow(spread, "key long, node long, label long").distinct())
+    by_label = keys.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
+    split = split.select("key", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / CELL_NODES).cast("int").alias("parts"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("blocks"))
+    rows = keys.join(split, "key").withColumn("part_of", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("block_of", block_of(4))
+    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.col("block_of")).withColumn("mine", F.lit(False))
+    minor = rows.filter("label <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.col("part_of")).withColumn("mine", F.lit(True))
+    cells = every.unionByName(minor).select("key", "block", "part", "node", "label", "mine").join(open_nodes.select("node", "home", "n", "point"), "node")
+    met_schema = arrow_schema("block int, part int, node long")
+
+    def meet(batches):
+        for _, cell in runs(batches, ["key", "block", "part"]):
+            mine = cell.column("mine").to_numpy(zero_copy_only=False)
+            if not mine.any() or mine.all():
+                continue
+            home, node, label, sizes = (cell.column(c).to_numpy() for c in ("home", "node", "label", "n"))
+            points = unpacked_points(cell.column("point"))
+            yours = np.flatnonzero(~mine)
+            tree = RTree(points[yours], sizes[yours])
+            found = []
+            for i in np.flatnonzero(mine):
+                near = yours[tree.search(points[i], sizes[i], percent)]
+                near = near[label[near] != label[i]]
+                low, high = np.minimum(home[near], home[i]), np.maximum(home[near], home[i])
+                found += [np.stack([low, high, node[near]], axis=1), np.stack([low, high, np.full(len(near), node[i])], axis=1)]
+            found = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].copy())], schema=met_schema)
+
+    met = sorted_groups(cells, ["key", "block", "part"], meet, "block int, part int, node long").distinct()
+    return met.join(places.select("node", "label"), "node").join(several.select("node", "comp", "text"), "node").select("comp", "block", "part", "node", "label", "text")

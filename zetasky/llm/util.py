@@ -81,6 +81,14 @@ def annotate(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Cal
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "zetasky-shared")
