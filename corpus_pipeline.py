@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zetasky.llm import bpe, decontam, jaccard, langid, pii
-from zetasky.llm.util import read, stash
+from zetasky.llm.util import read, stash, unstash
 
 #: SQL cannot express the language, personal-data and token stages.
 ORACLE_SQL = None
@@ -55,8 +55,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's result is written to the shared folder and read again, and deleted
+    when the next one is there."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = stash(stage(spark, docs, sf_dir))
+        docs, path = stash(stage(spark, docs, sf_dir))
+        if before:
+            unstash(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
