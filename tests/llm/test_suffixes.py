@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from zetasky.llm import suffixes
@@ -73,3 +74,21 @@ def test_kept_text_and_empty_table(spark):
     got = {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(frame(spark, rows), with_text=True).collect()}
     assert got == {1: rows[0][1].encode(), 2: b"mn"}
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_equal_hashes_of_different_strings_are_told_apart(spark, monkeypatch):
+    real = suffixes.window_hashes
+    monkeypatch.setattr(suffixes, "window_hashes", lambda data, size: real(data, size) % 5 if size == 50 else real(data, size))
+    line = "the same line of a licence that stands in many documents, word for word"
+    rows = [(i, f"{i} begins {line} and {'x' * (i % 3)} ends {i}") for i in range(12)]
+    table = pa.table({"context": [t.encode() for _, t in rows], "doc_id": [d for d, _ in rows], "first": pa.array([0] * len(rows), pa.int32())})
+    row, first, end = suffixes.repeated_strings(table, 50)
+    want = [(d, a, b) for d, t in rows for a, b in covered(rows, d, t)]
+    assert sorted(zip(row.tolist(), first.tolist(), end.tolist(), strict=True)) == want
+
+
+def covered(rows, doc, text):
+    """Unions of starts of 50-byte strings that a document with a smaller id holds, as (first, end)."""
+    hit = [any(text[i : i + 50] in t for d, t in rows if d < doc) for i in range(len(text) - 49)]
+    edges = [i for i, h in enumerate(hit) if h and not (i and hit[i - 1])]
+    return [(a, next((i for i in range(a, len(hit)) if not hit[i]), len(hit)) - 1 + 50) for a in edges]

@@ -24,17 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_schema, pack48, runs, sorted_groups, stash, unpack48
+from .util import arrow_schema, pack48, runs, ship, sorted_groups, stash, unpack48
 
 #: Bytes of a gram. Shorter grams are common by chance, longer ones leave fewer to choose an anchor from.
 GRAM = 18
-#: Bytes of text handled at once, and names in a bucket on average.
-PIECE, BUCKET_NAMES = 3_000_000, 1_000_000
+#: Bytes of text handled at once: some twenty arrays of eight bytes each stand beside a piece. Names that a task
+#: packs together, and names in a bucket on average.
+PIECE, PACKED_NAMES, BUCKET_NAMES = 300_000, 400_000, 1_000_000
 LEAST_BUCKETS = 96
 #: Shared names that are broadcast; with more of them anchors are joined with the names instead.
 SHARED_BROADCAST = 4_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
-COPIES_BROADCAST = 2_000_000
+COPIES_BROADCAST = 500_000
 #: Anchors of one name that meet in a task.
 COMMON_NAME = 1000
 #: Rows that the comparison handles at once.
@@ -53,7 +54,7 @@ class Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 1 << 22)
+            size = max(n, 2 * PIECE)
             ones = np.ones(1, dtype=np.uint64)
             self.up, self.down = (np.cumprod(np.concatenate([ones, np.full(size - 1, m, dtype=np.uint64)])) for m in (MULTIPLIER, pow(MULTIPLIER, -1, 2**64)))
         return self.up[:n], self.down[:n]
@@ -97,40 +98,49 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     """Anchors as (name, part, first, last): the anchor owns the strings that start at first to last in ``data``."""
     gram = min(GRAM, max(1, length // 2))
     h = window_hashes(data, gram)
-    least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64) & LOW  # the leftmost of equal hashes
+    least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes
     span, have = length - gram + 1, 1
     while have < span:
         step = min(have, span - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    spot = (least & LOW).astype(np.int64)
-    starts = np.arange(len(spot))
-    part = np.searchsorted(ends, starts, side="right")
-    whole = starts + length <= ends[np.minimum(part, len(ends) - 1)]
-    spot = np.where(whole, spot, -1)
+    spot = (least & LOW).astype(np.int32)
+    for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        spot[max(begin, end - length + 1) : end] = -1  # strings that cross the end of their part
     change = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
     last = np.concatenate([change[1:], [len(spot)]]) - 1
     keep = spot[change] >= 0
     first, last = change[keep], last[keep]
-    return h[spot[first]] >> np.uint64(16), part[first], first, last
+    return h[spot[first]] >> np.uint64(16), np.searchsorted(ends, first, side="right"), first, last
 
 
 def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """name and number of anchors, for the names that two documents or more may hold."""
     schema = arrow_schema("bucket int, once binary, often binary, n binary")
 
+    def packed_names(held: list[np.ndarray]) -> pa.RecordBatch:
+        name, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (name % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        name, n, bucket = name[order], n[order], bucket[order]
+        present, cuts = np.unique(bucket, return_index=True)
+        rows = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(name)], strict=True)]
+        once, often = ([pack48(name[s][(n[s] > 1) == many]) for s in rows] for many in (False, True))
+        return pa.RecordBatch.from_arrays([pa.array(present), pa.array(once, pa.binary()), pa.array(often, pa.binary()), pa.array([n[s][n[s] > 1].astype("<u4").tobytes() for s in rows], pa.binary())], schema=schema)
+
     def pack(batches):
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                texts = [t.encode("utf-8", "replace") for t in batch.slice(at, 1024).column(0).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                texts = [t.encode("utf-8", "replace") for t in batch.slice(at, 256).column(0).to_pylist()]
                 for data, ends, _, _ in pieces(texts, length):
-                    name, n = np.unique(anchors(data, ends, length)[0], return_counts=True)
-                    bucket = (name % np.uint64(buckets)).astype(np.int32)
-                    order = np.argsort(bucket, kind="stable")
-                    name, n, bucket = name[order], n[order], bucket[order]
-                    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                    rows = [(b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([pack48(name[s][n[s] == 1]) for _, s in rows], pa.binary()), pa.array([pack48(name[s][n[s] > 1]) for _, s in rows], pa.binary()), pa.array([n[s][n[s] > 1].astype("<u4").tobytes() for _, s in rows], pa.binary())], schema=schema)
+                    held.append(anchors(data, ends, length)[0])
+                    size += len(held[-1])
+                    if size >= PACKED_NAMES:
+                        yield packed_names(held)
+                        held, size = [], 0
+        if size:
+            yield packed_names(held)
 
     out_schema = arrow_schema("name long, n long")
 
@@ -158,8 +168,8 @@ def anchor_rows(docs: DataFrame, length: int, shared) -> DataFrame:
     def run(batches):
         names, common = shared.value if shared is not None else (None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids, tids = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
                 for data, ends, numbers, offsets in pieces([t.encode("utf-8", "replace") for t in part.column(2).to_pylist()], length):
                     name, own, first, last = anchors(data, ends, length)
@@ -193,9 +203,13 @@ def repeated_strings(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarra
     key, at_sorted, doc_sorted = key[order], at[order], doc[order]
     same = np.concatenate([[False], key[1:] == key[:-1]])
     window = np.lib.stride_tricks.sliding_window_view(data, length)
-    for i in np.array_split(np.flatnonzero(same), max(1, int(same.sum()) // 200_000)):  # adjacent strings, byte by byte
-        if not (window[at_sorted[i]] == window[at_sorted[i - 1]]).all():
-            raise ArithmeticError("two different strings have one 64-bit hash")
+    blocks = np.array_split(np.flatnonzero(same), max(1, int(same.sum()) // 200_000))
+    if not all((window[at_sorted[i]] == window[at_sorted[i - 1]]).all() for i in blocks):  # adjacent strings, byte by byte
+        # Different strings have one hash: their ranks among all strings here take its place.
+        key = np.unique(np.ascontiguousarray(window[at]).view(f"V{length}")[:, 0], return_inverse=True)[1].ravel()
+        order = np.lexsort((doc, key))
+        key, doc_sorted = key[order], doc[order]
+        same = np.concatenate([[False], key[1:] == key[:-1]])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
     repeated = np.zeros(len(row), dtype=bool)
     repeated[order] = doc_sorted > doc_sorted[head]
@@ -258,6 +272,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     neither cut nor a reason to cut; rows with one id never cut each other; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     usable = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
 
@@ -275,8 +290,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
         rows = anchor_rows(fresh, length, spark.sparkContext.broadcast((found.column("name").to_numpy().astype(np.uint64), found.column("n").to_numpy() > COMMON_NAME)))
     else:
         rows = anchor_rows(fresh, length, None).drop("common").join(shared, "name").withColumn("common", F.col("n") > COMMON_NAME).drop("n")
-    common, _ = stash(rows.filter("common").drop("common"))
-    direct = compare_directly(rows.filter("not common").drop("common"), length)
+    rows, _ = stash(rows.select(*ANCHOR_COLUMNS, "common"))
+    common, direct = rows.filter("common").drop("common"), compare_directly(rows.filter("not common").drop("common"), length)
     ranges = direct.unionByName(compare_common(common, length)).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     all_of_it = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("end"))).alias("ranges"))
     cuts = ranges.unionByName(all_of_it)
