@@ -37,3 +37,10 @@ def test_lines_that_begin_with_a_plus():
     patch = '-auth_token = "Zx81kk02Qp77mm13"\n+auth_token = "Kd92ll13Rt88nn24"\n+"name": "Zx81kk02aa"'
     assert literals(patch) == ["Zx81kk02Qp77mm13", "Kd92ll13Rt88nn24"]
     assert literals('auth_token = "Zx81kk02Qp77mm13"\n+ plain words') == ["Zx81kk02Qp77mm13"]
+
+
+def test_long_names_are_read_whole():
+    name = "secret_" + "x" * 100
+    assert [s for s in secrets.find_secrets(f'{name} = "s3cr3T-Value-0042"')[1] if s[0] == "literal"] == [("literal", 111, 128)]
+    blank = "n" * 50_000 + "!" + " " * 50_000 + "= "
+    assert secrets.find_secrets(blank * 3)[1] == []

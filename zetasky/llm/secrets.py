@@ -26,14 +26,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 OPERATOR = re.compile(r":=|=>|[=:]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]?[ \t]*\Z""")
+#: The name before an operator, read backwards from it.
+NAME_BEFORE = re.compile(r"""[ \t]*["'\]]?([A-Za-z0-9_.\-]*[A-Za-z_])""")
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'`,;(){}\[\]<>+]+))""")
 PLUS = re.compile(r"\s*\+(?:\s|\\\r?\n)*")
 #: What may follow a plus sign at the start of a line without going on the chain: the next assignment, in a patch.
 ASSIGNED = re.compile(r"""(?:[\w.\-]+|"[^"\n]*"|'[^'\n]*')[ \t]*(?::=|=>|[=:])""")
 SUBWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-#: A name may be this long at most; what stands further left of an operator is not part of it.
-NAME_CHARS = 96
 
 #: Weights of the parts of a name.
 SENSITIVE = {
@@ -124,15 +123,17 @@ def lex(text: str):
     or a known name follows that is not assigned to itself, since lists and patches begin lines with a plus as well.
     """
     known: dict[str, Chain] = {}
+    before = 0  # where the last operator ended: no name crosses one, so names cost as much as the text has characters
     for op in OPERATOR.finditer(text):
-        at = op.start()
+        at, since, before = op.start(), before, op.end()
         if op[0] == "=" and (text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[at + 1 : at + 2] in ("=", ">")):
             continue  # a comparison, or the end of a longer operator
         if op[0] == ":" and text[at + 1 : at + 3] == "//":
             continue
-        name = NAME_BEFORE.search(text, max(0, at - NAME_CHARS), at)
+        name = NAME_BEFORE.match(text[since:at][::-1])
         if not name:
             continue
+        name = name[1][::-1]
         parts, end, leading = [], op.end(), False
         while term := TERM.match(text, end):
             group = next(g for g in (1, 2, 3) if term[g] is not None)
@@ -147,8 +148,8 @@ def lex(text: str):
             leading = "\n" in text[end : text.index("+", end)]
             end = plus.end()
         if parts:
-            known[name[1]] = parts[0] if len(parts) == 1 and isinstance(parts[0], Chain) else Chain(parts)
-            yield name[1], known[name[1]]
+            known[name] = parts[0] if len(parts) == 1 and isinstance(parts[0], Chain) else Chain(parts)
+            yield name, known[name]
 
 
 def find_secrets(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
