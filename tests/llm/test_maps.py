@@ -171,16 +171,11 @@ def test_gradient_is_the_slope():
 
 
 def brute_top_k(rows, k=10):
-    fit = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(1024 * float(x))) for x in v]
-            fit[i] = min(w, fit.get(i, w))
+    fit = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(1024 * float(x)) for x in v)]
     out = []
-    for q in sorted(fit):
-        if q % 100 == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(fit[q], fit[c], strict=True)), c) for c in fit if c != q and len(fit[c]) == len(fit[q]))
-            out += [(q, r, c, -s) for r, (s, c) in enumerate(ranked[:k], 1)]
+    for q in sorted({i for i, _ in fit if i % 100 == 0}):
+        ranked = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for own, x in fit if own == q for c, y in fit if c != q and len(x) == len(y))
+        out += [(q, r, c, max(-(2**63), min(2**63 - 1, -s))) for r, (s, c) in enumerate(ranked[:k], 1)]
     return out
 
 
@@ -193,6 +188,16 @@ def test_top_k_equals_brute_force(spark, dims):
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top_k(rows)
 
 
+def test_top_k_of_repeated_ids_and_huge_values(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [5.0]), (2, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df).collect()] == brute_top_k(rows) == [(0, 1, 1, 5 * 2**20), (0, 2, 2, 3 * 2**20), (0, 3, 1, 2 * 2**20)]
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([1e18, -1e18, 1e300, 3.7, -2e15]) * rng.random() for _ in range(3)]) for i in range(240)] + [(300, [1.7e308, 1.0, 1.0]), (301, [1e305, 1e305, 1e305])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top_k(rows)
+
+
 def test_blocks_stop_early_and_lose_nothing():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(6, 32))

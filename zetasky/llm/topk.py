@@ -1,6 +1,7 @@
 """Exact top-k inner-product search without random access.
 
-Candidates are dealt into blocks. A block's vectors are turned into their principal axes, which leaves inner products
+Candidates are dealt into blocks and stay there; only the queries, one row in a hundred, go to every block, and pass it
+in batches. A block's vectors are turned into their principal axes, which leaves inner products
 as they are but puts most of every score into few components, and each component's values form a sorted list. For a
 query the lists that matter most are read first, each from its best end; what has been read gives every candidate a
 lower and an upper bound of its score, unread values lying between the list's frontier and its far end. Reading stops
@@ -13,22 +14,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries at most on average, and blocks of candidates at least.
-CANDIDATE_ROWS, QUERY_ROWS, LEAST_BLOCKS = 8192, 4096, 24
+from .util import arrow_schema, runs, ship
+
+#: Rows of a block of candidates on average, and blocks at least.
+CANDIDATE_ROWS, LEAST_BLOCKS = 16_384, 24
 #: Lists that are read together, shares of them that are read before the bounds are looked at again, and the share
 #: of a block's candidates below which their final scores are cheaper than more reading.
-LISTS, DEPTHS, FEW = 12, (0.6, 1.0), 0.2
+LISTS, DEPTHS, FEW = 8, (0.1, 0.25, 0.5, 1.0), 0.1
+#: Scores beyond 64 bits are shown as the nearest long.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class Block:
     """Candidates of one length with the sorted lists of their principal components."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.read, self.held = ids, x, 0, 0
         self.largest = float(np.abs(x).max(initial=0.0))
         self.plain = x.size == 0 or self.largest > 2**40
         if not self.plain:
@@ -48,6 +53,7 @@ class Block:
         slack = self.slack * float(np.sqrt(query @ query)) + 1e-300
         by_spread = np.argsort(ends[0] - ends[1])
         done, left = np.zeros(n), take
+        self.held += n * len(by_spread)
         for g in range(0, len(by_spread), LISTS):
             lists, rest = by_spread[g : g + LISTS], by_spread[g + LISTS :]
             low, high = ends[0][rest].sum(), ends[1][rest].sum()
@@ -59,6 +65,7 @@ class Block:
                 rows = [self.order[d, c] for d, c in zip(lists, chunk, strict=True)]
                 gains = [self.sorted[d, c] * weight[d] for d, c in zip(lists, chunk, strict=True)]
                 part += np.bincount(np.concatenate(rows), weights=np.concatenate(gains), minlength=n)
+                self.read += (to - at) * len(lists)
                 at = to
                 if to < n:
                     frontier = np.array([g.min() for g in gains])
@@ -90,45 +97,77 @@ class Block:
         return [(-s, row) for s, _, row in best]
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, one_row: bool = True) -> DataFrame:
+def clipped(score: int) -> tuple[int, str]:
+    """The nearest long, and a text that sorts scores with the same one as the scores themselves are sorted."""
+    if LEAST <= score <= MOST:
+        return score, "5"
+    digits = str(abs(score))
+    if score > 0:
+        return MOST, f"9{len(digits):05d}{digits}"
+    return LEAST, f"1{99999 - len(digits):05d}" + "".join(str(9 - int(d)) for d in digits)
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """The k rows with the highest integer inner product for every row whose vec_id is divisible by ``every``.
 
     ``vectors`` needs vec_id and embedding; other columns are ignored. A component x counts as floor(scale * x).
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Vectors that are null or hold
-    null or non-finite components, and rows without an id, take no part; of rows with one id the least vector
-    counts, or without ``one_row`` every row does, as a candidate for other ids and as a query whose results share the
-    ranking of its id: equal rows travel as one with their number. Vectors are compared with vectors of their own length only; an empty table gives no rows. Queries and
-    candidates meet in a grid of blocks of bounded size; nothing is broadcast.
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Vectors that are null or hold null
+    components, or components that are not finite once scaled, and rows without an id take no part. Every other row
+    counts, also where ids repeat: as a candidate for other ids and as a query whose results share the ranking of its
+    id; equal rows travel as one with their number. Scores are exact integers of any size and ranked as such; one
+    beyond 64 bits is shown as the nearest long. Vectors are compared with vectors of their own length only; an empty
+    table gives no rows. Nothing is broadcast.
     """
-    whole = F.expr(f"transform(embedding, x -> floor({scale}D * cast(x as double)))")
-    fit = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    usable = vectors.select("vec_id", "embedding").filter(fit)
-    if one_row:
-        usable = usable.groupBy("vec_id").agg(F.min(whole).alias("x"), F.lit(1).cast("long").alias("times"))
-    else:
-        usable = usable.groupBy("vec_id", whole.alias("x")).agg(F.count("*").alias("times"))
-    n = vectors.count()
-    blocks, query_blocks = max(LEAST_BLOCKS, math.ceil(n / CANDIDATE_ROWS)), math.ceil(n / every / QUERY_ROWS) or 1
-    spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    queries = usable.filter(F.col("vec_id") % every == 0).select("vec_id", "x", "times", F.pmod(F.hash("vec_id", "x"), F.lit(query_blocks)).alias("qb"), spread("cb", blocks))
-    candidates = usable.select("vec_id", "x", "times", spread("qb", query_blocks), F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("cb"))
-
-    def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        lengths = block["x"].map(len) if len(block) else []
-        for dims in set(lengths):
-            part = block[lengths == dims]
-            ids, times, x = part["vec_id"].to_numpy(), part["times"].tolist(), np.stack(part["x"].to_numpy()).astype(np.float64).reshape(len(part), dims)
-            found = Block(ids, x)
-            for own, vector, again in zip(asked["vec_id"], asked["x"], asked["times"].tolist(), strict=True):
-                if len(vector) == dims:
-                    best = found.best(np.asarray(vector, dtype=np.float64), own, k)
-                    out += [(own, ids[row], s) for s, row in best for _ in range(min(k, again * times[row]))][:k]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    ship(vectors.sparkSession)
+    whole = F.expr(f"transform(embedding, x -> transform(array({scale}D * cast(x as double)), y -> if(abs(y) < 4503599627370496D, cast(floor(y) as double), y))[0])")
+    finite = F.expr("vec_id is not null and x is not null and forall(x, y -> y is not null and not isnan(y) and abs(y) < double('infinity'))")
+    usable = vectors.select("vec_id", whole.alias("x")).filter(finite).groupBy("vec_id", "x").agg(F.count("*").alias("times"))
+    blocks = max(LEAST_BLOCKS, math.ceil(vectors.count() / CANDIDATE_ROWS))
+    candidates = usable.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asked"), "vec_id", "times", "x")
+    queries = usable.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asked"), "vec_id", "times", "x")
+    ddl = "query_id long, vec_id long, score long, beyond string"
+    schema = arrow_schema(ddl)
+
+    def search(batches):
+        held, number, built = [], None, {}
+        for (block, asked), rows in runs_by_batch(batches):
+            if block != number:
+                held, number, built = [], block, {}
+            if not asked:
+                held.append(rows)
+                continue
+            if held:
+                built, held = built_blocks(pa.Table.from_batches(held)), []
+            out = []
+            for own, again, vector in zip(rows.column("vec_id").to_pylist(), rows.column("times").to_pylist(), rows.column("x").to_pylist(), strict=True):
+                if len(vector) in built:
+                    found, times = built[len(vector)]
+                    best = found.best(np.array(vector, dtype=np.float64), own, k)
+                    out += [(own, int(found.ids[row]), *clipped(s)) for s, row in best for _ in range(min(k, again * int(times[row])))][:k]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    dealt = candidates.unionByName(queries).repartition("block").sortWithinPartitions("block", "asked")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
+    return dealt.mapInArrow(search, ddl).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def runs_by_batch(batches):
+    """((block, asked), rows): each batch's runs by themselves, so a block's queries are never held together."""
+    for batch in batches:
+        for key, rows in runs(iter([batch]), ["block", "asked"]):
+            yield key, rows.to_batches()[0]
+
+
+def built_blocks(rows: pa.Table) -> dict[int, tuple[Block, np.ndarray]]:
+    """A block of candidates for each length of vector, with how often each row stands in the table."""
+    lengths = rows.column("x").combine_chunks().value_lengths().to_numpy()
+    out = {}
+    for dims in np.unique(lengths).tolist():
+        part = rows.filter(pa.array(lengths == dims))
+        x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dims)
+        out[dims] = Block(part.column("vec_id").to_numpy(), x), part.column("times").to_numpy()
+    return out
 
 
 ORACLE = """
