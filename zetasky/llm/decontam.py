@@ -14,7 +14,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import annotate
+from .util import annotate, free_name, stash, unstash
 
 NOT_WORD = re.compile(r"[\W_]+")
 #: Characters of normalised items that one pass over the documents takes; more items mean more passes.
@@ -102,24 +102,32 @@ class ItemMatcher:
         return found
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float) -> DataFrame:
-    """``docs`` with a column __hits: the items that each text holds, as id:distance, comma-joined."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float, hits: str) -> DataFrame:
+    """``docs`` with a column ``hits``: the items that each text holds, as id:distance, comma-joined.
+
+    Each pass is a job of its own that writes its rows to the shared folder, so a worker holds one pass's automaton.
+    """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     passes = max(1, math.ceil(total / PASS_CHARS))
-    result = docs.withColumn("__hits", F.lit(""))
+    result, more, before = docs, free_name(docs, hits + "_more"), None
     for k in range(passes):
         part = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
         shared = spark.sparkContext.broadcast(part)
 
         def make(shared=shared):
             matcher = ItemMatcher(shared.value, error_rate)
-            return lambda text: {"__more": [",".join(f"{i}:{d}" for i, d in matcher.find(t).items()) for t in text]}
-
-        more = annotate(result, ["text"], "__more string", make)
-        joined = F.concat_ws(",", F.nullif("__hits", F.lit("")), F.nullif("__more", F.lit("")))
-        result = more.withColumn("__hits", joined).drop("__more")
+            return lambda text: {(more if k else hits): [",".join(f"{i}:{d}" for i, d in matcher.find(t).items()) for t in text]}
+
+        result = annotate(result, ["text"], f"`{more if k else hits}` string", make)
+        if k:
+            result = result.withColumn(hits, F.concat_ws(",", F.nullif(hits, F.lit("")), F.nullif(more, F.lit("")))).drop(more)
+        if k < passes - 1:
+            result, path = stash(result)
+            if before:
+                unstash(spark, before)
+            before = path
     return result
 
 
@@ -132,12 +140,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.0
     do null or wordless items; repeated items count by id; an empty benchmark leaves every document clean. Items go
     to the tasks in passes of at most PASS_CHARS characters, so what is broadcast is bounded; documents never move.
     """
-    pairs = F.expr("transform(filter(split(__hits, ','), h -> h <> ''), h -> struct(cast(split(h, ':')[0] as long) as id, cast(split(h, ':')[1] as int) as distance))")
+    pairs = F.expr("transform(filter(split(hits, ','), h -> h <> ''), h -> struct(cast(split(h, ':')[0] as long) as id, cast(split(h, ':')[1] as int) as distance))")
     ids = F.array_sort(F.array_distinct(F.col("p.id")))
-    found = with_hits(docs.select("doc_id", "text"), benchmark, error_rate).select("doc_id", pairs.alias("p"))
+    found = with_hits(docs.select("doc_id", "text"), benchmark, error_rate, "hits").select("doc_id", pairs.alias("p"))
     return found.select("doc_id", (F.size("p") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.array_min("p.distance").alias("least_distance"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    return with_hits(docs, benchmark, error_rate).filter(F.col("__hits") == "").drop("__hits")
+    hits = free_name(docs, "hits")
+    return with_hits(docs, benchmark, error_rate, hits).filter(F.col(hits) == "").drop(hits)
