@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import annotate, map_columns
+from .util import annotate, free_name, map_columns, ship
 
 #: Bytes of a window; windows that the network takes at a time.
 WINDOW, BATCH = 256, 16
@@ -83,16 +83,14 @@ class ByteCNN:
             np.add.at(grad["embed"], chars.ravel(), into[:, :, j * depth : (j + 1) * depth].reshape(-1, depth))
         return grad
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 64, seed: int = 0) -> None:
-        """Adam on softmax cross-entropy; classes weigh the same whatever their share."""
+    def fit(self, windows: np.ndarray, labels: np.ndarray, share: np.ndarray, epochs: int, draws: int, rate: float = 0.01, batch: int = 64, seed: int = 0) -> None:
+        """Adam on softmax cross-entropy over ``draws`` windows an epoch, each drawn with its ``share`` as chance."""
         rng, step = np.random.default_rng(seed), 0
-        share = np.bincount(labels, minlength=len(self.languages)).clip(1)
         target = np.eye(len(self.languages), dtype=np.float32)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        chance = (1 / share[labels]) / (1 / share[labels]).sum()
         for _ in range(epochs):
-            drawn = rng.choice(len(labels), len(labels), p=chance)
+            drawn = rng.choice(len(labels), draws, p=share)
             for i in range(0, len(drawn), batch):
                 pick, step = drawn[i : i + batch], step + 1
                 for k, g in self.gradient(windows[pick], target[labels[pick]]).items():
@@ -134,24 +132,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_docs: int = 3000, sample_chars: int = 768, epochs: int = 4) -> ByteCNN | None:
-    """Fit the network on at most ``max_docs`` labelled texts outside the held-out fold, ``sample_chars`` of each.
+def train(docs: DataFrame, max_docs: int = 1500, epochs: int = 5, epoch_windows: int = 8192) -> ByteCNN | None:
+    """Fit the network on at most ``max_docs`` labelled texts outside the held-out fold, all windows of each.
 
-    The sample is the texts whose salted id hashes lowest, so the same rows are drawn on every run. None without
-    a labelled text.
+    The sample is the texts whose salted id hashes lowest, so the same rows are drawn on every run. An epoch draws
+    ``epoch_windows`` windows, languages and the texts of a language being as likely as each other. None without a
+    labelled text.
     """
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int")
+    ship(docs.sparkSession)
     labelled = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**31))
-    below = int(min(1.0, 4 * max_docs / max(1, labelled.count())) * 2**31)  # so tasks send few rows, however many there are
-    drawn = labelled.select("lang", F.substring("text", start, F.lit(sample_chars)).alias("part"), lot.alias("lot")).filter(F.col("lot") < below)
-    sample = drawn.orderBy("lot", "lang", "part").limit(max_docs).collect()
-    rows = [(r.lang, w) for r in sample if r.part and LETTER.search(r.part) for w in to_windows(r.part)]
-    if not rows:
+    below = int(min(1.0, 2 * max_docs / max(1, labelled.count())) * 2**31)  # so tasks send few rows, however many there are
+    drawn = labelled.select("lang", "text", lot.alias("lot")).filter(F.col("lot") < below)
+    sample = [r for r in drawn.orderBy("lot", "lang", "text").limit(max_docs).collect() if LETTER.search(r.text)]
+    if not sample:
         return None
-    languages = sorted({lang for lang, _ in rows})
-    model = ByteCNN.fresh(languages)
-    model.fit(np.stack([w for _, w in rows]), np.array([languages.index(lang) for lang, _ in rows]), epochs)
+    languages = sorted({r.lang for r in sample})
+    model, windows = ByteCNN.fresh(languages), [to_windows(r.text) for r in sample]
+    counts, label = np.array([len(w) for w in windows]), np.array([languages.index(r.lang) for r in sample])
+    share = (1 / np.bincount(label)[label] / counts).repeat(counts)
+    model.fit(np.concatenate(windows), label.repeat(counts), share / share.sum(), epochs, epoch_windows)
     return model
 
 
@@ -185,15 +185,15 @@ def keep_identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     model = train(docs)
     if model is None:
         return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, fit = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "fit")
 
     def make():
         predict = predictor(shared)
 
         def run(text):
             found = predict(None, text)
-            return {"__fit": [lang != UNKNOWN and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]}
+            return {fit: [lang != UNKNOWN and score >= least_score for lang, score in zip(found["lang_pred"], found["score"], strict=True)]}
 
         return run
 
-    return annotate(docs, ["text"], "__fit boolean", make).filter("__fit").drop("__fit")
+    return annotate(docs, ["text"], f"`{fit}` boolean", make).filter(F.col(fit)).drop(fit)
