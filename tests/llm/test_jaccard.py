@@ -152,4 +152,5 @@ def test_packed_points_bound_every_overlap():
     for _ in range(40):
         a, b = (np.unique(base[rng.random(9000) < rng.random()]) for _ in range(2))
         p, q = jaccard.unpacked_points([jaccard.packed_point(a), jaccard.packed_point(b)])
+        assert len(p) <= 2 * jaccard.GROUPS + 1 or min(len(a), len(b)) > jaccard.GROUPS * jaccard.FILL
         assert len(np.intersect1d(a, b)) <= np.minimum(p, q).sum() and p.sum() == len(a)

@@ -23,9 +23,12 @@ Shingles are 64-bit hashes throughout: a wrong link would take colliding hashes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sorted_groups, stash, unpack48, unstash
 
-#: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT.
-GROUPS, MOST_COUNT = 256, 15
-#: Points in a leaf, children of a box; rows of small groups that are compared at once, and nodes in a small group.
-LEAF, FAN_OUT, COMPARED, SMALL = 32, 8, 20_000, 8
+#: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT. They
+#: double until a group holds FILL shingles on average at most; a point is folded to compare it with a shorter one.
+GROUPS, FILL, MOST_COUNT = 256, 4, 15
+#: Points in a leaf, children of a box; counts of small groups that are compared at once, and nodes in a small group.
+LEAF, FAN_OUT, COMPARED, SMALL = 32, 8, 5_000_000, 8
 #: Sets of this size and more get keys of whole hash ranges.
 LARGE = 1000
 #: Dimensions of a point at most, where sets are verified and may be large.
@@ -96,17 +100,28 @@ def packed_point(shingles: np.ndarray) -> bytes:
 
     The minima of capped counts plus the smaller excess are never less than the minima of the counts.
     """
-    counts = point(shingles)
+    groups = GROUPS
+    while len(shingles) > FILL * groups:
+        groups *= 2
+    counts = point(shingles, groups)
     low = np.minimum(counts, MOST_COUNT).astype(np.uint8)
     return (low[0::2] | low[1::2] << 4).tobytes() + int((counts - low).sum()).to_bytes(4, "little")
 
 
-def unpacked_points(blobs: pa.ChunkedArray | list[bytes]) -> np.ndarray:
-    """(n, GROUPS + 1) counts, the excess last."""
-    raw = np.frombuffer(b"".join(blobs if isinstance(blobs, list) else blobs.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS // 2 + 4)
-    out = np.empty((len(raw), GROUPS + 1), dtype=np.int32)
-    out[:, 0:GROUPS:2], out[:, 1:GROUPS:2] = raw[:, :-4] & 15, raw[:, :-4] >> 4
-    out[:, GROUPS] = np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0]
+def unpacked_points(blobs: list[bytes]) -> np.ndarray:
+    """Counts with as many groups as the shortest point has, the excess last."""
+    lengths = np.array([len(b) for b in blobs])
+    shortest = int(lengths.min())
+    groups = 2 * shortest - 8
+    out = np.empty((len(blobs), groups + 1), dtype=np.int32)
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        raw = np.frombuffer(b"".join(blobs[i] for i in rows), dtype=np.uint8).reshape(len(rows), length)
+        counts = np.empty((len(rows), 2 * length - 8), dtype=np.uint8)
+        counts[:, 0::2], counts[:, 1::2] = raw[:, :-4] & 15, raw[:, :-4] >> 4
+        # The group of a hash among half as many groups is that of its own group.
+        out[rows, :-1] = counts if length == shortest else counts.reshape(len(rows), -1, groups).sum(axis=1)
+        out[rows, -1] = np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0]
     return out
 
 
@@ -119,26 +134,41 @@ def class_reach(percent: int) -> int:
     return int(np.log(100 / percent) / np.log(SIZE_STEP) + 1e-6) + 1
 
 
+@lru_cache
+def shingles_a_range(percent: int) -> float:
+    """Shingles of the largest set of a class that a hash range shall hold on average.
+
+    A set of ``n`` may differ from a similar one in n * (100 - percent) / percent shingles, so its keys must be more than
+    that. What is sought is a mean with which the ranges of c shingles or more are enough, for the greatest such c.
+    """
+    t = percent / 100
+
+    def share(mean: float, c: int) -> float:
+        return (1 - sum(exp(-mean) * mean**k / factorial(k) for k in range(c))) / mean
+
+    best = max(((c, min(share(m * x, c) for x in (t * t, t, 1.0)), m) for c in range(1, 9) for m in (0.2 * i for i in range(1, 60))), key=lambda b: (b[0] if b[1] > 1.05 * (1 - t) / t else 0, b[1]))
+    return best[2]
+
+
 def range_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the hash ranges of a large set: similar sets share one at least.
 
-    Sizes fall into classes by powers of the threshold, so similar sets are in one class or in neighbours; a set
-    has keys for its class and the next. Two similar sets of a class differ in at most ``most`` shingles, so of more
-    ranges one at least holds the same shingles in both. Empty ranges get no key where enough others are left.
+    Sizes fall into classes by powers of the threshold, so similar sets are in one class or in neighbours; a set has
+    keys for its class and the next. Two similar sets differ in no more shingles than ``most``, so of more ranges one at
+    least holds the same shingles in both. Ranges of few shingles, which sets may share by chance, get no key where
+    enough fuller ones are left; of two sets' shared ranges one is full enough for both.
     """
     lowest, keys = int(np.floor(np.log(len(shingles)) / np.log(100 / percent) + 1e-9)), []
+    most = len(shingles) * (100 - percent) // percent
     for c in (lowest, lowest + 1):
-        largest = int((100 / percent) ** (c + 1)) + 1
-        most = (100 - percent) * 2 * largest // (100 + percent)
-        ranges = most + most // 8 + 2
-        at = ((shingles >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        ranges = max(most + 2, int((100 / percent) ** (c + 1) / shingles_a_range(percent)))
+        at = (((shingles >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        content = np.add.reduceat((shingles ^ shingles >> np.uint64(27)) * MIX[2], first)
-        held = at[first]
-        if len(held) <= most:
-            empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), held)
-            held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
-        key = (content ^ content >> np.uint64(31)) * MIX[3] + held * MIX[4] + np.full(1, c, dtype=np.uint64) * MIX[5]
+        content = np.zeros(ranges, dtype=np.uint64)
+        content[at[first]] = np.add.reduceat((shingles ^ shingles >> np.uint64(27)) * MIX[2], first)
+        counts = np.bincount(at, minlength=ranges)
+        held = np.flatnonzero(counts >= np.sort(counts)[ranges - most - 1])
+        key = (content[held] ^ content[held] >> np.uint64(31)) * MIX[3] + held.astype(np.uint64) * MIX[4] + np.full(1, c, dtype=np.uint64) * MIX[5]
         keys.append((key ^ key >> np.uint64(30)) * MIX[6])
     return np.concatenate(keys)
 
@@ -276,32 +306,36 @@ def ties_under_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 
     Groups of a few nodes are compared many groups at once, larger ones through the R-tree.
     """
-    held, size = [], 0
+    held: dict[int, list[pa.Table]] = {}  # by length of the shortest point
+    size: dict[int, int] = {}
 
     def small(tables):
         rows = pa.concat_tables(tables)
         key, nodes, sizes = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
-        points = unpacked_points(rows.column("point"))
+        points = unpacked_points(rows.column("point").to_pylist())
         for step in range(1, SMALL):
             i = np.flatnonzero(key[step:] == key[:-step])
             i = i[enough(np.minimum(points[i], points[i + step]).sum(axis=1), sizes[i] + sizes[i + step], percent)]
-            yield np.stack([nodes[i + step], nodes[i]], axis=1)
+            if len(i):
+                yield np.stack([nodes[i + step], nodes[i]], axis=1)
 
     for _, rows in runs(batches, ["key"]):
-        if 1 < rows.num_rows <= SMALL:
-            held.append(rows)
-            size += rows.num_rows
-            if size >= COMPARED:
-                yield from small(held)
-                held, size = [], 0
-        elif rows.num_rows > SMALL:
+        if rows.num_rows > SMALL:
             nodes, root = rows.column("node").to_numpy(), np.arange(rows.num_rows)
-            for i, near in pairs_within(unpacked_points(rows.column("point")), rows.column("n").to_numpy(), percent):
+            for i, near in pairs_within(unpacked_points(rows.column("point").to_pylist()), rows.column("n").to_numpy(), percent):
                 for r in np.unique(root[near]):
                     root[root == r] = root[i]
             yield np.stack([nodes, nodes[root]], axis=1)[root != np.arange(len(root))]
-    if held:
-        yield from small(held)
+        elif rows.num_rows > 1:
+            lengths = pc.min_max(pc.binary_length(rows.column("point")))
+            low, high = lengths["min"].as_py(), lengths["max"].as_py()
+            held.setdefault(low, []).append(rows)
+            size[low] = size.get(low, 0) + rows.num_rows * 2 * high
+            if size[low] >= COMPARED:
+                yield from small(held.pop(low))
+                size[low] = 0
+    for tables in held.values():
+        yield from small(tables)
 
 
 def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -589,7 +623,7 @@ def still_apart(spark, keyed: DataFrame, several: DataFrame, links: DataFrame, p
             if not mine.any() or mine.all():
                 continue
             home, node, label, sizes = (cell.column(c).to_numpy() for c in ("home", "node", "label", "n"))
-            points = unpacked_points(cell.column("point"))
+            points = unpacked_points(cell.column("point").to_pylist())
             yours = np.flatnonzero(~mine)
             tree = RTree(points[yours], sizes[yours])
             found = []
