@@ -7,11 +7,17 @@ its gram hashes marks one sampled position. Equal strings mark the same place, s
 one sampled suffix, its anchor, at one distance.
 
 1. Anchors' names are dealt in packed buckets; a name that one document alone holds is dropped there.
-2. The remaining anchors meet by name with the bytes around them. The strings they own are sorted, and adjacent
-   ones compared: a string is repeated if an equal one stands in a document with a smaller id.
-3. Very common anchors do not meet in one task as they are: equal surroundings are first collapsed by map-side
-   minima. If many different ones are left, their strings are matched by a join that can be split.
+2. The remaining anchors meet by name as hashes of their surroundings, the bytes of the strings they own, with the
+   smallest document of each, combined on the map side. Equal surroundings hold equal strings, so all of them but the
+   first document's are repeated whole. Different surroundings of one name can still share a string if they agree
+   on one side of the anchor; only those need a comparison.
+3. One more pass over the texts looks its anchors up: it emits what is repeated whole as merged ranges, and the bytes of
+   what needs a comparison, once for each different surroundings. The strings owned there are sorted, and adjacent ones
+   compared byte by byte: a string is repeated if an equal one stands in a document with a smaller id.
 4. A document's repeated strings are united and cut out.
+
+Names of very many documents do not meet in one task: their surroundings are combined by map-side minima. Surroundings
+count as equal by 112 bits of hash.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_schema, pack48, runs, ship, sorted_groups, stash, unpack48
+from .util import arrow_schema, pack48, runs, ship, sorted_groups, stash, unpack48, unstash
 
 #: Bytes of a gram. Shorter grams are common by chance, longer ones leave fewer to choose an anchor from.
 GRAM = 18
@@ -32,12 +38,13 @@ GRAM = 18
 #: packs together, and names in a bucket on average.
 PIECE, PACKED_NAMES, BUCKET_NAMES = 300_000, 400_000, 1_000_000
 LEAST_BUCKETS = 96
-#: Shared names that are broadcast; with more of them anchors are joined with the names instead.
+#: Shared names, and surroundings, that are broadcast; with more of them all anchors are joined with the surroundings.
 SHARED_BROADCAST = 4_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
 COPIES_BROADCAST = 500_000
-#: Anchors of one name that meet in a task.
-COMMON_NAME = 1000
+#: Anchors of one name that meet in a task, or a share of all anchors where that is more: so few names are common that
+#: a list of them is bounded.
+COMMON_NAME, COMMON_SHARE = 1000, 100_000
 #: Rows that the comparison handles at once.
 COMPARED = 30_000
 
@@ -63,17 +70,30 @@ class Powers:
 POWERS = Powers()
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of each run of ``size`` bytes, from differences of one running sum."""
-    up, down = POWERS.of(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODES[data] * up, out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
-    h ^= h >> np.uint64(32)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(32)
     h *= np.uint64(MULTIPLIER)
     return h ^ h >> np.uint64(29)
 
 
+def running_sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_CODES[data] * POWERS.of(len(data))[0], out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from ``begin`` to ``end``, which may be clipped to what there is."""
+    begin, end = np.maximum(begin, 0), np.minimum(end, len(sums) - 1)
+    return mixed((sums[end] - sums[begin]) * POWERS.of(len(sums))[1][begin])
+
+
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of each run of ``size`` bytes, from differences of one running sum."""
+    sums = running_sums(data)
+    return mixed((sums[size:] - sums[:-size]) * POWERS.of(len(data))[1][: len(data) - size + 1])
+
+
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts joined into arrays of about PIECE bytes, as (bytes, ends, text numbers, offsets); a text longer than
     that comes in parts that overlap by ``length`` - 1, so every string lies whole in exactly one part."""
@@ -94,9 +114,13 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([len(p) for p in parts]), np.array(numbers), np.array(offsets)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors as (name, part, first, last): the anchor owns the strings that start at first to last in ``data``."""
-    gram = min(GRAM, max(1, length // 2))
+def gram_size(length: int) -> int:
+    return min(GRAM, max(1, length // 2))
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors as (name, part, spot, first, last): the anchor owns the strings that start at first to last in ``data``."""
+    gram = gram_size(length)
     h = window_hashes(data, gram)
     least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes
     span, have = length - gram + 1, 1
@@ -111,7 +135,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     last = np.concatenate([change[1:], [len(spot)]]) - 1
     keep = spot[change] >= 0
     first, last = change[keep], last[keep]
-    return h[spot[first]] >> np.uint64(16), np.searchsorted(ends, first, side="right"), first, last
+    spot = spot[first]
+    return h[spot] >> np.uint64(16), np.searchsorted(ends, first, side="right"), spot.astype(np.int64), first, last
 
 
 def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -156,38 +181,156 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return sorted_groups(packed, ["bucket"], meet, "name long, n long")
 
 
-ANCHOR_COLUMNS = ("name", "doc_id", "tid", "first", "context")
-ANCHOR_ROW = "name long, doc_id long, tid long, first int, context binary, common boolean"
+#: An entry of surroundings: hashes of the name, of all, of what is left and what is right of the anchor, the smallest
+#: document, and whether there is another.
+ENTRY = np.dtype([("name", "<u8"), ("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("many", "?")])
+
+
+def combined(entries: np.ndarray) -> np.ndarray:
+    """One entry for each name and surroundings, sorted by them."""
+    entries = entries[np.lexsort((entries["doc"], entries["whole"], entries["name"]))]
+    first = np.flatnonzero(np.concatenate([[True], (entries["name"][1:] != entries["name"][:-1]) | (entries["whole"][1:] != entries["whole"][:-1])]))
+    out = entries[first]
+    last = np.append(first[1:], len(entries)) - 1
+    out["many"] = np.logical_or.reduceat(entries["many"], first) | (entries["doc"][first] != entries["doc"][last])
+    return out
+
+
+def found_anchors(batches, length: int, names: np.ndarray | None):
+    """(name, part, first, end, entries, doc_id, tid, offset, bytes) of the anchors of each piece of batches
+    (doc_id, tid, text), of the given names only; entries have the one document."""
+    half = (length - gram_size(length) + 1) // 2
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            ids, tids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            for data, ends, numbers, offsets in pieces([t.encode("utf-8", "replace") for t in rows.column(2).to_pylist()], length):
+                name, part, spot, first, last = anchors(data, ends, length)
+                if names is not None:
+                    hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), dtype=bool)
+                    name, part, spot, first, last = name[hit], part[hit], spot[hit], first[hit], last[hit]
+                if not len(name):
+                    continue
+                sums = running_sums(data)
+                entries = np.empty(len(name), dtype=ENTRY)
+                entries["name"], entries["whole"], entries["many"] = name, range_hashes(sums, first, last + length), False
+                entries["left"] = range_hashes(sums, spot - half, spot + gram_size(length)) >> np.uint64(48)
+                entries["right"] = range_hashes(sums, spot, spot + gram_size(length) + half) >> np.uint64(48)
+                entries["doc"] = ids[numbers[part]]
+                begin = np.concatenate([[0], ends[:-1]])[part]
+                yield part, first, last + length, entries, tids[numbers[part]], offsets[part] - begin, data
+
+
+SURROUNDINGS = "name long, whole long, doc long, flag int"
+#: Flags of surroundings: several documents have them; they need a comparison; among very many others.
+WHOLE, COMPARE, MANIFOLD = 1, 2, 4
+
+
+def surroundings(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
+    """name, whole (hash), doc (the smallest) and flag of the surroundings that decide about a string.
+
+    ``known`` holds the shared names, or None for all, and the common ones, both sorted. Entries travel packed by name, but
+    those of common names one by one, so that Spark combines them on the map side.
+    """
+    ddl = "bucket int, entries binary, name long, whole long, doc long, many boolean"
+    schema, out_schema = arrow_schema(ddl), arrow_schema(SURROUNDINGS)
+
+    def packed(held: list[np.ndarray], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+        entries = combined(np.concatenate(held))
+        is_common = common[np.minimum(np.searchsorted(common, entries["name"]), len(common) - 1)] == entries["name"] if len(common) else np.zeros(len(entries), dtype=bool)
+        plain, entries = entries[is_common], entries[~is_common]
+        bucket = (entries["name"] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        present, cuts = np.unique(bucket[order], return_index=True)
+        blobs = [entries[order[i:j]].tobytes() for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(blobs, pa.binary()), *(pa.nulls(len(blobs), f.type) for f in list(schema)[2:])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(plain), pa.int32()), pa.nulls(len(plain), pa.binary()), pa.array(plain["name"].astype(np.int64)), pa.array(plain["whole"].astype(np.int64)), pa.array(plain["doc"].copy()), pa.array(plain["many"].copy())], schema=schema)
 
+    def pack(batches):
+        names, common = known.value
+        held, size = [], 0
+        for _, _, _, entries, *_ in found_anchors(batches, length, names):
+            held.append(entries)
+            size += len(entries)
+            if size >= PACKED_NAMES:
+                yield from packed(held, common)
+                held, size = [], 0
+        if size:
+            yield from packed(held, common)
 
-def anchor_rows(docs: DataFrame, length: int, shared) -> DataFrame:
-    """A row for each anchor with the bytes of the strings it owns; where ``shared`` holds (names, common) as
-    arrays, only for those names."""
+    def meet(batches):
+        for _, rows in runs(batches, ["bucket"]):
+            entries = combined(np.frombuffer(b"".join(rows.column("entries").to_pylist()), dtype=ENTRY))
+            flag = entries["many"] * np.int32(WHOLE)
+            _, head, kinds = np.unique(entries["name"], return_index=True, return_counts=True)
+            several = np.repeat((kinds > 1) & ((np.minimum.reduceat(entries["doc"], head) != np.maximum.reduceat(entries["doc"], head)) | np.logical_or.reduceat(entries["many"], head)), kinds)
+            for side in ("left", "right"):
+                rest = np.flatnonzero(several)
+                rest = rest[np.lexsort((entries[side][rest], entries["name"][rest]))]
+                same = (entries["name"][rest][1:] == entries["name"][rest][:-1]) & (entries[side][rest][1:] == entries[side][rest][:-1])
+                flag[rest[np.flatnonzero(same)]] |= COMPARE
+                flag[rest[np.flatnonzero(same) + 1]] |= COMPARE
+            found, flag = entries[flag > 0], flag[flag > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(found["name"].astype(np.int64)), pa.array(found["whole"].astype(np.int64)), pa.array(found["doc"].copy()), pa.array(flag)], schema=out_schema)
+
+    dealt, path = stash(docs.select("doc_id", "tid", "text").mapInArrow(pack, ddl))
+    few = sorted_groups(dealt.filter("bucket is not null").select("bucket", "entries"), ["bucket"], meet, SURROUNDINGS)
+    least = dealt.filter("bucket is null").groupBy("name", "whole").agg(F.min("doc").alias("doc"), (F.max("many") | (F.min("doc") < F.max("doc"))).alias("many"))
+    kinds = least.groupBy("name").agg(F.count("*").alias("kinds"), (F.max("many") | (F.min("doc") < F.max("doc"))).alias("several"))
+    flag = F.when(F.col("many"), WHOLE).otherwise(0) + F.when((F.col("kinds") > 1) & F.col("several"), COMPARE).otherwise(0) + F.when(F.col("kinds") > COMMON_NAME, MANIFOLD).otherwise(0)
+    found, _ = stash(few.unionByName(least.join(kinds, "name").select("name", "whole", "doc", flag.alias("flag")).filter(F.col("flag").bitwiseAND(WHOLE + COMPARE) > 0)))
+    unstash(docs.sparkSession, path)
+    return found
+
+
+#: A range that is repeated whole has no context; otherwise the context is to be compared among those of its name.
+ANCHOR_ROW = "name long, doc_id long, tid long, first int, end int, context binary, manifold boolean"
+
+
+def looked_up(docs: DataFrame, length: int, table) -> DataFrame:
+    """Ranges repeated whole, and contexts to compare, by the broadcast ``table``: names, and whole, name, doc and flag
+    of surroundings sorted by whole."""
     schema = arrow_schema(ANCHOR_ROW)
 
     def run(batches):
-        names, common = shared.value if shared is not None else (None, None)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, tids = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                for data, ends, numbers, offsets in pieces([t.encode("utf-8", "replace") for t in part.column(2).to_pylist()], length):
-                    name, own, first, last = anchors(data, ends, length)
-                    flag = np.zeros(len(name), dtype=bool)
-                    if names is not None:
-                        if not len(names):
-                            continue
-                        where = np.minimum(np.searchsorted(names, name), len(names) - 1)
-                        hit = names[where] == name
-                        name, own, first, last, flag = name[hit], own[hit], first[hit], last[hit], common[where[hit]]
-                    begin = np.concatenate([[0], ends[:-1]])[own]
-                    raw = data.tobytes()
-                    context = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(ids[numbers[own]], pa.int64()), pa.array(tids[numbers[own]], pa.int64()), pa.array((first - begin + offsets[own]).astype(np.int32)), pa.array(context, pa.binary()), pa.array(flag)], schema=schema)
+        names, whole, of_name, least, flag = table.value
+        for part, first, end, entries, tid, shift, data in found_anchors(batches, length, names):
+            if not len(whole):
+                continue
+            at = np.minimum(np.searchsorted(whole, entries["whole"]), len(whole) - 1)
+            hit = (whole[at] == entries["whole"]) & (of_name[at] == entries["name"])
+            repeated = np.flatnonzero(hit & (entries["doc"] > least[at]))
+            compare = np.flatnonzero(hit & (entries["doc"] == least[at]) & (flag[at] & COMPARE > 0))
+            if len(repeated):
+                new = np.flatnonzero(np.concatenate([[True], (part[repeated][1:] != part[repeated][:-1]) | (first[repeated][1:] > end[repeated][:-1])]))
+                i, j = repeated[new], repeated[np.append(new[1:], len(repeated)) - 1]
+                none = [pa.nulls(len(i), k) for k in (pa.int64(), pa.binary(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(entries["doc"][i]), pa.array(tid[i]), pa.array((first + shift)[i].astype(np.int32)), pa.array((end[j] + shift[j]).astype(np.int32)), *none[1:]], schema=schema)
+            if len(compare):
+                i, raw = compare, data.tobytes()
+                context = [raw[a:b] for a, b in zip(first[i].tolist(), end[i].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(entries["name"][i].astype(np.int64)), pa.array(entries["doc"][i]), pa.array(tid[i]), pa.array((first + shift)[i].astype(np.int32)), pa.array((end + shift)[i].astype(np.int32)), pa.array(context, pa.binary()), pa.array(flag[at[i]] & MANIFOLD > 0)], schema=schema)
 
     return docs.select("doc_id", "tid", "text").mapInArrow(run, ANCHOR_ROW)
 
 
+def joined_up(docs: DataFrame, length: int, table: DataFrame) -> DataFrame:
+    """The same by a join of all anchors with the surroundings."""
+    schema = arrow_schema("name long, whole long, doc_id long, tid long, first int, end int, context binary")
+
+    def run(batches):
+        for _, first, end, entries, tid, shift, data in found_anchors(batches, length, None):
+            raw = data.tobytes()
+            context = [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(entries["name"].astype(np.int64)), pa.array(entries["whole"].astype(np.int64)), pa.array(entries["doc"].copy()), pa.array(tid), pa.array((first + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32)), pa.array(context, pa.binary())], schema=schema)
+
+    every = docs.select("doc_id", "tid", "text").mapInArrow(run, "name long, whole long, doc_id long, tid long, first int, end int, context binary")
+    both = every.join(table, ["name", "whole"])
+    repeated = both.filter("doc_id > doc").select(F.lit(None).cast("long").alias("name"), "doc_id", "tid", "first", "end", F.lit(None).cast("binary").alias("context"), F.lit(None).cast("boolean").alias("manifold"))
+    compare = both.filter((F.col("doc_id") == F.col("doc")) & (F.col("flag").bitwiseAND(COMPARE) > 0)).select("name", "doc_id", "tid", "first", "end", "context", (F.col("flag").bitwiseAND(MANIFOLD) > 0).alias("manifold"))
+    return repeated.unionByName(compare)
+
+
 def repeated_strings(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, end): maximal runs of a row's strings that equal one in a row with a smaller doc_id."""
     contexts = rows.column("context").to_pylist()
@@ -247,20 +390,13 @@ def compare_directly(rows: DataFrame, length: int) -> DataFrame:
     return sorted_groups(rows, ["name"], run, RANGE_ROW)
 
 
-def compare_common(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges among anchors of very common names, without gathering a name's rows anywhere."""
-    least = rows.groupBy("name", "context").agg(F.min("doc_id").alias("least"))
-    kinds = least.groupBy("name").agg(F.count("*").alias("kinds"))
-    placed, _ = stash(rows.join(least, ["name", "context"]).withColumn("own", F.col("doc_id") == F.col("least")))
-    whole = placed.filter("not own").select("doc_id", "tid", "first", (F.col("first") + F.octet_length("context")).alias("end"))
-    own = placed.filter("own").join(kinds.filter("kinds > 1"), "name").select(*ANCHOR_COLUMNS, "kinds")
-    met = compare_directly(own.filter(F.col("kinds") <= COMMON_NAME).drop("kinds"), length)
+def compare_by_join(rows: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges among anchors of names with very many surroundings, without gathering a name's rows anywhere."""
     start = F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("start")
-    strings = own.filter(F.col("kinds") > COMMON_NAME).select("doc_id", "tid", "first", "context", start).select("doc_id", "tid", (F.col("first") + F.col("start")).alias("first"), F.expr(f"substring(context, start + 1, {length})").alias("string"))
+    strings = rows.select("doc_id", "tid", "first", "context", start).select("doc_id", "tid", (F.col("first") + F.col("start")).alias("first"), F.expr(f"substring(context, start + 1, {length})").alias("string"))
     strings, _ = stash(strings)
     earliest = strings.groupBy("string").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").select("string", "earliest")
-    part = strings.join(earliest, "string").filter("doc_id > earliest").select("doc_id", "tid", "first", (F.col("first") + length).cast("int").alias("end"))
-    return whole.unionByName(met).unionByName(part)
+    return strings.join(earliest, "string").filter("doc_id > earliest").select("doc_id", "tid", "first", (F.col("first") + length).cast("int").alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
@@ -284,15 +420,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     fresh = usable.join(F.broadcast(copies) if few else copies, ["doc_id", "tid"], "left_anti")
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
-    shared, _ = stash(shared_names(fresh, length, max(LEAST_BUCKETS, int(total / 16 / BUCKET_NAMES))))
-    if shared.count() <= SHARED_BROADCAST:
-        found = shared.orderBy("name").toArrow()
-        rows = anchor_rows(fresh, length, spark.sparkContext.broadcast((found.column("name").to_numpy().astype(np.uint64), found.column("n").to_numpy() > COMMON_NAME)))
+    buckets = max(LEAST_BUCKETS, int(total / 16 / BUCKET_NAMES))
+    shared, shared_path = stash(shared_names(fresh, length, buckets))
+    n_shared, n_anchors = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    listed = lambda df: np.sort(df.select("name").toArrow().column("name").to_numpy().astype(np.uint64))
+    names = listed(shared) if n_shared <= SHARED_BROADCAST else None
+    common = listed(shared.filter(F.col("n") > max(COMMON_NAME, n_anchors // COMMON_SHARE)))
+    table = surroundings(fresh, length, buckets, spark.sparkContext.broadcast((names, common)))
+    unstash(spark, shared_path)
+    if names is not None and table.count() <= SHARED_BROADCAST:
+        found = table.toArrow()
+        whole = found.column("whole").to_numpy().view(np.uint64)
+        order = np.argsort(whole)
+        columns = (found.column(c).to_numpy()[order] for c in ("name", "doc", "flag"))
+        rows = looked_up(fresh, length, spark.sparkContext.broadcast((names, whole[order], *columns)))
     else:
-        rows = anchor_rows(fresh, length, None).drop("common").join(shared, "name").withColumn("common", F.col("n") > COMMON_NAME).drop("n")
-    rows, _ = stash(rows.select(*ANCHOR_COLUMNS, "common"))
-    common, direct = rows.filter("common").drop("common"), compare_directly(rows.filter("not common").drop("common"), length)
-    ranges = direct.unionByName(compare_common(common, length)).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+        rows = joined_up(fresh, length, table)
+    rows, _ = stash(rows)
+    compare = rows.filter("context is not null")
+    direct = compare_directly(compare.filter("not manifold").select("name", "doc_id", "tid", "first", "context"), length)
+    apart = compare_by_join(compare.filter("manifold"), length)
+    every = rows.filter("context is null").select("doc_id", "tid", "first", "end").unionByName(direct).unionByName(apart)
+    ranges = every.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     all_of_it = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("end"))).alias("ranges"))
     cuts = ranges.unionByName(all_of_it)
 
