@@ -34,10 +34,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind; n_chars follows the new text."""
-    found = pii.find_personal_data(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    text = pii.masked(F.col("text"), F.col("span_list"))
-    clean = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return clean.select(*docs.columns)
+    found = pii.find_personal_data(docs, keep=tuple(docs.columns))
+    text = pii.masked(F.col("kept.text"), F.col("span_list"))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*(changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
