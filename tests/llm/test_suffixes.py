@@ -63,7 +63,7 @@ def test_cuts_equal_brute_force(spark, length):
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_common_names_small_pieces_and_joins(spark, monkeypatch, broadcast):
-    for name, value in {"COMMON_NAME": 3, "COMMON_SHARE": 10**9, "PACKED_NAMES": 50, "PIECE": 700, "SHARED_BROADCAST": broadcast, "COPIES_BROADCAST": broadcast, "COMPARED": 40}.items():
+    for name, value in {"COMMON_NAME": 3, "SLICE_DOCS": 40, "PACKED_NAMES": 50, "PIECE": 700, "SHARED_BROADCAST": broadcast, "COPIES_BROADCAST": broadcast, "COMPARED": 40}.items():
         monkeypatch.setattr(suffixes, name, value)
     rows = corpus(9, 120) + [(400, "q w e r t y u i o p " * 90 + "x"), (401, "q w e r t y u i o p " * 80 + "y")]
     assert result(suffixes.remove_repeats(frame(spark, rows))) == brute(rows, 50)

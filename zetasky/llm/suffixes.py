@@ -7,17 +7,17 @@ its gram hashes marks one sampled position. Equal strings mark the same place, s
 one sampled suffix, its anchor, at one distance.
 
 1. Anchors' names are dealt in packed buckets; a name that one document alone holds is dropped there.
-2. The remaining anchors meet by name as hashes of their surroundings, the bytes of the strings they own, with the
-   smallest document of each, combined on the map side. Equal surroundings hold equal strings, so all of them but the
-   first document's are repeated whole. Different surroundings of one name can still share a string if they agree
-   on one side of the anchor; only those need a comparison.
-3. One more pass over the texts looks its anchors up: it emits what is repeated whole as merged ranges, and the bytes of
-   what needs a comparison, once for each different surroundings. The strings owned there are sorted, and adjacent ones
-   compared byte by byte: a string is repeated if an equal one stands in a document with a smaller id.
+2. The remaining anchors meet by name as hashes of their surroundings, the bytes of the strings they own. Equal
+   surroundings hold equal strings, so all of them but the first document's are repeated whole; a task settles what it
+   can before anything is sent, so a passage in very many documents is sent once by each slice of them. Different
+   surroundings of one name can still share a string if they agree on one side of the anchor.
+3. Decisions go back packed by slice and become merged ranges of each document and places that need a comparison. The
+   bytes around those meet by name; the strings owned there are sorted, and adjacent ones compared byte by byte: a string
+   is repeated if an equal one stands in a document with a smaller id. Names with very many different surroundings
+   are compared by a join of their strings, which can be split.
 4. A document's repeated strings are united and cut out.
 
-Names of very many documents do not meet in one task: their surroundings are combined by map-side minima. Surroundings
-count as equal by 112 bits of hash.
+Surroundings count as equal by 112 bits of hash.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,12 @@ GRAM = 18
 #: packs together, and names in a bucket on average.
 PIECE, PACKED_NAMES, BUCKET_NAMES = 300_000, 400_000, 1_000_000
 LEAST_BUCKETS = 96
-#: Shared names, and surroundings, that are broadcast; with more of them all anchors are joined with the surroundings.
+#: Shared names that are broadcast; with more of them all anchors meet.
 SHARED_BROADCAST = 4_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
 COPIES_BROADCAST = 500_000
-#: Anchors of one name that meet in a task, or a share of all anchors where that is more: so few names are common that
-#: a list of them is bounded.
-COMMON_NAME, COMMON_SHARE = 1000, 100_000
+#: Different surroundings of one name that meet in a task as bytes, and rows of documents in a slice.
+COMMON_NAME, SLICE_DOCS = 1000, 50_000
 #: Rows that the comparison handles at once.
 COMPARED = 30_000
 
@@ -149,7 +150,7 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         name, n, bucket = name[order], n[order], bucket[order]
         present, cuts = np.unique(bucket, return_index=True)
-        rows = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(name)], strict=True)]
+        rows = [slice(i, j) for i, j in stretches(cuts, len(name))]
         once, often = ([pack48(name[s][(n[s] > 1) == many]) for s in rows] for many in (False, True))
         return pa.RecordBatch.from_arrays([pa.array(present), pa.array(once, pa.binary()), pa.array(often, pa.binary()), pa.array([n[s][n[s] > 1].astype("<u4").tobytes() for s in rows], pa.binary())], schema=schema)
 
@@ -181,154 +182,202 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return sorted_groups(packed, ["bucket"], meet, "name long, n long")
 
 
-#: An entry of surroundings: hashes of the name, of all, of what is left and what is right of the anchor, the smallest
-#: document, and whether there is another.
-ENTRY = np.dtype([("name", "<u8"), ("whole", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("many", "?")])
+#: An anchor: its name with a hash of what is left of it in the upper bits, hashes of all surroundings and of what is right
+#: of it, the document, and its place: row in the slice, first byte, bytes beyond one string.
+ENTRY = np.dtype([("name", "<u8"), ("whole", "<u8"), ("right", "<u2"), ("doc", "<i8"), ("row", "<u2"), ("first", "<u4"), ("more", "<u2")])
+PLACE = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "<u2")])
+#: A place whose bytes need a comparison, and whether its name has very many surroundings.
+SOUGHT = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "<u2"), ("name", "<u8"), ("manifold", "?")])
+NAME = np.uint64(2**48 - 1)
 
 
-def combined(entries: np.ndarray) -> np.ndarray:
-    """One entry for each name and surroundings, sorted by them."""
-    entries = entries[np.lexsort((entries["doc"], entries["whole"], entries["name"]))]
-    first = np.flatnonzero(np.concatenate([[True], (entries["name"][1:] != entries["name"][:-1]) | (entries["whole"][1:] != entries["whole"][:-1])]))
-    out = entries[first]
-    last = np.append(first[1:], len(entries)) - 1
-    out["many"] = np.logical_or.reduceat(entries["many"], first) | (entries["doc"][first] != entries["doc"][last])
+def placed(entries: np.ndarray, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(entries), dtype=kind)
+    for field in ("row", "first", "more"):
+        out[field] = entries[field]
     return out
 
 
-def found_anchors(batches, length: int, names: np.ndarray | None):
-    """(name, part, first, end, entries, doc_id, tid, offset, bytes) of the anchors of each piece of batches
-    (doc_id, tid, text), of the given names only; entries have the one document."""
-    half = (length - gram_size(length) + 1) // 2
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
-            ids, tids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            for data, ends, numbers, offsets in pieces([t.encode("utf-8", "replace") for t in rows.column(2).to_pylist()], length):
-                name, part, spot, first, last = anchors(data, ends, length)
-                if names is not None:
-                    hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), dtype=bool)
-                    name, part, spot, first, last = name[hit], part[hit], spot[hit], first[hit], last[hit]
-                if not len(name):
-                    continue
-                sums = running_sums(data)
-                entries = np.empty(len(name), dtype=ENTRY)
-                entries["name"], entries["whole"], entries["many"] = name, range_hashes(sums, first, last + length), False
-                entries["left"] = range_hashes(sums, spot - half, spot + gram_size(length)) >> np.uint64(48)
-                entries["right"] = range_hashes(sums, spot, spot + gram_size(length) + half) >> np.uint64(48)
-                entries["doc"] = ids[numbers[part]]
-                begin = np.concatenate([[0], ends[:-1]])[part]
-                yield part, first, last + length, entries, tids[numbers[part]], offsets[part] - begin, data
-
-
-SURROUNDINGS = "name long, whole long, doc long, flag int"
-#: Flags of surroundings: several documents have them; they need a comparison; among very many others.
-WHOLE, COMPARE, MANIFOLD = 1, 2, 4
-
-
-def surroundings(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
-    """name, whole (hash), doc (the smallest) and flag of the surroundings that decide about a string.
-
-    ``known`` holds the shared names, or None for all, and the common ones, both sorted. Entries travel packed by name, but
-    those of common names one by one, so that Spark combines them on the map side.
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows of sorted columns starts."""
+    change = np.zeros(len(columns[0]), dtype=bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def stretches(cuts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs that start at ``cuts`` in ``n`` rows."""
+    return list(zip(cuts.tolist(), np.append(cuts[1:], n).tolist(), strict=True)) if len(cuts) else []
+
+
+def settled(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries sorted by name and surroundings, and which of them are repeated whole: a smaller document has the same."""
+    name = entries["name"] & NAME
+    entries = entries[np.lexsort((entries["doc"], entries["whole"], name))]
+    head = starts_of(entries["name"] & NAME, entries["whole"])
+    least = np.repeat(entries["doc"][head], np.diff(np.append(head, len(entries))))
+    return entries, entries["doc"] > least
+
+
+def found_anchors(texts: list[bytes], length: int, names: np.ndarray | None):
+    """(entries, text numbers) of the anchors of each piece of the texts, of the given names only; row and doc are not set."""
+    gram = gram_size(length)
+    half = (length - gram + 1) // 2
+    for data, ends, numbers, offsets in pieces(texts, length):
+        name, part, spot, first, last = anchors(data, ends, length)
+        if names is not None:
+            hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), dtype=bool)
+            name, part, spot, first, last = name[hit], part[hit], spot[hit], first[hit], last[hit]
+        if not len(name):
+            continue
+        sums = running_sums(data)
+        entries = np.empty(len(name), dtype=ENTRY)
+        entries["name"] = name | range_hashes(sums, spot - half, spot + gram) >> np.uint64(48) << np.uint64(48)
+        entries["whole"] = range_hashes(sums, first, last + length)
+        entries["right"] = range_hashes(sums, spot, spot + gram + half) >> np.uint64(48)
+        entries["first"] = first - np.concatenate([[0], ends[:-1]])[part] + offsets[part]
+        entries["more"] = last - first
+        yield entries, numbers[part]
+
+
+DEALT = "slice long, bucket int, docs binary, entries binary, done binary"
+DECIDED = "slice long, docs binary, whole binary, sought binary"
+
+
+def decided(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
+    """Packed by slice: its documents, places that are repeated whole, and places whose bytes need a comparison.
+
+    ``known`` broadcasts the shared names, sorted, or None for all. A slice's documents travel with one of its buckets.
     """
-    ddl = "bucket int, entries binary, name long, whole long, doc long, many boolean"
-    schema, out_schema = arrow_schema(ddl), arrow_schema(SURROUNDINGS)
-
-    def packed(held: list[np.ndarray], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-        entries = combined(np.concatenate(held))
-        is_common = common[np.minimum(np.searchsorted(common, entries["name"]), len(common) - 1)] == entries["name"] if len(common) else np.zeros(len(entries), dtype=bool)
-        plain, entries = entries[is_common], entries[~is_common]
-        bucket = (entries["name"] % np.uint64(buckets)).astype(np.int32)
+    schema, out_schema = arrow_schema(DEALT), arrow_schema(DECIDED)
+
+    def packed(held: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        owners = np.concatenate(rows)
+        number = xxhash.xxh3_64_intdigest(owners.tobytes()) >> 1
+        entries, repeated = settled(np.concatenate(held))
+        done, entries = placed(entries[repeated], PLACE), entries[~repeated]
+        bucket = ((entries["name"] & NAME) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         present, cuts = np.unique(bucket[order], return_index=True)
-        blobs = [entries[order[i:j]].tobytes() for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(blobs, pa.binary()), *(pa.nulls(len(blobs), f.type) for f in list(schema)[2:])], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(plain), pa.int32()), pa.nulls(len(plain), pa.binary()), pa.array(plain["name"].astype(np.int64)), pa.array(plain["whole"].astype(np.int64)), pa.array(plain["doc"].copy()), pa.array(plain["many"].copy())], schema=schema)
+        blobs = [entries[order[i:j]].tobytes() for i, j in stretches(cuts, len(order))]
+        n = len(blobs)
+        out = [[number] * (n + 1), [*present.tolist(), number % buckets], [None] * n + [owners.tobytes()], [*blobs, None], [None] * n + [done.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     def pack(batches):
-        names, common = known.value
-        held, size = [], 0
-        for _, _, _, entries, *_ in found_anchors(batches, length, names):
-            held.append(entries)
-            size += len(entries)
-            if size >= PACKED_NAMES:
-                yield from packed(held, common)
-                held, size = [], 0
-        if size:
-            yield from packed(held, common)
+        names = known.value
+        held, rows, n_entries, n_rows = [], [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = np.stack([part.column(i).to_numpy() for i in (0, 1)], axis=1).astype("<i8")
+                rows.append(ids)
+                for entries, number in found_anchors([t.encode("utf-8", "replace") for t in part.column(2).to_pylist()], length, names):
+                    entries["doc"], entries["row"] = ids[number, 0], number + n_rows
+                    held.append(entries)
+                    n_entries += len(entries)
+                    if n_entries >= PACKED_NAMES:  # the rest of this part's texts go to the next slice with it
+                        yield packed(held, rows)
+                        held, rows, n_entries, n_rows = [], [ids], 0, 0
+                n_rows += len(ids)
+                if n_rows >= SLICE_DOCS:
+                    if held:
+                        yield packed(held, rows)
+                    held, rows, n_entries, n_rows = [], [], 0, 0
+        if held:
+            yield packed(held, rows)
 
     def meet(batches):
         for _, rows in runs(batches, ["bucket"]):
-            entries = combined(np.frombuffer(b"".join(rows.column("entries").to_pylist()), dtype=ENTRY))
-            flag = entries["many"] * np.int32(WHOLE)
-            _, head, kinds = np.unique(entries["name"], return_index=True, return_counts=True)
-            several = np.repeat((kinds > 1) & ((np.minimum.reduceat(entries["doc"], head) != np.maximum.reduceat(entries["doc"], head)) | np.logical_or.reduceat(entries["many"], head)), kinds)
-            for side in ("left", "right"):
+            docs_rows = rows.filter(pc.is_valid(rows.column("docs")))
+            yield from pa.table([docs_rows.column("slice"), docs_rows.column("docs"), docs_rows.column("done"), pa.nulls(docs_rows.num_rows, pa.binary())], schema=out_schema).to_batches()
+            full = rows.filter(pc.is_valid(rows.column("entries")))
+            blobs = full.column("entries").to_pylist()
+            every = np.frombuffer(b"".join(blobs), dtype=ENTRY)
+            if not len(every):
+                continue
+            origin = np.repeat(np.arange(len(blobs)), [len(b) // ENTRY.itemsize for b in blobs])
+            name = every["name"] & NAME
+            order = np.lexsort((every["doc"], every["whole"], name))
+            entries, origin, name = every[order], origin[order], name[order]
+            head = starts_of(name, entries["whole"])
+            kind = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(entries))))
+            repeated = entries["doc"] > entries["doc"][head][kind]
+            # Of the different surroundings of a name, those that agree with others on a side.
+            of, first = name[head], starts_of(name[head])
+            kinds = np.diff(np.append(first, len(of)))
+            group = np.repeat(np.arange(len(first)), kinds)
+            low, high = (ends(entries["doc"], head[first]) for ends in (np.minimum.reduceat, np.maximum.reduceat))
+            several = ((kinds > 1) & (low < high))[group]
+            agrees = np.zeros(len(head), dtype=bool)
+            for side in (entries["name"][head] >> np.uint64(48), entries["right"][head].astype(np.uint64)):
                 rest = np.flatnonzero(several)
-                rest = rest[np.lexsort((entries[side][rest], entries["name"][rest]))]
-                same = (entries["name"][rest][1:] == entries["name"][rest][:-1]) & (entries[side][rest][1:] == entries[side][rest][:-1])
-                flag[rest[np.flatnonzero(same)]] |= COMPARE
-                flag[rest[np.flatnonzero(same) + 1]] |= COMPARE
-            found, flag = entries[flag > 0], flag[flag > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(found["name"].astype(np.int64)), pa.array(found["whole"].astype(np.int64)), pa.array(found["doc"].copy()), pa.array(flag)], schema=out_schema)
-
-    dealt, path = stash(docs.select("doc_id", "tid", "text").mapInArrow(pack, ddl))
-    few = sorted_groups(dealt.filter("bucket is not null").select("bucket", "entries"), ["bucket"], meet, SURROUNDINGS)
-    least = dealt.filter("bucket is null").groupBy("name", "whole").agg(F.min("doc").alias("doc"), (F.max("many") | (F.min("doc") < F.max("doc"))).alias("many"))
-    kinds = least.groupBy("name").agg(F.count("*").alias("kinds"), (F.max("many") | (F.min("doc") < F.max("doc"))).alias("several"))
-    flag = F.when(F.col("many"), WHOLE).otherwise(0) + F.when((F.col("kinds") > 1) & F.col("several"), COMPARE).otherwise(0) + F.when(F.col("kinds") > COMMON_NAME, MANIFOLD).otherwise(0)
-    found, _ = stash(few.unionByName(least.join(kinds, "name").select("name", "whole", "doc", flag.alias("flag")).filter(F.col("flag").bitwiseAND(WHOLE + COMPARE) > 0)))
-    unstash(docs.sparkSession, path)
-    return found
-
-
-#: A range that is repeated whole has no context; otherwise the context is to be compared among those of its name.
-ANCHOR_ROW = "name long, doc_id long, tid long, first int, end int, context binary, manifold boolean"
-
-
-def looked_up(docs: DataFrame, length: int, table) -> DataFrame:
-    """Ranges repeated whole, and contexts to compare, by the broadcast ``table``: names, and whole, name, doc and flag
-    of surroundings sorted by whole."""
-    schema = arrow_schema(ANCHOR_ROW)
+                rest = rest[np.lexsort((side[rest], of[rest]))]
+                same = np.flatnonzero((of[rest][1:] == of[rest][:-1]) & (side[rest][1:] == side[rest][:-1]))
+                agrees[rest[same]] = agrees[rest[same + 1]] = True
+            compare = agrees[kind] & ~repeated
+            sought = placed(entries[compare], SOUGHT)
+            sought["name"], sought["manifold"] = name[compare], (kinds > COMMON_NAME)[group][kind][compare]
+            for which, found, at in ((2, placed(entries[repeated], PLACE), origin[repeated]), (3, sought, origin[compare])):
+                order = np.argsort(at, kind="stable")
+                found, at = found[order], at[order]
+                cuts = starts_of(at)
+                out = [pa.array(full.column("slice").to_numpy()[at[cuts]]), *(pa.nulls(len(cuts), pa.binary()) for _ in range(3))]
+                out[which] = pa.array([found[i:j].tobytes() for i, j in stretches(cuts, len(found))], pa.binary())
+                yield pa.RecordBatch.from_arrays(out, schema=out_schema)
+
+    packed_rows = docs.select("doc_id", "tid", "text").mapInArrow(pack, DEALT)
+    return sorted_groups(packed_rows, ["bucket"], meet, DECIDED)
+
+
+MARK = "doc_id long, tid long, first int, end int, sought binary"
+
+
+def marks(decisions: DataFrame, length: int) -> DataFrame:
+    """Ranges of documents that are repeated whole, merged, and, without a range, their places to compare."""
+    schema = arrow_schema(MARK)
 
     def run(batches):
-        names, whole, of_name, least, flag = table.value
-        for part, first, end, entries, tid, shift, data in found_anchors(batches, length, names):
-            if not len(whole):
-                continue
-            at = np.minimum(np.searchsorted(whole, entries["whole"]), len(whole) - 1)
-            hit = (whole[at] == entries["whole"]) & (of_name[at] == entries["name"])
-            repeated = np.flatnonzero(hit & (entries["doc"] > least[at]))
-            compare = np.flatnonzero(hit & (entries["doc"] == least[at]) & (flag[at] & COMPARE > 0))
-            if len(repeated):
-                new = np.flatnonzero(np.concatenate([[True], (part[repeated][1:] != part[repeated][:-1]) | (first[repeated][1:] > end[repeated][:-1])]))
-                i, j = repeated[new], repeated[np.append(new[1:], len(repeated)) - 1]
-                none = [pa.nulls(len(i), k) for k in (pa.int64(), pa.binary(), pa.bool_())]
-                yield pa.RecordBatch.from_arrays([none[0], pa.array(entries["doc"][i]), pa.array(tid[i]), pa.array((first + shift)[i].astype(np.int32)), pa.array((end[j] + shift[j]).astype(np.int32)), *none[1:]], schema=schema)
-            if len(compare):
-                i, raw = compare, data.tobytes()
-                context = [raw[a:b] for a, b in zip(first[i].tolist(), end[i].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(entries["name"][i].astype(np.int64)), pa.array(entries["doc"][i]), pa.array(tid[i]), pa.array((first + shift)[i].astype(np.int32)), pa.array((end + shift)[i].astype(np.int32)), pa.array(context, pa.binary()), pa.array(flag[at[i]] & MANIFOLD > 0)], schema=schema)
-
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, ANCHOR_ROW)
-
-
-def joined_up(docs: DataFrame, length: int, table: DataFrame) -> DataFrame:
-    """The same by a join of all anchors with the surroundings."""
-    schema = arrow_schema("name long, whole long, doc_id long, tid long, first int, end int, context binary")
+        for _, rows in runs(batches, ["slice"]):
+            owners = np.frombuffer(next((d for d in rows.column("docs").to_pylist() if d), b""), dtype="<i8").reshape(-1, 2)
+            whole, sought = (np.frombuffer(b"".join(x for x in rows.column(c).to_pylist() if x), dtype=kind) for c, kind in (("whole", PLACE), ("sought", SOUGHT)))
+            whole = np.unique(whole)  # by row, then first byte
+            if len(whole):
+                end = whole["first"].astype(np.int64) + whole["more"] + length
+                new = np.flatnonzero(np.concatenate([[True], (whole["row"][1:] != whole["row"][:-1]) | (whole["first"][1:] > end[:-1])]))
+                last = np.append(new[1:], len(whole)) - 1
+                ids = owners[whole["row"][new]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(whole["first"][new].astype(np.int32)), pa.array(end[last].astype(np.int32)), pa.nulls(len(new), pa.binary())], schema=schema)
+            if len(sought):
+                sought = sought[np.argsort(sought["row"], kind="stable")]
+                cuts = starts_of(sought["row"])
+                ids = owners[sought["row"][cuts]]
+                blobs = [sought[i:j].tobytes() for i, j in stretches(cuts, len(sought))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), *(pa.nulls(len(cuts), pa.int32()) for _ in range(2)), pa.array(blobs, pa.binary())], schema=schema)
+
+    return sorted_groups(decisions, ["slice"], run, MARK)
+
+
+ANCHOR_ROW = "name long, doc_id long, tid long, first int, context binary, manifold boolean"
+
+
+def contexts(docs: DataFrame, sought: DataFrame, length: int) -> DataFrame:
+    """The bytes around the places to compare."""
+    schema = arrow_schema(ANCHOR_ROW)
 
     def run(batches):
-        for _, first, end, entries, tid, shift, data in found_anchors(batches, length, None):
-            raw = data.tobytes()
-            context = [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(entries["name"].astype(np.int64)), pa.array(entries["whole"].astype(np.int64)), pa.array(entries["doc"].copy()), pa.array(tid), pa.array((first + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32)), pa.array(context, pa.binary())], schema=schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for doc_id, tid, text, blob in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    places, raw = np.frombuffer(blob, dtype=SOUGHT), text.encode("utf-8", "replace")
+                    context = [raw[a : a + m + length] for a, m in zip(places["first"].tolist(), places["more"].tolist(), strict=True)]
+                    n = len(places)
+                    yield pa.RecordBatch.from_arrays([pa.array(places["name"].astype(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tid] * n, pa.int64()), pa.array(places["first"].astype(np.int32)), pa.array(context, pa.binary()), pa.array(places["manifold"].copy())], schema=schema)
 
-    every = docs.select("doc_id", "tid", "text").mapInArrow(run, "name long, whole long, doc_id long, tid long, first int, end int, context binary")
-    both = every.join(table, ["name", "whole"])
-    repeated = both.filter("doc_id > doc").select(F.lit(None).cast("long").alias("name"), "doc_id", "tid", "first", "end", F.lit(None).cast("binary").alias("context"), F.lit(None).cast("boolean").alias("manifold"))
-    compare = both.filter((F.col("doc_id") == F.col("doc")) & (F.col("flag").bitwiseAND(COMPARE) > 0)).select("name", "doc_id", "tid", "first", "end", "context", (F.col("flag").bitwiseAND(MANIFOLD) > 0).alias("manifold"))
-    return repeated.unionByName(compare)
+    return docs.select("doc_id", "tid", "text").join(sought, ["doc_id", "tid"]).mapInArrow(run, ANCHOR_ROW)
 
 
 def repeated_strings(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -422,25 +471,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
 
     buckets = max(LEAST_BUCKETS, int(total / 16 / BUCKET_NAMES))
     shared, shared_path = stash(shared_names(fresh, length, buckets))
-    n_shared, n_anchors = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    listed = lambda df: np.sort(df.select("name").toArrow().column("name").to_numpy().astype(np.uint64))
-    names = listed(shared) if n_shared <= SHARED_BROADCAST else None
-    common = listed(shared.filter(F.col("n") > max(COMMON_NAME, n_anchors // COMMON_SHARE)))
-    table = surroundings(fresh, length, buckets, spark.sparkContext.broadcast((names, common)))
+    names = np.sort(shared.select("name").toArrow().column("name").to_numpy().astype(np.uint64)) if shared.count() <= SHARED_BROADCAST else None
+    found, _ = stash(marks(decided(fresh, length, buckets, spark.sparkContext.broadcast(names)), length))
+    rows, _ = stash(contexts(fresh, found.filter("sought is not null").select("doc_id", "tid", "sought"), length))
+    direct = compare_directly(rows.filter("not manifold").drop("manifold"), length)
+    apart = compare_by_join(rows.filter("manifold"), length)
+    every = found.filter("sought is null").select("doc_id", "tid", "first", "end").unionByName(direct).unionByName(apart)
     unstash(spark, shared_path)
-    if names is not None and table.count() <= SHARED_BROADCAST:
-        found = table.toArrow()
-        whole = found.column("whole").to_numpy().view(np.uint64)
-        order = np.argsort(whole)
-        columns = (found.column(c).to_numpy()[order] for c in ("name", "doc", "flag"))
-        rows = looked_up(fresh, length, spark.sparkContext.broadcast((names, whole[order], *columns)))
-    else:
-        rows = joined_up(fresh, length, table)
-    rows, _ = stash(rows)
-    compare = rows.filter("context is not null")
-    direct = compare_directly(compare.filter("not manifold").select("name", "doc_id", "tid", "first", "context"), length)
-    apart = compare_by_join(compare.filter("manifold"), length)
-    every = rows.filter("context is null").select("doc_id", "tid", "first", "end").unionByName(direct).unionByName(apart)
     ranges = every.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     all_of_it = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("end"))).alias("ranges"))
     cuts = ranges.unionByName(all_of_it)

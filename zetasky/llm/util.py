@@ -140,6 +140,7 @@ def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """
     path = f"{shared_folder(df.sparkSession)}/zetasky-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files stay until the driver collects what was done with them
     return df.sparkSession.read.parquet(path), path
 
 
