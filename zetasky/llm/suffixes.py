@@ -44,10 +44,10 @@ LEAST_BUCKETS = 96
 SHARED_BROADCAST = 4_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
 COPIES_BROADCAST = 500_000
-#: Different surroundings of one name that meet in a task as bytes, and rows of documents in a slice.
-COMMON_NAME, SLICE_DOCS = 1000, 50_000
-#: Rows that the comparison handles at once.
-COMPARED = 30_000
+#: Surroundings that a task compares at once, so many of one name too; a name with more is compared by a join.
+COMPARED = COMMON_NAME = 30_000
+#: Rows of documents in a slice.
+SLICE_DOCS = 50_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 LOW = np.uint64(0xFFFFFF)
