@@ -28,7 +28,6 @@ from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +38,8 @@ from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sort
 #: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT. They
 #: double until a group holds FILL shingles on average at most; a point is folded to compare it with a shorter one.
 GROUPS, FILL, MOST_COUNT = 256, 4, 15
-#: Points in a leaf, children of a box; counts of small groups that are compared at once, and nodes in a small group.
-LEAF, FAN_OUT, COMPARED, SMALL = 32, 8, 5_000_000, 8
+#: Points in a leaf, children of a box; bytes of points of small groups that are compared at once, and nodes in a small group.
+LEAF, FAN_OUT, COMPARED, SMALL = 32, 8, 1_000_000, 8
 #: Sets of this size and more get keys of whole hash ranges.
 LARGE = 1000
 #: Dimensions of a point at most, where sets are verified and may be large.
@@ -108,10 +107,10 @@ def packed_point(shingles: np.ndarray) -> bytes:
     return (low[0::2] | low[1::2] << 4).tobytes() + int((counts - low).sum()).to_bytes(4, "little")
 
 
-def unpacked_points(blobs: list[bytes]) -> np.ndarray:
-    """Counts with as many groups as the shortest point has, the excess last."""
+def unpacked_points(blobs: list[bytes], shortest: int = 0) -> np.ndarray:
+    """Counts with as many groups as the shortest point has, or one of ``shortest`` bytes; the excess is last."""
     lengths = np.array([len(b) for b in blobs])
-    shortest = int(lengths.min())
+    shortest = shortest or int(lengths.min())
     groups = 2 * shortest - 8
     out = np.empty((len(blobs), groups + 1), dtype=np.int32)
     for length in np.unique(lengths).tolist():
@@ -257,10 +256,8 @@ def shared_keys(nodes: DataFrame, total: int, percent: int) -> DataFrame:
                 for at in range(begin, stop, SLICE_NODES):
                     part = batch.slice(at, min(SLICE_NODES, stop - at))
                     blobs = part.column(2).to_pylist()
-                    key = unpack48(blobs)
-                    owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
-                    order = np.lexsort((owner, key))
-                    key, owner = key[order], owner[order]
+                    both = np.sort(unpack48(blobs) << np.uint64(16) | np.repeat(np.arange(len(blobs), dtype=np.uint64), [len(b) // 6 for b in blobs]))
+                    key, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
                     size = size_class(part.column(1).to_numpy())[owner]
                     _, first, n = np.unique(key, return_index=True, return_counts=True)
                     common = np.repeat(n > SLICE_COMMON, n)
@@ -285,7 +282,7 @@ def shared_keys(nodes: DataFrame, total: int, percent: int) -> DataFrame:
             owners = rows.column("owners").to_pylist()
             nid = np.frombuffer(b"".join(owners), dtype="<u2").astype(np.int64) + np.repeat(rows.column("base").to_numpy(), [len(o) // 2 for o in owners])
             ties = np.frombuffer(b"".join(rows.column("ties").to_pylist()), dtype="<i8").reshape(-1, 2)
-            order = np.lexsort((nid, size, key))
+            order = np.argsort(key << np.uint64(8) | size)
             key, size, nid = key[order], size[order].astype(np.int16), nid[order]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             many = np.repeat((n > COMMON_KEY) | (size[first + n - 1] == TIED), n)
@@ -301,41 +298,50 @@ def shared_keys(nodes: DataFrame, total: int, percent: int) -> DataFrame:
     return sorted_groups(packed, ["bucket"], meet, "key long, a long, b long")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a value of ``column`` does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        value = batch.column(column).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(value, value[-1]))
+        if cut or (held and held[-1].column(column)[-1].as_py() != value[-1]):
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ties_under_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[np.ndarray]:
     """Arrays of ties (node, node) that join all nodes of a key which survive the bound; rows come sorted by key.
 
     Groups of a few nodes are compared many groups at once, larger ones through the R-tree.
     """
-    held: dict[int, list[pa.Table]] = {}  # by length of the shortest point
-    size: dict[int, int] = {}
-
-    def small(tables):
-        rows = pa.concat_tables(tables)
+    for rows in whole_groups(batches, "key"):
         key, nodes, sizes = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
-        points = unpacked_points(rows.column("point").to_pylist())
-        for step in range(1, SMALL):
-            i = np.flatnonzero(key[step:] == key[:-step])
-            i = i[enough(np.minimum(points[i], points[i + step]).sum(axis=1), sizes[i] + sizes[i + step], percent)]
-            if len(i):
-                yield np.stack([nodes[i + step], nodes[i]], axis=1)
-
-    for _, rows in runs(batches, ["key"]):
-        if rows.num_rows > SMALL:
-            nodes, root = rows.column("node").to_numpy(), np.arange(rows.num_rows)
-            for i, near in pairs_within(unpacked_points(rows.column("point").to_pylist()), rows.column("n").to_numpy(), percent):
+        blobs = rows.column("point").to_pylist()
+        lengths = np.array([len(b) for b in blobs])
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        n = np.diff(cuts)
+        is_small = np.repeat(n <= SMALL, n)
+        pairs = [np.stack([i, i + step]) for step in range(1, SMALL) if len(i := np.flatnonzero((key[step:] == key[:-step]) & is_small[step:]))]
+        pairs = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
+        shorter = lengths[pairs].min(axis=0)
+        for length in np.unique(shorter).tolist():
+            own = pairs[:, shorter == length]
+            for i, j in (own[:, at : at + COMPARED // length] for at in range(0, own.shape[1], COMPARED // length)):
+                a, b = (unpacked_points([blobs[r] for r in side.tolist()], length) for side in (i, j))
+                survive = enough(np.minimum(a, b).sum(axis=1), sizes[i] + sizes[j], percent)
+                yield np.stack([nodes[j[survive]], nodes[i[survive]]], axis=1)
+        for begin, count in zip(cuts[:-1][n > SMALL].tolist(), n[n > SMALL].tolist(), strict=True):
+            own, root = nodes[begin : begin + count], np.arange(count)
+            for i, near in pairs_within(unpacked_points(blobs[begin : begin + count]), sizes[begin : begin + count], percent):
                 for r in np.unique(root[near]):
                     root[root == r] = root[i]
-            yield np.stack([nodes, nodes[root]], axis=1)[root != np.arange(len(root))]
-        elif rows.num_rows > 1:
-            lengths = pc.min_max(pc.binary_length(rows.column("point")))
-            low, high = lengths["min"].as_py(), lengths["max"].as_py()
-            held.setdefault(low, []).append(rows)
-            size[low] = size.get(low, 0) + rows.num_rows * 2 * high
-            if size[low] >= COMPARED:
-                yield from small(held.pop(low))
-                size[low] = 0
-    for tables in held.values():
-        yield from small(tables)
+            yield np.stack([own, own[root]], axis=1)[root != np.arange(count)]
 
 
 def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
