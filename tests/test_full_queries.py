@@ -32,7 +32,7 @@ def check_twin(spark, name):
     return got
 
 
-PATCHED = ("full_pair_phase", "full_assign_bin", "full_rotate_shear", "full_pix_intersect", "full_pix_except")
+PATCHED = ("pair_phase", "assign_bin", "rotate_shear", "pix_intersect", "pix_except")
 
 
 @pytest.mark.parametrize("name", PATCHED)
@@ -40,7 +40,7 @@ def test_every_patch_passes(spark, name):
     assert set(check_twin(spark, name).patch_id) == set(range(fixture.N_PATCHES))
 
 
-@pytest.mark.parametrize("name", ["full_degrade_map", "full_tangential_shear", "full_rotate_shear", "full_pair_shear", "full_xi_unweighted", "full_xi_forward"])
+@pytest.mark.parametrize("name", ["degrade_map", "tangential_shear", "rotate_shear", "pair_shear", "xi_unweighted", "xi_forward"])
 def test_every_map_and_redshift_passes(spark, name):
     got = check_twin(spark, name)
     z = next(c for c in ("zbin", "z1", "za") if c in got)
@@ -58,4 +58,4 @@ def test_discs_and_sets_by_brute_force(spark):
     want = {(int(b), int(a)) for a, b in zip(*np.nonzero(inside), strict=True)}
     found = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, SF).select("patch_id", "pix").collect()}
     assert found("patch_pixels") == want
-    assert found("full_pix_intersect") == {x for x in want if x[1] % 7} and found("full_pix_except") == {x for x in want if x[1] % 7 == 0}
+    assert found("pix_intersect") == {x for x in want if x[1] % 7} and found("pix_except") == {x for x in want if x[1] % 7 == 0}

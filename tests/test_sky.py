@@ -65,7 +65,7 @@ def test_bad_lists(spark):
     with pytest.raises(ValueError):
         tables.mask_from_list(spark, [1] * 100, Params(nside=8))
     with pytest.raises(ValueError):
-        xi.correlate(None, None, None, None, None, mode="other")
+        xi.correlate(None, None, None, None, mode="other")
 
 
 def test_bin_edges():
@@ -100,7 +100,7 @@ def golden_xi(spark, **options):
     shear = spark.createDataFrame([(0, z, i, g1[i] * (1 + z), g2[i] * (1 - 2 * z), 1.0 + z * i) for z in (0, 1) for i in range(4)], "map_id int, zbin int, pix long, g1 double, g2 double, w double")
     counts = spark.createDataFrame([(0, 0, 2), (0, 1, 0)], "patch_id int, bin int, npairs long")
     zpairs = xi.zbin_pairs(shear.select("zbin").distinct())
-    return {(r.z1, r.z2, r.bin): r for r in xi.correlate(table, shear, counts, zpairs, shear.select("map_id").distinct(), **options).collect()}
+    return {(r.z1, r.z2, r.bin): r for r in xi.correlate(xi.gathered_shear(table, shear), counts, zpairs, shear.select("map_id").distinct(), **options).collect()}
 
 
 def test_xi_modes_and_empty_bins(spark):

@@ -71,10 +71,21 @@ def sky_to_pixel(phi: Column, theta: Column, nside: int) -> Column:
     return F.when(za <= 2.0 / 3.0, belt).otherwise(polar)
 
 
+def computed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the columns as values that stand: a filter or join above never repeats the formulas behind them.
+
+    The optimiser moves a filter below a projection by writing the column's formula into it, and formulas of pixels are
+    long; it does not move one below a generator that makes the column.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def pixels(spark: SparkSession, nside: int) -> DataFrame:
     """Every pixel with its position: pix, ra, dec, x, y, z."""
     phi, theta = pixel_to_sky(F.col("pix"), nside)
-    return with_vector(spark.range(npix(nside)).select(F.col("id").alias("pix")).select("pix", phi.alias("ra"), (math.pi / 2 - theta).alias("dec")))
+    placed = spark.range(npix(nside)).select(F.col("id").alias("pix")).select("pix", phi.alias("ra"), (math.pi / 2 - theta).alias("dec"))
+    return with_vector(computed(placed, "ra", "dec"))
 
 
 def with_vector(df: DataFrame) -> DataFrame:

@@ -15,4 +15,4 @@ def aperture_mass(filters: DataFrame, areas: DataFrame, shear: DataFrame) -> Dat
     """
     gt = tangential(F.col("g1"), F.col("g2"), F.col("q_cos"), F.col("q_sin"))
     sums = filters.join(shear, "pix").groupBy("map_id", "zbin", "patch_id").agg(F.sum(F.col("w") * gt * F.col("q_val")).alias("up"), F.sum("w").alias("w"))
-    return sums.join(F.broadcast(areas), "patch_id").select("map_id", "zbin", "patch_id", (F.col("area") * F.try_divide("up", "w")).alias("m_ap"))
+    return sums.join(areas, "patch_id").select("map_id", "zbin", "patch_id", (F.col("area") * F.try_divide("up", "w")).alias("m_ap"))

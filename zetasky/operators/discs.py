@@ -29,7 +29,7 @@ def in_discs(pixels: DataFrame, centres: DataFrame, radius: float, nside: int) -
     discs = centres.withColumns({"px": F.sin("theta_center") * F.cos("phi_center"), "py": F.sin("theta_center") * F.sin("phi_center"), "pz": F.cos("theta_center")})
     reach = math.cos(min(math.pi, r + PIXEL_REACH / coarse))
     touched = discs.join(F.broadcast(cells), F.col("px") * F.col("cx") + F.col("py") * F.col("cy") + F.col("pz") * F.col("cz") >= reach - 1e-12).drop("cx", "cy", "cz")
-    placed = pixels.withColumn("cell", healpix.sky_to_pixel(F.col("ra"), math.pi / 2 - F.col("dec"), coarse))
+    placed = healpix.computed(pixels.withColumn("cell", healpix.sky_to_pixel(F.col("ra"), math.pi / 2 - F.col("dec"), coarse)), "cell")
     inside = F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z") >= math.cos(r)
     return placed.join(touched, "cell").filter(inside).select("patch_id", "pix", "ra", "dec")
 
@@ -40,9 +40,9 @@ def patch_pixels(footprint: DataFrame, centres: DataFrame, params: Params) -> Da
 
 def snapped(centres: DataFrame, params: Params) -> DataFrame:
     """Centres with the pixel that holds each and that pixel's position."""
-    with_pixel = centres.withColumn("center_pix", healpix.sky_to_pixel(F.col("phi_center"), F.col("theta_center"), params.nside))
+    with_pixel = healpix.computed(centres.withColumn("center_pix", healpix.sky_to_pixel(F.col("phi_center"), F.col("theta_center"), params.nside)), "center_pix")
     phi, theta = healpix.pixel_to_sky(F.col("center_pix"), params.nside)
-    return with_pixel.withColumns({"ra_c": phi, "dec_c": math.pi / 2 - theta})
+    return healpix.computed(with_pixel.withColumns({"ra_c": phi, "dec_c": math.pi / 2 - theta}), "ra_c", "dec_c")
 
 
 def filter_pixels(footprint: DataFrame, centres: DataFrame, params: Params) -> DataFrame:

@@ -5,32 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zetasky.functions import geometry
+from zetasky.functions import geometry, healpix
 from zetasky.plans.params import Params
 
+ENDS = ("ra1", "dec1", "ra2", "dec2")
 
-def candidate_pairs(members: DataFrame, salt: int = 1) -> DataFrame:
-    """Unordered pairs of a patch's pixels, each once.
 
-    The join's key is the patch. With few patches on many executors, ``salt`` spreads each over that many tasks: the
-    left side is dealt by pixel and the right side repeated.
+def candidate_pairs(members: DataFrame, salt: int = 1, keys: tuple[str, ...] = ("patch_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Unordered pairs of a patch's pixels, each once: ``keys``, and pix, ra, dec and the columns to ``carry`` of both ends.
+
+    The join's keys are the patch and what else tells groups of pixels apart, such as the map. With large patches or
+    few on many executors, ``salt`` spreads each over that many tasks: the left side is dealt by pixel and the right
+    side repeated.
     """
-    left = members.select("patch_id", F.col("pix").alias("pix1"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"))
-    right = members.select("patch_id", F.col("pix").alias("pix2"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
-    keys = ["patch_id"]
+    side = lambda end: members.select(*keys, *(F.col(c).alias(f"{c}{end}") for c in ("pix", "ra", "dec", *carry)))
+    left, right, on = side(1), side(2), list(keys)
     if salt > 1:
         left = left.withColumn("salt", F.pmod(F.xxhash64("pix1"), F.lit(salt)).cast("int"))
         right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        keys.append("salt")
-    on = [left[k] == right[k] for k in keys] + [F.col("pix1") < F.col("pix2")]
-    return left.join(right, on).select(left["patch_id"], "pix1", "pix2", "ra1", "dec1", "ra2", "dec2")
+        on.append("salt")
+    return left.join(right, on).filter("pix1 < pix2").drop("salt")
+
+
+def binned_pairs(candidates: DataFrame, params: Params) -> DataFrame:
+    """Candidates whose separation lies inside a bin, with the bin.
+
+    Each pair's separation is computed once: the comparisons with the edges, which stand in a filter, see a plain column.
+    """
+    edges = params.edges()
+    apart = healpix.computed(candidates.withColumn("distance", geometry.separation(*(F.col(c) for c in ENDS))), "distance")
+    inside = apart.filter((F.col("distance") > edges[0]) & (F.col("distance") < edges[-1]))
+    return inside.withColumn("bin", params.bin_of(F.col("distance"))).drop("distance").filter("bin is not null")
 
 
-def pairs(members: DataFrame, params: Params, salt: int = 1) -> DataFrame:
-    """patch_id, bin, pix1, pix2 and both spin-2 phases, for separations inside a bin."""
-    ends = [F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")]
-    binned = candidate_pairs(members, salt).withColumn("bin", params.bin_of(geometry.separation(*ends))).filter("bin is not null")
-    return binned.select("patch_id", "bin", "pix1", "pix2", *(c.alias(k) for k, c in geometry.pair_phases(*ends).items()))
+def pairs(members: DataFrame, params: Params, salt: int = 1, keys: tuple[str, ...] = ("patch_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, bin, pix1, pix2, both spin-2 phases and the carried columns of both ends, for separations inside a bin."""
+    binned = binned_pairs(candidate_pairs(members, salt, keys, carry), params)
+    phases = geometry.pair_phases(*(F.col(c) for c in ENDS))
+    return binned.select(*keys, "bin", "pix1", "pix2", *(c.alias(k) for k, c in phases.items()), *(f"{c}{end}" for c in carry for end in (1, 2)))
 
 
 def pair_counts(pair_table: DataFrame, centres: DataFrame, params: Params) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zetasky.functions.geometry import rotated
+from zetasky.operators import pairs
+from zetasky.plans.params import Params
 
 
 def by_pixel(shear: DataFrame) -> DataFrame:
@@ -13,23 +15,44 @@ def by_pixel(shear: DataFrame) -> DataFrame:
     return shear.groupBy("map_id", "pix").agg(F.collect_list(F.struct("zbin", "g1", "g2", "w")).alias("fields"))
 
 
-def pair_shear(pair_table: DataFrame, shear: DataFrame) -> DataFrame:
-    """Pairs with the fields at both ends rotated into the pair's frame, for each map and (z at pix1, z at pix2)."""
-    fields = by_pixel(shear)
-    one = fields.select("map_id", F.col("pix").alias("pix1"), F.col("fields").alias("f1"))
-    two = fields.select("map_id", F.col("pix").alias("pix2"), F.col("fields").alias("f2"))
-    both = pair_table.join(one, "pix1").join(two, ["map_id", "pix2"]).withColumn("a", F.explode("f1")).withColumn("b", F.explode("f2"))
+def paired_shear(members: DataFrame, params: Params, shear: DataFrame, salt: int = 1) -> DataFrame:
+    """Pairs of a patch's pixels with the rotated fields at both ends: the pixels take their fields first and are
+    then paired inside map and patch, so only pixels are shuffled and never pairs."""
+    carried = members.join(by_pixel(shear), "pix")
+    return rotated_ends(pairs.pairs(carried, params, salt, ("map_id", "patch_id"), ("fields",)))
+
+
+def gathered_shear(pair_table: DataFrame, shear: DataFrame) -> DataFrame:
+    """The same for pairs of a store: fields are looked up by pixel, those of all maps at once."""
+    per_map = by_pixel(shear).groupBy("pix").agg(F.collect_list(F.struct("map_id", "fields")).alias("maps"))
+    end = lambda i: per_map.select(F.col("pix").alias(f"pix{i}"), F.col("maps").alias(f"maps{i}"))
+    both = pair_table.join(end(1), "pix1").join(end(2), "pix2")
+    one = both.withColumn("one", F.explode("maps1")).withColumn("two", F.explode(F.filter("maps2", lambda m: m["map_id"] == F.col("one.map_id"))))
+    return rotated_ends(one.select(*pair_table.columns, F.col("one.map_id").alias("map_id"), F.col("one.fields").alias("fields1"), F.col("two.fields").alias("fields2")))
+
+
+def rotated_ends(paired: DataFrame) -> DataFrame:
+    """The fields at both ends rotated into the pair's frame, for each map and (z at pix1, z at pix2)."""
+    both = paired.withColumn("a", F.explode("fields1")).withColumn("b", F.explode("fields2"))
     r1, i1 = rotated(F.col("a.g1"), F.col("a.g2"), F.col("e1_re"), F.col("e1_im"))
     r2, i2 = rotated(F.col("b.g1"), F.col("b.g2"), F.col("e2_re"), F.col("e2_im"))
     return both.select("map_id", "patch_id", "bin", "pix1", "pix2", F.col("a.zbin").alias("za"), F.col("b.zbin").alias("zb"), r1.alias("r1"), i1.alias("i1"), r2.alias("r2"), i2.alias("i2"), (F.col("a.w") * F.col("b.w")).alias("ww"))
 
 
-def correlate(pair_table: DataFrame, shear: DataFrame, counts: DataFrame, zpairs: DataFrame, maps: DataFrame, mode: str = "symmetric", weighted: bool = True) -> DataFrame:
-    """xi+ and xi- for every map, redshift pair, patch and bin.
+def weight_sums(ends: DataFrame) -> DataFrame:
+    """Sums of pair weights of every map, redshift pair, patch and bin, forward (fw) and swapped (sw). They depend on
+    weights alone, so maps that share theirs can share these: see ``norms`` of ``correlate``."""
+    ahead = F.col("za") <= F.col("zb")
+    return ends.groupBy("map_id", F.least("za", "zb").alias("z1"), F.greatest("za", "zb").alias("z2"), "patch_id", "bin").agg(F.sum(F.when(ahead, F.col("ww"))).alias("fw"), F.sum(F.when(~ahead, F.col("ww"))).alias("sw"))
+
+
+def correlate(ends: DataFrame, counts: DataFrame, zpairs: DataFrame, maps: DataFrame, mode: str = "symmetric", weighted: bool = True, norms: DataFrame | None = None) -> DataFrame:
+    """xi+ and xi- for every map, redshift pair, patch and bin, from the rotated fields of pairs.
 
     ``mode`` symmetric averages both orientations of z1 < z2, each with its own norm; forward has z1 at pix1 only.
     Unweighted sums are divided by the footprint's pairs. A bin without pairs, or a cross bin with an orientation
-    without weight, is null; every combination of ``maps`` (map_id), ``zpairs`` (z1, z2) and ``counts`` has a row.
+    without weight, is null; every combination of ``maps`` (map_id), ``zpairs`` (z1, z2) and ``counts`` has a row. Sums of
+    weights known already can be given as ``norms`` (z1, z2, patch_id, bin, fw, sw, and map_id where maps differ).
     """
     if mode not in ("symmetric", "forward"):
         raise ValueError("mode must be symmetric or forward")
@@ -41,11 +64,13 @@ def correlate(pair_table: DataFrame, shear: DataFrame, counts: DataFrame, zpairs
     def total(x: Column, when: Column, name: str) -> Column:
         return F.sum(F.when(when, x)).alias(name)
 
-    ends = pair_shear(pair_table, shear)
     sums = ends.groupBy("map_id", F.least("za", "zb").alias("z1"), F.greatest("za", "zb").alias("z2"), "patch_id", "bin").agg(
         total(plus, ahead, "fp"), total(minus, ahead, "fm"), total(weight, ahead, "fw"), total(plus, ~ahead, "sp"), total(minus, ~ahead, "sm"), total(weight, ~ahead, "sw")
     )
-    grid = counts.join(F.broadcast(zpairs)).join(F.broadcast(maps))
+    if norms is not None:
+        keys = [c for c in ("map_id", "z1", "z2", "patch_id", "bin") if c in norms.columns]
+        sums = sums.drop("fw", "sw").join(norms.select(*keys, "fw", "sw"), keys, "left")
+    grid = counts.join(F.broadcast(zpairs)).join(maps)
     norm = lambda w: F.nullif(F.col(w), F.lit(0.0)) if weighted else F.nullif(F.col("npairs").cast("double"), F.lit(0.0))
     zero = lambda c: F.col(c) if weighted else F.coalesce(F.col(c), F.lit(0.0))
     ahead_of = lambda c: F.try_divide(zero(f"f{c}"), norm("fw"))

@@ -14,16 +14,24 @@ from zetasky.sources import store, tables
 class Correlation:
     """Geometry of a footprint and patches, and the statistics of maps on it. All results are lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, params: Params, centres: DataFrame, mask: DataFrame | None = None, salt: int = 1):
-        self.spark, self.params, self.centres, self.salt = spark, params, centres, salt
+    def __init__(self, spark: SparkSession, params: Params, centres: DataFrame, mask: DataFrame | None = None, salt: int | None = None):
+        self.spark, self.params, self.centres, self.salt = spark, params, centres, salt or params.salt
         self.footprint = tables.footprint(spark, params, mask)
         self._pairs = self._filters = None
 
+    @property
+    def members(self) -> DataFrame:
+        return discs.patch_pixels(self.footprint, self.centres, self.params)
+
     @property
     def pairs(self) -> DataFrame:
-        if self._pairs is None:
-            self._pairs = pairs.pairs(discs.patch_pixels(self.footprint, self.centres, self.params), self.params, self.salt)
-        return self._pairs
+        return self._pairs if self._pairs is not None else pairs.pairs(self.members, self.params, self.salt)
+
+    def ends(self, fields: DataFrame) -> DataFrame:
+        """Pairs with the rotated fields at both ends: gathered by pixel for pairs of a store, else paired with the fields."""
+        if self._pairs is not None:
+            return xi.gathered_shear(self._pairs, fields)
+        return xi.paired_shear(self.members, self.params, fields, self.salt)
 
     @property
     def filters(self) -> DataFrame:
@@ -47,10 +55,10 @@ class Correlation:
     def aperture_mass(self, shear: DataFrame, flip_g1: bool = False) -> DataFrame:
         return aperture.aperture_mass(self.filters, discs.filter_area(self.filters, self.params), tables.load_maps(shear, flip_g1))
 
-    def xi(self, shear: DataFrame, mode: str = "symmetric", weighted: bool = True, flip_g1: bool = False, zpairs: DataFrame | None = None) -> DataFrame:
+    def xi(self, shear: DataFrame, mode: str = "symmetric", weighted: bool = True, flip_g1: bool = False, zpairs: DataFrame | None = None, norms: DataFrame | None = None) -> DataFrame:
         fields = tables.load_maps(shear, flip_g1)
         zpairs = xi.zbin_pairs(shear.select("zbin").distinct()) if zpairs is None else zpairs
-        return xi.correlate(self.pairs, fields, self.counts(), zpairs, shear.select("map_id").distinct(), mode, weighted)
+        return xi.correlate(self.ends(fields), self.counts(), zpairs, shear.select("map_id").distinct(), mode, weighted, norms)
 
-    def zeta(self, shear: DataFrame, flip_g1: bool = False, strict: bool = False) -> DataFrame:
-        return zeta(self.aperture_mass(shear, flip_g1), self.xi(shear, flip_g1=flip_g1), strict)
+    def zeta(self, shear: DataFrame, flip_g1: bool = False, strict: bool = False, zpairs: DataFrame | None = None) -> DataFrame:
+        return zeta(self.aperture_mass(shear, flip_g1), self.xi(shear, flip_g1=flip_g1, zpairs=zpairs), strict)

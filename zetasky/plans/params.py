@@ -12,6 +12,9 @@ from zetasky.functions import healpix
 from zetasky.functions.geometry import arcmin
 
 
+PAIRS_A_TASK = 20_000_000
+
+
 @dataclass(frozen=True)
 class Params:
     """Separations, radii and scales are in arcmin; ``patch_size`` and ``filter_radius`` are radii of discs."""
@@ -35,6 +38,12 @@ class Params:
     def npix(self) -> int:
         return healpix.npix(self.nside)
 
+    @property
+    def salt(self) -> int:
+        """Tasks over which a patch's pairs are spread, so that each has some PAIRS_A_TASK to look at."""
+        members = self.npix * (1 - math.cos(min(math.pi, arcmin(self.patch_size)))) / 2
+        return max(1, math.ceil(members * members / 2 / PAIRS_A_TASK))
+
     def edges(self) -> list[float]:
         """Logarithmic bin edges in radians."""
         lo, hi = arcmin(self.theta_min), arcmin(self.theta_max)

@@ -45,10 +45,6 @@ def engine(spark: SparkSession) -> Correlation:
     return Correlation(spark, PARAMS, fixture.patches(spark))
 
 
-def one_map(spark: SparkSession, sf_dir: str, *zbins: int) -> DataFrame:
-    return fixture.shear(spark, sf_dir).filter((F.col("map_id") == 0) & F.col("zbin").isin(*zbins))
-
-
 def numbers(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), (F.col("id") * 0.37).alias("ra1"), (F.col("id") % 17 * 0.15 - 1.2).alias("dec1"), (F.col("id") * 0.73 + 0.1).alias("ra2"), (F.col("id") % 13 * 0.17 - 1.0).alias("dec2"))
 
@@ -91,13 +87,8 @@ def load_pairs_range(spark, sf_dir):
     return Correlation.load_pairs(spark, _store(spark), 5, 12).pairs.groupBy("patch_id", "bin").agg(F.count("*").alias("npairs"))
 
 
-@query(sql(f"select {pixel_at('ra', 'pi()/2-dec', 8)} as pix, {rs('avg(g1)', ANGLE, 'g1')} from shear join pixels using (pix) where map_id=0 and zbin=0 group by 1", "shear", "pixels"))
-def degrade_map(spark, sf_dir):
-    return healpix.degrade(one_map(spark, sf_dir, 0), NSIDE, 8, "g1").select("pix", r("g1", ANGLE, "g1"))
-
-
 @query(sql(f"select map_id, zbin, {pixel_at('ra', 'pi()/2-dec', 8)} as pix, {rs('avg(g1)', ANGLE, 'g1')} from shear join pixels using (pix) group by 1,2,3", "shear", "pixels"))
-def full_degrade_map(spark, sf_dir):
+def degrade_map(spark, sf_dir):
     return healpix.degrade(fixture.shear(spark, sf_dir), NSIDE, 8, "g1", "map_id", "zbin").select("map_id", "zbin", "pix", r("g1", ANGLE, "g1"))
 
 
@@ -139,13 +130,8 @@ def angular_separation(spark, sf_dir):
 PHASES = ("e1_re", "e1_im", "e2_re", "e2_im")
 
 
-@query(sql("select patch_id, bin, pix1, pix2, " + ", ".join(rs(c, (1.0, 7), c) for c in PHASES) + " from pairs where patch_id<4", "pairs"))
-def pair_phase(spark, sf_dir):
-    return engine(spark).pairs.filter("patch_id < 4").select("patch_id", "bin", "pix1", "pix2", *(r(c, (1.0, 7), c) for c in PHASES))
-
-
 @query(sql("select patch_id, bin, pix1, pix2, " + ", ".join(rs(c, (1.0, 7), c) for c in PHASES) + " from pairs", "pairs"))
-def full_pair_phase(spark, sf_dir):
+def pair_phase(spark, sf_dir):
     return engine(spark).pairs.select("patch_id", "bin", "pix1", "pix2", *(r(c, (1.0, 7), c) for c in PHASES))
 
 
@@ -167,14 +153,8 @@ def theta_bins(spark, sf_dir):
     return PARAMS.bins(spark).select("bin", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), F.round("center_arcmin", 6).alias("center_arcmin"))
 
 
-@query(sql(f"select patch_id, pix, {rs('-g1*q_cos-g2*q_sin', ANGLE, 'gt')} from filters join shear using (pix) where map_id=0 and zbin=0", "filters", "shear"))
-def tangential_shear(spark, sf_dir):
-    gt = geometry.tangential(*(F.col(c) for c in ("g1", "g2", "q_cos", "q_sin")))
-    return engine(spark).filters.join(one_map(spark, sf_dir, 0), "pix").select("patch_id", "pix", r(gt, ANGLE, "gt"))
-
-
 @query(sql(f"select map_id, zbin, patch_id, pix, {rs('-g1*q_cos-g2*q_sin', ANGLE, 'gt')} from filters join shear using (pix)", "filters", "shear"))
-def full_tangential_shear(spark, sf_dir):
+def tangential_shear(spark, sf_dir):
     gt = geometry.tangential(*(F.col(c) for c in ("g1", "g2", "q_cos", "q_sin")))
     return engine(spark).filters.join(fixture.shear(spark, sf_dir), "pix").select("map_id", "zbin", "patch_id", "pix", r(gt, ANGLE, "gt"))
 
@@ -187,15 +167,9 @@ def flip_shear(spark, sf_dir):
 ENDS = ("r1", "i1", "r2", "i2")
 
 
-@query(sql("select patch_id, bin, pix1, pix2, za, zb, " + ", ".join(rs(c, ANGLE, c) for c in ENDS) + " from ends where map_id=0 and za=0 and zb=0 and patch_id<6", "ends"))
-def rotate_shear(spark, sf_dir):
-    ends = xi.pair_shear(engine(spark).pairs.filter("patch_id < 6"), one_map(spark, sf_dir, 0))
-    return ends.select("patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
-
-
 @query(sql("select map_id, patch_id, bin, pix1, pix2, za, zb, " + ", ".join(rs(c, ANGLE, c) for c in ENDS) + " from ends", "ends"))
-def full_rotate_shear(spark, sf_dir):
-    ends = xi.pair_shear(engine(spark).pairs, fixture.shear(spark, sf_dir))
+def rotate_shear(spark, sf_dir):
+    ends = engine(spark).ends(fixture.shear(spark, sf_dir))
     return ends.select("map_id", "patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
 
 
@@ -207,9 +181,9 @@ def mask_filter(spark, sf_dir):
     return tables.kept(fixture.mask(spark))
 
 
-@query(sql("select pix from members where patch_id=0", "members"))
+@query(sql("select patch_id, pix from disc", "disc"))
 def query_disc(spark, sf_dir):
-    return discs.in_discs(healpix.pixels(spark, NSIDE), fixture.patches(spark).filter("patch_id = 0"), PARAMS.patch_size, NSIDE).select("pix")
+    return discs.in_discs(healpix.pixels(spark, NSIDE), fixture.patches(spark), PARAMS.filter_radius, NSIDE).select("patch_id", "pix")
 
 
 @query(sql("select patch_id, pix from members where pix in (select pix from mask where m<>0)", "members", "mask"))
@@ -226,14 +200,8 @@ def _near(spark):
     return pairs.candidate_pairs(discs.patch_pixels(healpix.pixels(spark, NSIDE), fixture.patches(spark), PARAMS))
 
 
-@query(sql("select patch_id, pix1, pix2, bin from binned where patch_id<4", "binned"))
-def assign_bin(spark, sf_dir):
-    d = geometry.separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")))
-    return _near(spark).filter("patch_id < 4").select("patch_id", "pix1", "pix2", PARAMS.bin_of(d).alias("bin"))
-
-
 @query(sql("select patch_id, pix1, pix2, bin from binned", "binned"))
-def full_assign_bin(spark, sf_dir):
+def assign_bin(spark, sf_dir):
     d = geometry.separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")))
     return _near(spark).select("patch_id", "pix1", "pix2", PARAMS.bin_of(d).alias("bin"))
 
@@ -253,15 +221,9 @@ def pair_bins(spark, sf_dir):
     return engine(spark).pairs.select("patch_id", "bin", "pix1", "pix2")
 
 
-@query(sql(f"select patch_id, bin, za, zb, count(*) as n, {rs('sum(ww)', (1.0, 3), 'ww')} from ends where map_id=0 group by 1,2,3,4", "ends"))
-def pair_shear(spark, sf_dir):
-    ends = xi.pair_shear(engine(spark).pairs, one_map(spark, sf_dir, *range(fixture.N_ZBINS)))
-    return ends.groupBy("patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), r(F.sum("ww"), (1.0, 3), "ww"))
-
-
 @query(sql(f"select map_id, patch_id, bin, za, zb, count(*) as n, {rs('sum(ww)', (1.0, 3), 'ww')} from ends group by 1,2,3,4,5", "ends"))
-def full_pair_shear(spark, sf_dir):
-    ends = xi.pair_shear(engine(spark).pairs, fixture.shear(spark, sf_dir))
+def pair_shear(spark, sf_dir):
+    ends = engine(spark).ends(fixture.shear(spark, sf_dir))
     return ends.groupBy("map_id", "patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), r(F.sum("ww"), (1.0, 3), "ww"))
 
 
@@ -279,27 +241,17 @@ def zbin_triples(spark, sf_dir):
     return xi.zbin_triples(_zbins(spark))
 
 
-@query(sql("select pix from members where patch_id=3 intersect select pix from mask where m<>0", "members", "mask"))
-def pix_intersect(spark, sf_dir):
-    return patch_pixels(spark, sf_dir).filter("patch_id = 3").select("pix").intersect(tables.kept(fixture.mask(spark)))
-
-
-@query(sql("select pix from members where patch_id=3 except select pix from mask where m<>0", "members", "mask"))
-def pix_except(spark, sf_dir):
-    return patch_pixels(spark, sf_dir).filter("patch_id = 3").select("pix").exceptAll(tables.kept(fixture.mask(spark)))
-
-
 def _kept_everywhere(spark):
     return fixture.patches(spark).select("patch_id").join(tables.kept(fixture.mask(spark)))
 
 
 @query(sql("select patch_id, pix from members intersect select patch_id, pix from patches cross join mask where m<>0", "members", "mask"))
-def full_pix_intersect(spark, sf_dir):
+def pix_intersect(spark, sf_dir):
     return patch_pixels(spark, sf_dir).intersect(_kept_everywhere(spark))
 
 
 @query(sql("select patch_id, pix from members except select patch_id, pix from patches cross join mask where m<>0", "members", "mask"))
-def full_pix_except(spark, sf_dir):
+def pix_except(spark, sf_dir):
     return patch_pixels(spark, sf_dir).exceptAll(_kept_everywhere(spark))
 
 
@@ -321,49 +273,42 @@ def filter_area(spark, sf_dir):
     return discs.filter_area(engine(spark).filters, PARAMS).select("patch_id", "n_pix", r("area", ANGLE, "area"))
 
 
-@query(sql(f"select patch_id, {rs('m_ap', MASS, 'm_ap')} from masses where map_id=0 and zbin=0", "masses"))
+@query(sql(f"select map_id, zbin, patch_id, {rs('m_ap', MASS, 'm_ap')} from masses", "masses"))
 def aperture_mass(spark, sf_dir):
-    return engine(spark).aperture_mass(one_map(spark, sf_dir, 0)).select("patch_id", r("m_ap", MASS, "m_ap"))
-
-
-def _xi_sql(plus: str, minus: str, where: str) -> str:
-    return sql(f"select z1, z2, patch_id, bin, npairs, {rs(plus, XI, 'xip')}, {rs(minus, XI, 'xim')} from xi where map_id=0 and {where}", "xi")
+    found = aperture.aperture_mass(engine(spark).filters, discs.filter_area(engine(spark).filters, PARAMS), fixture.shear(spark, sf_dir))
+    return found.select("map_id", "zbin", "patch_id", r("m_ap", MASS, "m_ap"))
 
 
-def _xi(spark, sf_dir, zbins, where, **options):
-    out = engine(spark).xi(one_map(spark, sf_dir, *zbins), **options).filter(where)
-    return out.select("z1", "z2", "patch_id", "bin", "npairs", r("xip", XI, "xip"), r("xim", XI, "xim"))
+def _xi_sql(plus: str, minus: str, where: str = "true") -> str:
+    return sql(f"select map_id, z1, z2, patch_id, bin, npairs, {rs(plus, XI, 'xip')}, {rs(minus, XI, 'xim')} from xi where {where}", "xi")
 
 
-@query(_xi_sql("up", "um", "z1=0 and z2=0"))
-def xi_unweighted(spark, sf_dir):
-    return _xi(spark, sf_dir, (0,), "z1 = 0", weighted=False)
+def _xi(spark, sf_dir, **options):
+    out = engine(spark).xi(fixture.shear(spark, sf_dir), **options)
+    return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("xip", XI, "xip"), r("xim", XI, "xim"))
 
 
 @query(_xi_sql("fp", "fm", "z1=z2"))
 def xi_auto(spark, sf_dir):
-    return _xi(spark, sf_dir, range(fixture.N_ZBINS), "z1 = z2", zpairs=_zbins(spark).selectExpr("zbin as z1", "zbin as z2"))
+    return _xi(spark, sf_dir, zpairs=_zbins(spark).selectExpr("zbin as z1", "zbin as z2"))
 
 
-@query(_xi_sql("xip", "xim", "z1=0 and z2=1"))
+@query(_xi_sql("xip", "xim", "z1<z2"))
 def xi_cross(spark, sf_dir):
-    return _xi(spark, sf_dir, (0, 1), "z1 = 0 and z2 = 1")
+    return _xi(spark, sf_dir, zpairs=xi.zbin_pairs(_zbins(spark)).filter("z1 < z2"))
 
 
-@query(_xi_sql("fp", "fm", "z1=0 and z2=0"))
+@query(_xi_sql("xip", "xim"))
 def xi_weighted(spark, sf_dir):
-    return _xi(spark, sf_dir, (0,), "z1 = 0")
+    """With sums of weights that were found before, as maps with the same weights would share them."""
+    maps = fixture.shear(spark, sf_dir)
+    return _xi(spark, sf_dir, norms=xi.weight_sums(engine(spark).ends(maps)))
 
 
-@query(_xi_sql("fp", "fm", "z1=0 and z2=1"))
-def xi_forward(spark, sf_dir):
-    return _xi(spark, sf_dir, (0, 1), "z1 = 0 and z2 = 1", mode="forward")
-
-
-@query(sql(f"select z1, z2, patch_id, bin, {rs('fw', (1.0, 3), 'sumw')} from xi where map_id=0 and z1=0 and z2=1", "xi"))
+@query(sql(f"select map_id, z1, z2, patch_id, bin, {rs('fw', (1.0, 3), 'sumw')} from xi", "xi"))
 def sum_of_weights(spark, sf_dir):
-    out = engine(spark).xi(one_map(spark, sf_dir, 0, 1), mode="forward").filter("z1 = 0 and z2 = 1")
-    return out.select("z1", "z2", "patch_id", "bin", r("sumw", (1.0, 3), "sumw"))
+    out = engine(spark).xi(fixture.shear(spark, sf_dir), mode="forward")
+    return out.select("map_id", "z1", "z2", "patch_id", "bin", r("sumw", (1.0, 3), "sumw"))
 
 
 @query(sql(f"select map_id, zbin, patch_id, {rs('m_ap', MASS, 'm_ap')} from masses", "masses"))
@@ -378,7 +323,7 @@ def full_tomo_xi(spark, sf_dir):
 
 
 @query(sql(f"select map_id, z1, z2, patch_id, bin, npairs, {rs('fw', (1.0, 3), 'sumw')}, {rs('fp', XI, 'xip')}, {rs('fm', XI, 'xim')} from xi", "xi"))
-def full_xi_forward(spark, sf_dir):
+def xi_forward(spark, sf_dir):
     out = engine(spark).xi(fixture.shear(spark, sf_dir), mode="forward")
     return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("sumw", (1.0, 3), "sumw"), r("xip", XI, "xip"), r("xim", XI, "xim"))
 
@@ -387,14 +332,16 @@ _PLAIN = "(select map_id, least(za,zb) as z1, greatest(za,zb) as z2, patch_id, b
 
 
 @query(sql(f"select map_id, z1, z2, patch_id, bin, npairs, {', '.join(rs(f'coalesce({c},0)/nullif(npairs,0)/case when z1=z2 then 1 else 2 end', XI, name) for c, name in (('p', 'xip'), ('m', 'xim')))} from grid left join {_PLAIN} using (map_id,z1,z2,patch_id,bin)", "grid", "ends"))
-def full_xi_unweighted(spark, sf_dir):
+def xi_unweighted(spark, sf_dir):
     out = engine(spark).xi(fixture.shear(spark, sf_dir), weighted=False)
     return out.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", r("xip", XI, "xip"), r("xim", XI, "xim"))
 
 
-@query(sql(f"select map_id, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas where map_id=0 and z1=0 and z3=0", "zetas"))
+@query(sql(f"select map_id, z1, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas where z1=z3", "zetas"))
 def zeta(spark, sf_dir):
-    return engine(spark).zeta(one_map(spark, sf_dir, 0)).select("map_id", "bin", r("zetap", ZETA, "zetap"), r("zetam", ZETA, "zetam"))
+    """Every map with all of its parts in one redshift bin."""
+    found = engine(spark).zeta(fixture.shear(spark, sf_dir), zpairs=_zbins(spark).selectExpr("zbin as z1", "zbin as z2"))
+    return found.filter("z1 = z3").select("map_id", "z1", "bin", r("zetap", ZETA, "zetap"), r("zetam", ZETA, "zetam"))
 
 
 @query(sql(f"select map_id, z1, z2, z3, bin, {rs('zetap', ZETA, 'zetap')}, {rs('zetam', ZETA, 'zetam')} from zetas", "zetas"))

@@ -31,10 +31,14 @@ def patches_from_lists(spark: SparkSession, phi: list[float], theta: list[float]
 
 
 def patches_from_text(spark: SparkSession, phi_path: str, theta_path: str) -> DataFrame:
-    """Centres in two text files of one number a line; lines pair up by position."""
-    read = lambda path, name: spark.read.csv(path, schema=f"{name} double").withColumn("line", F.monotonically_increasing_id())
-    both = read(phi_path, "phi_center").join(read(theta_path, "theta_center"), "line")
-    return both.select(F.col("line").cast("int").alias("patch_id"), "phi_center", "theta_center")
+    """Centres in two text files of one number a line; lines pair up by position, blank ones aside. A file is read as one
+    row, so its lines keep their places however Spark would split it."""
+
+    def numbers(path: str, name: str) -> DataFrame:
+        lines = F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "")
+        return spark.read.text(path, wholetext=True).select(F.posexplode(lines)).select(F.col("pos").alias("patch_id"), F.trim("col").cast("double").alias(name))
+
+    return numbers(phi_path, "phi_center").join(numbers(theta_path, "theta_center"), "patch_id")
 
 
 def load_maps(shear: DataFrame, flip_g1: bool = True, flip_g2: bool = False) -> DataFrame:
