@@ -90,8 +90,12 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "zetasky-shared")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset and no cluster
+    is there to share it (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or os.path.join(tempfile.gettempdir(), "zetasky-shared")
 
 
 def pack48(numbers: np.ndarray) -> bytes:
