@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, pii, secrets, sharding, suffixes, tokens, topk
+from . import bpe, decontam, jaccard, langid, oracles, pii, secrets, sharding, suffixes, tokens, topk
 from .util import read, shared_folder
 
 
@@ -56,4 +56,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding)}
-ORACLES: dict[str, str] = {"op6_exact_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_jaccard_join": oracles.JACCARD, "op4_suffix_dedup": oracles.SUFFIXES, "op6_exact_top_k": topk.ORACLE, "op10_sharding": oracles.SHARDS}

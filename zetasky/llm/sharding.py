@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Three hex digits of a hash: 4096 slots. The map is as long, so broadcasting it is bounded.
 SLOT_DIGITS = 3
 N_SLOTS = 16**SLOT_DIGITS
+#: Parts of a slot by text, so that the rows of one id, or of none, need not all be put in order by one task.
+PARTS = 16
 
 
 def virtual_slot(key):
@@ -67,7 +69,8 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> list
 
 def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id")).alias("vslot"))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id")).alias("vslot"))
+    return rows.withColumn("part", (F.col("text_crc32") % PARTS).cast("int"))
 
 
 def slot_bytes(docs: DataFrame) -> DataFrame:
@@ -79,20 +82,21 @@ def assign_shards(docs: DataFrame, slot_map: list[int], grown_map: list[int], ve
     """Place every document by law ``key``: its id and the map's shard count decide, whatever other rows there are.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns doc_id, size (UTF-8 bytes plus 1),
-    text_crc32, law, shard, slot (position in the shard, gapless from 0, by virtual slot and id), grown_shard (under
+    text_crc32, law, shard, slot (position in the shard, gapless from 0, by virtual slot, its part and id), grown_shard (under
     ``grown_map``), vslot, slot_bytes and map_version. A null text has size 1 and CRC 0; null ids share one virtual
     slot; repeated rows get positions of their own; an empty table gives no rows. Rows are dealt by virtual slot
-    without their texts; positions need the rows before a slot in its shard, at most N_SLOTS counts.
+    and part without their texts; positions need the rows before a part in its shard, at most N_SLOTS * PARTS counts.
     """
     spark = docs.sparkSession
     lookup = spark.createDataFrame([(v, s, g) for v, (s, g) in enumerate(zip(slot_map, grown_map, strict=True))], "vslot int, shard int, grown_shard int")
-    before = F.sum("slot_rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("slot_rows")
-    slots = slot_bytes(docs).join(F.broadcast(lookup), "vslot").withColumn("before", before)
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
+    before = F.sum("part_rows").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("part_rows")
+    parts = sized(docs).groupBy("vslot", "part").agg(F.count("*").alias("part_rows"), F.sum("size").alias("part_bytes"))
+    slots = parts.join(F.broadcast(lookup), "vslot").withColumn("before", before).withColumn("slot_bytes", F.sum("part_bytes").over(Window.partitionBy("vslot")))
+    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         sized(docs)
         .withColumn("within", within)
-        .join(F.broadcast(slots.select("vslot", "shard", "grown_shard", "slot_bytes", "before")), "vslot")
+        .join(F.broadcast(slots.select("vslot", "part", "shard", "grown_shard", "slot_bytes", "before")), ["vslot", "part"])
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", F.lit(version).alias("map_version"))
     )
 
