@@ -59,3 +59,17 @@ def test_discs_and_sets_by_brute_force(spark):
     found = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, SF).select("patch_id", "pix").collect()}
     assert found("patch_pixels") == want
     assert found("pix_intersect") == {x for x in want if x[1] % 7} and found("pix_except") == {x for x in want if x[1] % 7 == 0}
+
+
+def test_corner_tables(spark):
+    got = {name: {tuple(r)[:4]: tuple(r)[4:] for r in queries.QUERIES[name](spark, SF).collect()} for name in ("corner_hist2d", "contour_table")}
+    db = pytest.importorskip("duckdb").connect()
+    db.execute(f"create view lineitem as select * from read_parquet('{SF}/lineitem.parquet')")
+    for name, rows in got.items():
+        found = queries.QUERIES[name](spark, SF).columns
+        want = {tuple(r)[:4]: tuple(r)[4:] for r in db.execute(f"select {', '.join(found)} from ({queries.ORACLES[name]})").fetchall()}
+        assert rows == want
+    contours = got["contour_table"]
+    assert len(contours) == 3 * 400 and sum(r[2] for r in contours.values()) == 3
+    assert {r[1] for r in contours.values()} == {None, 0.99, 0.95, 0.68}
+    assert sum(r[0] for r in got["corner_hist2d"].values()) == 3 * spark.read.parquet(f"{SF}/lineitem.parquet").count()

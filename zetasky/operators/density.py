@@ -30,8 +30,8 @@ def grid_centres(samples: DataFrame, x: str, bins: int = 200) -> DataFrame:
     return cells.join(F.broadcast(_bounds(samples.select(x).dropna(), x))).select("ix", (F.col(f"lo_{x}") + (F.col("ix") + 0.5) * width).alias("center"))
 
 
-def smooth_grid(counts: DataFrame, bins: int, sigma: float = 0.5) -> DataFrame:
-    """Gaussian smoothing of a histogram on its whole grid, mirrored at the edges: ix, iy, density."""
+def smooth_grid(counts: DataFrame, bins: int, sigma: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian smoothing of the histogram of each of ``keys`` on its whole grid, mirrored at the edges: keys, ix, iy, density."""
     radius = int(4 * sigma + 0.5)
     taps = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
     spark = counts.sparkSession
@@ -42,20 +42,61 @@ def smooth_grid(counts: DataFrame, bins: int, sigma: float = 0.5) -> DataFrame:
     axis = line.join(F.broadcast(kernel)).select("i", mirrored.alias("source"), "weight").groupBy("i", "source").agg(F.sum("weight").alias("weight"))
     ax = axis.select(F.col("i").alias("ix"), F.col("source").alias("sx"), F.col("weight").alias("wx"))
     ay = axis.select(F.col("i").alias("iy"), F.col("source").alias("sy"), F.col("weight").alias("wy"))
-    cells = counts.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), "count")
-    spread = cells.join(F.broadcast(ax), "sx").join(F.broadcast(ay), "sy").groupBy("ix", "iy").agg(F.sum(F.col("count") * F.col("wx") * F.col("wy")).alias("density"))
+    cells = counts.select(*keys, F.col("ix").alias("sx"), F.col("iy").alias("sy"), "count")
+    spread = cells.join(F.broadcast(ax), "sx").join(F.broadcast(ay), "sy").groupBy(*keys, "ix", "iy").agg(F.sum(F.col("count") * F.col("wx") * F.col("wy")).alias("density"))
     grid = line.select(F.col("i").alias("ix")).join(line.select(F.col("i").alias("iy")))
-    return grid.join(spread, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("density", F.lit(0.0)).alias("density"))
+    grid = counts.select(*keys).distinct().join(grid) if keys else grid
+    return grid.join(spread, [*keys, "ix", "iy"], "left").select(*keys, "ix", "iy", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
-def hpd_levels(grid: DataFrame, shares: tuple[float, ...] = (0.99, 0.95, 0.68)) -> DataFrame:
-    """share, level: density of the cell at which the densest cells' mass first exceeds the share.
+def hpd_levels(grid: DataFrame, shares: tuple[float, ...] = (0.99, 0.95, 0.68), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, share, level: density of the cell at which the densest cells' mass first exceeds the share.
 
-    The grid has bins**2 rows whatever the samples, so one window over all of it is bounded.
+    A grid has bins**2 rows whatever the samples, so one window over all of it is bounded.
     """
-    ranked = grid.selectExpr("density", "sum(density) over (order by density desc, ix, iy rows unbounded preceding) as mass", "sum(density) over () as total")
+    group = f"partition by {', '.join(keys)} " if keys else ""
+    ranked = grid.selectExpr(*keys, "density", f"sum(density) over ({group}order by density desc, ix, iy rows unbounded preceding) as mass", f"sum(density) over ({group.strip()}) as total")
     wanted = grid.sparkSession.createDataFrame([(s,) for s in shares], "share double")
-    return ranked.join(F.broadcast(wanted), F.col("mass") > F.col("share") * F.col("total")).groupBy("share").agg(F.max("density").alias("level"))
+    return ranked.join(F.broadcast(wanted), F.col("mass") > F.col("share") * F.col("total")).groupBy(*keys, "share").agg(F.max("density").alias("level"))
+
+
+def corner_hist2d(samples: DataFrame, columns: tuple[str, ...], bins: int = 200) -> DataFrame:
+    """x, y, ix, iy, count for every pair of ``columns``, the earlier one as x: the histograms of a corner plot.
+
+    One pass over the samples for the bounds and one for all pairs, each pair over the samples that have both values.
+    """
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    both = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull()
+    bounds = samples.agg(*(f(F.when(both(x, y), F.col(c))).alias(f"{n}_{k}_{a}") for k, (x, y) in enumerate(pairs) for a, c in (("x", x), ("y", y)) for n, f in (("lo", F.min), ("hi", F.max))))
+
+    def cell(k: int, a: str, c: str):
+        low, high = F.col(f"lo_{k}_{a}"), F.col(f"hi_{k}_{a}")
+        return F.least(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+
+    cells = F.array(*(F.when(both(x, y), F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), cell(k, "x", x).alias("ix"), cell(k, "y", y).alias("iy"))) for k, (x, y) in enumerate(pairs)))
+    spread = samples.select(*columns).join(F.broadcast(bounds)).select(F.explode(cells).alias("c")).filter("c is not null").select("c.*")
+    return spread.groupBy("x", "y", "ix", "iy").agg(F.count("*").alias("count"))
+
+
+def contour_table(samples: DataFrame, columns: tuple[str, ...], bins: int = 200, sigma: float = 0.5, shares: tuple[float, ...] = (0.99, 0.95, 0.68), truth: dict[str, float] | None = None) -> DataFrame:
+    """What a corner plot draws: x, y, ix, iy, density, inside (the smallest share whose region holds the cell, null outside
+    all) and is_truth (the cell of the given true values; false without them), for every pair of ``columns``."""
+    keys = ("x", "y")
+    grid = smooth_grid(corner_hist2d(samples, columns, bins), bins, sigma, keys)
+    levels = hpd_levels(grid, shares, keys)
+    inside = grid.join(F.broadcast(levels), list(keys)).groupBy(*keys, "ix", "iy", "density").agg(F.min(F.when(F.col("density") >= F.col("level"), F.col("share"))).alias("inside"))
+    if not truth:
+        return inside.withColumn("is_truth", F.lit(False))
+    marked = samples.sparkSession.createDataFrame([tuple(float(truth[c]) for c in columns)], ", ".join(f"`t_{c}` double" for c in columns))
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    at = []
+    for x, y in pairs:
+        place = _bounds(samples.select(x, y).dropna(), x, y).join(marked.select(F.col(f"t_{x}").alias(x), F.col(f"t_{y}").alias(y)))
+        at.append(place.select(F.lit(x).alias("x"), F.lit(y).alias("y"), _cell(x, bins).alias("ix"), _cell(y, bins).alias("iy")))
+    places = at[0]
+    for more in at[1:]:
+        places = places.union(more)
+    return inside.join(F.broadcast(places.withColumn("is_truth", F.lit(True))), [*keys, "ix", "iy"], "left").withColumn("is_truth", F.coalesce("is_truth", F.lit(False)))
 
 
 def hist1d_density(samples: DataFrame, x: str) -> DataFrame:

@@ -106,8 +106,8 @@ NEEDS = {
 ONCE = {"shear", "pairs", "half"}
 
 
-def sql(query: str, *needs: str) -> str:
-    """``query`` with all the expressions that it needs, directly or not."""
+def sql(query: str, *needs: str, **instead: str) -> str:
+    """``query`` with all the expressions that it needs, directly or not, some of them put ``instead`` of the usual ones."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -118,4 +118,4 @@ def sql(query: str, *needs: str) -> str:
 
     for name in needs:
         add(name)
-    return ("with " + ", ".join(f"{n} as {'materialized ' * (n in ONCE)}({CTES[n]})" for n in wanted) + " " if wanted else "") + query
+    return ("with " + ", ".join(f"{n} as {'materialized ' * (n in ONCE)}({instead.get(n, CTES[n])})" for n in wanted) + " " if wanted else "") + query

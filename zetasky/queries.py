@@ -371,6 +371,39 @@ def hpd_levels(spark, sf_dir):
     return density.hpd_levels(density.smooth_grid(hist2d(spark, sf_dir), 20)).select("share", r("level", (1.0, 6), "level"))
 
 
+CORNER = ("l_quantity", "l_extendedprice", "l_discount")
+TRUTH = {"l_quantity": 25.0, "l_extendedprice": 40000.0, "l_discount": 0.05}
+
+
+def _lines(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*CORNER)
+
+
+def _each_pair(needs: str, query) -> str:
+    """The union of ``query(x, y)`` over the pairs of a corner, each with the expressions of its own samples."""
+    pairs = [(x, y) for i, x in enumerate(CORNER) for y in CORNER[i + 1 :]]
+    return " union all ".join("(" + sql(query(x, y), needs, samples=f"select {x} as x, {y} as y from lineitem where {x} is not null and {y} is not null") + ")" for x, y in pairs)
+
+
+@query(_each_pair("cells", lambda x, y: f"select '{x}' as x, '{y}' as y, ix, iy, n as count from cells"))
+def corner_hist2d(spark, sf_dir):
+    return density.corner_hist2d(_lines(spark, sf_dir), CORNER, 20)
+
+
+_LEVELS = "(select share, max(density) as level from (select density, sum(density) over (order by density desc, ix, iy rows unbounded preceding) as mass, sum(density) over () as total from smooth) join (values (99e-2),(95e-2),(68e-2)) s(share) on mass>share*total group by 1)"
+
+
+def _contours(x: str, y: str) -> str:
+    cell = lambda c, n: f"(select cast(least(floor(({e(TRUTH[c])}-min({n}))/(max({n})-min({n}))*20),19) as int) from samples)"
+    return f"select '{x}' as x, '{y}' as y, ix, iy, {rs('density', (1.0, 6), 'density')}, min(share) filter (where density>=level) as inside, ix={cell(x, 'x')} and iy={cell(y, 'y')} as is_truth from smooth cross join {_LEVELS} group by ix, iy, density"
+
+
+@query(_each_pair("smooth", _contours))
+def contour_table(spark, sf_dir):
+    found = density.contour_table(_lines(spark, sf_dir), CORNER, 20, truth=TRUTH)
+    return found.select("x", "y", "ix", "iy", r("density", (1.0, 6), "density"), "inside", "is_truth")
+
+
 @query(sql(f"select bin, {rs('center', (1.0, 6), 'center')}, count, {rs('density', (1e6, 6), 'density')} from hist1d", "hist1d"))
 def hist1d_density(spark, sf_dir):
     return density.hist1d_density(_samples(spark, sf_dir), "y").select("bin", r("center", (1.0, 6), "center"), "count", r("density", (1e6, 6), "density"))
