@@ -613,10 +613,10 @@ def still_apart(spark, keyed: DataFrame, several: DataFrame, links: DataFrame, p
                 owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
                 yield pa.RecordBatch.from_arrays([pa.array(unpack48(blobs).astype(np.int64)), pa.array(part.column(0).to_numpy()[owner]), pa.array(part.column(1).to_numpy()[owner])], schema=schema)
 
-    keys, _ = stash(open_nodes.select("node", "label", "keys").mapInArrow(spread, "key long, node long, label long").distinct())
+    keys, _ = stash(open_nodes.select("node", "label", "keys").mapInArrow(spread, "key long, node long, label long"))
     by_label = keys.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
-    split = split.select("key", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / CELL_NODES).cast("int").alias("parts"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("blocks"))
+    split, _ = stash(split.select("key", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / CELL_NODES).cast("int").alias("parts"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("blocks")))  # written, so that the join below can split a common key
     rows = keys.join(split, "key").withColumn("part_of", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("block_of", block_of(4))
     every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.col("block_of")).withColumn("mine", F.lit(False))
     minor = rows.filter("label <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.col("part_of")).withColumn("mine", F.lit(True))
