@@ -70,8 +70,10 @@ def load_maps(spark, sf_dir):
 
 
 def _store(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = os.path.join(shared, f"zetasky-pairs-{uuid.uuid4().hex}")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = os.path.join(shared or tempfile.gettempdir(), f"zetasky-pairs-{uuid.uuid4().hex}")
     engine(spark).save_pairs(path)
     return path
 
