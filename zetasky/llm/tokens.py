@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_columns
+from .util import map_columns, ship
 
 #: Entries of a worker's cache and the longest pre-token that it or the table holds.
 CACHE_SIZE, CACHED_CHARS = 300_000, 48
@@ -125,6 +125,7 @@ def count_tokens(docs: DataFrame, model_path: str, token_limit: int = 4096, tabl
     over_limit (n_tokens > ``token_limit``). A null text is an empty one: no bytes, no tokens, not over the limit.
     Rows with equal or null ids are kept each; an empty table gives no rows. Two narrow passes over the scan.
     """
+    ship(docs.sparkSession)
     with open(model_path, "rb") as file:
         data = file.read()
     model = load_model(data)
