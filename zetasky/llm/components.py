@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_schema, ship, stash, unstash
+from .util import arrow_schema, ship, stash, unstash, with_arrow
 
 #: Far beyond what doubling distances need; a bound against an endless loop. Reaching it is an error.
 MOST_ROUNDS = 64
@@ -38,7 +38,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             root[i] = root[r]  # smaller places are settled first
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[np.array(root)])], schema=schema)
 
-    return edges.coalesce(1).mapInArrow(run, "node long, label long")
+    return with_arrow(edges.coalesce(1), run, "node long, label long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

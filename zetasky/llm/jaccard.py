@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sorted_groups, stash, unpack48, unstash
+from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sorted_groups, stash, unpack48, unstash, with_arrow
 
 #: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT. They
 #: double until a group holds FILL shingles on average at most; a point is folded to compare it with a shorter one.
@@ -294,7 +294,7 @@ def shared_keys(nodes: DataFrame, total: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[few].astype(np.int64)), pa.array(nid[few]), pa.nulls(int(few.sum()), pa.int64())], schema=out_schema)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ties), pa.int64()), pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], schema=out_schema)
 
-    packed = nodes.select("node", "n", "keys").mapInArrow(pack, ddl)
+    packed = with_arrow(nodes.select("node", "n", "keys"), pack, ddl)
     return sorted_groups(packed, ["bucket"], meet, "key long, a long, b long")
 
 
@@ -434,7 +434,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
         if held:
             yield often()
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = with_arrow(docs.select("text"), count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").toArrow().column(0).to_numpy()
     found = rows.astype(np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -574,7 +574,7 @@ def texts_of_nameless(docs: DataFrame, width: int) -> DataFrame:
             kept = [i for i, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in kept], pa.binary()), pa.array([batch.column(0)[i].as_py() for i in kept], pa.string())], schema=schema)
 
-    return docs.filter("doc_id is null").select("text").mapInArrow(run, "print binary, text string").dropDuplicates(["print"])
+    return with_arrow(docs.filter("doc_id is null").select("text"), run, "print binary, text string").dropDuplicates(["print"])
 
 
 def one_text_each(texts: DataFrame, width: int) -> DataFrame:
@@ -588,7 +588,7 @@ def one_text_each(texts: DataFrame, width: int) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 2, 4)], schema=schema)
 
-    return texts.select(*SOUGHT).mapInArrow(run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
+    return with_arrow(texts.select(*SOUGHT), run, "node long, comp long, blocks int, text string").dropDuplicates(["node"])
 
 
 def still_apart(spark, keyed: DataFrame, several: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -613,7 +613,7 @@ def still_apart(spark, keyed: DataFrame, several: DataFrame, links: DataFrame, p
                 owner = np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
                 yield pa.RecordBatch.from_arrays([pa.array(unpack48(blobs).astype(np.int64)), pa.array(part.column(0).to_numpy()[owner]), pa.array(part.column(1).to_numpy()[owner])], schema=schema)
 
-    keys, _ = stash(open_nodes.select("node", "label", "keys").mapInArrow(spread, "key long, node long, label long"))
+    keys, _ = stash(with_arrow(open_nodes.select("node", "label", "keys"), spread, "key long, node long, label long"))
     by_label = keys.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
     split, _ = stash(split.select("key", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / CELL_NODES).cast("int").alias("parts"), F.ceil(F.col("all") / CELL_NODES).cast("int").alias("blocks")))  # written, so that the join below can split a common key

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_schema, pack48, runs, ship, sorted_groups, stash, unpack48, unstash
+from .util import arrow_schema, pack48, runs, ship, sorted_groups, stash, unpack48, unstash, with_arrow
 
 #: Bytes of a gram. Shorter grams are common by chance, longer ones leave fewer to choose an anchor from.
 GRAM = 18
@@ -178,7 +178,7 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             total = np.bincount(inverse, weights=n, minlength=len(name)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(name[total > 1].astype(np.int64)), pa.array(total[total > 1])], schema=out_schema)
 
-    packed = docs.select("text").mapInArrow(pack, "bucket int, once binary, often binary, n binary")
+    packed = with_arrow(docs.select("text"), pack, "bucket int, once binary, often binary, n binary")
     return sorted_groups(packed, ["bucket"], meet, "name long, n long")
 
 
@@ -328,7 +328,7 @@ def decided(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
                 out[which] = pa.array([found[i:j].tobytes() for i, j in stretches(cuts, len(found))], pa.binary())
                 yield pa.RecordBatch.from_arrays(out, schema=out_schema)
 
-    packed_rows = docs.select("doc_id", "tid", "text").mapInArrow(pack, DEALT)
+    packed_rows = with_arrow(docs.select("doc_id", "tid", "text"), pack, DEALT)
     return sorted_groups(packed_rows, ["bucket"], meet, DECIDED)
 
 
@@ -377,7 +377,7 @@ def contexts(docs: DataFrame, sought: DataFrame, length: int) -> DataFrame:
                     n = len(places)
                     yield pa.RecordBatch.from_arrays([pa.array(places["name"].astype(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tid] * n, pa.int64()), pa.array(places["first"].astype(np.int32)), pa.array(context, pa.binary()), pa.array(places["manifold"].copy())], schema=schema)
 
-    return docs.select("doc_id", "tid", "text").join(sought, ["doc_id", "tid"]).mapInArrow(run, ANCHOR_ROW)
+    return with_arrow(docs.select("doc_id", "tid", "text").join(sought, ["doc_id", "tid"]), run, ANCHOR_ROW)
 
 
 def repeated_strings(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -501,4 +501,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
                     out.append((doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.join(cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, ddl)
+    return with_arrow(texts.join(cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "ranges"), cut, ddl)

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_columns, ship
+from .util import map_columns, ship, with_arrow
 
 #: Entries of a worker's cache and the longest pre-token that it or the table holds.
 CACHE_SIZE, CACHED_CHARS = 300_000, 48
@@ -108,7 +108,7 @@ def frequent_pre_tokens(docs: DataFrame, size: int) -> list[str]:
         return pa.table({"summary": pa.array([pack(_shrink(counts, size))], pa.binary())})
 
     tasks = max(1, docs.rdd.getNumPartitions())
-    level = docs.select("text").mapInArrow(summarise, "summary binary")
+    level = with_arrow(docs.select("text"), summarise, "summary binary")
     while tasks > FAN_IN:
         tasks = math.ceil(tasks / FAN_IN)
         level = level.groupBy((F.monotonically_increasing_id() / F.lit(2**33)).cast("long") % tasks).applyInArrow(merge, "summary binary")

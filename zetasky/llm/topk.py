@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import arrow_schema, runs, ship
+from .util import arrow_schema, runs, ship, with_arrow
 
 #: Rows of a block of candidates on average, and blocks at least.
 CANDIDATE_ROWS, LEAST_BLOCKS = 16_384, 24
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
 
     dealt = candidates.unionByName(queries).repartition("block").sortWithinPartitions("block", "asked")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
-    return dealt.mapInArrow(search, ddl).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return with_arrow(dealt, search, ddl).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def runs_by_batch(batches):

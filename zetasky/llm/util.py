@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -43,6 +44,28 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def with_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, whose workers hand back what they held when a task is over: they live on for other tasks, and
+    freed memory would else stay theirs."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_columns(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Run ``make()(list, ...)`` over slices of the named columns; it returns a dict of equally long lists.
 
@@ -60,7 +83,7 @@ def map_columns(df: DataFrame, columns: list[str], ddl: str, make: Callable[[],
                 made = fn(*(part.column(i).to_pylist() for i in range(len(columns))))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in schema], schema=schema)
 
-    return df.select(*columns).mapInArrow(run, ddl)
+    return with_arrow(df.select(*columns), run, ddl)
 
 
 def annotate(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
@@ -78,7 +101,7 @@ def annotate(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Cal
 
     places = {c: df.columns.index(c) for c in columns}
     schema = StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
-    return df.mapInArrow(run, schema)
+    return with_arrow(df, run, schema)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -133,8 +156,7 @@ def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tupl
 
 def sorted_groups(df: DataFrame, columns: list[str], fn, ddl: str) -> DataFrame:
     """``fn`` over batches sorted by ``columns``, all rows of a group in one task; groups are of bounded size."""
-    ship(df.sparkSession)
-    return df.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(fn, ddl)
+    return with_arrow(df.repartition(*columns).sortWithinPartitions(*columns), fn, ddl)
 
 
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
