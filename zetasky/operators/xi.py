@@ -10,6 +10,10 @@ from zetasky.operators import pairs
 from zetasky.plans.params import Params
 
 
+#: Maps whose fields travel with a stored pair together; a pair is looked up anew for the next ones.
+MAPS_AT_ONCE = 8
+
+
 def by_pixel(shear: DataFrame) -> DataFrame:
     """One row for each (map, pixel) with its redshift bins in an array, so pairs are joined once for all of them."""
     return shear.groupBy("map_id", "pix").agg(F.collect_list(F.struct("zbin", "g1", "g2", "w")).alias("fields"))
@@ -23,10 +27,10 @@ def paired_shear(members: DataFrame, params: Params, shear: DataFrame, salt: int
 
 
 def gathered_shear(pair_table: DataFrame, shear: DataFrame) -> DataFrame:
-    """The same for pairs of a store: fields are looked up by pixel, those of all maps at once."""
-    per_map = by_pixel(shear).groupBy("pix").agg(F.collect_list(F.struct("map_id", "fields")).alias("maps"))
-    end = lambda i: per_map.select(F.col("pix").alias(f"pix{i}"), F.col("maps").alias(f"maps{i}"))
-    both = pair_table.join(end(1), "pix1").join(end(2), "pix2")
+    """The same for pairs of a store: fields are looked up by pixel, those of MAPS_AT_ONCE maps together."""
+    per_map = by_pixel(shear).groupBy("pix", F.floor(F.col("map_id") / MAPS_AT_ONCE).alias("maps")).agg(F.collect_list(F.struct("map_id", "fields")).alias("own"))
+    end = lambda i: per_map.select("maps", F.col("pix").alias(f"pix{i}"), F.col("own").alias(f"maps{i}"))
+    both = pair_table.join(end(1), "pix1").join(end(2), ["maps", "pix2"])
     one = both.withColumn("one", F.explode("maps1")).withColumn("two", F.explode(F.filter("maps2", lambda m: m["map_id"] == F.col("one.map_id"))))
     return rotated_ends(one.select(*pair_table.columns, F.col("one.map_id").alias("map_id"), F.col("one.fields").alias("fields1"), F.col("two.fields").alias("fields2")))
 
