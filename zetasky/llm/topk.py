@@ -24,7 +24,7 @@ from .util import arrow_schema, runs, ship, with_arrow
 CANDIDATE_ROWS, LEAST_BLOCKS = 16_384, 24
 #: Lists that are read together, shares of them that are read before the bounds are looked at again, and the share
 #: of a block's candidates below which their final scores are cheaper than more reading.
-LISTS, DEPTHS, FEW = 8, (0.1, 0.25, 0.5, 1.0), 0.1
+LISTS, DEPTHS, FEW = 8, (0.5, 1.0), 0.25
 #: Scores beyond 64 bits are shown as the nearest long.
 LEAST, MOST = -(2**63), 2**63 - 1
 
