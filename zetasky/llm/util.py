@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -12,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -159,19 +162,34 @@ def sorted_groups(df: DataFrame, columns: list[str], fn, ddl: str) -> DataFrame:
     return with_arrow(df.repartition(*columns).sortWithinPartitions(*columns), fn, ddl)
 
 
+#: Stashes of this driver that are still there, with the JVM's handles to delete them.
+_left: dict[str, tuple] = {}
+
+
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written once as Parquet to the shared folder and read back, with its path for ``unstash``.
 
-    Cuts the lineage so that a lost executor costs no history.
+    Cuts the lineage so that a lost executor costs no history. What nobody unstashes, because results are read from it,
+    goes when the driver ends.
     """
+    context = df.sparkSession.sparkContext
     path = f"{shared_folder(df.sparkSession)}/zetasky-{uuid.uuid4().hex}"
+    _left[path] = (context._jvm, context._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files stay until the driver collects what was done with them
+    context._jvm.System.gc()  # shuffle files stay until the driver collects what was done with them
     return df.sparkSession.read.parquet(path), path
 
 
 def unstash(spark: SparkSession, *paths: str) -> None:
     """Delete stashes that nothing reads any more."""
     for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        jvm, conf = _left.pop(path, None) or (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+@atexit.register
+def unstash_all() -> None:
+    """Delete what is left; a JVM that has ended first leaves it to whoever empties the folder."""
+    with contextlib.suppress(Py4JError, OSError):
+        unstash(None, *list(_left))
