@@ -1,6 +1,7 @@
 """Tables between steps."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
 
@@ -17,10 +18,15 @@ def test_stashes_go_when_they_are_done_with(spark):
     assert not os.path.exists(bt) and not util._left
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
-    with pytest.raises(RuntimeError, match="checkpoint"):
-        util.shared_folder(spark)
+@pytest.mark.parametrize(("master", "folder"), [("yarn", None), ("local[2]", None), ("yarn", "hdfs://shared")])
+def test_a_cluster_needs_a_shared_folder(master, folder):
+    conf = SimpleNamespace(get=lambda *_: folder)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    if master == "yarn" and not folder:
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            util.shared_folder(session)
+    else:
+        assert util.shared_folder(session).endswith(folder or "zetasky-shared")
 
 
 def test_free_names(spark):
