@@ -96,4 +96,5 @@ def with_vector(df: DataFrame) -> DataFrame:
 def degrade(values: DataFrame, nside: int, coarse: int, column: str, *keys: str) -> DataFrame:
     """Mean of a map (pix, ``column``) over the coarse pixel that holds each fine pixel's centre, for each of ``keys``."""
     phi, theta = pixel_to_sky(F.col("pix"), nside)
-    return values.select(*keys, sky_to_pixel(phi, theta, coarse).alias("pix"), column).groupBy(*keys, "pix").agg(F.avg(column).alias(column))
+    placed = computed(values.select(*keys, column, phi.alias("phi_of_pix"), theta.alias("theta_of_pix")), "phi_of_pix", "theta_of_pix")
+    return placed.select(*keys, sky_to_pixel(F.col("phi_of_pix"), F.col("theta_of_pix"), coarse).alias("pix"), column).groupBy(*keys, "pix").agg(F.avg(column).alias(column))
