@@ -52,7 +52,7 @@ COMMON_KEY = 1024
 #: Sizes are sent with keys as classes: powers of this ratio, and the mark of a node that stands for a tied slice.
 SIZE_STEP, TIED = 1.07, 255
 #: A block of a component: nodes and shingles at most on average. Nodes of a cell in which nodes still apart meet.
-BLOCK_NODES, BLOCK_SHINGLES, CELL_NODES = 256, 500_000, 1024
+BLOCK_NODES, BLOCK_SHINGLES, CELL_NODES = 256, 500_000, 256
 #: Shingles that a task counts together to find common ones, how often a common one occurs among them, and how
 #: many common ones are broadcast. They decide the order of shingles, so speed and never results.
 COUNTED, COMMON, COMMON_KEPT = 2_000_000, 4, 500_000
