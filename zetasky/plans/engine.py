@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ class Correlation:
         self.footprint = tables.footprint(spark, params, mask)
         self._pairs = self._filters = None
 
-    @property
+    @cached_property
     def members(self) -> DataFrame:
         return discs.patch_pixels(self.footprint, self.centres, self.params)
 

@@ -277,7 +277,8 @@ def filter_area(spark, sf_dir):
 
 @query(sql(f"select map_id, zbin, patch_id, {rs('m_ap', MASS, 'm_ap')} from masses", "masses"))
 def aperture_mass(spark, sf_dir):
-    found = aperture.aperture_mass(engine(spark).filters, discs.filter_area(engine(spark).filters, PARAMS), fixture.shear(spark, sf_dir))
+    filters = engine(spark).filters
+    found = aperture.aperture_mass(filters, discs.filter_area(filters, PARAMS), fixture.shear(spark, sf_dir))
     return found.select("map_id", "zbin", "patch_id", r("m_ap", MASS, "m_ap"))
 
 
