@@ -17,6 +17,21 @@ MOST_ROUNDS = 64
 LOCAL_EDGES = 1_000_000
 
 
+def labelled(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, an array of two rows, and the least node that each reaches."""
+    nodes, places = np.unique(ends, return_inverse=True)
+    root = list(range(len(nodes)))  # a root is the least of its class, so its place is too
+    for a, b in places.reshape(2, -1).T.tolist():
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    for i, r in enumerate(root):
+        root[i] = root[r]  # smaller places are settled first
+    return nodes, nodes[np.array(root, dtype=np.int64)]
+
+
 def _in_one_task(edges: DataFrame) -> DataFrame:
     """node and label of few edges (a, b), without a shuffle."""
     ship(edges.sparkSession)
@@ -26,17 +41,8 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
         if not ends:
             return
-        nodes, places = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
-        root = list(range(len(nodes)))  # a root is the least of its class, so its place is too
-        for a, b in places.reshape(2, -1).T.tolist():
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            root[max(a, b)] = min(a, b)
-        for i, r in enumerate(root):
-            root[i] = root[r]  # smaller places are settled first
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[np.array(root)])], schema=schema)
+        nodes, labels = labelled(np.concatenate(ends, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], schema=schema)
 
     return with_arrow(edges.coalesce(1), run, "node long, label long")
 

@@ -12,7 +12,8 @@ Stages, each exact and none quadratic in a group of copies:
    set, whose shingles may be common by chance, is cut into more hash ranges than similar sets can differ in; one
    range must then agree as a whole.
 3. Nodes that meet under a key, have sizes that can be similar and survive the R-tree's bound are tied together;
-   components of ties hold all links.
+   components of ties hold all links. A part of the keys goes first: nodes that it joins are not tied again under the
+   many other keys they share.
 4. A component's sets are verified in blocks of bounded size. Nodes already linked need no look at each other.
    Components of several blocks are shuffled into new blocks once. Nodes that are still apart meet by key again, as
    points, and only those that survive the bound get their texts sent to each other, once for each pair of blocks.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, labelled
 from .util import arrow_schema, free_name, map_columns, pack48, runs, ship, sorted_groups, stash, unpack48, unstash, with_arrow
 
 #: Groups that shingles are hashed into: the dimensions of a point, but for one that sums what exceeds MOST_COUNT. They
@@ -51,6 +52,10 @@ BUCKET_KEYS, LEAST_BUCKETS, SLICE_NODES, SLICE_COMMON = 500_000, 96, 4096, 16
 COMMON_KEY = 1024
 #: Sizes are sent with keys as classes: powers of this ratio, and the mark of a node that stands for a tied slice.
 SIZE_STEP, TIED = 1.07, 255
+#: One key in so many is looked at before the others.
+FIRST_KEYS = 8
+#: Ties that a task holds before it reduces them to those that join nodes still apart.
+HELD_TIES = 100_000
 #: A block of a component: nodes and shingles at most on average. Nodes of a cell in which nodes still apart meet.
 BLOCK_NODES, BLOCK_SHINGLES, CELL_NODES = 256, 500_000, 1024
 #: Shingles that a task counts together to find common ones, how often a common one occurs among them, and how
@@ -318,16 +323,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
 def ties_under_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[np.ndarray]:
     """Arrays of ties (node, node) that join all nodes of a key which survive the bound; rows come sorted by key.
 
-    Groups of a few nodes are compared many groups at once, larger ones through the R-tree.
+    Groups of a few nodes are compared many groups at once, larger ones through the R-tree. Nodes of one label are
+    joined already and need no tie.
     """
     for rows in whole_groups(batches, "key"):
-        key, nodes, sizes = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
+        key, nodes, sizes, labels = (rows.column(c).to_numpy() for c in ("key", "node", "n", "label"))
         blobs = rows.column("point").to_pylist()
         lengths = np.array([len(b) for b in blobs])
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         n = np.diff(cuts)
         is_small = np.repeat(n <= SMALL, n)
-        pairs = [np.stack([i, i + step]) for step in range(1, SMALL) if len(i := np.flatnonzero((key[step:] == key[:-step]) & is_small[step:]))]
+        pairs = [np.stack([i, i + step]) for step in range(1, SMALL) if len(i := np.flatnonzero((key[step:] == key[:-step]) & (labels[step:] != labels[:-step]) & is_small[step:]))]
         pairs = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
         shorter = lengths[pairs].min(axis=0)
         for length in np.unique(shorter).tolist():
@@ -337,11 +343,43 @@ def ties_under_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
                 survive = enough(np.minimum(a, b).sum(axis=1), sizes[i] + sizes[j], percent)
                 yield np.stack([nodes[j[survive]], nodes[i[survive]]], axis=1)
         for begin, count in zip(cuts[:-1][n > SMALL].tolist(), n[n > SMALL].tolist(), strict=True):
-            own, root = nodes[begin : begin + count], np.arange(count)
+            own, root = nodes[begin : begin + count], np.unique(labels[begin : begin + count], return_inverse=True)[1]
+            if not root.any():
+                continue
+            ties = []
             for i, near in pairs_within(unpacked_points(blobs[begin : begin + count]), sizes[begin : begin + count], percent):
-                for r in np.unique(root[near]):
-                    root[root == r] = root[i]
-            yield np.stack([own, own[root]], axis=1)[root != np.arange(count)]
+                other, first = np.unique(root[near], return_index=True)
+                for r, j in zip(other.tolist(), near[first].tolist(), strict=True):
+                    if r != root[i]:
+                        ties.append((i, j))
+                        root[root == r] = root[i]
+            if ties:
+                yield own[np.array(ties)]
+
+
+def forests(ties: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Ties that join the same nodes as ``ties``: each node with the least that it reaches, of many ties at a time.
+
+    Similar nodes meet again under most of their keys, so ties are many times as many as nodes; these are fewer than
+    the nodes that were tied.
+    """
+    held, size = [], 0
+
+    def least() -> np.ndarray:
+        nodes, labels = labelled(np.unique(np.concatenate(held), axis=0).T)
+        return np.stack([nodes, labels], axis=1)[nodes != labels]
+
+    for found in ties:
+        held.append(found)
+        size += len(found)
+        if size >= HELD_TIES:
+            held = [least()]
+            size = len(held[0])
+            if 2 * size >= HELD_TIES:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield least()
 
 
 def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -491,27 +529,26 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     # Ties: nodes that share a key and survive the bound.
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("keys") / 6), F.lit(0))).first()[0]
     shared, shared_path = stash(shared_keys(keyed, total, percent))
-    few = shared.filter("key is not null").select("key", F.col("a").alias("node")).join(keyed.select("node", "n", "point"), "node").select("key", "node", "n", "point")
+    few = shared.filter("key is not null").select("key", F.col("a").alias("node"))
+    points = keyed.select("node", "n", "point")
     schema = arrow_schema("a long, b long")
 
     def tied(batches):
-        held, size = [], 0
-        for found in ties_under_keys(batches, percent):
-            held.append(found)
-            size += len(found)
-            if size >= 100_000:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                size = len(held[0])
-                if size >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, i].copy()) for i in (0, 1)], schema=schema)
-                    held, size = [], 0
-        if size:
-            found = np.unique(np.concatenate(held), axis=0)
+        for found in forests(ties_under_keys(batches, percent)):
             yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], schema=schema)
 
-    ties = shared.filter("key is null").select("a", "b").union(sorted_groups(few, ["key"], tied, "a long, b long"))
-    tied_nodes, _ = stash(connected_components(ties).select("node", F.col("label").alias("comp")))
-    unstash(spark, shared_path)
+    def met(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        known = points.withColumn("label", F.col("node")) if labels is None else points.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return sorted_groups(rows.join(known, "node").select("key", "node", "n", "point", "label"), ["key"], tied, "a long, b long")
+
+    # Some of the keys first: similar nodes share most of theirs, and what these tie needs no tie under the others. Ties
+    # are written, for components read them more than once.
+    is_first = F.pmod("key", F.lit(FIRST_KEYS)) == 0
+    ties, ties_path = stash(shared.filter("key is null").select("a", "b").union(met(few.filter(is_first), None)))
+    labels, labels_path = stash(connected_components(ties))
+    more, more_path = stash(met(few.filter(~is_first), labels))
+    tied_nodes, _ = stash(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)).select("node", F.col("label").alias("comp")))
+    unstash(spark, shared_path, ties_path, labels_path, more_path)
 
     # Blocks: one text for each node of a component of several.
     members = nodes.select("node", "print", "least", "n").join(tied_nodes, "node")
