@@ -92,3 +92,28 @@ def covered(rows, doc, text):
     hit = [any(text[i : i + 50] in t for d, t in rows if d < doc) for i in range(len(text) - 49)]
     edges = [i for i, h in enumerate(hit) if h and not (i and hit[i - 1])]
     return [(a, next((i for i in range(a, len(hit)) if not hit[i]), len(hit)) - 1 + 50) for a in edges]
+
+
+@pytest.mark.parametrize("bits", [2**10, 2**29])
+def test_a_full_filter_of_names_loses_none(spark, monkeypatch, bits):
+    """Beyond what was broadcast before, anchors still meet only where the filter holds their names."""
+    monkeypatch.setattr(suffixes, "FILTER_BITS", bits)
+    rows, sent = corpus(11, 90), []
+    real = suffixes.name_filter
+    monkeypatch.setattr(suffixes, "name_filter", lambda shared, buckets: sent.append((real(shared, buckets), buckets)) or sent[-1][0])
+    assert result(suffixes.remove_repeats(frame(spark, rows))) == brute(rows, 50)
+    found, buckets = sent[0]
+    assert 8 * len(found) <= max(bits, 8 * buckets)
+    texts = [(t or "").encode() for t in {t for d, t in rows if d is not None}]
+    every, some = (sum(len(e) for e, _ in suffixes.found_anchors(texts, 50, f, buckets)) for f in (None, found))
+    assert 0 < some < every
+
+
+def test_contexts_of_many_documents(spark):
+    text = "0123456789" * 8
+    docs = spark.createDataFrame([(i, i, text) for i in range(200)], "doc_id long, tid long, text string").coalesce(1)
+    place = suffixes.np.zeros(2, dtype=suffixes.SOUGHT)
+    place["first"], place["more"], place["name"] = [1, 7], [0, 3], [5, 6]
+    sought = spark.createDataFrame([(i, i, bytearray(place.tobytes())) for i in range(200)], "doc_id long, tid long, sought binary").coalesce(1)
+    got = sorted((r.doc_id, r.name, r.first, bytes(r.context).decode()) for r in suffixes.contexts(docs, sought, 50).collect())
+    assert got == sorted((i, n, f, text[f : f + m + 50]) for i in range(200) for n, f, m in ((5, 1, 0), (6, 7, 3)))

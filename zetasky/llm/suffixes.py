@@ -6,7 +6,8 @@ to be moved at this size, so the cover here is chosen by content: in every strin
 its gram hashes marks one sampled position. Equal strings mark the same place, so each string belongs to exactly
 one sampled suffix, its anchor, at one distance.
 
-1. Anchors' names are dealt in packed buckets; a name that one document alone holds is dropped there.
+1. Anchors' names are dealt in packed buckets; a name that one document alone holds is dropped there. The others are
+   broadcast as a filter of bounded size, which may let some more through but none of them go.
 2. The remaining anchors meet by name as hashes of their surroundings, the bytes of the strings they own. Equal
    surroundings hold equal strings, so all of them but the first document's are repeated whole; a task settles what it
    can before anything is sent, so a passage in very many documents is sent once by each slice of them. Different
@@ -40,8 +41,9 @@ GRAM = 18
 #: packs together, and names in a bucket on average.
 PIECE, PACKED_NAMES, BUCKET_NAMES = 300_000, 400_000, 1_000_000
 LEAST_BUCKETS = 96
-#: Shared names that are broadcast; with more of them all anchors meet.
-SHARED_BROADCAST = 4_000_000
+#: Bits of the filter of shared names that is broadcast, in all and in a bucket's part; shared names up to which it keeps
+#: most others away, and with more of them all anchors meet.
+FILTER_BITS, BUCKET_BITS, SHARED_BROADCAST = 2**29, 2**20, 300_000_000
 #: Copies that are broadcast as ids; with more of them they are joined.
 COPIES_BROADCAST = 500_000
 #: Surroundings that a task compares at once, so many of one name too; a name with more is compared by a join.
@@ -140,8 +142,31 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return h[spot] >> np.uint64(16), np.searchsorted(ends, first, side="right"), spot.astype(np.int64), first, last
 
 
+def filter_bits(buckets: int) -> int:
+    """Bits of a bucket's part of the filter, a power of two."""
+    return max(8, min(BUCKET_BITS, 1 << (FILTER_BITS // buckets).bit_length() - 1))
+
+
+def may_be_shared(name: np.ndarray, bits: np.ndarray, buckets: int) -> np.ndarray:
+    """Whether the filter holds a name; it holds all shared ones and, by chance, some more."""
+    each = 8 * len(bits) // buckets
+    at = name % np.uint64(buckets) * np.uint64(each) + name // np.uint64(buckets) % np.uint64(each)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def name_filter(shared: DataFrame, buckets: int) -> np.ndarray:
+    """The parts of all buckets, one after the other."""
+    size = filter_bits(buckets) // 8
+    out = np.zeros(buckets * size, dtype=np.uint8)
+    for batch in shared.select("bucket", "bits").toArrow().to_batches():
+        for bucket, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[bucket * size : (bucket + 1) * size] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    return out
+
+
 def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """name and number of anchors, for the names that two documents or more may hold."""
+    """bucket, n and bits: how many names of a bucket two documents or more may hold, and its part of their filter."""
+    each = filter_bits(buckets)
     schema = arrow_schema("bucket int, once binary, often binary, n binary")
 
     def packed_names(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -168,18 +193,21 @@ def shared_names(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         if size:
             yield packed_names(held)
 
-    out_schema = arrow_schema("name long, n long")
+    out_schema = arrow_schema("bucket int, n long, bits binary")
 
     def meet(batches):
-        for _, rows in runs(batches, ["bucket"]):
+        for (bucket,), rows in runs(batches, ["bucket"]):
             once, often = (unpack48(rows.column(c).to_pylist()) for c in ("once", "often"))
             n = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(rows.column("n").to_pylist()), dtype="<u4").astype(np.int64)])
             name, inverse = np.unique(np.concatenate([once, often]), return_inverse=True)
             total = np.bincount(inverse, weights=n, minlength=len(name)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name[total > 1].astype(np.int64)), pa.array(total[total > 1])], schema=out_schema)
+            name = name[total > 1]
+            bits = np.zeros(each, dtype=bool)
+            bits[name // np.uint64(buckets) % np.uint64(each)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(name)], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], schema=out_schema)
 
     packed = with_arrow(docs.select("text"), pack, "bucket int, once binary, often binary, n binary")
-    return sorted_groups(packed, ["bucket"], meet, "name long, n long")
+    return sorted_groups(packed, ["bucket"], meet, "bucket int, n long, bits binary")
 
 
 #: An anchor: its name with a hash of what is left of it in the upper bits, hashes of all surroundings and of what is right
@@ -221,14 +249,15 @@ def settled(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, entries["doc"] > least
 
 
-def found_anchors(texts: list[bytes], length: int, names: np.ndarray | None):
-    """(entries, text numbers) of the anchors of each piece of the texts, of the given names only; row and doc are not set."""
+def found_anchors(texts: list[bytes], length: int, shared: np.ndarray | None, buckets: int):
+    """(entries, text numbers) of the anchors of each piece of the texts, of names that the filter holds if there is one;
+    row and doc are not set."""
     gram = gram_size(length)
     half = (length - gram + 1) // 2
     for data, ends, numbers, offsets in pieces(texts, length):
         name, part, spot, first, last = anchors(data, ends, length)
-        if names is not None:
-            hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), dtype=bool)
+        if shared is not None:
+            hit = may_be_shared(name, shared, buckets)
             name, part, spot, first, last = name[hit], part[hit], spot[hit], first[hit], last[hit]
         if not len(name):
             continue
@@ -249,7 +278,7 @@ DECIDED = "slice long, docs binary, whole binary, sought binary"
 def decided(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
     """Packed by slice: its documents, places that are repeated whole, and places whose bytes need a comparison.
 
-    ``known`` broadcasts the shared names, sorted, or None for all. A slice's documents travel with one of its buckets.
+    ``known`` broadcasts the filter of shared names, or None for all. A slice's documents travel with one of its buckets.
     """
     schema, out_schema = arrow_schema(DEALT), arrow_schema(DECIDED)
 
@@ -267,14 +296,14 @@ def decided(docs: DataFrame, length: int, buckets: int, known) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     def pack(batches):
-        names = known.value
+        shared = known.value
         held, rows, n_entries, n_rows = [], [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = np.stack([part.column(i).to_numpy() for i in (0, 1)], axis=1).astype("<i8")
                 rows.append(ids)
-                for entries, number in found_anchors([t.encode("utf-8", "replace") for t in part.column(2).to_pylist()], length, names):
+                for entries, number in found_anchors([t.encode("utf-8", "replace") for t in part.column(2).to_pylist()], length, shared, buckets):
                     entries["doc"], entries["row"] = ids[number, 0], number + n_rows
                     held.append(entries)
                     n_entries += len(entries)
@@ -343,7 +372,10 @@ def marks(decisions: DataFrame, length: int) -> DataFrame:
         for _, rows in runs(batches, ["slice"]):
             owners = np.frombuffer(next((d for d in rows.column("docs").to_pylist() if d), b""), dtype="<i8").reshape(-1, 2)
             whole, sought = (np.frombuffer(b"".join(x for x in rows.column(c).to_pylist() if x), dtype=kind) for c, kind in (("whole", PLACE), ("sought", SOUGHT)))
-            whole = np.unique(whole)  # by row, then first byte
+            # By row, then first byte, as one number: structured rows sort slowly.
+            packed = np.unique(whole["row"].astype(np.uint64) << np.uint64(48) | whole["first"].astype(np.uint64) << np.uint64(16) | whole["more"])
+            whole = np.empty(len(packed), dtype=PLACE)
+            whole["row"], whole["first"], whole["more"] = packed >> np.uint64(48), packed >> np.uint64(16) & np.uint64(0xFFFFFFFF), packed & np.uint64(0xFFFF)
             if len(whole):
                 end = whole["first"].astype(np.int64) + whole["more"] + length
                 new = np.flatnonzero(np.concatenate([[True], (whole["row"][1:] != whole["row"][:-1]) | (whole["first"][1:] > end[:-1])]))
@@ -371,11 +403,14 @@ def contexts(docs: DataFrame, sought: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for doc_id, tid, text, blob in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    places, raw = np.frombuffer(blob, dtype=SOUGHT), text.encode("utf-8", "replace")
-                    context = [raw[a : a + m + length] for a, m in zip(places["first"].tolist(), places["more"].tolist(), strict=True)]
-                    n = len(places)
-                    yield pa.RecordBatch.from_arrays([pa.array(places["name"].astype(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tid] * n, pa.int64()), pa.array(places["first"].astype(np.int32)), pa.array(context, pa.binary()), pa.array(places["manifold"].copy())], schema=schema)
+                blobs = part.column(3).to_pylist()
+                places = np.frombuffer(b"".join(blobs), dtype=SOUGHT)
+                owner = np.repeat(np.arange(len(blobs)), [len(b) // SOUGHT.itemsize for b in blobs])
+                begin, end = (x.tolist() for x in (places["first"], places["first"].astype(np.int64) + places["more"] + length))
+                raw = [t.encode("utf-8", "replace") for t in part.column(2).to_pylist()]
+                context = [raw[o][a:b] for o, a, b in zip(owner.tolist(), begin, end, strict=True)]
+                doc_id, tid = (part.column(i).to_numpy()[owner] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(places["name"].astype(np.int64)), pa.array(doc_id, pa.int64()), pa.array(tid, pa.int64()), pa.array(places["first"].astype(np.int32)), pa.array(context, pa.binary()), pa.array(places["manifold"].copy())], schema=schema)
 
     return with_arrow(docs.select("doc_id", "tid", "text").join(sought, ["doc_id", "tid"]), run, ANCHOR_ROW)
 
@@ -471,8 +506,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
 
     buckets = max(LEAST_BUCKETS, int(total / 16 / BUCKET_NAMES))
     shared, shared_path = stash(shared_names(fresh, length, buckets))
-    names = np.sort(shared.select("name").toArrow().column("name").to_numpy().astype(np.uint64)) if shared.count() <= SHARED_BROADCAST else None
-    found, _ = stash(marks(decided(fresh, length, buckets, spark.sparkContext.broadcast(names)), length))
+    n_shared = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = spark.sparkContext.broadcast(name_filter(shared, buckets) if n_shared <= SHARED_BROADCAST else None)
+    found, _ = stash(marks(decided(fresh, length, buckets, known), length))
     rows, _ = stash(contexts(fresh, found.filter("sought is not null").select("doc_id", "tid", "sought"), length))
     direct = compare_directly(rows.filter("not manifold").drop("manifold"), length)
     apart = compare_by_join(rows.filter("manifold"), length)
