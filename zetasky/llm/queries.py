@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, oracles, pii, secrets, sharding, suffixes, tokens, topk
+from . import bpe, decontam, divergence, jaccard, langid, oracles, pii, secrets, sharding, suffixes, tokens, topk
 from .util import read, shared_folder
 
 
@@ -55,5 +55,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), sharding.read_map(spark, path, 1), sharding.read_map(spark, path, 2), version=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": oracles.JACCARD, "op4_suffix_dedup": oracles.SUFFIXES, "op6_exact_top_k": topk.ORACLE, "op10_sharding": oracles.SHARDS}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding, op11_source_divergence)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": oracles.JACCARD, "op4_suffix_dedup": oracles.SUFFIXES, "op6_exact_top_k": topk.ORACLE, "op10_sharding": oracles.SHARDS, "op11_source_divergence": divergence.ORACLE}
