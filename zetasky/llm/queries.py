@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, divergence, jaccard, langid, merkle, oracles, pii, secrets, sharding, suffixes, tokens, topk
+from . import bpe, decontam, divergence, jaccard, langid, merkle, oracles, pii, quality, secrets, sharding, suffixes, tokens, topk
 from .util import read, shared_folder
 
 
@@ -63,5 +63,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding, op11_source_divergence, op12_merkle_manifest)}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_personal_data, op6_exact_top_k, op7_secret_scan, op8_byte_bpe, op9_language_id, op10_sharding, op11_source_divergence, op12_merkle_manifest, op13_quality_classifier)}
 ORACLES: dict[str, str] = {"op2_jaccard_join": oracles.JACCARD, "op4_suffix_dedup": oracles.SUFFIXES, "op6_exact_top_k": topk.ORACLE, "op10_sharding": oracles.SHARDS, "op11_source_divergence": divergence.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
