@@ -49,14 +49,17 @@ def name_score(name: str) -> float:
 
 
 class Chain:
-    """Literals in the order of their concatenation; parts are (literal, start, end) or chains that others hold too."""
+    """Values in the order of their concatenation; parts are (start, end) of literals in the text, or chains that others hold too.
 
-    __slots__ = ("parts", "known")
+    A chain with a ``span`` is itself a literal, whose parts are pieces that other literals end with as well.
+    """
+
+    __slots__ = ("parts", "span", "known")
 
-    def __init__(self, parts: list):
-        self.parts, self.known = parts, None
+    def __init__(self, parts: list, span: tuple[int, int] | None = None):
+        self.parts, self.span, self.known = parts, span, None
 
-    def summary(self):
+    def summary(self, text: str):
         """What a score needs of the whole value, however often it repeats: see ``summary_of``."""
         waiting = [self]
         while waiting:
@@ -67,7 +70,7 @@ class Chain:
                 continue
             waiting.pop()
             if chain.known is None:
-                chain.known = joined(p.known if isinstance(p, Chain) else summary_of(p[0]) for p in chain.parts)
+                chain.known = joined(p.known if isinstance(p, Chain) else summary_of(text[slice(*p)]) for p in chain.parts)
         return self.known
 
     def spans(self, seen: set[int]):
@@ -75,10 +78,14 @@ class Chain:
         waiting = [self]
         while waiting:
             chain = waiting.pop()
-            if id(chain) not in seen:
-                seen.add(id(chain))
+            if id(chain) in seen:
+                continue
+            seen.add(id(chain))
+            if chain.span:
+                yield chain.span
+            else:
                 waiting += (p for p in chain.parts if isinstance(p, Chain))
-                yield from (p[1:] for p in chain.parts if not isinstance(p, Chain))
+                yield from (p for p in chain.parts if not isinstance(p, Chain))
 
 
 #: Characters at a value's ends that can belong to a placeholder across a joint, and lengths that are counted exactly.
@@ -116,40 +123,102 @@ def literal_score(length, counts, head, tail, found) -> float:
     return max(0.0, min(1.0, (entropy - 1.5) / 2)) * min(1.0, float(length / 16) if length < 16 else 1.0)
 
 
-def lex(text: str):
-    """Yield (name, chain of literals) for each assignment, with constants followed to their literals.
+class Lexer:
+    """Reads the terms of a text's assignments, each place once, whatever number of operators lead to it.
 
-    A ``+`` chain goes on to its end. It crosses a line end after a plus sign, and before one where a quoted literal
-    or a known name follows that is not assigned to itself, since lists and patches begin lines with a plus as well.
+    Operators inside a chain, as in ``x=a+y=b+c``, share its tail, and operators inside one term, as in ``x=y=z``, the
+    term's end: a text costs as much as it is long. So a constant in a tail stands for what it was when the first chain
+    read it.
     """
-    known: dict[str, Chain] = {}
-    before = 0  # where the last operator ended: no name crosses one, so names cost as much as the text has characters
-    for op in OPERATOR.finditer(text):
-        at, since, before = op.start(), before, op.end()
-        if op[0] == "=" and (text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[at + 1 : at + 2] in ("=", ">")):
-            continue  # a comparison, or the end of a longer operator
-        if op[0] == ":" and text[at + 1 : at + 3] == "//":
-            continue
-        name = NAME_BEFORE.match(text[since:at][::-1])
-        if not name:
-            continue
-        name = name[1][::-1]
-        parts, end, leading = [], op.end(), False
-        while term := TERM.match(text, end):
+
+    def __init__(self, text: str):
+        self.text, self.known, self.longest = text, {}, 0
+        self.ends: dict[int, tuple[Chain, int]] = {}  # of the unquoted term read last, by where each literal begins in it
+        self.tails: dict[int, Chain | None] = {}  # by the place behind a plus sign
+        self.joint = (-1, None)  # where the term read last ended, and the tail behind it
+
+    def name(self, name: str, chain: Chain) -> None:
+        self.known[name], self.longest = chain, max(self.longest, len(name))
+
+    def constant(self, start: int, end: int) -> Chain | None:
+        """The chain of a name; a term with an operator in it is none."""
+        return self.known.get(self.text[start:end]) if end - start <= self.longest else None
+
+    def read(self, at: int) -> tuple[Chain, int] | None:
+        """The literal or constant of the first term behind an operator, and where it ends."""
+        if at not in self.ends:
+            term = TERM.match(self.text, at)
+            if not term:
+                return None
+            if term[3] is None:
+                span = term.span(1 if term[1] is not None else 2)
+                return Chain([span], span), term.end()
+            start, end = term.span(3)
+            cuts = [start, *(o.end() for o in OPERATOR.finditer(self.text, start, end) if o.end() < end)]
+            self.ends, last = {}, None
+            for cut, after in zip(reversed(cuts), [end, *reversed(cuts)], strict=False):
+                last = Chain([(cut, after)] + [last] * (last is not None), (cut, end))
+                self.ends[cut] = last, end
+            self.ends[at] = self.ends[start]
+        chain, end = self.ends[at]
+        return (self.constant(*chain.span) if len(chain.parts) == 1 else None) or chain, end
+
+    def tail(self, end: int) -> Chain | None:
+        """The chain behind a term that ends there and a plus sign, if one follows."""
+        if self.joint[0] != end:
+            plus = PLUS.match(self.text, end)
+            self.joint = end, self.walk(end, plus) if plus else None
+        return self.joint[1]
+
+    def walk(self, end: int, plus: re.Match) -> Chain | None:
+        """Terms joined by plus signs up to the chain's end or a place that was read before.
+
+        A chain crosses a line end after a plus sign, and before one where a quoted literal or a known name follows that is not
+        assigned to itself, since lists and patches begin lines with a plus as well.
+        """
+        text, runs, parts, place = self.text, [], [], plus.end()
+        while plus:
+            at = plus.end()
+            if at in self.tails:
+                parts += [self.tails[at]] if self.tails[at] else []
+                break
+            term = TERM.match(text, at)
+            if not term:
+                break
             group = next(g for g in (1, 2, 3) if term[g] is not None)
-            value = (term[group], term.start(group), term.end(group))
-            constant = known.get(value[0]) if group == 3 else None
-            if leading and (group == 3 and not constant or ASSIGNED.match(text, end)):
+            inner = OPERATOR.search(text, *term.span(3)) if group == 3 else None
+            constant = self.constant(*term.span(3)) if group == 3 and not inner else None
+            if "\n" in text[end : text.index("+", end)] and (group == 3 and not constant or ASSIGNED.match(text, at)):
                 break
-            parts.append(constant or value)
+            parts.append(constant or term.span(group))
             end = term.end()
-            if not (plus := PLUS.match(text, end)):
-                break
-            leading = "\n" in text[end : text.index("+", end)]
-            end = plus.end()
-        if parts:
-            known[name] = parts[0] if len(parts) == 1 and isinstance(parts[0], Chain) else Chain(parts)
-            yield name, known[name]
+            plus = PLUS.match(text, end)
+            if inner and plus:  # its operators begin chains that go on there
+                runs.append((place, parts))
+                parts, place = [], plus.end()
+        runs.append((place, parts))
+        after = None
+        for place, parts in reversed(runs):
+            parts += [after] if after else []
+            after = self.tails[place] = Chain(parts) if parts else None
+        return after
+
+    def assignments(self):
+        """(name, chain of literals) for each assignment, with constants followed to their literals."""
+        text, before = self.text, 0  # where the last operator ended: no name crosses one, so names cost as much as the text has characters
+        for op in OPERATOR.finditer(text):
+            at, since, before = op.start(), before, op.end()
+            if op[0] == "=" and (text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[at + 1 : at + 2] in ("=", ">")):
+                continue  # a comparison, or the end of a longer operator
+            if op[0] == ":" and text[at + 1 : at + 3] == "//":
+                continue
+            name = NAME_BEFORE.match(text[since:at][::-1])
+            first = self.read(op.end()) if name else None
+            if first:
+                tail = self.tail(first[1])
+                chain = Chain([first[0], tail]) if tail else first[0]
+                self.name(name[1][::-1], chain)
+                yield name[1][::-1], chain
 
 
 def find_secrets(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -158,9 +227,9 @@ def find_secrets(text: str, threshold: float = 0.6) -> tuple[list[tuple[str, int
     base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
     added, seen, kept = set(), set(), []
-    for name, chain in lex(text):
+    for name, chain in Lexer(text).assignments():
         weight = name_score(name)
-        if weight and weight * literal_score(*chain.summary()) >= threshold:
+        if weight and weight * literal_score(*chain.summary(text)) >= threshold:
             kept.append(chain)  # an id in ``seen`` must not be given again
             added.update(("literal", start, end) for start, end in chain.spans(seen) if end > start)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
