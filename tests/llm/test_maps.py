@@ -257,3 +257,40 @@ def test_map_edits_and_versions(spark, tmp_path):
     docs = frame(spark, ["a", "b", "c"] * 30)
     sharding.write_shards(docs, even, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 90
+
+
+def test_shards_are_written_beside_columns_of_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", "mine", i * 2) for i in range(40)] + [(None, None, None, None)], "doc_id long, text string, Shard string, vslot int")
+    sharding.write_shards(docs, sharding.initial_map(4), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["doc_id", "text", "Shard", "vslot", "shard_"] and {p.name for p in (tmp_path / "out").glob("shard_=*")} <= {f"shard_={i}" for i in range(4)}
+    assert sorted(map(repr, map(tuple, got.drop("shard_").collect()))) == sorted(map(repr, map(tuple, docs.collect())))
+
+
+WEIGHTS = """
+import hashlib, sys
+import numpy as np
+sys.path.insert(0, {root!r})
+from zetasky.llm import langid
+rng = np.random.default_rng(7)
+words = [[bytes(rng.integers(97 + 5 * k, 110 + 5 * k, rng.integers(2, 9)).tolist()) for _ in range(60)] for k in range(3)]
+texts = [b" ".join(words[i % 3][j] for j in rng.integers(0, 60, 90)).decode() for i in range(120)]
+windows = [langid.to_windows(t) for t in texts]
+counts = np.array([len(w) for w in windows])
+net = langid.ByteCNN.fresh(["a", "b", "c"])
+net.fit(np.concatenate(windows), (np.arange(120) % 3).repeat(counts), np.full(counts.sum(), 1 / counts.sum()), 2, 2048)
+print(hashlib.sha256(b"".join(net.weights[k].tobytes() for k in sorted(net.weights))).hexdigest())
+print(sum(net.ready().predict([t])[0][0] == "abc"[i % 3] for i, t in enumerate(texts)))
+"""
+
+
+def test_weights_are_the_same_on_every_machine():
+    import os
+    import subprocess
+    import sys
+
+    root, found = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), []
+    for kernel, threads in (("Haswell", "4"), ("Nehalem", "1"), ("Prescott", "2")):
+        env = os.environ | {"OPENBLAS_CORETYPE": kernel, "OPENBLAS_NUM_THREADS": threads, "OMP_NUM_THREADS": threads}
+        found.append(subprocess.run([sys.executable, "-c", WEIGHTS.format(root=root)], env=env, capture_output=True, text=True, check=True).stdout.split())
+    assert found[0] == found[1] == found[2] and int(found[0][1]) == 120

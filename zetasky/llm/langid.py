@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import annotate, free_name, map_columns, ship
@@ -22,6 +22,16 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
+#: Weights are whole multiples of this from step to step.
+GRID = 2.0**-14
+
+
+def on_grid(values: np.ndarray) -> np.ndarray:
+    """Values rounded to GRID: products that other machines sum in another order differ far behind it, so the next step begins
+    from the same weights everywhere."""
+    return np.round(values / GRID) * GRID
+
+
 @dataclass
 class ByteCNN:
     """Filters of all widths stand side by side in one matrix over grams of the greatest width; ``mask`` holds the
@@ -42,7 +52,11 @@ class ByteCNN:
             "out": rng.normal(0, 0.1, (mask.shape[1], len(languages))),
             "out_bias": np.zeros(len(languages)),
         }
-        return cls(languages, {k: v.astype(np.float32) for k, v in weights.items()}, mask.astype(np.float32))
+        return cls(languages, {k: on_grid(v) for k, v in weights.items()}, mask.astype(float))
+
+    def ready(self) -> ByteCNN:
+        """The network as predictions use it, in single precision."""
+        return ByteCNN(self.languages, {k: v.astype(np.float32) for k, v in self.weights.items()}, self.mask.astype(np.float32))
 
     def grams(self, windows: np.ndarray) -> np.ndarray:
         """(n, spots, width * depth): the embedded bytes under the filters at each spot."""
@@ -84,9 +98,12 @@ class ByteCNN:
         return grad
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, share: np.ndarray, epochs: int, draws: int, rate: float = 0.01, batch: int = 64, seed: int = 0) -> None:
-        """Adam on softmax cross-entropy over ``draws`` windows an epoch, each drawn with its ``share`` as chance."""
+        """Adam on softmax cross-entropy over ``draws`` windows an epoch, each drawn with its ``share`` as chance.
+
+        In double precision, with weights on a grid, so that a fit is the same on every machine.
+        """
         rng, step = np.random.default_rng(seed), 0
-        target = np.eye(len(self.languages), dtype=np.float32)
+        target = np.eye(len(self.languages))
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         for _ in range(epochs):
@@ -97,7 +114,7 @@ class ByteCNN:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     pace = rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-                    self.weights[k] = (self.weights[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                    self.weights[k] = on_grid(self.weights[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its probability for whole texts, with windows of many texts in one batch."""
@@ -114,7 +131,7 @@ class ByteCNN:
         chance = np.exp(votes - votes.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
         for i, row in zip(usable, chance, strict=True):
-            out[i] = (self.languages[int(row.argmax())], float(row.max()))
+            out[i] = (self.languages[int(row.argmax())], round(float(row.max()), 6))
         return out
 
 
@@ -132,19 +149,22 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_docs: int = 1500, epochs: int = 5, epoch_windows: int = 8192) -> ByteCNN | None:
+def train(docs: DataFrame, max_docs: int = 1500, max_bytes: int = 64 << 20, epochs: int = 5, epoch_windows: int = 8192) -> ByteCNN | None:
     """Fit the network on at most ``max_docs`` labelled texts outside the held-out fold, all windows of each.
 
-    The sample is the texts whose salted id hashes lowest, so the same rows are drawn on every run. An epoch draws
+    The sample is the texts whose salted id hashes lowest, so the same rows are drawn on every run, as far as ``max_bytes``
+    of text reach: the driver gets no more, and a text of over a sixteenth of that is not drawn. An epoch draws
     ``epoch_windows`` windows, languages and the texts of a language being as likely as each other. None without a
     labelled text.
     """
     ship(docs.sparkSession)
-    labelled = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes // 16))
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**31))
     below = int(min(1.0, 2 * max_docs / max(1, labelled.count())) * 2**31)  # so tasks send few rows, however many there are
     drawn = labelled.select("lang", "text", lot.alias("lot")).filter(F.col("lot") < below)
-    sample = [r for r in drawn.orderBy("lot", "lang", "text").limit(max_docs).collect() if LETTER.search(r.text)]
+    total = F.sum(F.octet_length("text")).over(Window.orderBy("lot", "lang", "text").rowsBetween(Window.unboundedPreceding, 0))
+    first = drawn.orderBy("lot", "lang", "text").limit(max_docs).withColumn("total", total).filter(F.col("total") <= max_bytes)
+    sample = [r for r in first.select("lang", "text").collect() if LETTER.search(r.text)]
     if not sample:
         return None
     languages = sorted({r.lang for r in sample})
@@ -152,7 +172,7 @@ def train(docs: DataFrame, max_docs: int = 1500, epochs: int = 5, epoch_windows:
     counts, label = np.array([len(w) for w in windows]), np.array([languages.index(r.lang) for r in sample])
     share = (1 / np.bincount(label)[label] / counts).repeat(counts)
     model.fit(np.concatenate(windows), label.repeat(counts), share / share.sum(), epochs, epoch_windows)
-    return model
+    return model.ready()
 
 
 def identify(docs: DataFrame, model: ByteCNN | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .util import free_name
+
 #: Three hex digits of a hash: 4096 slots. The map is as long, so broadcasting it is bounded.
 SLOT_DIGITS = 3
 N_SLOTS = 16**SLOT_DIGITS
@@ -102,7 +104,11 @@ def assign_shards(docs: DataFrame, slot_map: list[int], grown_map: list[int], ve
 
 
 def write_shards(docs: DataFrame, slot_map: list[int], path: str) -> None:
-    """Write the documents under ``shard=N`` folders; each slot's rows go to one task of their shard."""
-    spark = docs.sparkSession
-    lookup = spark.createDataFrame(list(enumerate(slot_map)), "vslot int, shard int")
-    docs.withColumn("vslot", virtual_slot(F.col("doc_id"))).join(F.broadcast(lookup), "vslot").repartition("vslot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write the documents, with all their columns, under ``shard=N`` folders; each slot's rows go to one task of their shard.
+
+    Where ``docs`` has a column ``shard`` itself, in any case, the folders' name has underscores behind it until it is free.
+    """
+    spark, slot, shard = docs.sparkSession, free_name(docs, "vslot"), free_name(docs, "shard")
+    lookup = spark.createDataFrame(list(enumerate(slot_map)), f"`{slot}` int, `{shard}` int")
+    placed = docs.withColumn(slot, virtual_slot(F.col("doc_id"))).join(F.broadcast(lookup), slot).repartition(slot)
+    placed.drop(slot).write.mode("overwrite").partitionBy(shard).parquet(path)
