@@ -13,6 +13,7 @@ from zetasky.plans.engine import Correlation
 from zetasky.plans.params import Params
 from zetasky.sources import fixture, tables
 
+SF = "/root/testdata/sf0.001"
 SMALL = Params(nside=16, nbins=3, theta_min=150.0, theta_max=1400.0, patch_size=900.0, theta_q=300.0, filter_radius=800.0)
 
 
@@ -65,7 +66,7 @@ def test_bad_lists(spark):
     with pytest.raises(ValueError):
         tables.mask_from_list(spark, [1] * 100, Params(nside=8))
     with pytest.raises(ValueError):
-        xi.correlate(None, None, None, None, mode="other")
+        xi.correlate(None, None, None, None, None, mode="other")
 
 
 def test_bin_edges():
@@ -89,18 +90,21 @@ def test_pair_counts_of_a_fine_sky(spark):
 def test_aperture_mass_golden(spark):
     filters = spark.createDataFrame([(0, i, 1.0 - i * 0.5, 0.5 * i, 1.0) for i in range(3)], "patch_id int, pix long, q_cos double, q_sin double, q_val double")
     shear = spark.createDataFrame([(0, 0, i, 0.01 * (i + 1), 0.02 * i, 1.0) for i in range(3)], "map_id int, zbin int, pix long, g1 double, g2 double, w double")
-    area = spark.createDataFrame([(0, 3, 2.0)], "patch_id int, n_pix long, area double")
+    area = 3 * healpix.pixel_area(8)
     gt = [-0.01 * (i + 1) * (1 - i * 0.5) - 0.02 * i * 0.5 * i for i in range(3)]
-    assert aperture.aperture_mass(filters, area, shear).first().m_ap == pytest.approx(2.0 * sum(gt) / 3)
+    assert aperture.aperture_mass(filters, shear, Params(nside=8)).first().m_ap == pytest.approx(area * sum(gt) / 3)
+    lacking = shear.filter("pix < 2")  # a pixel without a field counts in the area alone
+    assert aperture.aperture_mass(filters, lacking, Params(nside=8)).first().m_ap == pytest.approx(area * sum(gt[:2]) / 2)
 
 
 def golden_xi(spark, **options):
     table = spark.createDataFrame([(0, 0, 0, 2, 1.0, 0.0, 1.0, 0.0), (0, 0, 1, 3, 1.0, 0.0, 1.0, 0.0)], "patch_id int, bin int, pix1 long, pix2 long, e1_re double, e1_im double, e2_re double, e2_im double")
     g1, g2 = [0.01, 0.02, 0.03, 0.04], [0.015, 0.015, 0.025, 0.025]
     shear = spark.createDataFrame([(0, z, i, g1[i] * (1 + z), g2[i] * (1 - 2 * z), 1.0 + z * i) for z in (0, 1) for i in range(4)], "map_id int, zbin int, pix long, g1 double, g2 double, w double")
-    counts = spark.createDataFrame([(0, 0, 2), (0, 1, 0)], "patch_id int, bin int, npairs long")
-    zpairs = xi.zbin_pairs(shear.select("zbin").distinct())
-    return {(r.z1, r.z2, r.bin): r for r in xi.correlate(xi.gathered_shear(table, shear), counts, zpairs, shear.select("map_id").distinct(), **options).collect()}
+    members = spark.createDataFrame([(0, i) for i in range(4)], "patch_id int, pix long")
+    sums = xi.accumulate(table.withColumn("part", F.lit(0)), xi.patch_fields(members, shear), 2, weighted=options.get("weighted", True))
+    zpairs, bins = xi.zbin_pairs(shear.select("zbin").distinct()), spark.createDataFrame([(0,), (1,)], "bin int")
+    return {(r.z1, r.z2, r.bin): r for r in xi.correlate(sums, members.select("patch_id").distinct(), bins, zpairs, shear.select("map_id").distinct(), **options).collect()}
 
 
 def test_xi_modes_and_empty_bins(spark):
@@ -128,7 +132,7 @@ def test_zeta_golden(spark):
 
 
 def test_salt_store_and_mask_change_nothing(spark, tmp_path):
-    centres = fixture.patches(spark).filter("patch_id < 6")
+    centres = fixture.patches(spark, SF).filter("patch_id < 6")
     mask = spark.range(SMALL.npix).select(F.col("id").alias("pix"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("id") % 4 * 1.0).alias("m"))
     plain, salted = Correlation(spark, SMALL, centres, mask), Correlation(spark, SMALL, centres, mask, salt=3)
     table = lambda c: sorted(map(tuple, c.pairs.select("patch_id", "bin", "pix1", "pix2").collect()))
@@ -137,8 +141,17 @@ def test_salt_store_and_mask_change_nothing(spark, tmp_path):
     plain.save_pairs(str(tmp_path / "store"))
     some = Correlation.load_pairs(spark, str(tmp_path / "store"), 2, 5)
     assert some.params == SMALL and table(some) == [(p - 2, *r) for p, *r in table(plain) if 2 <= p < 5]
-    assert "PartitionFilters: [isnotnull(patch_id" in some.pairs._jdf.queryExecution().toString()
-    assert "PythonUDF" not in plain.zeta(fixture_shear(spark))._jdf.queryExecution().toString()
+    plan = some.pairs._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(home,2), LessThan(home,5)" in plan
+    assert "Python" not in plain.aperture_mass(fixture_shear(spark))._jdf.queryExecution().toString()
+    whole, parted = (table_of_xi(c.xi(fixture_shear(spark))) for c in (plain, salted))
+    salted.save_pairs(str(tmp_path / "salted"), buckets=7)
+    again = table_of_xi(Correlation.load_pairs(spark, str(tmp_path / "salted")).xi(fixture_shear(spark)))
+    assert whole == parted == again
+
+
+def table_of_xi(found):
+    return {tuple(r)[:6]: tuple(x if x is None else float(f"{x:.9e}") for x in tuple(r)[6:]) for r in found.collect()}
 
 
 def fixture_shear(spark):
@@ -147,7 +160,7 @@ def fixture_shear(spark):
 
 
 def test_whole_measurement_equals_numpy(spark):
-    centres = fixture.patches(spark).filter("patch_id in (3, 11)")
+    centres = fixture.patches(spark, SF).filter("patch_id in (3, 7)")
     shear = fixture_shear(spark)
     engine = Correlation(spark, SMALL, centres)
     got = {(r.z1, r.z2, r.patch_id, r.bin): (r.xip, r.xim) for r in engine.xi(shear).collect()}
@@ -187,7 +200,7 @@ def test_degrade_and_discs(spark):
     flat = spark.range(healpix.npix(8)).select(F.col("id").alias("pix"), F.lit(2.5).alias("v"))
     got = healpix.degrade(flat, 8, 2, "v").toPandas()
     assert len(got) == 48 and (got.v == 2.5).all()
-    centres = fixture.patches(spark)
+    centres = fixture.patches(spark, SF)
     for radius in (200.0, 3000.0, 12000.0):
         sky = healpix.pixels(spark, 16)
         cell = {(r.patch_id, r.pix) for r in discs.in_discs(sky, centres, radius, 16).collect()}
@@ -222,3 +235,77 @@ def test_pairs_of_far_points(spark):
     points = spark.createDataFrame([(0, i, 0.1 * i, 0.1 * i) for i in range(4)], "patch_id int, pix long, ra double, dec double")
     assert pairs.pairs(points, Params(nside=64)).count() == 0
     assert not tables.same_map(fixture_shear(spark), (0, 0), (0, 1)) and tables.same_map(fixture_shear(spark), (0, 1), (0, 1))
+
+
+def test_quantiles_are_exact_in_bounded_passes(spark):
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.normal(size=6000), np.full(4000, 0.5), rng.exponential(size=1000) * 1e6, [-1e300, 1e300]])
+    df = spark.createDataFrame([(float(a),) for a in v] + [(None,)] * 50, "x double").repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for most, accuracy in ((10_000, 10_000), (40, 100)):
+        assert density.exact_quantiles(df, "x", shares, most, accuracy) == pytest.approx(list(np.quantile(v, shares)), rel=1e-12)
+    assert density.exact_quantiles(df.filter("x is null"), "x", shares) is None
+    assert density.exact_quantiles(df.filter("x = 0.5"), "x", (0.3,), 1, 10) == [0.5]
+    assert density.hist1d_density(df.filter("x is null"), "x").count() == 0 and density.hist1d_density(df.filter("x = 0.5"), "x").count() == 1
+    plan = density.hist1d_density(df, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
+def test_smoothing_of_narrow_grids_and_wide_kernels(spark):
+    grid = np.arange(12).reshape(4, 3)
+    counts = spark.createDataFrame([(i, j, int(grid[i, j])) for i in range(4) for j in range(3)], "ix int, iy int, count long")
+    for sigma in (0.5, 3.0):
+        got = density.smooth_grid(counts, 4, sigma)
+        radius = int(4 * sigma + 0.5)
+        w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+        square = np.zeros((4, 4))
+        square[:, :3] = grid
+        for axis in (0, 1):
+            square = np.apply_along_axis(lambda line: np.convolve(np.pad(line, radius, mode="symmetric"), w / w.sum(), "valid"), axis, square)
+        found = np.zeros((4, 4))
+        for r in got.collect():
+            found[r.ix, r.iy] = r.density
+        assert np.allclose(found, square)
+
+
+@pytest.mark.parametrize("n", [1, 2, 16])
+def test_cells_hold_their_centres(spark, n):
+    sky = healpix.pixels(spark, n).select("pix", "x", "y", "z", *(c.alias(k) for c, k in zip(healpix.sky_to_face(F.col("ra"), F.col("z"), n), ("face", "ix", "iy"), strict=True)))
+    back = healpix.face_to_sky(F.col("face"), F.col("ix"), F.col("iy"), n)
+    got = sky.select("*", *(c.alias(k) for c, k in zip(back, "XYZ", strict=True))).toPandas()
+    assert len(got[["face", "ix", "iy"]].drop_duplicates()) == 12 * n * n
+    assert np.allclose(got[list("xyz")], got[list("XYZ")])
+
+
+def test_cover_is_bounded_and_joins_by_key(spark):
+    centres = fixture.patches(spark, SF)
+    found = discs.in_discs(healpix.pixels(spark, 64), centres, 60.0, 64)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    vectors = centres.select("patch_id", (F.sin("theta_center") * F.cos("phi_center")).alias("px"), (F.sin("theta_center") * F.sin("phi_center")).alias("py"), F.cos("theta_center").alias("pz"))
+    for radius, n in ((0.5, 2), (0.1, 8), (0.01, 64), (0.001, 1024)):
+        assert discs.covering_cells(vectors, radius, n).groupBy("patch_id").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_neighbouring_cells_find_all_close_pairs(spark):
+    close = Params(nside=32, nbins=3, theta_min=90.0, theta_max=260.0, patch_size=900.0)
+    assert close.by_cells and not SMALL.by_cells
+    members = discs.patch_pixels(healpix.pixels(spark, 32), fixture.patches(spark, SF).filter("patch_id < 4"), close)
+    rows = lambda df: sorted(map(tuple, df.select("patch_id", "pix1", "pix2", "ra1", "dec2").collect()))
+    near, every = pairs.near_pairs(members, geometry.arcmin(260.0)), pairs.candidate_pairs(members)
+    d = geometry.separation(*(F.col(c) for c in pairs.ENDS))
+    limit = geometry.arcmin(260.0)
+    assert rows(near.filter(d <= limit)) == rows(every.filter(d <= limit))
+    small, large, whole = near.count(), pairs.near_pairs(members, 2 * limit).count(), every.count()
+    assert small < large / 2.5 and small < whole / 4  # grows with the square of the separation, not the patch's
+    edge = spark.createDataFrame([(0, i, 0.7 * i, math.pi / 2 * (i % 3 - 1)) for i in range(9)], "patch_id int, pix long, ra double, dec double")
+    assert pairs.near_pairs(edge, math.pi).count() == 36
+
+
+def test_shared_pairs_are_the_patches_pairs(spark):
+    members = discs.patch_pixels(healpix.pixels(spark, 16), fixture.patches(spark, SF), SMALL)
+    shared = pairs.shared_pairs(members, SMALL)
+    columns = ["patch_id", "bin", "pix1", "pix2"]
+    plain, dealt = (sorted(map(tuple, df.select(*columns).collect())) for df in (pairs.pairs(members, SMALL), pairs.by_patch(shared)))
+    assert plain == dealt and shared.count() == len({r[1:] for r in plain}) < len(plain)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ACOS(") == 1 + plan.count("AS theta_center")

@@ -61,19 +61,40 @@ def test_maps_from_files(spark, tmp_path, monkeypatch):
     assert read(maps.map_from_fits(spark, str(tmp_path / "m.fits"), 2)) == pytest.approx(values.tolist(), nan_ok=True)
     kept = tables.kept(maps.map_from_fits(spark, str(tmp_path / "m.fits"), 2))
     assert kept.count() == 767
+    parted = maps.map_from_fits(spark, str(tmp_path / "m.fits"), 2, values_a_task=200)
+    assert parted.rdd.getNumPartitions() == 4 and read(parted) == pytest.approx(values.tolist(), nan_ok=True)
+    assert maps.map_from_npy(spark, str(tmp_path / "m.npy"), 100).rdd.getNumPartitions() == 8
+    two = maps.map_from_npy(spark, str(tmp_path / "b.npy")).join(maps.map_from_npy(spark, str(tmp_path / "m.npy"), 100).withColumnRenamed("m", "v"), "pix")
+    assert two.filter("(m = 1) <> (v > 0 and not isnan(v))").count() == 0 and two.count() == 768
     (tmp_path / "n.fits").write_bytes(fits("NESTED", columns, 8))
     with pytest.raises(Exception, match="RING"):
         maps.map_from_fits(spark, str(tmp_path / "n.fits")).count()
+    (tmp_path / "short.fits").write_bytes(fits("RING", columns, 8)[:-2880])
+    with pytest.raises(Exception, match="ends within"):
+        maps.map_from_fits(spark, str(tmp_path / "short.fits")).count()
+    np.save(tmp_path / "square.npy", np.zeros((3, 3)))
+    with pytest.raises(Exception, match="one dimension"):
+        maps.map_from_npy(spark, str(tmp_path / "square.npy")).count()
+
+
+def test_maps_of_another_store_are_read_whole(spark, tmp_path):
+    np.save(tmp_path / "m.npy", np.arange(10.0))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.maps.link./far", f"file://{tmp_path}")
+    got = maps.map_from_npy(spark, "viewfs://maps/far/m.npy")
+    assert [r.m for r in got.orderBy("pix").collect()] == list(range(10))
 
 
 def test_stored_pairs_and_known_norms_give_the_same(spark, tmp_path):
-    plain = Correlation(spark, fixture.PARAMS, fixture.patches(spark).filter("patch_id < 5"))
+    plain = Correlation(spark, fixture.PARAMS, fixture.patches(spark, SF).filter("patch_id < 5"))
     plain.save_pairs(str(tmp_path / "store"))
     stored, shear = Correlation.load_pairs(spark, str(tmp_path / "store")), fixture.shear(spark, SF)
     table = lambda df: {tuple(r)[:5]: tuple(r)[5:] for r in df.collect()}
     want = table(plain.xi(shear))
-    for other in (stored.xi(shear), plain.xi(shear, norms=xi.weight_sums(stored.ends(shear)))):
+    for other in (stored.xi(shear), plain.xi(shear, norms=stored.weight_sums(shear)), Correlation.load_pairs(spark, str(tmp_path / "store"), 2, 4).xi(shear)):
         got = table(other)
+        if len(got) < len(want):  # patches 2 and 3, numbered from 0
+            want = {(*k[:3], k[3] - 2, *k[4:]): v for k, v in want.items() if 2 <= k[3] < 4}
         assert set(got) == set(want)
         for k, row in want.items():
             assert [x is None for x in got[k]] == [x is None for x in row]
@@ -81,7 +102,7 @@ def test_stored_pairs_and_known_norms_give_the_same(spark, tmp_path):
 
 
 def test_pair_stage_computes_a_separation_once_and_shuffles_pixels_only(spark, tmp_path):
-    fixture.patches(spark).write.parquet(str(tmp_path / "centres"))
+    fixture.patches(spark, SF).write.parquet(str(tmp_path / "centres"))
     fixture.shear(spark, SF).write.parquet(str(tmp_path / "shear"))
     plain = Correlation(spark, fixture.PARAMS, spark.read.parquet(str(tmp_path / "centres")))
     plan = plain.ends(spark.read.parquet(str(tmp_path / "shear")))._jdf.queryExecution().executedPlan().toString()
@@ -91,5 +112,28 @@ def test_pair_stage_computes_a_separation_once_and_shuffles_pixels_only(spark, t
     assert not re.search(r"hashpartitioning\(pix[12]#", plan)
 
 
+def test_stored_pairs_are_summed_in_their_buckets(spark, tmp_path):
+    plain = Correlation(spark, fixture.PARAMS, fixture.patches(spark, SF))
+    plain.save_pairs(str(tmp_path / "store"))
+    assert len(list((tmp_path / "store" / "pairs").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored, shear = Correlation.load_pairs(spark, str(tmp_path / "store"), 2), fixture.shear(spark, SF)
+    plan = stored.xi(shear)._jdf.queryExecution().executedPlan().toString()
+    pairs_side = plan[plan.index("FlatMapCoGroupsInArrow") :]
+    pairs_side = pairs_side[: pairs_side.index("FileScan")]
+    assert "Exchange" not in pairs_side and "Bucketed: true" in plan
+    sums = stored.sums(shear)._jdf.queryExecution().optimizedPlan().toString()
+    assert sums.count("Generate") == 0  # no row for each redshift pair of a pair
+
+
+def test_a_measurement_makes_its_pairs_once(spark, tmp_path):
+    fixture.patches(spark, SF).write.parquet(str(tmp_path / "centres"))
+    fixture.shear(spark, SF).write.parquet(str(tmp_path / "shear"))
+    engine = Correlation(spark, fixture.PARAMS, spark.read.parquet(str(tmp_path / "centres")))
+    plan = engine.zeta(spark.read.parquet(str(tmp_path / "shear")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+    assert len(re.findall(r"pix#\d+L? < pix#\d+L?|pix1#\d+L? < pix2#\d+L?", plan)) == 1
+    assert plan.count("CartesianProduct") == 0
+
+
 def test_salt_grows_with_the_patch():
     assert Params(nside=512, theta_min=20).salt == 1 < Params(nside=4096, theta_min=20, patch_size=180).salt

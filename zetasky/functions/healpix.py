@@ -71,6 +71,40 @@ def sky_to_pixel(phi: Column, theta: Column, nside: int) -> Column:
     return F.when(za <= 2.0 / 3.0, belt).otherwise(polar)
 
 
+#: Fixed values of the pixelisation: for each of the 12 base cells, its southern corner's ring and its longitude in eighths of a turn.
+FACE_RING = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
+FACE_PHI = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
+
+
+def face_to_sky(face: Column, ix: Column, iy: Column, n: int) -> tuple[Column, Column, Column]:
+    """x, y, z of the centre of a base cell's subcell (ix, iy) at resolution ``n``; its children are (2 ix + 0 or 1, 2 iy + 0 or 1)."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), face + 1)
+    ring = pick(FACE_RING) * n - ix - iy - 1
+    near = F.when(ring < n, ring).when(ring > 3 * n, 4 * n - ring).otherwise(n)
+    cap = 1 - near * near / F.lit(3.0 * n * n)
+    z = F.when(ring < n, cap).when(ring > 3 * n, -cap).otherwise((2 * n - ring) * 2 / F.lit(3.0 * n))
+    phi = (pick(FACE_PHI) * near + ix - iy) * (math.pi / 4) / near
+    flat = F.sqrt(1 - z * z)
+    return flat * F.cos(phi), flat * F.sin(phi), z
+
+
+def sky_to_face(phi: Column, z: Column, n: int) -> tuple[Column, Column, Column]:
+    """Base cell and (ix, iy) of the subcell at resolution ``n``, a power of 2, that holds a point."""
+    turn = 2 * math.pi
+    t = (phi - F.floor(phi / turn) * turn) * 2 / math.pi
+    up, down = _whole(n * (0.5 + t) - 0.75 * n * z), _whole(n * (0.5 + t) + 0.75 * n * z)
+    f_up, f_down = _whole(up / n), _whole(down / n)
+    belt_face = F.when(f_up == f_down, F.pmod(f_up, F.lit(4)) + 4).when(f_up < f_down, F.pmod(f_up, F.lit(4))).otherwise(F.pmod(f_down, F.lit(4)) + 8)
+    quarter = F.least(_whole(t), F.lit(3))
+    part, width = t - quarter, n * F.sqrt(3 * (1 - F.abs(z)))
+    p_up, p_down = (F.least(_whole(x * width), F.lit(n - 1)) for x in (part, 1 - part))
+    belt, north = F.abs(z) <= 2.0 / 3.0, z > 0
+    face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8)
+    ix = F.when(belt, F.pmod(down, F.lit(n))).when(north, n - 1 - p_down).otherwise(p_up)
+    iy = F.when(belt, n - 1 - F.pmod(up, F.lit(n))).when(north, n - 1 - p_up).otherwise(p_down)
+    return face.cast("int"), ix.cast("int"), iy.cast("int")
+
+
 def computed(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with the columns as values that stand: a filter or join above never repeats the formulas behind them.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +33,27 @@ def grid_centres(samples: DataFrame, x: str, bins: int = 200) -> DataFrame:
 
 
 def smooth_grid(counts: DataFrame, bins: int, sigma: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Gaussian smoothing of the histogram of each of ``keys`` on its whole grid, mirrored at the edges: keys, ix, iy, density."""
+    """Gaussian smoothing of the histogram of each of ``keys`` on its whole grid, mirrored at the edges: keys, ix, iy, density.
+
+    One axis after the other, so a cell becomes as many rows as the kernel has taps and not their square.
+    """
     radius = int(4 * sigma + 0.5)
     taps = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
     spark = counts.sparkSession
     kernel = spark.createDataFrame([(i, w / sum(taps)) for i, w in zip(range(-radius, radius + 1), taps, strict=True)], "step int, weight double")
     line = spark.range(bins).select(F.col("id").cast("int").alias("i"))
-    at = F.col("i") + F.col("step")
-    mirrored = F.when(at < 0, -at - 1).when(at >= bins, 2 * bins - at - 1).otherwise(at)
+    turn = F.pmod(F.col("i") + F.col("step"), F.lit(2 * bins))  # a kernel wider than the grid is mirrored again and again
+    mirrored = F.when(turn >= bins, 2 * bins - 1 - turn).otherwise(turn)
     axis = line.join(F.broadcast(kernel)).select("i", mirrored.alias("source"), "weight").groupBy("i", "source").agg(F.sum("weight").alias("weight"))
-    ax = axis.select(F.col("i").alias("ix"), F.col("source").alias("sx"), F.col("weight").alias("wx"))
-    ay = axis.select(F.col("i").alias("iy"), F.col("source").alias("sy"), F.col("weight").alias("wy"))
-    cells = counts.select(*keys, F.col("ix").alias("sx"), F.col("iy").alias("sy"), "count")
-    spread = cells.join(F.broadcast(ax), "sx").join(F.broadcast(ay), "sy").groupBy(*keys, "ix", "iy").agg(F.sum(F.col("count") * F.col("wx") * F.col("wy")).alias("density"))
+
+    def along(cells: DataFrame, this: str, other: str) -> DataFrame:
+        spread = cells.join(F.broadcast(axis.withColumnRenamed("source", this)), this)
+        return spread.groupBy(*keys, F.col("i").alias(this), other).agg(F.sum(F.col("mass") * F.col("weight")).alias("mass"))
+
+    spread = along(along(counts.select(*keys, "ix", "iy", F.col("count").cast("double").alias("mass")), "ix", "iy"), "iy", "ix")
     grid = line.select(F.col("i").alias("ix")).join(line.select(F.col("i").alias("iy")))
     grid = counts.select(*keys).distinct().join(grid) if keys else grid
-    return grid.join(spread, [*keys, "ix", "iy"], "left").select(*keys, "ix", "iy", F.coalesce("density", F.lit(0.0)).alias("density"))
+    return grid.join(spread, [*keys, "ix", "iy"], "left").select(*keys, "ix", "iy", F.coalesce("mass", F.lit(0.0)).alias("density"))
 
 
 def hpd_levels(grid: DataFrame, shares: tuple[float, ...] = (0.99, 0.95, 0.68), keys: tuple[str, ...] = ()) -> DataFrame:
@@ -99,12 +106,71 @@ def contour_table(samples: DataFrame, columns: tuple[str, ...], bins: int = 200,
     return inside.join(F.broadcast(places.withColumn("is_truth", F.lit(True))), [*keys, "ix", "iy"], "left").withColumn("is_truth", F.coalesce("is_truth", F.lit(False)))
 
 
+#: Values that are counted one by one once a quantile's rank is known to lie among them, and the sketch's relative accuracy.
+MOST_VALUES, ACCURACY = 10_000, 10_000
+
+
+def exact_quantiles(samples: DataFrame, x: str, shares: tuple[float, ...], most_values: int = MOST_VALUES, accuracy: int = ACCURACY) -> list[float] | None:
+    """Quantiles of a column's values by linear interpolation, exact whatever the table: None without values.
+
+    A sketch of bounded size brackets the two ranks that a quantile lies between; a second pass counts what stands before the
+    bracket and in it. While too many are in, the bracket is sketched again; at last the few values left are counted one by
+    one. No aggregate holds more than the sketch or ``most_values`` values, and the driver gets a few numbers a pass.
+    """
+    values = samples.select(F.col(x).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n = values.count()
+    if not n:
+        return None
+    at = [s * (n - 1) for s in shares]
+    ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+    edges = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    found: dict[int, float] = {}
+    # of each rank: least and greatest value of its bracket, rank among the bracket's rows, their number, and the sketch's slack
+    brackets = {r: (edges.lo, edges.hi, r, n, 2 / accuracy) for r in ranks}
+    inside = lambda lo, hi: (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
+    while True:
+        for r, (lo, hi, k, size, _) in list(brackets.items()):
+            if lo == hi:
+                found[r] = lo
+            elif size <= most_values:
+                listed = values.filter(inside(lo, hi)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
+                sums = list(accumulate(row.n for row in listed))
+                found[r] = listed[bisect_right(sums, k)].v
+        brackets = {r: b for r, b in brackets.items() if r not in found}
+        if not brackets:
+            break
+        shares_of = lambda k, size, slack: [max(0.0, (k + 1) / size - slack), min(1.0, (k + 1) / size + slack)]
+        guess = values.agg(*(F.percentile_approx(F.when(inside(lo, hi), F.col("v")), shares_of(k, size, slack), accuracy).alias(f"q{r}") for r, (lo, hi, k, size, slack) in brackets.items())).first()
+        sums = []
+        for r, (lo, hi, *_) in brackets.items():
+            low, high = guess[f"q{r}"]
+            below, above = inside(lo, hi) & (F.col("v") < F.lit(low)), inside(lo, hi) & (F.col("v") > F.lit(high))
+            sums += [F.count_if(below).alias(f"below{r}"), F.count_if(inside(low, high)).alias(f"within{r}"), F.max(F.when(below, F.col("v"))).alias(f"under{r}"), F.min(F.when(above, F.col("v"))).alias(f"over{r}")]
+        got = values.agg(*sums).first()
+        for r, (lo, hi, k, size, _) in list(brackets.items()):
+            below, within = got[f"below{r}"], got[f"within{r}"]
+            if k < below:
+                new = lo, got[f"under{r}"], k, below
+            elif k < below + within:
+                new = *guess[f"q{r}"], k - below, within
+            else:
+                new = got[f"over{r}"], hi, k - below - within, size - below - within
+            brackets[r] = *new, 2 / accuracy if 2 * new[3] < size else 0.0  # without slack a single value splits the bracket
+    mix = lambda a: found[math.floor(a)] if a == math.floor(a) else found[math.floor(a)] + (a - math.floor(a)) * (found[math.ceil(a)] - found[math.floor(a)])
+    return [mix(a) for a in at]
+
+
 def hist1d_density(samples: DataFrame, x: str) -> DataFrame:
-    """bin, center, count, density; the width is the lesser of Freedman-Diaconis's and Sturges's."""
-    inside = samples.select(F.col(x).alias("v")).dropna()
-    stats = inside.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    """bin, center, count, density; the width is the lesser of Freedman-Diaconis's and Sturges's.
+
+    Quartiles are exact and found in passes of bounded memory, see ``exact_quantiles``; without values there are no bins.
+    """
+    inside = samples.select(F.col(x).cast("double").alias("v")).filter("v is not null")
+    low, high = exact_quantiles(samples, x, (0.25, 0.75)) or (None, None)
+    quartiles = F.lit(None if low is None else high - low).cast("double").alias("iqr")
+    stats = inside.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("n > 0").select("*", quartiles)
     spread = F.col("hi") - F.col("lo")
-    freedman = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))
+    freedman = 2 * F.col("iqr") / F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))
     sturges = spread / (F.log2(F.col("n").cast("double")) + 1)
     width = F.when(freedman > 0, F.least(freedman, sturges)).otherwise(sturges)
     ready = stats.withColumn("bins", F.when(spread > 0, F.ceil(spread / width)).otherwise(1).cast("int"))

@@ -10,28 +10,45 @@ from pyspark.sql import functions as F
 from zetasky.functions import geometry, healpix
 from zetasky.plans.params import Params
 
-#: A pixel reaches at most this over nside radians from its centre.
+#: A cell reaches at most this over its resolution in radians from its centre.
 PIXEL_REACH = 1.1
-#: Patches times sky cells up to which the cells of the discs are found by a broadcast of the cells.
-MOST_COARSE = 64
+
+
+def covering_cells(discs: DataFrame, radius: float, n: int) -> DataFrame:
+    """``discs`` (px, py, pz, ...) with the cells (face, ix, iy) of resolution ``n``, a power of 2, that a disc of ``radius`` radians may
+    touch, a row for each: from the 12 base cells down, cells out of reach go and the others are split in four.
+
+    No disc looks at all cells: at every level those that stay lie within the radius and a cell's reach.
+    """
+
+    def close(df: DataFrame, level: int) -> DataFrame:
+        x, y, z = healpix.face_to_sky(F.col("face"), F.col("ix"), F.col("iy"), level)
+        reach = math.cos(min(math.pi, radius + PIXEL_REACH / level)) - 1e-12
+        return df.filter(F.col("px") * x + F.col("py") * y + F.col("pz") * z >= reach)
+
+    level, columns = 1, discs.columns
+    found = close(discs.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("face"), F.lit(0).alias("ix"), F.lit(0).alias("iy")), 1)
+    while level < n:
+        level *= 2
+        quarters = F.inline(F.array(*(F.struct((F.col("ix") * 2 + i).alias("ix"), (F.col("iy") * 2 + j).alias("iy")) for i in (0, 1) for j in (0, 1))))
+        found = close(found.select(*columns, "face", quarters), level)
+    return found
 
 
 def in_discs(pixels: DataFrame, centres: DataFrame, radius: float, nside: int) -> DataFrame:
     """Pixels (pix, ra, dec, x, y, z) in the disc of ``radius`` arcmin about each centre (patch_id, phi_center, theta_center).
 
-    Pixels and discs meet by coarse sky cell, an equi-join, and the exact test follows; a disc is listed under every
-    cell that it may touch, and a pixel lies in one cell, so no pair comes twice. The cells are a table of fixed size.
+    Pixels and discs meet by sky cell, an equi-join, and the exact test follows; a disc is listed under every cell that it may
+    touch, some tens of about its own size, and a pixel lies in one cell, so no pair comes twice.
     """
     r = geometry.arcmin(radius)
-    coarse = max(1, min(MOST_COARSE, nside, 1 << max(0, int(math.log2(PIXEL_REACH / r)))))
-    spark = pixels.sparkSession
-    cells = healpix.pixels(spark, coarse).select(F.col("pix").alias("cell"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    discs = centres.withColumns({"px": F.sin("theta_center") * F.cos("phi_center"), "py": F.sin("theta_center") * F.sin("phi_center"), "pz": F.cos("theta_center")})
-    reach = math.cos(min(math.pi, r + PIXEL_REACH / coarse))
-    touched = discs.join(F.broadcast(cells), F.col("px") * F.col("cx") + F.col("py") * F.col("cy") + F.col("pz") * F.col("cz") >= reach - 1e-12).drop("cx", "cy", "cz")
-    placed = healpix.computed(pixels.withColumn("cell", healpix.sky_to_pixel(F.col("ra"), math.pi / 2 - F.col("dec"), coarse)), "cell")
+    coarse = 1 << max(0, min(int(math.log2(nside)), int(math.log2(PIXEL_REACH / r))))
+    discs = centres.select("patch_id", (F.sin("theta_center") * F.cos("phi_center")).alias("px"), (F.sin("theta_center") * F.sin("phi_center")).alias("py"), F.cos("theta_center").alias("pz"))
+    touched = covering_cells(healpix.computed(discs, "px", "py", "pz"), r, coarse)
+    cell = dict(zip(("face", "ix", "iy"), healpix.sky_to_face(F.col("ra"), F.col("z"), coarse), strict=True))
+    placed = healpix.computed(pixels.withColumns(cell), *cell)
     inside = F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z") >= math.cos(r)
-    return placed.join(touched, "cell").filter(inside).select("patch_id", "pix", "ra", "dec")
+    return placed.join(touched, list(cell)).filter(inside).select("patch_id", "pix", "ra", "dec")
 
 
 def patch_pixels(footprint: DataFrame, centres: DataFrame, params: Params) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zetasky.functions.geometry import rotated
@@ -12,6 +12,10 @@ from zetasky.plans.params import Params
 
 #: Maps whose fields travel with a stored pair together; a pair is looked up anew for the next ones.
 MAPS_AT_ONCE = 8
+#: Numbers of both ends of pairs that a task multiplies at a time.
+NUMBERS_AT_ONCE = 4_000_000
+
+SUMS = ("fp", "fm", "fw", "sp", "sm", "sw")
 
 
 def by_pixel(shear: DataFrame) -> DataFrame:
@@ -36,45 +40,127 @@ def gathered_shear(pair_table: DataFrame, shear: DataFrame) -> DataFrame:
 
 
 def rotated_ends(paired: DataFrame) -> DataFrame:
-    """The fields at both ends rotated into the pair's frame, for each map and (z at pix1, z at pix2)."""
+    """The fields at both ends rotated into the pair's frame, a row for each map and (z at pix1, z at pix2)."""
     both = paired.withColumn("a", F.explode("fields1")).withColumn("b", F.explode("fields2"))
     r1, i1 = rotated(F.col("a.g1"), F.col("a.g2"), F.col("e1_re"), F.col("e1_im"))
     r2, i2 = rotated(F.col("b.g1"), F.col("b.g2"), F.col("e2_re"), F.col("e2_im"))
     return both.select("map_id", "patch_id", "bin", "pix1", "pix2", F.col("a.zbin").alias("za"), F.col("b.zbin").alias("zb"), r1.alias("r1"), i1.alias("i1"), r2.alias("r2"), i2.alias("i2"), (F.col("a.w") * F.col("b.w")).alias("ww"))
 
 
-def weight_sums(ends: DataFrame) -> DataFrame:
+def patch_fields(members: DataFrame, shear: DataFrame, salt: int = 1, keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:
+    """The fields of all maps and redshift bins beside each patch's pixels, for every part of its pairs: ``keys``, part, pix,
+    fields. Only pixels that a map observes are here."""
+    per_pixel = shear.groupBy("pix").agg(F.collect_list(F.struct("map_id", "zbin", "g1", "g2", "w")).alias("fields"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))) if salt > 1 else F.lit(0)
+    return members.select(*keys, "pix").join(per_pixel, "pix").select(*(F.col(k).alias(k) for k in keys), parts.alias("part"), "pix", "fields")  # columns of their own: pairs come from the same members
+
+
+def accumulate(pair_table: DataFrame, fields: DataFrame, nbins: int, keys: tuple[str, ...] = ("patch_id",), weighted: bool = True, fields_too: bool = True) -> DataFrame:
+    """The sums of all pairs of a patch's part for every map, bin and redshift pair, without a row for each redshift pair of a pair.
+
+    Pairs (``keys``, part, bin, pix1, pix2, phases) and pixels' fields meet patch by patch: the fields are gathered into arrays
+    over redshift at both ends of the pairs, rotated, and summed as products of matrices, redshift x pairs by pairs x
+    redshift, in blocks of NUMBERS_AT_ONCE. Where pairs lie in buckets of their patch they are not shuffled.
+
+    Returns ``keys``, bin, npairs, map_id, z1 <= z2 and the sums of SUMS, f with z1 at pix1 and s with z2 there; a row without map_id
+    counts a bin's pairs. ``weighted`` false takes all weights as 1; ``fields_too`` false sums weights alone. A
+    task holds the pairs of one part of a patch, which the parameters bound (``Params.salt``), and its pixels' fields.
+    """
+    names, at_once = list(SUMS), NUMBERS_AT_ONCE
+
+    def run(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        pair = {c: left.column(c).to_numpy() for c in ("bin", "pix1", "pix2")}
+        order = np.argsort(pair["bin"], kind="stable")
+        counts = np.bincount(pair["bin"], minlength=nbins)
+        own = {c: [k.as_py()] for c, k in zip(keys, key, strict=False)}
+        tables = [{"bin": np.arange(nbins), "npairs": counts}]
+        cells = right.column("fields").combine_chunks()
+        if right.num_rows and left.num_rows:
+            inner, pix = cells.flatten(), right.column("pix").to_numpy()
+            owner = np.repeat(np.arange(len(pix)), np.diff(cells.offsets.to_numpy()))
+            column = lambda c: np.nan_to_num(inner.field(c).to_numpy(zero_copy_only=False).astype(float)) if inner.field(c).null_count else inner.field(c).to_numpy()
+            maps, m = np.unique(column("map_id"), return_inverse=True)
+            zs, z = np.unique(column("zbin"), return_inverse=True)
+            shape = len(pix) + 1, len(maps), len(zs)  # the last pixel stands for those that no map observes
+            weight, field = np.zeros(shape), np.zeros(shape, complex)
+            weight[owner, m, z] = column("w") if weighted else 1.0
+            field[owner, m, z] = (column("g1") + 1j * column("g2")) * weight[owner, m, z]
+            by_pix = np.argsort(pix)
+            place = np.append(by_pix, len(pix))
+
+            def spots(c):
+                at = np.searchsorted(pix, pair[c], sorter=by_pix)
+                hit = at < len(pix)
+                hit[hit] = pix[by_pix[at[hit]]] == pair[c][hit]
+                return place[np.where(hit, at, len(pix))]
+
+            ends = [spots(c) for c in ("pix1", "pix2")]
+            turns = [left.column(f"e{i}_re").to_numpy() + 1j * left.column(f"e{i}_im").to_numpy() for i in (1, 2)]
+            block = max(1, at_once // (len(maps) * len(zs)))
+            upper = np.triu_indices(len(zs))
+            for b in range(nbins):
+                total = np.zeros((3, len(maps), len(zs), len(zs)))
+                first = int(counts[:b].sum())
+                for at in range(first, first + int(counts[b]), block):
+                    pick = order[at : min(at + block, first + int(counts[b]))]
+                    one, two = (e[pick] for e in ends)
+                    side = lambda x: x.transpose(1, 2, 0)  # noqa: E731  map, redshift, pair
+                    total[2] += side(weight[one]) @ weight[two].transpose(1, 0, 2)
+                    if fields_too:
+                        a = side(field[one] * turns[0][pick, None, None])
+                        c = (field[two] * turns[1][pick, None, None]).transpose(1, 0, 2)
+                        total[0] += (a @ c.conj()).real
+                        total[1] += (a @ c).real
+                forward, back = total[:, :, upper[0], upper[1]], total[:, :, upper[1], upper[0]] * (upper[0] != upper[1])
+                n = len(upper[0])
+                made = {"bin": np.full(len(maps) * n, b), "map_id": maps.repeat(n), "z1": np.tile(zs[upper[0]], len(maps)), "z2": np.tile(zs[upper[1]], len(maps))}
+                tables.append(made | {k: part[i].ravel() for part, group in ((forward, names[:3]), (back, names[3:])) for i, k in enumerate(group)})
+        kinds = {c: pa.int32() for c in (*keys, "bin", "map_id", "z1", "z2")} | {"npairs": pa.int64()} | {c: pa.float64() for c in names}
+        schema = pa.schema([(c, kinds[c]) for c in (*keys, "bin", "npairs", "map_id", "z1", "z2", *names)])
+        out = []
+        for t in tables:
+            n = len(t["bin"])
+            t |= {c: v * n for c, v in own.items()}
+            out.append(pa.Table.from_arrays([pa.array(t[f.name]).cast(f.type) if f.name in t else pa.nulls(n, f.type) for f in schema], schema=schema))
+        return pa.concat_tables(out)
+
+    ddl = ", ".join([*(f"{k} int" for k in keys), "bin int, npairs long, map_id int, z1 int, z2 int", *(f"{c} double" for c in SUMS)])
+    on = (*keys, "part")
+    return pair_table.groupBy(*on).cogroup(fields.groupBy(*on)).applyInArrow(run, ddl)
+
+
+def weight_sums(sums: DataFrame) -> DataFrame:
     """Sums of pair weights of every map, redshift pair, patch and bin, forward (fw) and swapped (sw). They depend on
     weights alone, so maps that share theirs can share these: see ``norms`` of ``correlate``."""
-    ahead = F.col("za") <= F.col("zb")
-    return ends.groupBy("map_id", F.least("za", "zb").alias("z1"), F.greatest("za", "zb").alias("z2"), "patch_id", "bin").agg(F.sum(F.when(ahead, F.col("ww"))).alias("fw"), F.sum(F.when(~ahead, F.col("ww"))).alias("sw"))
+    return sums.filter("map_id is not null").groupBy("map_id", "z1", "z2", "patch_id", "bin").agg(F.sum("fw").alias("fw"), F.sum("sw").alias("sw"))
 
 
-def correlate(ends: DataFrame, counts: DataFrame, zpairs: DataFrame, maps: DataFrame, mode: str = "symmetric", weighted: bool = True, norms: DataFrame | None = None) -> DataFrame:
-    """xi+ and xi- for every map, redshift pair, patch and bin, from the rotated fields of pairs.
+def correlate(sums: DataFrame, centres: DataFrame, bins: DataFrame, zpairs: DataFrame, maps: DataFrame, mode: str = "symmetric", weighted: bool = True, norms: DataFrame | None = None) -> DataFrame:
+    """xi+ and xi- for every map, redshift pair, patch and bin, from the sums of ``accumulate``.
 
     ``mode`` symmetric averages both orientations of z1 < z2, each with its own norm; forward has z1 at pix1 only.
     Unweighted sums are divided by the footprint's pairs. A bin without pairs, or a cross bin with an orientation
-    without weight, is null; every combination of ``maps`` (map_id), ``zpairs`` (z1, z2) and ``counts`` has a row. Sums of
-    weights known already can be given as ``norms`` (z1, z2, patch_id, bin, fw, sw, and map_id where maps differ).
+    without weight, is null; every combination of ``maps`` (map_id), ``zpairs`` (z1, z2), ``centres`` (patch_id) and ``bins`` (bin) has
+    a row. Sums of weights known already can be given as ``norms`` (z1, z2, patch_id, bin, fw, sw, and map_id where maps differ).
+
+    Counts of pairs come with the sums and are dealt to every map and redshift pair here, so pairs are made once.
     """
     if mode not in ("symmetric", "forward"):
         raise ValueError("mode must be symmetric or forward")
-    weight = F.col("ww") if weighted else F.lit(1.0)
-    plus = weight * (F.col("r1") * F.col("r2") + F.col("i1") * F.col("i2"))
-    minus = weight * (F.col("r1") * F.col("r2") - F.col("i1") * F.col("i2"))
-    ahead = F.col("za") <= F.col("zb")
-
-    def total(x: Column, when: Column, name: str) -> Column:
-        return F.sum(F.when(when, x)).alias(name)
-
-    sums = ends.groupBy("map_id", F.least("za", "zb").alias("z1"), F.greatest("za", "zb").alias("z2"), "patch_id", "bin").agg(
-        total(plus, ahead, "fp"), total(minus, ahead, "fm"), total(weight, ahead, "fw"), total(plus, ~ahead, "sp"), total(minus, ~ahead, "sm"), total(weight, ~ahead, "sw")
-    )
+    wanted = maps.join(F.broadcast(zpairs)).select("map_id", "z1", "z2")
+    listed = wanted.agg(F.collect_list(F.struct("map_id", "z1", "z2")).alias("wanted"))
+    none = centres.select("patch_id").join(F.broadcast(bins.select("bin"))).select("patch_id", "bin", F.lit(0).cast("long").alias("npairs"), *(F.lit(None).cast("int").alias(c) for c in ("map_id", "z1", "z2")), *(F.lit(None).cast("double").alias(c) for c in SUMS))
+    rows = sums.select(*none.columns).union(none).join(F.broadcast(listed))
+    own = F.array(F.struct("map_id", "z1", "z2"))
+    spread = rows.select("patch_id", "bin", "npairs", *SUMS, F.explode(F.when(F.col("map_id").isNull(), F.col("wanted")).otherwise(own)).alias("k")).select("k.*", "patch_id", "bin", "npairs", *SUMS)
+    keys = ["map_id", "z1", "z2", "patch_id", "bin"]
+    joined = spread.groupBy(*keys).agg(F.sum("npairs").alias("npairs"), *(F.sum(c).alias(c) for c in SUMS)).filter("npairs is not null")
     if norms is not None:
-        keys = [c for c in ("map_id", "z1", "z2", "patch_id", "bin") if c in norms.columns]
-        sums = sums.drop("fw", "sw").join(norms.select(*keys, "fw", "sw"), keys, "left")
-    grid = counts.join(F.broadcast(zpairs)).join(maps)
+        known = [c for c in keys if c in norms.columns]
+        joined = joined.drop("fw", "sw").join(norms.select(*known, "fw", "sw"), known, "left")
     norm = lambda w: F.nullif(F.col(w), F.lit(0.0)) if weighted else F.nullif(F.col("npairs").cast("double"), F.lit(0.0))
     zero = lambda c: F.col(c) if weighted else F.coalesce(F.col(c), F.lit(0.0))
     ahead_of = lambda c: F.try_divide(zero(f"f{c}"), norm("fw"))
@@ -82,8 +168,7 @@ def correlate(ends: DataFrame, counts: DataFrame, zpairs: DataFrame, maps: DataF
     single = (F.col("z1") == F.col("z2")) | F.lit(mode == "forward")
     value = lambda c: F.when(single, ahead_of(c)).otherwise((ahead_of(c) + behind_of(c)) / 2)
     sumw = F.coalesce("fw", F.lit(0.0)) + F.when(single, 0.0).otherwise(F.coalesce("sw", F.lit(0.0)))
-    joined = grid.join(sums, ["map_id", "z1", "z2", "patch_id", "bin"], "left")
-    return joined.select("map_id", "z1", "z2", "patch_id", "bin", "npairs", sumw.alias("sumw"), value("p").alias("xip"), value("m").alias("xim"))
+    return joined.select(*keys, "npairs", sumw.alias("sumw"), value("p").alias("xip"), value("m").alias("xim"))
 
 
 def zbin_pairs(zbins: DataFrame) -> DataFrame:

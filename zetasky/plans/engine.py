@@ -20,6 +20,7 @@ class Correlation:
         self.spark, self.params, self.centres, self.salt = spark, params, centres, salt or params.salt
         self.footprint = tables.footprint(spark, params, mask)
         self._pairs = self._filters = None
+        self._keys, self._start = ("patch_id",), 0
 
     @cached_property
     def members(self) -> DataFrame:
@@ -32,35 +33,48 @@ class Correlation:
     def ends(self, fields: DataFrame) -> DataFrame:
         """Pairs with the rotated fields at both ends: gathered by pixel for pairs of a store, else paired with the fields."""
         if self._pairs is not None:
-            return xi.gathered_shear(self._pairs, fields)
+            return xi.gathered_shear(self._pairs.drop("home", "part"), fields)
         return xi.paired_shear(self.members, self.params, fields, self.salt)
 
+    def sums(self, fields: DataFrame, weighted: bool = True, fields_too: bool = True) -> DataFrame:
+        """Counts of pairs and their sums, patch by patch; pairs of a store stay in their buckets."""
+        patch = self._keys[0]
+        found = xi.accumulate(self.pairs, xi.patch_fields(self.members, fields, self.salt, (patch,)), self.params.nbins, (patch,), weighted, fields_too)
+        return found if patch == "patch_id" else found.withColumn("patch_id", (F.col(patch) - self._start).cast("int")).drop(patch)
+
     @property
     def filters(self) -> DataFrame:
         if self._filters is None:
             self._filters = discs.filter_pixels(self.footprint, self.centres, self.params)
         return self._filters
 
-    def save_pairs(self, path: str) -> None:
-        store.save(path, self.params, self.centres, self.pairs, self.filters, self.footprint)
+    def save_pairs(self, path: str, buckets: int | None = None) -> None:
+        store.save(path, self.params, self.salt, self.centres, self.members, self.pairs, self.filters, self.footprint, buckets)
 
     @classmethod
     def load_pairs(cls, spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> Correlation:
+        """The stored patches from ``start`` up to ``stop``, numbered from 0."""
         mask = spark.read.parquet(f"{path}/footprint").withColumn("m", F.lit(1.0))
-        out = cls(spark, store.load_params(spark, path), store.load(spark, path, "centres", start, stop), mask)
-        out._pairs, out._filters = (store.load(spark, path, t, start, stop) for t in ("pairs", "filters"))
+        params, salt, buckets = store.load_params(spark, path)
+        out = cls(spark, params, store.load(spark, path, "centres", start, stop), mask, salt)
+        out._pairs, out._filters, out.members = (store.load(spark, path, t, start, stop, buckets) for t in ("pairs", "filters", "members"))
+        out._keys, out._start = ("home",), start
         return out
 
     def counts(self) -> DataFrame:
         return pairs.pair_counts(self.pairs, self.centres, self.params)
 
     def aperture_mass(self, shear: DataFrame, flip_g1: bool = False) -> DataFrame:
-        return aperture.aperture_mass(self.filters, discs.filter_area(self.filters, self.params), tables.load_maps(shear, flip_g1))
+        return aperture.aperture_mass(self.filters, tables.load_maps(shear, flip_g1), self.params)
+
+    def weight_sums(self, shear: DataFrame) -> DataFrame:
+        """Sums of weights for the ``norms`` of ``xi``, without reading the fields."""
+        return xi.weight_sums(self.sums(shear, fields_too=False))
 
     def xi(self, shear: DataFrame, mode: str = "symmetric", weighted: bool = True, flip_g1: bool = False, zpairs: DataFrame | None = None, norms: DataFrame | None = None) -> DataFrame:
         fields = tables.load_maps(shear, flip_g1)
         zpairs = xi.zbin_pairs(shear.select("zbin").distinct()) if zpairs is None else zpairs
-        return xi.correlate(self.ends(fields), self.counts(), zpairs, shear.select("map_id").distinct(), mode, weighted, norms)
+        return xi.correlate(self.sums(fields, weighted), self.centres, self.params.bins(self.spark), zpairs, shear.select("map_id").distinct(), mode, weighted, norms)
 
     def zeta(self, shear: DataFrame, flip_g1: bool = False, strict: bool = False, zpairs: DataFrame | None = None) -> DataFrame:
         return zeta(self.aperture_mass(shear, flip_g1), self.xi(shear, flip_g1=flip_g1, zpairs=zpairs), strict)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zetasky.sources.fixture import GOLDEN_ANGLE, N_MAPS, N_PATCHES, N_ZBINS, PARAMS
+from zetasky.sources.fixture import GOLDEN_ANGLE, N_MAPS, N_ZBINS, PARAMS
 
 N, NPIX = PARAMS.nside, PARAMS.npix
 CAP = 2 * N * (N - 1)
@@ -61,8 +61,9 @@ BIN = "case " + " ".join(f"when d>{e(a)} and d<{e(b)} then {i}" for i, (a, b) in
 CTES = {
     "shear": f"select cast(l_linenumber%{N_MAPS} as int) as map_id, cast(l_suppkey%{N_ZBINS} as int) as zbin, (l_orderkey*7919+l_linenumber*104729+l_partkey*31)%{NPIX} as pix, sum(l_quantity*(l_discount-5e-2))/sum(l_quantity) as g1, sum(l_quantity*(l_tax-4e-2))/sum(l_quantity) as g2, sum(l_quantity) as w from lineitem group by 1,2,3",
     "pixels": f"select p as pix, {_s['ra']} as ra, pi()/2-({_s['theta']}) as dec from (select cast(range as bigint) as p from range({NPIX}))",
-    "patches": f"select cast(range as int) as patch_id, range*{e(GOLDEN_ANGLE)}-floor(range*{e(GOLDEN_ANGLE)}/(2*pi()))*(2*pi()) as phi_center, acos(1-2*(range+5e-1)/{N_PATCHES}) as theta_center from range({N_PATCHES})",
-    "mask": f"select cast(range as bigint) as pix, cast(range%7 as double) as m from range({NPIX})",
+    "patches": f"select cast(s_suppkey as int) as patch_id, s_suppkey*{e(GOLDEN_ANGLE)}-floor(s_suppkey*{e(GOLDEN_ANGLE)}/(2*pi()))*(2*pi()) as phi_center, acos(1-2*(s_acctbal+1000)/11000) as theta_center from supplier",
+    "mask": f"select (o_orderkey*7919+o_custkey*31)%{NPIX} as pix, cast(count(*)%7 as double) as m from orders group by 1",
+    "points": "select l_orderkey, l_linenumber, l_quantity*37e-2 as ra1, l_discount*3e0-3e-1 as dec1, l_extendedprice*73e-5+1e-1 as ra2, l_tax*5e0+5e-1 as dec2, radians(l_quantity*l_discount*2513e-1/60) as theta from lineitem",
     "members": f"select patch_id, pix, ra, dec from pixels join patches on sin(theta_center)*cos(phi_center)*cos(dec)*cos(ra)+sin(theta_center)*sin(phi_center)*cos(dec)*sin(ra)+cos(theta_center)*sin(dec)>=cos({R})",
     "candidates": f"select a.patch_id, a.pix as pix1, b.pix as pix2, a.ra as ra1, a.dec as dec1, b.ra as ra2, b.dec as dec2, {acos_of(cos_sep('a.ra a.dec', 'b.ra b.dec'))} as d, {cos_sep('a.ra a.dec', 'b.ra b.dec')} as c, cos(a.dec)*cos(b.dec)*sin(b.ra-a.ra) as s from members a join members b on a.patch_id=b.patch_id and a.pix<b.pix",
     "binned": f"select *, cast({BIN} as int) as bin, sin(dec2)-sin(dec1)*c as q1, sin(dec1)-sin(dec2)*c as q2 from candidates",
@@ -77,10 +78,10 @@ CTES = {
     "masses": "select map_id, zbin, f.patch_id, any_value(area)*sum(w*(-g1*q_cos-g2*q_sin)*q_val)/sum(w) as m_ap from filters f join shear using (pix) join areas a on a.patch_id=f.patch_id group by 1,2,3",
     "half": "select x.patch_id, x.bin, pix1, pix2, e2_re, e2_im, a.map_id, a.zbin as za, a.w as wa, a.g1*e1_re-a.g2*e1_im as r1, a.g1*e1_im+a.g2*e1_re as i1 from pairs x join shear a on a.pix=pix1",
     "ends": "select h.patch_id, h.bin, pix1, pix2, h.map_id, za, b.zbin as zb, wa*b.w as ww, r1, i1, b.g1*e2_re-b.g2*e2_im as r2, b.g1*e2_im+b.g2*e2_re as i2 from half h join shear b on b.pix=pix2 and b.map_id=h.map_id",
-    "zpairs": f"select cast(a.range as int) as z1, cast(b.range as int) as z2 from range({N_ZBINS}) a join range({N_ZBINS}) b on a.range<=b.range",
+    "zpairs": "select a.zbin as z1, b.zbin as z2 from (select distinct zbin from shear) a join (select distinct zbin from shear) b on a.zbin<=b.zbin",
     "forward": "select map_id, za as z1, zb as z2, patch_id, bin, sum(ww) as w, sum(ww*(r1*r2+i1*i2)) as p, sum(ww*(r1*r2-i1*i2)) as m, sum(r1*r2+i1*i2) as up, sum(r1*r2-i1*i2) as um from ends where za<=zb group by all",
     "swapped": "select map_id, zb as z1, za as z2, patch_id, bin, sum(ww) as w, sum(ww*(r1*r2+i1*i2)) as p, sum(ww*(r1*r2-i1*i2)) as m from ends where za>zb group by all",
-    "grid": f"select cast(range as int) as map_id, z1, z2, patch_id, bin, npairs from range({N_MAPS}) cross join zpairs cross join counts",
+    "grid": "select map_id, z1, z2, patch_id, bin, npairs from (select distinct map_id from shear) cross join zpairs cross join counts",
     "xi": "select g.map_id, g.z1, g.z2, g.patch_id, g.bin, npairs, coalesce(f.w,0)+coalesce(s.w,0) as sumw, case when g.z1=g.z2 then f.p/nullif(f.w,0) else (f.p/nullif(f.w,0)+s.p/nullif(s.w,0))/2 end as xip, case when g.z1=g.z2 then f.m/nullif(f.w,0) else (f.m/nullif(f.w,0)+s.m/nullif(s.w,0))/2 end as xim, f.p/nullif(f.w,0) as fp, f.m/nullif(f.w,0) as fm, coalesce(f.w,0) as fw, coalesce(f.up,0)/nullif(npairs,0) as up, coalesce(f.um,0)/nullif(npairs,0) as um from grid g left join forward f using (map_id,z1,z2,patch_id,bin) left join swapped s using (map_id,z1,z2,patch_id,bin)",
     "zetas": "select x.map_id, m.zbin as z1, x.z1 as z2, x.z2 as z3, x.bin, covar_pop(m_ap,xip) as zetap, covar_pop(m_ap,xim) as zetam from xi x join masses m on m.map_id=x.map_id and m.patch_id=x.patch_id and m.zbin<=x.z1 group by 1,2,3,4,5",
     "samples": "select l_quantity as x, l_extendedprice as y from lineitem where l_quantity is not null and l_extendedprice is not null",
@@ -97,7 +98,7 @@ CTES = {
 #: What each expression reads; "" marks the ones over base tables or ranges alone.
 NEEDS = {
     "members": "pixels patches", "candidates": "members", "binned": "candidates", "pairs": "binned", "counts": "patches bins pairs", "snapped": "patches", "disc": "pixels snapped",
-    "angles": "disc", "filters": "angles", "areas": "filters", "masses": "filters shear areas", "half": "pairs shear", "ends": "half shear", "forward": "ends", "swapped": "ends", "grid": "zpairs counts",
+    "angles": "disc", "filters": "angles", "areas": "filters", "masses": "filters shear areas", "half": "pairs shear", "ends": "half shear", "forward": "ends", "swapped": "ends", "zpairs": "shear", "grid": "shear zpairs counts",
     "xi": "grid forward swapped", "zetas": "xi masses", "cells": "samples", "axis": "taps", "smooth": "axis cells", "stats": "samples", "ready": "stats", "hist": "samples ready", "hist1d": "ready hist",
 }
 

@@ -12,7 +12,8 @@ from zetasky.functions import healpix
 from zetasky.functions.geometry import arcmin
 
 
-PAIRS_A_TASK = 20_000_000
+#: Pairs of pixels that one task looks at, and that a worker holds when their fields are summed.
+PAIRS_A_TASK = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,12 @@ class Params:
         members = self.npix * (1 - math.cos(min(math.pi, arcmin(self.patch_size)))) / 2
         return max(1, math.ceil(members * members / 2 / PAIRS_A_TASK))
 
+    @property
+    def by_cells(self) -> bool:
+        """Whether cells of edge theta_max and their neighbours are less than half of a patch."""
+        edge = 2 * math.sin(min(math.pi, arcmin(self.theta_max)) / 2)
+        return 9 * edge * edge < math.pi * (1 - math.cos(min(math.pi, arcmin(self.patch_size))))
+
     def edges(self) -> list[float]:
         """Logarithmic bin edges in radians."""
         lo, hi = arcmin(self.theta_min), arcmin(self.theta_max)

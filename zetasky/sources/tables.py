@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zetasky.functions import healpix
@@ -46,9 +46,28 @@ def load_maps(shear: DataFrame, flip_g1: bool = True, flip_g2: bool = False) ->
     return shear.withColumns({"g1": F.col("g1") * (-1 if flip_g1 else 1), "g2": F.col("g2") * (-1 if flip_g2 else 1)})
 
 
+def fingerprints(shear: DataFrame) -> DataFrame:
+    """map_id, zbin, n_pix and a 128-bit fingerprint of its rows (pix, g1, g2, w) whatever their order, by one aggregate.
+
+    Sums of two independent 64-bit hashes of the rows, so a row that comes twice counts twice; zeros of both signs are equal,
+    and a null is no number. Equal maps have equal fingerprints; others differ but for a chance of about 2 ** -128 a pair.
+    """
+    values = ["pix", *(F.coalesce(F.col(c) + 0.0, F.lit(float("nan"))) for c in ("g1", "g2", "w")), *(F.col(c).isNull() for c in ("g1", "g2", "w"))]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *values).cast("decimal(38,0)"))
+    return shear.groupBy("map_id", "zbin").agg(F.count("*").alias("n_pix"), total(1).alias("print1"), total(2).alias("print2"))
+
+
+def equal_maps(shear: DataFrame) -> DataFrame:
+    """map_id, zbin, n_pix and, as same_map and same_zbin, the first (map_id, zbin) with equal fields and weights: two maps whose
+    correlation is an auto-correlation have the same. All maps are told apart at once."""
+    first = F.min(F.struct("map_id", "zbin")).over(Window.partitionBy("n_pix", "print1", "print2"))
+    return fingerprints(shear).withColumn("first", first).select("map_id", "zbin", "n_pix", F.col("first.map_id").alias("same_map"), F.col("first.zbin").alias("same_zbin"))
+
+
 def same_map(shear: DataFrame, one: tuple[int, int], two: tuple[int, int]) -> bool:
-    """Whether two (map_id, zbin) keys name equal fields and weights, so their correlation is an auto-correlation."""
+    """Whether two (map_id, zbin) keys name equal fields and weights; of keys without rows, both are empty."""
     if one == two:
         return True
-    pick = lambda key: shear.filter((F.col("map_id") == key[0]) & (F.col("zbin") == key[1])).select("pix", "g1", "g2", "w")
-    return pick(one).exceptAll(pick(two)).isEmpty() and pick(two).exceptAll(pick(one)).isEmpty()
+    is_key = lambda key: (F.col("map_id") == key[0]) & (F.col("zbin") == key[1])
+    found = fingerprints(shear.filter(is_key(one) | is_key(two))).collect()
+    return len({tuple(r)[2:] for r in found}) == 1 and len(found) == 2 or not found
