@@ -267,6 +267,17 @@ def test_shards_are_written_beside_columns_of_their_names(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.drop("shard_").collect()))) == sorted(map(repr, map(tuple, docs.collect())))
 
 
+def test_language_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.ByteCNN, "fit", lambda self, windows, labels, *rest: seen.append((windows.size, sorted(set(labels.tolist())))))
+    rows = [(i, ("ab cd " if i % 2 else "xy zz ") * 100, "ab"[i % 2]) for i in range(300)] + [(1000, "ab " * 100_000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, max_bytes=40_000) is not None and seen[-1][0] <= 40_000 + 66 * 256 and seen[-1][1] == [0, 1]
+    langid.train(docs, max_docs=20)
+    assert seen[-1][0] <= 20 * 768
+    assert langid.train(docs, max_bytes=100) is None
+
+
 WEIGHTS = """
 import hashlib, sys
 import numpy as np

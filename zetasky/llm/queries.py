@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, divergence, jaccard, langid, merkle, oracles, pii, quality, secrets, sharding, suffixes, tokens, topk
-from .util import read, shared_folder
+from .util import read, shared_folder, unstash
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = sharding.initial_map(16)
     sharding.write_map(spark, start, path, 1)
     sharding.write_map(spark, sharding.grow(sharding.read_map(spark, path, 1)), path, 2)
-    return sharding.assign_shards(read(spark, sf_dir, "documents"), sharding.read_map(spark, path, 1), sharding.read_map(spark, path, 2), version=1)
+    first, grown = (sharding.read_map(spark, path, version) for version in (1, 2))  # lists: the folder is needed no more
+    unstash(spark, path)
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), first, grown, version=1)
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
