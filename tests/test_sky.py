@@ -147,7 +147,8 @@ def test_salt_store_and_mask_change_nothing(spark, tmp_path):
     whole, parted = (table_of_xi(c.xi(fixture_shear(spark))) for c in (plain, salted))
     salted.save_pairs(str(tmp_path / "salted"), buckets=7)
     again = table_of_xi(Correlation.load_pairs(spark, str(tmp_path / "salted")).xi(fixture_shear(spark)))
-    assert whole == parted == again
+    shared = table_of_xi(Correlation(spark, SMALL, centres, mask, overlapping=True).xi(fixture_shear(spark)))
+    assert whole == parted == again == shared
 
 
 def table_of_xi(found):
@@ -309,3 +310,19 @@ def test_shared_pairs_are_the_patches_pairs(spark):
     assert plain == dealt and shared.count() == len({r[1:] for r in plain}) < len(plain)
     plan = shared._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ACOS(") == 1 + plan.count("AS theta_center")
+
+
+def test_running_mass_by_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, i, j, float(v)) for k in ("a", "b") for i in range(20) for j in range(20) for v in [max(0, rng.integers(-5, 9 if k == "a" else 3))]]
+    grid = spark.createDataFrame(rows, "k string, ix int, iy int, density double")
+    for parts in (1, 5, 64):
+        got = {tuple(r)[:3]: (r.mass, r.total) for r in density.running_mass(grid, ("k",), parts).collect()}
+        for k in ("a", "b"):
+            cells = sorted((-d, i, j) for key, i, j, d in rows if key == k and d > 0)
+            sums = np.cumsum([-c[0] for c in cells])
+            assert [got[k, i, j] for _, i, j in cells] == [(m, sums[-1]) for m in sums]
+        assert len(got) == sum(d > 0 for *_, d in rows)
+    plan = density.hpd_levels(grid.filter("k = 'a'").drop("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(density" not in plan
+    assert density.hpd_levels(grid.filter("density < 0"), keys=("k",)).count() == 0

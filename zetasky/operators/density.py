@@ -56,15 +56,31 @@ def smooth_grid(counts: DataFrame, bins: int, sigma: float = 0.5, keys: tuple[st
     return grid.join(spread, [*keys, "ix", "iy"], "left").select(*keys, "ix", "iy", F.coalesce("mass", F.lit(0.0)).alias("density"))
 
 
-def hpd_levels(grid: DataFrame, shares: tuple[float, ...] = (0.99, 0.95, 0.68), keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, share, level: density of the cell at which the densest cells' mass first exceeds the share.
+def running_mass(grid: DataFrame, keys: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """``grid`` (keys, ix, iy, density) without empty cells, with the mass of all cells of the same keys that are as dense or come before
+    in order of falling density, and the total.
 
-    A grid has bins**2 rows whatever the samples, so one window over all of it is bounded.
+    Cells are dealt to parts by density, cut where a sketch of bounded size says that parts are of equal size; each part is
+    summed by itself, and the mass of the denser parts is added from their totals. So no task orders a whole grid.
     """
-    group = f"partition by {', '.join(keys)} " if keys else ""
-    ranked = grid.selectExpr(*keys, "density", f"sum(density) over ({group}order by density desc, ix, iy rows unbounded preceding) as mass", f"sum(density) over ({group.strip()}) as total")
+    dense = grid.filter("density > 0")
+    shares = [i / parts for i in range(1, parts)] or [0.0]
+    found = dense.groupBy(*keys).agg(F.percentile_approx("density", shares, 100 * parts).alias("cuts"))
+    on = lambda df, other, *more: df.join(F.broadcast(other), [*keys, *more]) if keys or more else df.join(F.broadcast(other))
+    part = F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("density"))).alias("part")
+    placed = on(dense, found).select(*keys, "ix", "iy", "density", part)
+    by = f"partition by {', '.join(keys)}" if keys else ""
+    totals = placed.groupBy(*keys, "part").agg(F.sum("density").alias("own"))
+    before = totals.selectExpr(*keys, "part", f"sum(own) over ({by} order by part) - own as denser", f"sum(own) over ({by}) as total")
+    inside = f"sum(density) over (partition by {', '.join([*keys, 'part'])} order by density desc, ix, iy rows unbounded preceding)"
+    return on(placed, before, "part").selectExpr(*keys, "ix", "iy", "density", f"denser + {inside} as mass", "total")
+
+
+def hpd_levels(grid: DataFrame, shares: tuple[float, ...] = (0.99, 0.95, 0.68), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, share, level: density of the cell at which the densest cells' mass first exceeds the share; none of an empty grid."""
     wanted = grid.sparkSession.createDataFrame([(s,) for s in shares], "share double")
-    return ranked.join(F.broadcast(wanted), F.col("mass") > F.col("share") * F.col("total")).groupBy(*keys, "share").agg(F.max("density").alias("level"))
+    beyond = running_mass(grid, keys).join(F.broadcast(wanted), F.col("mass") > F.col("share") * F.col("total"))
+    return beyond.groupBy(*keys, "share").agg(F.max("density").alias("level"))
 
 
 def corner_hist2d(samples: DataFrame, columns: tuple[str, ...], bins: int = 200) -> DataFrame:

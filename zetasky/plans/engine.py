@@ -14,13 +14,16 @@ from zetasky.sources import store, tables
 
 
 class Correlation:
-    """Geometry of a footprint and patches, and the statistics of maps on it. All results are lazy DataFrames."""
+    """Geometry of a footprint and patches, and the statistics of maps on it. All results are lazy DataFrames.
 
-    def __init__(self, spark: SparkSession, params: Params, centres: DataFrame, mask: DataFrame | None = None, salt: int | None = None):
+    ``overlapping`` patches share the geometry of the pairs that they have in common, which is then made once for all of them.
+    """
+
+    def __init__(self, spark: SparkSession, params: Params, centres: DataFrame, mask: DataFrame | None = None, salt: int | None = None, overlapping: bool = False):
         self.spark, self.params, self.centres, self.salt = spark, params, centres, salt or params.salt
         self.footprint = tables.footprint(spark, params, mask)
         self._pairs = self._filters = None
-        self._keys, self._start = ("patch_id",), 0
+        self._keys, self._start, self.overlapping = ("patch_id",), 0, overlapping
 
     @cached_property
     def members(self) -> DataFrame:
@@ -28,7 +31,11 @@ class Correlation:
 
     @property
     def pairs(self) -> DataFrame:
-        return self._pairs if self._pairs is not None else pairs.pairs(self.members, self.params, self.salt)
+        if self._pairs is not None:
+            return self._pairs
+        if self.overlapping:
+            return pairs.by_patch(pairs.shared_pairs(self.members, self.params), self.salt)
+        return pairs.pairs(self.members, self.params, self.salt)
 
     def ends(self, fields: DataFrame) -> DataFrame:
         """Pairs with the rotated fields at both ends: gathered by pixel for pairs of a store, else paired with the fields."""
