@@ -65,6 +65,7 @@ def test_empty_table_and_one_source(spark):
 def test_blocks_of_any_size_give_the_same(monkeypatch, held):
     monkeypatch.setattr(dv, "HELD_ROWS", held)
     monkeypatch.setattr(dv, "SLICE_ROWS", 5)
+    monkeypatch.setattr(dv, "SLICE_CHARS", 40 if held > 3 else 1 << 20)
     rows = list(texts(300))
     batch = lambda part: pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in part], pa.string()) for i, k in enumerate(("text", "lang", "source"))})
     counted = [r for i in range(0, len(rows), 70) for b in dv.count_terms(iter([batch(rows[i : i + 70])])) for r in b.to_pylist()]
@@ -99,3 +100,11 @@ def test_blocks_of_any_size_give_the_same(monkeypatch, held):
                 if a < b:
                     plainly[lang, a, b] += abs(x - y) - abs(x - p(0)) - abs(p(0) - y)
     assert sums == plainly
+
+
+def test_a_long_text_is_read_in_pieces_between_terms():
+    text = "Ab-c ÄÖ\x00 " * 900_000 + "z" * 3_000_000
+    assert "".join(dv.pieces(text)) == text and all(p[-1] in " -\x00" for p in list(dv.pieces(text))[:-1])
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text, "ab", None], pa.string()), "lang": ["en", None, "en"], "source": pa.array([None, None, None], pa.string())})
+    got = {(r["lang"], r["source"], r["term"]): (r["docs"], r["n"]) for b in dv.count_terms(iter([batch])) for r in b.to_pylist()}
+    assert got == {("en", "", t): (1, 900_000) for t in ("ab", "c", "ÄÖ")} | {("en", "", "z" * 3_000_000): (1, 1), ("", "", "ab"): (1, 1)}

@@ -15,6 +15,7 @@ and the sums over A need no more of it than how many of its terms occur how ofte
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -29,8 +30,9 @@ from .util import stash, unstash, with_arrow
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, UNIT, SMOOTH, MOST_TERMS = 30, 1_000_000_000, 5, 50
 
-#: Rows and bytes of text that DuckDB is given at a time, rows that it holds before they are merged or sent, its memory.
-SLICE_ROWS, SLICE_BYTES, HELD_ROWS, MEMORY = 2048, 8 << 20, 250_000, "768MB"
+#: Rows and bytes of text that DuckDB is given at a time, characters beyond which a text comes in pieces, rows that it holds before
+#: they are merged or sent, its memory.
+SLICE_ROWS, SLICE_BYTES, SLICE_CHARS, HELD_ROWS, MEMORY = 2048, 4 << 20, 1 << 20, 250_000, "768MB"
 #: Parts over which a language's occurrence counts are spread where they meet the other sources.
 SPREAD = 64
 
@@ -62,11 +64,12 @@ class Shard:
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in parts of at most SLICE_ROWS and about SLICE_BYTES of text; a longer text is a part of its own."""
+    """Rows of a batch in parts of at most SLICE_ROWS and SLICE_BYTES of text; one that may be longer than SLICE_CHARS is a part of
+    its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and (total + size > SLICE_BYTES or i - start == SLICE_ROWS):
+        if i > start and (total + size > SLICE_BYTES or i - start == SLICE_ROWS or max(size, sizes[i - 1]) > SLICE_CHARS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -76,16 +79,29 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 COUNTED = "lang string, source string, term string, docs long, n long"
 SUMMED = "select lang, source, term, sum(docs)::bigint as docs, sum(n)::bigint as n from found group by all"
+_TERMS = f"unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{TERM}')) as term"
 COUNT = f"""
 insert into found
 select lang, source, term, count(*), sum(n) from (
-  select spot, any_value(lang) as lang, any_value(source) as source, term, count(*) as n from (
-    select spot, coalesce(lang, '') as lang, coalesce(source, '') as source,
-      unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{TERM}')) as term
-    from part)
+  select spot, any_value(lang) as lang, any_value(source) as source, term, count(*) as n
+  from (select spot, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} from part)
   group by spot, term)
 group by lang, source, term
 """
+#: The same of one text that comes in pieces.
+COUNT_PIECE = f"insert into piece select term, count(*) from (select {_TERMS} from part) group by term"
+COUNT_WHOLE = "insert into found select coalesce($lang, ''), coalesce($source, ''), term, 1, sum(n) from piece group by term"
+GAP = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about SLICE_CHARS, cut between terms."""
+    start = 0
+    while start < len(text):
+        gap = GAP.search(text, start + SLICE_CHARS)
+        end = gap.end() if gap else len(text)
+        yield text[start:end]
+        start = end
 
 
 def schema_of(ddl: str) -> pa.Schema:
@@ -101,7 +117,15 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard.run("create table found (lang varchar, source varchar, term varchar, docs bigint, n bigint)")
         for batch in batches:
             for part in slices(batch):
-                shard.run(COUNT, part=pa.Table.from_batches([part.append_column("spot", pa.array(range(part.num_rows)))]))
+                if part.num_rows == 1 and part.column("text")[0].is_valid and len(text := part.column("text")[0].as_py()) > SLICE_CHARS:
+                    shard.run("create or replace table piece (term varchar, n bigint)")
+                    for piece in pieces(text):
+                        shard.run(COUNT_PIECE, part=pa.table({"text": [piece]}))
+                        if shard.held("piece") >= HELD_ROWS:
+                            shard.run("create or replace table piece as select term, sum(n)::bigint as n from piece group by term")
+                    shard.run(COUNT_WHOLE, {c: part.column(c)[0].as_py() for c in ("lang", "source")})
+                else:
+                    shard.run(COUNT, part=pa.Table.from_batches([part.append_column("spot", pa.array(range(part.num_rows)))]))
                 if shard.held("found") >= HELD_ROWS:
                     yield from shard.rows(SUMMED, schema)
                     shard.run("truncate found")

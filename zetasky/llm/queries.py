@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, divergence, jaccard, langid, merkle, oracles, pii, quality, secrets, sharding, suffixes, tokens, topk
-from .util import read, shared_folder, unstash
+from .util import leave, read, shared_folder
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/zetasky-map-{uuid.uuid4().hex}"
+    leave(spark, path)
     start = sharding.initial_map(16)
     sharding.write_map(spark, start, path, 1)
     sharding.write_map(spark, sharding.grow(sharding.read_map(spark, path, 1)), path, 2)
-    first, grown = (sharding.read_map(spark, path, version) for version in (1, 2))  # lists: the folder is needed no more
-    unstash(spark, path)
+    first, grown = (sharding.read_map(spark, path, version) for version in (1, 2))
     return sharding.assign_shards(read(spark, sf_dir, "documents"), first, grown, version=1)
 
 

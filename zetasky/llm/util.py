@@ -166,6 +166,11 @@ def sorted_groups(df: DataFrame, columns: list[str], fn, ddl: str) -> DataFrame:
 _left: dict[str, tuple] = {}
 
 
+def leave(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends, unless it is unstashed before."""
+    _left[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written once as Parquet to the shared folder and read back, with its path for ``unstash``.
 
@@ -174,7 +179,7 @@ def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """
     context = df.sparkSession.sparkContext
     path = f"{shared_folder(df.sparkSession)}/zetasky-{uuid.uuid4().hex}"
-    _left[path] = (context._jvm, context._jsc.hadoopConfiguration())
+    leave(df.sparkSession, path)
     df.write.parquet(path)
     context._jvm.System.gc()  # shuffle files stay until the driver collects what was done with them
     return df.sparkSession.read.parquet(path), path
