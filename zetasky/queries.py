@@ -188,10 +188,11 @@ def equal_maps(spark, sf_dir):
 ENDS = ("r1", "i1", "r2", "i2")
 
 
-@query(sql("select map_id, patch_id, bin, pix1, pix2, za, zb, " + ", ".join(rs(c, ANGLE, c) for c in ENDS) + " from ends", "ends"))
+@query(sql("select map_id, patch_id, bin, za, zb, " + ", ".join(rs(f"sum({c})", ANGLE, c) for c in ENDS) + " from ends group by 1,2,3,4,5", "ends"))
 def rotate_shear(spark, sf_dir):
+    """Fields rotated at both ends of every pair, summed for each bin."""
     ends = engine(spark, sf_dir).ends(fixture.shear(spark, sf_dir))
-    return ends.select("map_id", "patch_id", "bin", "pix1", "pix2", "za", "zb", *(r(c, ANGLE, c) for c in ENDS))
+    return ends.groupBy("map_id", "patch_id", "bin", "za", "zb").agg(*(r(F.sum(c), ANGLE, c) for c in ENDS))
 
 
 # --- filters, joins and set operations
