@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from zetasky.functions import healpix
 from zetasky.operators import aperture, discs
 from zetasky.plans.engine import Correlation
 from zetasky.plans.params import Params
@@ -43,6 +44,26 @@ def test_a_store_does_not_grow_with_patches_of_one_place(spark, tmp_path):
     assert found[12] < 1.1 * found[2]  # six times, with pairs of every patch
 
 
+def test_discs_are_covered_by_many_tasks(spark, monkeypatch):
+    """However few files the centres come in."""
+    tasks, cover = [], discs.covering_cells
+    monkeypatch.setattr(discs, "covering_cells", lambda df, *rest: tasks.append(df.rdd.getNumPartitions()) or cover(df, *rest))
+    engine = Correlation(spark, SMALL, centres(spark, 12).coalesce(1))
+    assert engine.members.count() > 0 and engine.filters.count() > 0
+    assert tasks == [4, 4]
+
+
+def test_centres_of_cells_step_by_step(spark):
+    """Cells of a level have the centres that the formula gives at once, and none is read by a plan that repeats it."""
+    subcells = spark.range(12 * 64).selectExpr("cast(id div 64 as int) as face", "cast(id div 8 % 8 as int) as ix", "cast(id % 8 as int) as iy")
+    at_once = healpix.face_to_sky(F.col("face"), F.col("ix"), F.col("iy"), 8)
+    both = healpix.with_face_centre(subcells, 8).select("face_x", "face_y", "face_z", *at_once).collect()
+    assert len(both) == 768 and all(tuple(r)[:3] == tuple(r)[3:] for r in both)
+    discs_at = spark.range(1).selectExpr("1 as patch_id", "1d as px", "0d as py", "0d as pz")
+    plan = discs.covering_cells(discs_at, 0.1, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at") <= 2 * 4  # two a level, and four levels
+
+
 def test_ends_and_decks_and_masses(spark, monkeypatch):
     engine, fields = Correlation(spark, SMALL, centres(spark, 5)), shear(spark)
     sums = engine.ends(fields).groupBy("map_id", "patch_id", "bin", "za", "zb").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("ww", "r1", "i1", "r2", "i2")))
