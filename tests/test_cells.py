@@ -53,6 +53,12 @@ def test_discs_are_covered_by_many_tasks(spark, monkeypatch):
     assert tasks == [4, 4]
 
 
+def test_patches_of_a_pair_are_found_once(spark):
+    found = Correlation(spark, SMALL, centres(spark, 12)).cell_pairs
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "arrays_overlap" not in plan
+
+
 def test_centres_of_cells_step_by_step(spark):
     """Cells of a level have the centres that the formula gives at once, and none is read by a plan that repeats it."""
     subcells = spark.range(12 * 64).selectExpr("cast(id div 64 as int) as face", "cast(id div 8 % 8 as int) as ix", "cast(id % 8 as int) as iy")
